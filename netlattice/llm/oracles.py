@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .queries import LIST_ENTRIES
+
 #: Rows of ``documents`` with the ASCII white space of the contracts as a class.
 _SPACE = r"[\x20\x09-\x0D]"
 
@@ -30,4 +32,29 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hc ON d.doc_id = hc.doc_id LEFT JOIN ic ON d.doc_id = ic.doc_id
 """
 
-ORACLES = {"op4_exact_dedup": OP4, "op7_decontamination": OP7}
+OP3 = r"""
+WITH l AS (
+  SELECT doc_id, p, line, translate(trim(line, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents) d,
+       unnest(ls) WITH ORDINALITY AS u(line, p)),
+f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY p), '')) AS kept_sha256
+FROM l LEFT JOIN f ON l.k = f.k GROUP BY doc_id
+"""
+
+_LISTED = ", ".join(f"('{p}', '{a}', date '{d}')" for p, a, d in LIST_ENTRIES)
+OP9 = rf"""
+WITH list AS (SELECT * FROM (VALUES {_LISTED}) AS t(pattern, action, listed_at)),
+spans AS (SELECT pattern, action, listed_at AS since, lead(listed_at) OVER (PARTITION BY pattern ORDER BY listed_at) AS until FROM list),
+p AS (SELECT page_id, url, CAST(date '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS at,
+             regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([a-z0-9._-]+)', 1) AS host,
+             regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+m AS (SELECT p.page_id, s.pattern, s.action, row_number() OVER (PARTITION BY p.page_id ORDER BY length(s.pattern) DESC) AS rn
+      FROM p JOIN spans s ON s.action <> 'remove' AND s.since <= p.at AND (s.until IS NULL OR p.at < s.until)
+       AND (host = s.pattern OR ends_with(host, '.' || s.pattern) OR host || path = s.pattern OR starts_with(host || path, s.pattern || '/')))
+SELECT p.page_id, p.url, CAST(p.at AS VARCHAR) AS fetched_at, m.pattern, m.action, coalesce(m.action, '') <> 'block' AS kept
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.rn = 1
+"""
+
+ORACLES = {"op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_decontamination": OP7, "op9_url_filter": OP9}

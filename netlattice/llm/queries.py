@@ -3,24 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .language import identify
+from .line_dedup import line_dedup
 from .packing import pack
+from .quality import quality
 from .scratch import table
+from .url_filter import url_filter
+
+#: A dated list for op9, in the order of its log.
+LIST_ENTRIES = [
+    ("casino-win.example.com", "block", "2024-01-01"),
+    ("cheap-pills.example.com", "block", "2024-01-15"),
+    ("free-bets.example.com", "block", "2024-02-01"),
+    ("ads-track.example.com", "block", "2024-02-10"),
+    ("spam-farm.example.com", "block", "2024-03-01"),
+    ("cheap-pills.example.com", "remove", "2024-05-01"),
+    ("tionsh.example.net", "block", "2024-05-20"),
+    ("tionsh.example.net/en", "allow", "2024-06-01"),
+    ("tionsh.example.net", "remove", "2024-07-01"),
+    ("cheap-pills.example.com", "block", "2024-08-01"),
+    ("www.cheap-pills.example.com", "allow", "2024-09-01"),
+    ("example.org", "block", "2024-11-01"),
+    ("example.org", "remove", "2024-11-15"),
+    ("free-bets.example.com", "allow", "2024-12-01"),
+]
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_exact_dedup, op7_decontamination)}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch time; one a day of 2024, by page id, stands in for it."""
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_at"))
+    rows = ", ".join(f"('{p}', '{a}', date '{d}')" for p, a, d in LIST_ENTRIES)
+    entries = spark.sql(f"SELECT * FROM VALUES {rows} AS t(pattern, action, listed_at)")
+    found = url_filter(pages, entries)
+    return found.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "pattern", "action", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op7_decontamination, op8_language, op9_url_filter)}
