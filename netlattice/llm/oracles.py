@@ -57,4 +57,15 @@ SELECT p.page_id, p.url, CAST(p.at AS VARCHAR) AS fetched_at, m.pattern, m.actio
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.rn = 1
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_decontamination": OP7, "op9_url_filter": OP9}
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[p : p + 3], ' ') AS g FROM d, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS u(p) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT x.a, x.b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id) x
+      JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.m)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(x.m, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) x ON x.doc_id = d.doc_id
+"""
+
+ORACLES = {"op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_decontamination": OP7, "op9_url_filter": OP9, "op10_jaccard_join": OP10}

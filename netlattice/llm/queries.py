@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .jaccard import link_components
 from .language import identify
 from .line_dedup import line_dedup
 from .packing import pack
@@ -69,4 +70,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "pattern", "action", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op7_decontamination, op8_language, op9_url_filter)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op7_decontamination, op8_language, op9_url_filter, op10_jaccard_join)}
