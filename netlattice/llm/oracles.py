@@ -14,6 +14,18 @@ SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t
 FROM t JOIN g ON t.norm = g.norm
 """
 
+OP6 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 12)) AS u(p) WHERE len(w) >= 13),
+f AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g),
+hit AS (SELECT DISTINCT doc_id, q FROM (SELECT win.doc_id, win.p FROM win JOIN f ON win.g = f.g WHERE f.first_id < win.doc_id) x, unnest(generate_series(p, p + 12)) AS u(q)),
+t AS (SELECT doc_id, word, q FROM d, unnest(w) WITH ORDINALITY AS u(word, q)),
+k AS (SELECT t.doc_id, count(hit.q) AS n_removed, string_agg(CASE WHEN hit.q IS NULL THEN t.word END, ' ' ORDER BY t.q) AS kept
+      FROM t LEFT JOIN hit ON t.doc_id = hit.doc_id AND t.q = hit.q GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
@@ -68,4 +80,4 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(x.m, d.doc_id) AS comp
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) x ON x.doc_id = d.doc_id
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op7_decontamination": OP7, "op9_url_filter": OP9, "op10_jaccard_join": OP10}
+ORACLES = {"op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op6_substring_dedup": OP6, "op7_decontamination": OP7, "op9_url_filter": OP9, "op10_jaccard_join": OP10}

@@ -13,6 +13,7 @@ from .line_dedup import line_dedup
 from .packing import pack
 from .quality import quality
 from .scratch import table
+from .substring import substring_dedup
 from .url_filter import url_filter
 
 #: A dated list for op9, in the order of its log.
@@ -51,6 +52,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -74,4 +80,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op7_decontamination, op8_language, op9_url_filter, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op6_substring_dedup, op7_decontamination, op8_language, op9_url_filter, op10_jaccard_join)}
