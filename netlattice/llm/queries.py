@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .html_wrapper import main_text
 from .jaccard import link_components
 from .language import identify
 from .line_dedup import line_dedup
@@ -35,6 +36,10 @@ LIST_ENTRIES = [
 ]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -80,4 +85,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op6_substring_dedup, op7_decontamination, op8_language, op9_url_filter, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op6_substring_dedup, op7_decontamination, op8_language, op9_url_filter, op10_jaccard_join)}
