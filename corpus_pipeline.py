@@ -21,10 +21,15 @@ from netlattice.llm.quality import quality
 from netlattice.llm.scratch import saved, table
 
 
+#: Kept ids that are broadcast at most; more meet their rows by a shuffle.
+BROADCAST_IDS = 500_000
+
+
 def _of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is in ``kept`` (doc_id), with the columns of ``docs``."""
-    names = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(names, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    names = saved(docs.sparkSession, kept.select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
+    few = names.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(names) if few else names, docs["doc_id"].eqNullSafe(names["kept_id"]), "left_semi")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
