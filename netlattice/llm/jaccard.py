@@ -16,9 +16,10 @@ may have its first shared pivot: x is replicated into the regions of its first
 * Regions of more than ``FULL`` documents are dissolved: their pivots move to
   the end of the order, and the documents that had them take the next pivots.
   That changes speed only, any order gives the exact join.
-* Inside a region, histograms of the shingles (distances to sixteen pivot sets
-  under symmetric difference) bound the distance from below.  What the bounds
-  leave is a candidate graph whose components (families) join by themselves.
+* Inside a region, histograms of the shingles (distances to pivot sets under
+  symmetric difference) bound the distance from below.  What coarse histograms
+  leave is a candidate graph; its components (families) are taken apart once
+  more with fine ones, as many bins as the sets' sizes need to tell strangers.
 * Inside a family the pivots are documents.  A pivot's exact distances assign
   the documents within the radius to it; those within twice the radius, which
   the triangle inequality cannot separate, are compared with the whole family.
@@ -49,11 +50,11 @@ SHINGLE = 4
 PERCENT = 85
 TOP_SHARE = 5e-5
 FULL = 256
-DISSOLVE_ROUNDS = 3
 #: Dissolved pivots and family members that are broadcast at most; FULL grows, or a shuffle join is used, beyond.
 BROADCAST_ROWS = 500_000
 FAMILY = 4_000_000
-BINS = 16
+#: Bins of the coarse histograms, and of the finest; a set has one for each FINE of its shingles, about.
+BINS, MOST_BINS, FINE = 16, 1024, 24
 #: Pivot entries that a task deals out, or a region task gets, at a time.
 BLOCK = 400_000
 
@@ -94,11 +95,22 @@ def n_pivots(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def bins_for(n: int) -> int:
+    """A power of two from BINS to MOST_BINS."""
+    return min(MOST_BINS, max(BINS, 1 << (max(1, n // FINE) - 1).bit_length()))
+
+
 def bins_of(tokens: np.ndarray) -> bytes:
-    counts = np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    bins = bins_for(len(tokens))
+    counts = np.bincount((tokens & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def folded(bins: np.ndarray, to: int) -> np.ndarray:
+    """Histograms (rows) with fewer bins; capped counts differ by no more than the sets do."""
+    return np.minimum(bins.reshape(*bins.shape[:-1], -1, to).sum(axis=-2, dtype=np.int32), 255).astype(np.uint8)
+
+
 def key_of(tokens: np.ndarray) -> tuple[int, int]:
     a, b = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), "<i8")
     return int(a), int(b)
@@ -273,7 +285,7 @@ def candidate_edges(nodes: DataFrame, buckets: int, percent: int) -> DataFrame:
         for batch in batches:
             for node, size, bins, pivots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part = np.empty(len(pivots) // 8, dtype=ENTRY)
-                part["pivot"], part["node"], part["n"], part["bins"] = np.frombuffer(pivots, "<u8"), node, size, np.frombuffer(bins, np.uint8)
+                part["pivot"], part["node"], part["n"], part["bins"] = np.frombuffer(pivots, "<u8"), node, size, folded(np.frombuffer(bins, np.uint8), BINS)
                 held.append(part)
                 n += len(part)
                 if n >= BLOCK:
@@ -355,71 +367,135 @@ def family_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def clusters(percent: int) -> Callable:
-    """Rows (family, node, tokens) ordered by family -> links (a, b)."""
+def by_family(handle: Callable, names: list[str], kinds: list) -> Callable:
+    """Rows (family, ...) ordered by family -> what ``handle`` makes of each family's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held, done = None, {}, []
-
-        def join() -> None:
-            names = sorted(held)
-            if len(names) > 1:
-                done.extend((names[i], names[j]) for i, j in family_links([held[k] for k in names], percent))
+        family, held, done = None, [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for f, node, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for f, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if f != family:
-                    join()
-                    family, held = f, {}
+                    done.extend(handle(held))
+                    family, held = f, []
                     if len(done) > 50_000:
                         yield out()
                         done = []
-                held[node] = np.frombuffer(tokens, "<u8")
-        join()
+                held.append(row)
+        done.extend(handle(held))
         if done:
             yield out()
 
     return run
 
 
-def nodes_of(sketches: DataFrame, docs: DataFrame, top, buckets: int, size: int, percent: int) -> DataFrame:
-    """(node, first_id, k1, k2, n, bins, pivots): the distinct sets, overfull regions dissolved."""
-    spark = docs.sparkSession
-    some = F.first(F.struct("n", "bins", "pivots")).alias("s")
-    distinct = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), some)
-    nodes = saved(spark, distinct.select(F.monotonically_increasing_id().alias("node"), "first_id", "k1", "k2", "s.*"), "jaccard-nodes")
-    last = np.empty(0, dtype=np.uint64)
-    for _ in range(DISSOLVE_ROUNDS):
-        full = FULL
-        found = saved(spark, dissolved(nodes.select("pivots"), buckets, full), "jaccard-full")
-        while found.where(F.col("n") > full).count() > BROADCAST_ROWS:
-            full *= 2
-        values = np.array([r[0] for r in found.where(F.col("n") > full).select("pivot").collect()], dtype=np.int64).view(np.uint64)
-        new = np.setdiff1d(values, last)
-        if not len(new) or len(last) + len(new) > BROADCAST_ROWS:
-            break
-        last = np.union1d(last, new)
-        back = spark.sparkContext.broadcast(last)
+def labelled(nodes: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, smallest node of its component) of the nodes in a link."""
+    parent = {nodes[i]: nodes[i] for link in links for i in link}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in links:
+        a, b = root(nodes[i]), root(nodes[j])
+        parent[max(a, b)] = min(a, b)
+    return [(x, root(x)) for x in parent]
 
-        def touched(batches: Iterator[pa.RecordBatch], back=back) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                blobs = batch.column(1).to_pylist()
-                at = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
-                hit = np.isin(np.frombuffer(b"".join(blobs), "<u8"), back.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.unique(at[hit])))], names=["node"])
 
-        def renewed(node: int, n: int, tokens: np.ndarray, back=back) -> tuple[int, bytes]:
-            behind = np.isin(tokens, back.value)
-            return node, np.concatenate([tokens[~behind], tokens[behind]])[: n_pivots(n, percent)].tobytes()
+def fine_links(n: np.ndarray, bins: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a family that sizes and fine histograms allow."""
+    m = len(n)
+    size = np.array([len(b) for b in bins])
+    groups = {b: np.flatnonzero(size == b) for b in np.unique(size).tolist()}
+    whole = {b: np.stack([bins[i] for i in at]).astype(np.int16) for b, at in groups.items()}
+    halves = {b: folded(whole[b].astype(np.uint8), b // 2).astype(np.int16) for b in groups if b // 2 in groups}
+    left = np.ones(m, dtype=bool)
+    links: list[tuple[int, int]] = []
+    for first in range(m):
+        if not left[first]:
+            continue
+        left[first] = False
+        queue = [first]
+        while queue:
+            x = queue.pop()
+            b, mine = len(bins[x]), bins[x].astype(np.int16)
+            half = folded(bins[x], b // 2).astype(np.int16) if b // 2 in groups else None
+            # sets within the radius have histograms of the same, half or double size
+            for other, table, own in ((b, whole.get(b), mine), (b * 2, halves.get(b * 2), mine), (b // 2, whole.get(b // 2), half)):
+                if table is None or own is None:
+                    continue
+                at = groups[other]
+                near = left[at] & (100 * np.minimum(n[at], n[x]) >= percent * np.maximum(n[at], n[x]))
+                at, table = at[near], table[near]
+                gap = np.abs(table - own).sum(axis=1, dtype=np.int64)
+                hit = at[(100 + percent) * gap <= (100 - percent) * (n[at] + n[x])]
+                left[hit] = False
+                links += [(x, y) for y in hit.tolist()]
+                queue += hit.tolist()
+    return links
 
-        which = saved(spark, nodes.select("node", "pivots").mapInArrow(touched, "node long"), "jaccard-touched")
-        wanted = nodes.join(which, "node").select("node", "first_id", "k1", "k2", "n")
-        new_pivots = with_sets(docs, wanted, top, size, "n", renewed, "node long, pivots binary").groupBy("node").agg(F.first("pivots").alias("renewed"))
-        nodes = saved(spark, nodes.join(new_pivots, "node", "left").withColumn("pivots", F.coalesce("renewed", "pivots")).drop("renewed"), "jaccard-nodes")
-    return nodes
+
+def refine(percent: int) -> Callable:
+    """Rows (family, node, n, bins) -> (node, family): families taken apart by fine histograms, single nodes left out."""
+
+    def handle(rows: list) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        n = np.array([r[1] for r in rows], dtype=np.int64)
+        return labelled([r[0] for r in rows], fine_links(n, [np.frombuffer(r[2], np.uint8) for r in rows], percent))
+
+    return by_family(handle, ["node", "family"], [pa.int64(), pa.int64()])
+
+
+def clusters(percent: int) -> Callable:
+    """Rows (family, node, tokens) -> (node, label) of the nodes that link with another."""
+
+    def handle(rows: list) -> list[tuple[int, int]]:
+        sets = {node: np.frombuffer(tokens, "<u8") for node, tokens in rows}
+        nodes = sorted(sets)
+        return labelled(nodes, family_links([sets[k] for k in nodes], percent)) if len(nodes) > 1 else []
+
+    return by_family(handle, ["node", "label"], [pa.int64(), pa.int64()])
+
+
+def dealt_nodes(nodes: DataFrame, docs: DataFrame, top, buckets: int, size: int, percent: int) -> DataFrame:
+    """(node, n, bins, pivots) with the pivots of overfull regions moved to the end of the order.
+
+    Any set of pivots may be moved, so a single round does; what is overfull after it is joined as it is.
+    """
+    spark = docs.sparkSession
+    full = FULL
+    found = saved(spark, dissolved(nodes.select("pivots"), buckets, full), "jaccard-full")
+    while found.where(F.col("n") > full).count() > BROADCAST_ROWS:
+        full *= 2
+    moved = np.array([r[0] for r in found.where(F.col("n") > full).select("pivot").collect()], dtype=np.int64).view(np.uint64)
+    columns = nodes.select("node", "n", "bins", "pivots")
+    if not len(moved):
+        return columns
+    back = spark.sparkContext.broadcast(np.sort(moved))
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(1).to_pylist()
+            at = np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
+            hit = np.isin(np.frombuffer(b"".join(blobs), "<u8"), back.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.unique(at[hit])))], names=["node"])
+
+    def renewed(node: int, n: int, tokens: np.ndarray) -> tuple[int, bytes]:
+        behind = np.isin(tokens, back.value)
+        return node, np.concatenate([tokens[~behind], tokens[behind]])[: n_pivots(n, percent)].tobytes()
+
+    which = saved(spark, nodes.select("node", "pivots").mapInArrow(touched, "node long"), "jaccard-touched")
+    wanted = saved(spark, nodes.select("node", "first_id", "k1", "k2", "n").join(which, "node"), "jaccard-renewed")
+    new_pivots = saved(spark, with_sets(docs, wanted, top, size, "n", renewed, "node long, pivots binary"), "jaccard-pivots")
+    rest = columns.join(which, "node", "left_anti")
+    again = new_pivots.dropDuplicates(["node"]).join(nodes.select("node", "n", "bins"), "node")
+    return rest.unionByName(again.select(*rest.columns))
 
 
 def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,24 +506,29 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     sketches = saved(spark, docs.mapInArrow(sketch(top, size, percent), "doc_id long, n int, k1 long, k2 long, bins binary, pivots binary"), "jaccard-sketches")
     entries = sketches.agg(F.sum(F.length("pivots") / 8)).first()[0] or 0
     buckets = max(width(spark), int(entries // BLOCK) + 1)
-    nodes = nodes_of(sketches, docs, top, buckets, size, percent)
+    some = F.first(F.struct("n", "bins", "pivots")).alias("s")
+    distinct = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), some)
+    nodes = saved(spark, distinct.select(F.monotonically_increasing_id().alias("node"), "first_id", "k1", "k2", "s.*"), "jaccard-nodes")
 
-    edges = candidate_edges(nodes, buckets, percent)
-    families = saved(spark, components(edges).withColumnRenamed("label", "family"), "jaccard-families")
+    edges = candidate_edges(dealt_nodes(nodes, docs, top, buckets, size, percent), buckets, percent)
+    coarse = components(edges).withColumnRenamed("label", "family").join(nodes.select("node", "n", "bins"), "node")
+    coarse = coarse.select("family", "node", "n", "bins").repartition(buckets, "family").sortWithinPartitions("family", "node")
+    families = saved(spark, coarse.mapInArrow(refine(percent), "node long, family long"), "jaccard-families")
     members = families.join(nodes.select("node", "first_id", "k1", "k2", "n"), "node")
-    weights = saved(spark, members.groupBy("family").agg(F.sum("n").alias("weight")).where(F.col("weight") > FAMILY), "jaccard-large")
+    weights = saved(spark, members.groupBy("family").agg(F.sum("n").alias("weight")).where(F.col("weight") > FAMILY), "jaccard-large")  # a row per FAMILY shingles at most
     wanted = saved(spark, members.select("node", "first_id", "k1", "k2", "family"), "jaccard-members")
     sets = saved(spark, with_sets(docs, wanted, top, size, "family", lambda node, family, tokens: (family, node, tokens.astype("<u8").tobytes()), "family long, node long, tokens binary"), "jaccard-sets")
 
-    common = sets.join(weights, "family", "left_anti").repartition(buckets, "family").sortWithinPartitions("family")
-    links = common.mapInArrow(clusters(percent), "a long, b long")
-    if weights.count():  # a family too large for one task: blocks of it, in pairs
+    common = sets.join(F.broadcast(weights.select("family")), "family", "left_anti").repartition(buckets, "family").sortWithinPartitions("family")
+    labels = common.mapInArrow(clusters(percent), "node long, label long")
+    if weights.count():  # families too large for one task: blocks of them, in pairs
         blocks = weights.select("family", F.ceil(2 * F.col("weight") / FAMILY).cast("int").alias("blocks"))
         large = sets.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         pairs = large.select("*", other.alias("with")).select(F.xxhash64("family", F.least("block", "with"), F.greatest("block", "with")).alias("pair"), "node", "tokens")
-        links = links.unionByName(pairs.repartition(buckets, "pair").sortWithinPartitions("pair").mapInArrow(clusters(percent), "a long, b long"))
-    labels = components(saved(spark, links, "jaccard-links"))
+        links = pairs.repartition(buckets, "pair").sortWithinPartitions("pair").mapInArrow(clusters(percent), "node long, label long").withColumnsRenamed({"node": "a", "label": "b"})
+        labels = labels.unionByName(components(links))
+    labels = saved(spark, labels, "jaccard-labels")
 
     named = labels.join(nodes.select("node", "first_id"), "node")
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
