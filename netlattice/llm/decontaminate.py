@@ -174,7 +174,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     joined = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s))),
+        lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"], F.greatest(F.element_at(acc, -1)["end"], s["end"]))).cast("array<struct<start:int,end:int>>"))).otherwise(F.concat(acc, F.array(s))),
     )
     return united.select("doc_id", "row", "n_words", joined.alias("spans"), "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).drop("copy")
 
