@@ -21,6 +21,7 @@ from netlattice.llm.packing import END_ID, SEQUENCE, TOKENIZER, ChunkIds, pack,
 from netlattice.llm.quality import quality
 from netlattice.llm.substring import substring_dedup
 from netlattice.llm.url_filter import url_filter
+from tests_llm_helpers import SPACE, bench_words, jaccard_expected, split
 
 #: Names that operators use inside, as extra columns of the input.
 CLASH = "key string, row string, n string, entry string, entries string, shard string, node string, label string, text2 string"
@@ -65,13 +66,6 @@ def collected(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
-
-
-def split(text):
-    return [w for w in SPACE.split(text or "") if w]
-
-
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -217,10 +211,6 @@ def test_fm_index_against_scanning():
         assert hi - lo == sum(tuple(b[j : j + 5]) == tuple(some[0][:5]) for b in some for j in range(len(b) - 4))
 
 
-def bench_words(text):
-    return [w.decode() for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())]
-
-
 @pytest.mark.parametrize("block", [1 << 24, 400])
 def test_decontamination(spark, docs, rows, empty, monkeypatch, block):
     from netlattice.llm import decontaminate as module
@@ -250,29 +240,6 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch, block):
     assert not any(r["contaminated"] for r in decontaminate(docs, benchmark.where("item_id < 0")).collect())
 
 
-def jaccard_expected(rows):
-    sets = []
-    for i, t in rows:
-        w = split("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append((i, {tuple(w[p : p + 4]) for p in range(len(w) - 3)} or ({tuple(w)} if w else set())))
-    label = {k: k for k in range(len(sets))}
-
-    def root(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for a in range(len(sets)):
-        for b in range(a):
-            x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
-                label[max(root(a), root(b))] = min(root(a), root(b))
-    least = defaultdict(lambda: 10**9)
-    for k, (i, _) in enumerate(sets):
-        least[root(k)] = min(least[root(k)], i)
-    return sorted((i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets))
-
-
 @pytest.mark.parametrize(("full", "family"), [(256, 4_000_000), (2, 150)])
 def test_jaccard_join(docs, rows, empty, monkeypatch, full, family):
     from netlattice.llm import jaccard as module
