@@ -1,0 +1 @@
+"""Spark-native analytics of network data-plane state."""

@@ -1,0 +1 @@
+"""Column expressions: addresses, prefixes, predicates."""

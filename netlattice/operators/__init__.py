@@ -1,0 +1 @@
+"""DataFrame operators: intervals, longest-prefix match, graphs, policies, reachability, rules."""

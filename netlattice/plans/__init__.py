@@ -1,0 +1 @@
+"""Network-wide checks, and the registered queries."""

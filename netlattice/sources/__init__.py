@@ -1,0 +1 @@
+"""Readers and writers: manifests, tables, network documents, vendor dumps, text output."""
