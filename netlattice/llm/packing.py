@@ -15,12 +15,14 @@ packed as they come; ids may be null.
 from __future__ import annotations
 
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +33,10 @@ from .scratch import saved
 SEQUENCE = 4096
 END_ID = 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: How that tokenizer parts white-space-free text (a fixed value of its file).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White-space-free chunks whose ids one Python worker remembers.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 
 TOKENS = "doc_id long, task int, start_in_task long, ids binary, n long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,27 +47,66 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {b: chr(b) if b in plain else chr(256 + b - sum(p < b for p in plain)) for b in range(256)}
+
+
+LETTERS = byte_letters()
+#: Chunks of these characters are in NFC, hold no white space, and are lowered letter by letter.
+SIMPLE = regex.compile("[!-~\u00a1-\u024f]+").fullmatch
+
+
+class PieceIds(dict):
+    """Part of a chunk that the tokenizer's own splitting leaves whole, in lower case -> its ids as bytes."""
+
+    def __init__(self, model, kind: np.dtype) -> None:
+        self.model, self.kind = model, kind
+
+    def __missing__(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))
+        self[piece] = ids = np.array([t.id for t in tokens], self.kind).tobytes()
+        return ids
+
+
 class ChunkIds(dict):
     """chunk -> its ids as little-endian unsigned 16- or 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its chunks between blanks and line ends, one after another.
+    Where the tokenizer lower-cases and splits by ``SPLIT``, a new chunk of simple
+    characters is split here and only its unknown parts are encoded.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = tokenizer(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.pieces = PieceIds(self.tokenizer.model, self.kind)
+        rules = json.loads(self.tokenizer.to_str())
+        split = [x["pattern"].get("Regex") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        lowers = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.split = regex.compile(SPLIT).findall if lowers and split == [SPLIT] else None
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not self.split or "<|" in chunk or not SIMPLE(chunk):
+            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        else:
+            low = chunk.lower()
+            if low.isalpha():
+                ids = self.pieces[low]
+            elif low[:-1].isalpha() and low[-1] in ".,":
+                ids = self.pieces[low[:-1]] + self.pieces[low[-1]]
+            else:
+                ids = b"".join(map(self.pieces.__getitem__, self.split(low)))
+        self[chunk] = ids
+        return ids
 
     def of(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        missing = [c for c in set(chunks) if c not in self]
-        if missing:
-            if len(self) + len(missing) > CACHE_CHUNKS:
-                self.clear()
-                missing = list(set(chunks))
-            encoded = self.tokenizer.encode_batch(missing, add_special_tokens=False)
-            self.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(missing, encoded, strict=True))
-        return b"".join(map(self.__getitem__, chunks))
+        for cache in (self, self.pieces):
+            if len(cache) > CACHE_CHUNKS:
+                cache.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.cache
