@@ -39,7 +39,7 @@ FIT_LABELS = 20_000
 BUCKET_BITS = 14
 TEMPERATURE = 0.1
 #: k counts documents at or above this quantile of the target sample's weights (0 at most) less SLACK.
-TARGET_QUANTILE, SLACK = 0.005, 1.0
+TARGET_QUANTILE, SLACK = 0.005, 5.0
 #: Weight of the raw model in the smoothing of the target model, in tokens per bucket.
 SMOOTHING = 0.5
 
