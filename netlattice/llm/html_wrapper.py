@@ -67,6 +67,8 @@ LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote tr ul ol dl
 NOT_TEXT = frozenset("head script style nav header footer aside form noscript iframe svg canvas button select textarea input template dialog menu title object audio video map math".split())
 #: Words in a class or id that name what is not the article.
 NOT_TEXT_WORDS = frozenset("ad ads adv advert advertisement adverts advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist respond replies disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar skip".split())
+#: Those that count for an ``article`` too, which is content otherwise whatever its classes say.
+NOT_ARTICLE_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended teaser widget".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar note".split())
 WORD = re.compile(r"[a-z]+")
 
@@ -183,25 +185,30 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
 class Element:
     """An element of one page; ``node`` is its place in the page's own wrapper."""
 
-    __slots__ = ("tag", "content", "dropped", "node", "role")
+    __slots__ = ("tag", "content", "dropped", "node", "role", "named")
 
-    def __init__(self, tag: str, dropped: bool, role: str) -> None:
+    def __init__(self, tag: str, dropped: bool, role: str, by_name: bool = False) -> None:
         self.tag, self.content, self.dropped, self.role = tag, [], dropped, role
+        self.named = by_name  # dropped for a word in its class or id only
         self.node: Node | None = None
 
 
-def named(tag: str, attrs: str) -> tuple[str, bool, str]:
-    """Wrapper key of an element, whether it is no content by itself, and its role."""
+def named(tag: str, attrs: str) -> tuple[str, bool, str, bool]:
+    """Wrapper key of an element, whether it is no content by itself, its role, and whether only a class or id says so."""
     if not attrs or attrs.isspace():
-        return tag, tag in NOT_TEXT, ""
+        return tag, tag in NOT_TEXT, "", False
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTR.findall(attrs)}
     if not found:
-        return tag, tag in NOT_TEXT, ""
+        return tag, tag in NOT_TEXT, "", False
     words = WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    dropped = tag in NOT_TEXT or bool(hidden) or role in NOT_TEXT_ROLES or (tag not in ("html", "body", "article", "main") and not NOT_TEXT_WORDS.isdisjoint(words))
-    return ".".join([tag, *sorted(set(words))]), dropped, role
+    hard = tag in NOT_TEXT or bool(hidden) or role in NOT_TEXT_ROLES
+    if tag == "article":  # whole names only: "ad-free" is no advert
+        by_name = not hard and not NOT_ARTICLE_WORDS.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+    else:
+        by_name = not hard and tag not in ("html", "body", "main") and not NOT_TEXT_WORDS.isdisjoint(words)
+    return ".".join([tag, *sorted(set(words))]), hard or by_name, role, by_name
 
 
 def parsed(page: str) -> Element:
@@ -241,8 +248,12 @@ def parsed(page: str) -> Element:
             if (i := next((i for i in range(low + 1, len(keys)) if keys[i] in CLOSES[tag]), 0)) > 0:
                 close(i)
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
-        key, dropped, role = named(tag, attrs)
-        element = Element(tag, dropped, role)
+        key, dropped, role, by_name = named(tag, attrs)
+        element = Element(tag, dropped, role, by_name)
+        if tag in ("article", "main") and not dropped:  # a frame around the content, e.g. "with-sidebar"
+            for outer in stack:
+                if outer.named and outer.tag != "article" and "comment" not in outer.node.key:
+                    outer.dropped = False
         element.node = Node(key)
         stack[-1].content.append(element)
         if tag in VOID or attrs.endswith("/") and tag not in INLINE | CLOSES_P:
