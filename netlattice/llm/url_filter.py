@@ -6,8 +6,8 @@ The actions ``block`` and ``allow`` hold from their date until the pattern's
 next entry; ``remove`` only ends the one before.  Entries thus become validity
 intervals, kept as one sorted row per pattern.
 
-A capture has at most ``MAX_LABELS`` + ``MAX_SEGMENTS`` candidate patterns: the
-suffixes of its host and the path prefixes under its whole host.  They are
+A capture's candidate patterns are the suffixes of its host and the path
+prefixes under its whole host, as long as the list's patterns are.  They are
 equi-joined with the list, and the interval that holds at fetch time is picked
 from the pattern's row (the as-of join).  Of the patterns active then, the
 longest decides; a capture is dropped if that one blocks.
@@ -26,7 +26,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LABELS, MAX_SEGMENTS = 16, 4
 BROADCAST_CHARS = 8 << 20
 SALTS = 32
 
@@ -41,32 +40,33 @@ def path_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, spans array<struct<since,until,action>>) from (pattern, action, listed_at)."""
-    rows = entries.select(F.lower("pattern").alias("pattern"), "action", "listed_at").where("pattern is not null and listed_at is not null")
+    parts = F.split(F.rtrim("pattern", F.lit("/")), "/", 2)
+    pattern = F.when(F.size(parts) > 1, F.concat(F.lower(parts[0]), F.lit("/"), parts[1])).otherwise(F.lower(parts[0]))
+    rows = entries.select(pattern.alias("pattern"), "action", "listed_at").where("pattern is not null and listed_at is not null")
     rows = rows.groupBy("pattern", "listed_at").agg(F.max("action").alias("action"))
     after = F.lead("listed_at").over(Window.partitionBy("pattern").orderBy("listed_at"))
     spans = rows.withColumn("until", after).where(F.col("action").isin("block", "allow"))
     return spans.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct(F.col("listed_at").alias("since"), "until", "action"))).alias("spans"))
 
 
-def candidates(host: Column, path: Column) -> Column:
-    """Patterns that could cover a capture: each host suffix, then host + path prefixes."""
+def candidates(host: Column, path: Column, segments: int) -> Column:
+    """Patterns that could cover a capture: each host suffix, then host + prefixes of up to ``segments`` path segments."""
     labels = F.split(host, "[.]")
-    from_label = F.sequence(F.greatest(F.lit(1), F.size(labels) - MAX_LABELS + 1), F.size(labels))
-    suffixes = F.transform(from_label, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    ends = F.filter(F.sequence(F.lit(0), F.least(F.lit(MAX_SEGMENTS), F.size(segments))), lambda n: n > 0)
-    prefixes = F.transform(ends, lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, n), "/")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    ends = F.filter(F.sequence(F.lit(0), F.least(F.lit(segments), F.size(parts))), lambda n: n > 0)
+    prefixes = F.transform(ends, lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")))
     return F.when(host != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """One row per capture: its id, url, fetched_at, pattern and action that decided (null if none), kept."""
     listed = intervals(entries)
+    chars, segments = entries.agg(F.coalesce(F.sum(F.length("pattern") + 32), F.lit(0)), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at"))
     # a capture is told apart by what it holds; repeated ones share the decision and are counted
     keyed = rows.groupBy("id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("copies"))
-    found = keyed.select("*", F.explode_outer(candidates(host_of(F.col("url")), path_of(F.col("url")))).alias("pattern"))
-    chars = entries.agg(F.sum(F.length("pattern") + 32)).first()[0] or 0
+    found = keyed.select("*", F.explode_outer(candidates(host_of(F.col("url")), path_of(F.col("url")), segments)).alias("pattern"))
     if chars <= broadcast_chars:
         joined = found.join(F.broadcast(listed), "pattern", "left")
     else:
