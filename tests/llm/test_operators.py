@@ -341,6 +341,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t {k}</title><style>p>a{{}}</style><
 @pytest.mark.parametrize(("opening", "closing"), [("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post">', "</div>")])
 def test_main_text(spark, opening, closing):
     made = [(k, f"https://Site{k % 2}.example/a/{k}", PAGE.format(k="long text " * k, open=opening, close=closing), "v") for k in range(8)]
+    made += [(60, "https://frame.example/", '<div class="page with-sidebar"><article class="post ad-free">kept<article class="comment">no</article></article><div id="sidebar">s</div></div><div class="comments"><article>c</article></div>', "v")]
     made += [(50, None, "plain  text", "v"), (51, "https://site0.example/x", None, "v"), (52, "::", "", "v"), (53, "https://deep.example/", "<div>" * 5000 + "deep" + "<p>er", "v"), (54, "https://open.example/", '<article><p class="a>b c</article><p>', "v")]
     pages = spark.createDataFrame(made, "page_id long, url string, html string, wrapper string")
     found = {r["page_id"]: r for r in main_text(pages).collect()}
@@ -348,6 +349,7 @@ def test_main_text(spark, opening, closing):
         word = ("long text " * k).strip()
         text = " ".join(f"Café {word} & co First bold para {word} line Second! para one two {word}".split())
         assert found[k]["text"] == text and found[k]["n_chars"] == len(text)
+    assert found[60]["text"] == "kept"
     assert [found[i]["text"] for i in (50, 51, 52, 53)] == ["plain text", "", "", "deep er"]
     assert collected(main_text(pages, broadcast_chars=0), "page_id", "text") == collected(main_text(pages), "page_id", "text")
     assert main_text(pages.where("false")).count() == 0
@@ -367,21 +369,22 @@ def test_url_filter(spark):
     import datetime as dt
 
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
-    log = [("bad.example", "block", day(10)), ("bad.example", "remove", day(20)), ("bad.example", "block", day(30)), ("ok.bad.example", "allow", day(0)), ("a.example/x", "block", day(5)), ("bad.example", "allow", day(10)), (None, "block", day(1))]
+    log = [("bad.example", "block", day(10)), ("bad.example", "remove", day(20)), ("bad.example", "block", day(30)), ("ok.bad.example", "allow", day(0)), ("A.example/x/", "block", day(5)), ("deep.example/a/b/c/d/e/F", "block", day(0)), ("bad.example", "allow", day(10)), (None, "block", day(1))]
     entries = spark.createDataFrame(log, "pattern string, action string, listed_at date")
-    urls = ["http://bad.example/", "https://www.bad.example:8080/q?x#y", "https://ok.bad.example/z", "http://a.example/x/y?z", "http://a.example/xy", "http://notbad.example/", None, "nonsense", "HTTP://u:p@BAD.example./"]
+    urls = ["http://bad.example/", "https://www.bad.example:8080/q?x#y", "https://ok.bad.example/z", "http://a.example/x/y?z", "http://a.example/xy", "http://notbad.example/", None, "nonsense", "HTTP://u:p@BAD.example./", "http://deep.example/a/b/c/d/e/F/g", "http://deep.example/a/b/c/d/e/f"]
     made = [(k * 100 + n, u, day(n), "h") for k, u in enumerate(urls) for n in (0, 9, 10, 19, 20, 29, 30, 99)]
     made += [made[0], (9999, urls[0], None, "h")]
     captures = spark.createDataFrame(made, "page_id long, url string, fetched_at date, pattern string")
     best = {}
     for p, a, d in sorted(x for x in log if x[0]):
+        p = p.rstrip("/").replace("A.", "a.")
         best[p, d] = max(a, best.get((p, d), a))
 
     def kept(url, at):
-        m = re.match(r"https?://(?:[^/@]*@)?([a-z0-9.-]+)(?::\d+)?([^?#]*)", (url or "").lower())
+        m = re.match(r"(?i)https?://(?:[^/@]*@)?([a-z0-9.-]+)(?::\d+)?([^?#]*)", url or "")
         if not m or at is None:
             return True
-        host, path = m[1].rstrip("."), m[2]
+        host, path = m[1].rstrip(".").lower(), m[2]
         active = []
         for p in {p for p, _ in best}:
             held = [(d, a) for (q, d), a in best.items() if q == p and d <= at]
