@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = _star(large).select(F.explode(F.array(F.struct("node", F.col("least").alias("other")), F.struct(F.col("other").alias("node"), F.col("least").alias("other")))).alias("e")).select("e.*").where("node <> other").distinct()
         current = saved(spark, small, "components-small")
         # once every node hangs on its component's minimum, both stars leave the table as it is
-        now = current.agg(F.count(F.lit(1)), F.sum("node"), F.sum("other"), F.sum(F.xxhash64("node", "other").cast("decimal(38,0)"))).first()
+        wide = [F.col(c).cast("decimal(38,0)") for c in ("node", "other")] + [F.xxhash64("node", "other").cast("decimal(38,0)")]
+        now = current.agg(F.count(F.lit(1)), *(F.sum(c) for c in wide)).first()  # wide enough for any number of ids
         if now == seen:
             break
         seen = now
