@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import HASHES, gram_hashes, sliding_min
+from .words import HASHES, gram_hashes, only_caches, sliding_min
 
 SPAN, GRAM, WINDOW = 13, 5, 9
 assert GRAM + WINDOW - 1 <= SPAN
@@ -126,6 +126,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def scan(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+    only_caches(HASHES)
     index = index.value
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:

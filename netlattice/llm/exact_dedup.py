@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import saved, width
+from .words import only_caches
 
 MAX_DEPTH = 16
 #: Bytes of text that an owner task should get; the directory splits buckets beyond it.
@@ -60,6 +61,7 @@ def _rank(doc_id: int | None) -> tuple[bool, int]:
 
 def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, made, row = TaskContext.get().partitionId() << 33, 0, TaskContext.get().partitionId() << 33
+    only_caches()
     held: dict[bytes, list[list]] = {}
     size = 0
 

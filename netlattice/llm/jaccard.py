@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import saved, width
-from .words import WordHashes, ascii_words, gram_hashes, scramble
+from .words import WordHashes, ascii_words, gram_hashes, only_caches, scramble
 
 SHINGLE = 4
 #: Two documents link when PERCENT or more of 100 parts of the union are shared.
@@ -120,6 +120,7 @@ def top_words(docs: DataFrame) -> frozenset[int]:
     """Hashes (lowest bit clear) of the words that make up TOP_SHARE of all words at least."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches()
         hashes, held, n = WordHashes(), [], 0
 
         def out(held: list[np.ndarray], n: int) -> pa.RecordBatch:
@@ -146,6 +147,7 @@ def top_words(docs: DataFrame) -> frozenset[int]:
 
 def sketch(top, size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches()
         hashes = FlaggedHashes(top.value)
         for batch in batches:
             rows = []
@@ -165,6 +167,7 @@ def with_sets(docs: DataFrame, wanted: DataFrame, top, size: int, extra: str, ha
     rows = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"].eqNullSafe(wanted["first_id"])).select("text", "k1", "k2", "node", extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches()
         hashes = FlaggedHashes(top.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .scratch import saved
+from .words import kept_cache, only_caches
 
 SEQUENCE = 4096
 END_ID = 2
@@ -36,7 +37,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: How that tokenizer parts white-space-free text (a fixed value of its file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White-space-free chunks whose ids one Python worker remembers.
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 600_000
 
 TOKENS = "doc_id long, task int, start_in_task long, ids binary, n long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -111,11 +112,14 @@ class ChunkIds(dict):
 
 @functools.cache
 def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+    cache = ChunkIds(path)
+    kept_cache(cache.pieces)
+    return kept_cache(cache)
 
 
 def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     cache, task, at = chunk_ids(path), TaskContext.get().partitionId(), 0
+    only_caches(cache, cache.pieces)
     end = np.array([end_id], cache.kind).tobytes()
     for batch in batches:
         for lo in range(0, batch.num_rows, 1024):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import saved
-from .words import CACHE_WORDS, MIX_A, MIX_B
+from .words import CACHE_WORDS, MIX_A, MIX_B, kept_cache, only_caches
 
 #: Labels used at most, those with the smallest hash of their id; also the bound of the broadcast.
 FIT_LABELS = 20_000
@@ -54,7 +54,7 @@ class TokenHashes(dict):
         return value
 
 
-_TOKENS = TokenHashes()
+_TOKENS = kept_cache(TokenHashes())
 
 
 def features(text: str | None) -> np.ndarray:
@@ -72,6 +72,7 @@ def features(text: str | None) -> np.ndarray:
 
 def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of this task's documents: all of them, and those labelled good."""
+    only_caches(_TOKENS)
     raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
     for batch in batches:
         for text, quality in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -95,6 +96,7 @@ def log_ratio(counts: list) -> np.ndarray:
 
 
 def weigh(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    only_caches(_TOKENS)
     ratio = model.value
     for batch in batches:
         weights = [float(ratio[features(t)].sum()) for t in batch.column(1).to_pylist()]

@@ -9,7 +9,21 @@ import xxhash
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Words remembered by one Python worker before its cache starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
+_CACHES: list[dict] = []
+
+
+def kept_cache(cache: dict) -> dict:
+    """Registers a cache that lives as long as its Python worker."""
+    _CACHES.append(cache)
+    return cache
+
+
+def only_caches(*mine: dict) -> None:
+    """Empties the caches that other operators left in this worker, which Spark reuses from stage to stage."""
+    for cache in _CACHES:
+        if not any(cache is m for m in mine):
+            cache.clear()
 
 
 class WordHashes(dict):
@@ -26,7 +40,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-HASHES = WordHashes()
+HASHES = kept_cache(WordHashes())
 
 
 def ascii_words(text: bytes | None) -> list[bytes]:
