@@ -75,8 +75,10 @@ class FmIndex:
         rank = text
         for by in (1, 2, 4):  # ranks by 2, 4 and 8 symbols
             rank = paired(rank, later(rank, by))
-        shorter, full = paired(rank, later(rank, SPAN - 9)), paired(rank, later(rank, SPAN - 8))
-        order = np.argsort(full, kind="stable")
+        # SPAN symbols are the first eight and the last eight of them, SPAN - 1 likewise
+        shorter, full = later(rank, SPAN - 9), later(rank, SPAN - 8)
+        order = np.argsort(rank.astype(np.uint64) * np.uint64(len(text) + 2) + full.astype(np.uint64), kind="stable")
+        first = rank[order]
         self.owner = owner[order]
         self.wavelet = Wavelet(text[order - 1], sigma)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
@@ -84,10 +86,12 @@ class FmIndex:
         symbols = np.arange(sigma, dtype=np.int64)
         self.origin, _ = self.wavelet.range(symbols, np.zeros(sigma, np.int64), np.zeros(sigma, np.int64))
         self.size = len(text)
-        self.group_start = np.flatnonzero(np.concatenate([[True], np.diff(full[order]) != 0]))
-        ends = np.flatnonzero(np.concatenate([np.diff(shorter[order]) != 0, [True]])) + 1
-        starts = np.concatenate([[0], ends[:-1]])
-        group = np.cumsum(np.concatenate([[0], np.diff(shorter[order]) != 0]))
+        changed = np.concatenate([[True], np.diff(first) != 0])
+        self.group_start = np.flatnonzero(changed | np.concatenate([[True], np.diff(full[order]) != 0]))
+        wider = changed | np.concatenate([[True], np.diff(shorter[order]) != 0])
+        starts = np.flatnonzero(wider)
+        ends = np.concatenate([starts[1:], [self.size]])
+        group = np.cumsum(wider) - 1
         self.wider_lo, self.wider_hi = starts[group], ends[group]
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .fm_index import SPAN, FmIndex
 from .scratch import saved, scratch_root, width
-from .words import HASHES, ascii_words, gram_hashes, scramble, sliding_min
+from .words import HASHES, ascii_words, gram_hashes, only_caches, scramble, sliding_min
 
 GRAM = 5
 WINDOW = SPAN - GRAM + 1
@@ -90,16 +90,24 @@ def unpacked(kind: np.dtype, blob: bytes) -> np.ndarray:
     return out
 
 
+def distinct(entries: np.ndarray) -> np.ndarray:
+    """Fingerprint entries in order of print and key, each once."""
+    entries = entries[np.lexsort((entries["key"], entries["print"]))]
+    new = (entries["print"][1:] != entries["print"][:-1]) | (entries["key"][1:] != entries["key"][:-1])
+    return entries[np.concatenate([[True], new])]
+
+
 def spread(key: np.ndarray, parts: int) -> np.ndarray:
     return (scramble(key.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 def deal_prints(shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches(HASHES)
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
-            entries = np.unique(np.concatenate(held))
+            entries = distinct(np.concatenate(held))
             return packed(PRINT, entries, spread(entries["print"].view(np.int64), shards), ("shard", "prints"))
 
         for batch in batches:
@@ -128,7 +136,7 @@ def shared_prints(parts: int) -> Callable:
         held = [unpacked(PRINT, x) for batch in batches for x in batch.column(1).to_pylist()]
         if not held:
             return
-        entries = np.unique(np.concatenate(held))  # by print, then key
+        entries = distinct(np.concatenate(held))
         new = np.concatenate([[True], entries["print"][1:] != entries["print"][:-1]])
         size = np.diff(np.concatenate([np.flatnonzero(new), [len(entries)]]))
         entries = entries[np.repeat(size > 1, size)]
@@ -166,6 +174,7 @@ def deal_regions(shards: int) -> Callable:
     """Documents with their shared fingerprints -> (shard, kind 0: regions' words and smallest document | kind 1: places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches(HASHES)
         regions: dict[int, list] = {}  # region -> [shard, smallest key, words]
         places, n = [], 0
 
@@ -228,27 +237,27 @@ class Shard:
         names, keys = names[order], keys[order]
         new = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         self.names, least = names[new], keys[new]
-        words = [bodies[order[i]].split(b" ") for i in new]
-        n = np.array([len(w) for w in words])
-        distinct: dict[bytes, int] = {}
-        flat = np.fromiter((distinct.setdefault(w, len(distinct) + 1) for ws in words for w in ws), dtype=np.int64, count=int(n.sum()))
-        sequences = np.split(flat, np.cumsum(n)[:-1])
-        index = FmIndex(sequences, len(distinct) + 1)
+        bodies = [bodies[order[i]] for i in new]
+        n = np.array([b.count(b" ") + 1 for b in bodies])
+        # words are told apart by their hash here as everywhere; symbols are dense, 0 is left free
+        symbols, flat = np.unique(HASHES.of(b" ".join(bodies).split(b" ")), return_inverse=True)
+        sequences = np.split(flat + 1, np.cumsum(n)[:-1])
+        index = FmIndex(sequences, len(symbols) + 1)
         first = index.least(least)
         self.least = [first[x] for x in index.stream(sequences)]
-        self.low = np.array([x.min() for x in self.least])
-        self.high = np.array([x.max() for x in self.least])
+        self.windows = n - SPAN + 1
+        every, starts = np.concatenate(self.least), np.cumsum(self.windows) - self.windows
+        self.low, self.high = np.minimum.reduceat(every, starts), np.maximum.reduceat(every, starts)
 
     def spans(self, places: np.ndarray) -> np.ndarray:
         """Word intervals to remove at the given places."""
         at = np.searchsorted(self.names, places["region"])
-        windows = np.array([len(x) for x in self.least])
         whole, some = self.high[at] < places["key"], self.low[at] < places["key"]
         out = np.empty(int(whole.sum()), dtype=SPAN_OF)
         for f in ("key", "row"):
             out[f] = places[f][whole]
         out["start"] = places["at"][whole]
-        out["end"] = places["at"][whole] + windows[at[whole]] + SPAN - 1
+        out["end"] = places["at"][whole] + self.windows[at[whole]] + SPAN - 1
         parts = []
         for i in np.flatnonzero(some & ~whole).tolist():
             p = places[i]
@@ -261,6 +270,7 @@ def search(parts: int) -> Callable:
     """Rows ordered by shard and kind: builds a shard's index from its regions, then streams its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches(HASHES)
         shard, regions, index = None, [], None
         found, n = [], 0
 
