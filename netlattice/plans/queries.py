@@ -612,6 +612,20 @@ def rule_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the whole tables
 
+_SET_RULES = [(1, 0, 0, "identical", 0, 0), (1, 0, 2, "set", 1, 2), (2, 0, 2, "identical", 0, 0), (2, 0, 0, "set", 0, 1 << 31)]
+_ALL_CLASSES = derived.whole(_DUCK_CLASSES)
+
+
+@query(f"""SELECT CAST(1 AS INT) AS router, a.cls AS cls_in, b.cls AS cls_out FROM ({_ALL_CLASSES}) a JOIN ({_ALL_CLASSES}) b ON a.dst_ip = b.dst_ip WHERE b.dst_port = 1
+UNION ALL SELECT 2, a.cls, b.cls FROM ({_ALL_CLASSES}) a JOIN ({_ALL_CLASSES}) b ON a.dst_port = b.dst_port WHERE b.dst_ip < 2147483648""")
+def setfield_relation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``setfield_relation``, of all classes."""
+    with derived.whole_tables():
+        made, _ = _policy(spark, sf_dir)
+    rules = spark.createDataFrame(_SET_RULES, "router int, if_id int, field int, op string, lo long, hi long")
+    return policy.setfield_pairs(made, rules, ["router", "if_id"], _FIELDS).select("router", "cls_in", "cls_out")
+
+
 def _whole(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         with derived.whole_tables():

@@ -30,3 +30,21 @@ def test_all_lines_are_routes(spark):
     with derived.whole_tables():
         found = derived.ecmp(spark, SF_DIR).join(derived.prefixes(spark, SF_DIR), ["lo", "width"]).select("node", "pk", "nh")
     assert wanted.subtract(found).isEmpty()
+
+
+def test_setfield_relation_has_all_classes(spark):
+    found = queries.QUERIES["setfield_relation_whole"](spark, SF_DIR)
+    parts = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
+    assert found.where("router = 1").select("cls_in").distinct().count() == 5 * parts  # the port is set, the address kept
+    assert found.where("router = 1").count() == 5 * parts
+    held = queries.QUERIES["setfield_relation"](spark, SF_DIR)
+    assert held.subtract(found).isEmpty()
+
+
+def test_setfield_pairs_without_identical_fields(spark):
+    from netlattice.operators import policy
+
+    made = spark.createDataFrame([("a", 1, 0, 80), ("b", 2, 0, 80), ("c", 2, 0, 81)], "cls string, dst_ip long, src_ip long, dst_port long")
+    rules = spark.createDataFrame([(1, 0, 0, "set", 2, 3), (2, 0, 0, "identical", 0, 0), (2, 0, 2, "identical", 0, 0)], "router int, if_id int, field int, op string, lo long, hi long")
+    found = policy.setfield_pairs(made, rules, ["router", "if_id"], ["dst_ip", "src_ip", "dst_port"])
+    assert sorted((r.router, r.cls_in, r.cls_out) for r in found.collect()) == [(1, i, o) for i in "abc" for o in "bc"] + [(2, x, x) for x in "abc"]
