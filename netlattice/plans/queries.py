@@ -19,7 +19,7 @@ from netlattice.operators.reach import loops, reach, trace, transformed_reach
 from netlattice.operators.rules import Cut, Differ, Goal, Is, Rules
 from netlattice.plans import derived
 from netlattice.plans.derived import DELIVERED, PFX, duck, duck_with, spark_sql
-from netlattice.plans.network import consistency_verdicts, loop_verdicts, loss_verdicts
+from netlattice.plans.network import LOOP_HOPS, consistency_verdicts, loop_verdicts, loss_verdicts
 from netlattice.sources import sinks, vendor
 from netlattice.sources.scratch import saved
 
@@ -338,15 +338,21 @@ tw AS (SELECT cls_in AS cls, cls_out AS arrival, src AS node, dst AS target, 1 A
 @query(_with_recursive("SELECT DISTINCT target AS origin, cls FROM tw WHERE node = target", _CHANGED))
 def loops_with_nat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At some routers packets from just below a range may be sent on as the range's first address."""
+    return _nat_loops(spark, sf_dir, _NAT, 4)
+
+
+def _nat_loops(spark: SparkSession, sf_dir: str, nat: str, bound: int) -> DataFrame:
     table = saved(spark, derived.fib(spark, sf_dir), "derived-fib")
     pieces = saved(spark, atoms(table), "derived-atoms")
     fwd = saved(spark, forwarding(table, pieces), "derived-fwd")
-    rules = spark_sql(spark, sf_dir, _NAT)
-    before = pieces.join(F.broadcast(rules), (F.col("lo") < F.col("in_lo")) & (F.col("lo") >= F.col("in_lo") - 16777216)).select(F.col("lo").alias("cls_in"), F.col("node").alias("src"), F.col("in_lo").alias("cls"))
+    block = F.col("in_lo").bitwiseAND(~0xFFFFFF)
+    rules = spark_sql(spark, sf_dir, nat).withColumn("block", F.explode(F.array(block, block - 16777216)))  # where 2 ** 24 addresses below may lie
+    near = pieces.withColumn("block", F.col("lo").bitwiseAND(~0xFFFFFF)).join(rules, "block")
+    before = near.where((F.col("lo") < F.col("in_lo")) & (F.col("lo") >= F.col("in_lo") - 16777216)).select(F.col("lo").alias("cls_in"), F.col("node").alias("src"), F.col("in_lo").alias("cls"))
     same = fwd.select(F.col("cls").alias("cls_in"), "src", "dst", F.col("cls").alias("cls_out"))
     changed = before.join(fwd, ["src", "cls"]).select("cls_in", "src", "dst", F.col("cls").alias("cls_out"))
     both = saved(spark, same.unionByName(changed).distinct(), "derived-changed")
-    found = transformed_reach(both, _routers(spark, sf_dir).select(F.col("subject").alias("dst")), 4)
+    found = transformed_reach(both, _routers(spark, sf_dir).select(F.col("subject").alias("dst")), bound)
     return found.where("node = dst").select(F.col("dst").alias("origin"), "cls").distinct()
 
 
@@ -359,11 +365,15 @@ tw AS (SELECT cls_in AS cls, cls_out AS arrival, src AS node, dst AS target, 1 A
 @query(_with_recursive("SELECT node AS src, target AS dst, count(DISTINCT cls // 2) AS classes FROM tw WHERE node >= 15 AND node < 100 AND arrival % 2 = 0 GROUP BY node, target", _TAGGED))
 def firewall_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets that get from nations 15.. to nations 0..4 within five hops and arrive without the firewalls' tag."""
+    return _bypass(spark, sf_dir, 5)
+
+
+def _bypass(spark: SparkSession, sf_dir: str, bound: int) -> DataFrame:
     tags = spark.createDataFrame([(0,), (1,)], "t int")
     both = _fwd(spark, sf_dir).crossJoin(F.broadcast(tags))
     after = F.when(F.col("src").isin(7, 11), 1).otherwise(F.col("t"))
     tagged = saved(spark, both.select((F.col("cls") * 2 + F.col("t")).alias("cls_in"), "src", "dst", (F.col("cls") * 2 + after).alias("cls_out")), "derived-tagged")
-    found = transformed_reach(tagged, spark.range(5).toDF("dst"), 5).where("node >= 15 and node < 100 and arrival % 2 = 0")
+    found = transformed_reach(tagged, spark.range(5).toDF("dst"), bound).where("node >= 15 and node < 100 and arrival % 2 = 0")
     return found.groupBy(F.col("node").alias("src"), "dst").agg(F.count_distinct(F.expr("cls div 2")).alias("classes"))
 
 
@@ -635,6 +645,35 @@ def _whole(f: Query) -> Query:
     return run
 
 
+_ALL_NAT = _NAT.replace(" WHERE pk % 200 = 0", "")
+_LONG_LOOPS = _CHANGED.replace(duck(_NAT), duck(_ALL_NAT)).replace("t.hop < 4", f"t.hop < {LOOP_HOPS + 1}")
+_LONG_WAYS = _TAGGED.replace("t.hop < 5", "t.hop < (SELECT count(*) FROM nation)")
+_LONG_TRACES = ORACLES["traceroute"].replace(" WHERE pk % 16 = 0", "").replace("t.hop < 6", "t.hop < 30")
+
+
+@query(derived.whole(_with_recursive("SELECT DISTINCT target AS origin, cls FROM tw WHERE node = target", _LONG_LOOPS)))
+def loops_with_nat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``loops_with_nat``, with a rule for every prefix and the bound of transformed loops."""
+    with derived.whole_tables():
+        return _nat_loops(spark, sf_dir, _ALL_NAT, LOOP_HOPS + 1)
+
+
+@query(derived.whole(_with_recursive("SELECT node AS src, target AS dst, count(DISTINCT cls // 2) AS classes FROM tw WHERE node >= 15 AND node < 100 AND arrival % 2 = 0 GROUP BY node, target", _LONG_WAYS)))
+def firewall_bypass_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``firewall_bypass``, within as many hops as there are routers."""
+    with derived.whole_tables():
+        return _bypass(spark, sf_dir, _routers(spark, sf_dir).count())
+
+
+@query(derived.whole(_LONG_TRACES))
+def traceroute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``traceroute``, from every prefix's router, with the operator's own bound."""
+    with derived.whole_tables():
+        table = saved(spark, derived.fib(spark, sf_dir), "derived-fib")
+        starts = derived.prefixes(spark, sf_dir).select((F.col("pk") % 25).alias("start"), F.col("raw").alias("address"))
+        return trace(table, starts)
+
+
 # the queries above read an eighth of the parts and two lines per order; these read all
 _OWN_CUTS = ("traceroute", "loops_with_nat", "firewall_bypass", "setfield_relation")
 for _name, _sql in list(ORACLES.items()):

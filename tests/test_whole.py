@@ -48,3 +48,15 @@ def test_setfield_pairs_without_identical_fields(spark):
     rules = spark.createDataFrame([(1, 0, 0, "set", 2, 3), (2, 0, 0, "identical", 0, 0), (2, 0, 2, "identical", 0, 0)], "router int, if_id int, field int, op string, lo long, hi long")
     found = policy.setfield_pairs(made, rules, ["router", "if_id"], ["dst_ip", "src_ip", "dst_port"])
     assert sorted((r.router, r.cls_in, r.cls_out) for r in found.collect()) == [(1, i, o) for i in "abc" for o in "bc"] + [(2, x, x) for x in "abc"]
+
+
+def test_long_walks_are_found(spark):
+    """What the plain queries' bounds miss at this size."""
+    for name in ("traceroute", "loops_with_nat", "firewall_bypass"):
+        plain, every = (queries.QUERIES[n](spark, SF_DIR) for n in (name, f"{name}_whole"))
+        assert every.count() > plain.count(), name
+
+
+def test_traces_start_at_every_prefix(spark):
+    found = queries.QUERIES["traceroute_whole"](spark, SF_DIR).where("hop = 0")
+    assert found.count() == spark.read.parquet(f"{SF_DIR}/part.parquet").count()
