@@ -31,7 +31,8 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Generator, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -44,8 +45,6 @@ BROADCAST_CHARS = 32 << 20
 SALTS = 16
 #: Pages that a task folds at most before it hands its wrappers on.
 FOLDED = 20_000
-#: Elements nested deeper are taken into the one at this depth.
-DEEPEST = 100
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -89,36 +88,93 @@ class Node:
             node = node.into
         return node
 
+    def every(self) -> list[Node]:
+        """The subtree's nodes, parents first, children in order."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            out.append(node)
+            todo += reversed(node.children)
+        return out
+
     def packed(self) -> list:
-        return [self.key, self.low, self.many, self.chars, self.links, self.text, [c.packed() for c in self.children]]
+        """Flat, for trees may be deep: nodes, parents first, each with its number of children."""
+        return [[n.key, n.low, n.many, n.chars, n.links, n.text, len(n.children)] for n in self.every()]
 
     @staticmethod
-    def unpacked(x: list) -> Node:
-        return Node(x[0], [Node.unpacked(c) for c in x[6]], x[1], x[2], x[3], x[4], x[5])
+    def unpacked(rows: list) -> Node:
+        root = Node("")
+        todo = [(root, 1)]
+        for key, low, many, chars, links, text, n in rows:
+            parent, left = todo.pop()
+            if left > 1:
+                todo.append((parent, left - 1))
+            node = Node(key, None, low, many, chars, links, text)
+            parent.children.append(node)
+            if n:
+                todo.append((node, n))
+        return root.children[0]
 
     def shape(self) -> str:
-        return f"{self.key}{'+' if self.many else ''}[{','.join(c.shape() for c in self.children)}]" if self.children else f"{self.key}{'+' if self.many else ''}"
+        parts: list[str] = []
+        todo: list[Node | str] = [self]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                parts.append(x)
+                continue
+            parts.append(f"{x.key}{'+' if x.many else ''}")
+            if x.children:
+                todo.append("]")
+                for i in range(len(x.children) - 1, -1, -1):
+                    todo += [x.children[i], "," if i else "["]
+        return "".join(parts)
+
+
+#: A step that may wait for others; they are held in a list, so nesting is not bounded by Python's stack.
+Step = Generator["Step", object, object]
+
+
+def finished(step: Step) -> object:
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
 
 
 def merge(a: Node, b: Node) -> None:
     """``b`` becomes part of ``a``."""
+    finished(merging(a, b))
+
+
+def merging(a: Node, b: Node) -> Step:
     a.low, a.many = min(a.low, b.low), a.many or b.many
     a.chars, a.links = a.chars + b.chars, a.links + b.links
     if a.text != b.text:
         a.text = None
-    a.children = align(a.children, b.children)
+    if a.children or b.children:
+        a.children = yield aligning(a.children, b.children)
     b.into = a
 
 
 def fold(nodes: list[Node]) -> list[Node]:
     """Adjacent repeats, of one node or of groups of two or three, become repeated ones."""
+    return finished(folding(nodes))
+
+
+def folding(nodes: list[Node]) -> Step:
     out: list[Node] = []
     for node in nodes:
         out.append(node)
         while True:
             if len(out) > 1 and out[-1].key == out[-2].key:
                 last = out.pop()
-                merge(out[-1], last)
+                yield merging(out[-1], last)
                 out[-1].many = True
                 continue
             for p in (2, 3):
@@ -126,12 +182,12 @@ def fold(nodes: list[Node]) -> list[Node]:
                 if len(out) > p and out[-p - 1].key == f"({' '.join(n.key for n in tail)})":
                     group = out[-p - 1]
                     for a, b in zip(group.children, tail, strict=True):
-                        merge(a, b)
+                        yield merging(a, b)
                     del out[-p:]
                     break
                 if len(out) >= 2 * p and all(a.key == b.key for a, b in zip(out[-2 * p : -p], tail, strict=True)):
                     for a, b in zip(out[-2 * p : -p], tail, strict=True):
-                        merge(a, b)
+                        yield merging(a, b)
                     parts = out[-2 * p : -p]
                     out[-2 * p :] = [Node(f"({' '.join(n.key for n in parts)})", parts, many=True)]
                     break
@@ -165,10 +221,8 @@ def matches(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     return pairs + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
 
 
-def align(a: list[Node], b: list[Node]) -> list[Node]:
+def aligning(a: list[Node], b: list[Node]) -> Step:
     """Merge two child lists; what only one of them has is optional."""
-    if not b and not a:
-        return a
     out: list[Node] = []
     i = j = 0
     for x, y in [*matches(a, b), (len(a), len(b))]:
@@ -176,10 +230,10 @@ def align(a: list[Node], b: list[Node]) -> list[Node]:
             node.low = 0
             out.append(node)
         if x < len(a):
-            merge(a[x], b[y])
+            yield merging(a[x], b[y])
             out.append(a[x])
         i, j = x + 1, y + 1
-    return fold(out)
+    return (yield folding(out))
 
 
 class Element:
@@ -216,11 +270,12 @@ def parsed(page: str) -> Element:
     root = Element("", False, "")
     root.node = Node("")
     stack, keys = [root], [""]
+    opened = Counter()  # names on the stack
 
     def close(to: int) -> None:
         while len(stack) > to:
             stack.pop()
-            keys.pop()
+            opened[keys.pop()] -= 1
 
     at = 0
     scan = TOKEN.scanner(page)
@@ -233,6 +288,8 @@ def parsed(page: str) -> Element:
             continue
         tag = tag.lower()
         if m["close"] or m["close2"]:
+            if not opened[tag]:
+                continue
             for i in range(len(keys) - 1, 0, -1):
                 if keys[i] == tag:
                     close(i)
@@ -240,9 +297,9 @@ def parsed(page: str) -> Element:
                 if tag in INLINE and keys[i] not in INLINE:  # an inline end tag does not reach over a block
                     break
             continue
-        if tag in CLOSES_P and "p" in keys:
-            close(len(keys) - 1 - keys[::-1].index("p"))
-        if tag in CLOSES:
+        if tag in CLOSES_P and opened["p"]:
+            close(next(i for i in range(len(keys) - 1, 0, -1) if keys[i] == "p"))
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
             fences = FENCES.get(tag, ())
             low = next((i for i in range(len(keys) - 1, 0, -1) if keys[i] in fences), 0)
             if (i := next((i for i in range(low + 1, len(keys)) if keys[i] in CLOSES[tag]), 0)) > 0:
@@ -263,9 +320,9 @@ def parsed(page: str) -> Element:
             at = end.end()
             scan = TOKEN.scanner(page, at)
             continue
-        if len(stack) < DEEPEST:  # what is nested deeper belongs to the last element that counts
-            stack.append(element)
-            keys.append(tag)
+        stack.append(element)
+        keys.append(tag)
+        opened[tag] += 1
     if at < len(page):
         stack[-1].content.append(page[at:])
     return root
@@ -273,27 +330,36 @@ def parsed(page: str) -> Element:
 
 def shaped(element: Element, link: bool = False) -> Node:
     """Fills and folds the element's node from its content; void and dropped elements stay leaves."""
-    node, children = element.node, []
-    for x in element.content:
-        if isinstance(x, str):
-            if x.isspace():
-                continue
-            n = len(x)
-            children.append(Node("#", chars=0 if link else n, links=n if link else 0, text=xxhash.xxh32_intdigest(x)))
-        elif x.tag not in VOID:
-            children.append(x.node if x.dropped else shaped(x, link or x.tag == "a"))
-    node.children = fold(children)
-    return node
-
-
-def varying(node: Node) -> int:
-    """Characters of the subtree's slots outside links."""
-    own = node.chars if node.key == "#" and node.text is None else 0
-    return own + sum(map(varying, node.children))
-
-
-def every(node: Node) -> int:
-    return node.chars + sum(map(every, node.children))
+    filled: list[tuple[Node, list[Node]]] = []
+    todo = [(element, link)]
+    while todo:
+        at, link = todo.pop()
+        children: list[Node] = []
+        for x in at.content:
+            if isinstance(x, str):
+                if x.isspace():
+                    continue
+                n = len(x)
+                children.append(Node("#", chars=0 if link else n, links=n if link else 0, text=xxhash.xxh32_intdigest(x)))
+            elif x.tag not in VOID:
+                children.append(x.node)
+                if not x.dropped:
+                    todo.append((x, link or x.tag == "a"))
+        filled.append((at.node, children))
+    for node, children in reversed(filled):  # what is inside comes first
+        node.children = fold(children)
+    return element.node
+
+
+def weights(root: Node) -> dict[int, int]:
+    """By id of each node: characters of its slots outside links that vary, or of all if none varies in ``root``."""
+    nodes = root.every()
+    varies = any(n.key == "#" and n.text is None and n.chars for n in nodes)
+    found: dict[int, int] = {}
+    for n in reversed(nodes):
+        own = n.chars if not varies or n.key == "#" and n.text is None else 0
+        found[id(n)] = own + sum(found[id(c)] for c in n.children)
+    return found
 
 
 def tag_of(node: Node) -> str:
@@ -302,12 +368,12 @@ def tag_of(node: Node) -> str:
 
 def densest(wrapper: Node) -> list[Node]:
     """Path to the block that holds most of the text: into the child with the larger part as long as there is one."""
-    weigh = varying if varying(wrapper) else every
+    weigh = weights(wrapper)
     path, node = [], wrapper
     while True:
         inner = [c for x in node.children for c in (x.children if x.key.startswith("(") else [x]) if c.key != "#" and tag_of(c) not in LEAF | INLINE]
-        child = max(inner, key=weigh, default=None)
-        if child is None or weigh(child) < 0.6 * weigh(node) or not weigh(child):
+        child = max(inner, key=lambda c: weigh[id(c)], default=None)
+        if child is None or weigh[id(child)] < 0.6 * weigh[id(node)] or not weigh[id(child)]:
             return path
         path.append(child)
         node = child
@@ -326,21 +392,14 @@ def dense_root(page: Node, path: list[Node]) -> Node:
 
 def text_of(roots: list[Element]) -> str:
     parts: list[str] = []
-
-    def walk(element: Element) -> None:
-        block = element.tag not in INLINE
-        if block:
-            parts.append(" ")
-        for x in element.content:
-            if isinstance(x, str):
-                parts.append(html.unescape(x) if "&" in x else x)
-            elif not x.dropped:
-                walk(x)
-        if block:
-            parts.append(" ")
-
-    for root in roots:
-        walk(root)
+    todo: list[Element | str] = list(reversed(roots))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(html.unescape(x) if "&" in x else x)
+            continue
+        inside = [c for c in reversed(x.content) if isinstance(c, str) or not c.dropped]
+        todo += inside if x.tag in INLINE else [" ", *inside, " "]
     return " ".join("".join(parts).split())
 
 
@@ -423,11 +482,10 @@ def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def add(a: Node, b: Node) -> None:
     """Counts of a node of the same shape."""
-    a.chars, a.links = a.chars + b.chars, a.links + b.links
-    if a.text != b.text:
-        a.text = None
-    for x, y in zip(a.children, b.children, strict=True):
-        add(x, y)
+    for x, y in zip(a.every(), b.every(), strict=True):
+        x.chars, x.links = x.chars + y.chars, x.links + y.links
+        if x.text != y.text:
+            x.text = None
 
 
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -355,6 +355,23 @@ def test_main_text(spark, opening, closing):
     assert main_text(pages.where("false")).count() == 0
 
 
+def test_nesting_has_no_bound(spark):
+    deep = 3000
+    made = [
+        (1, "https://a.example/", "<div>" * deep + "<article>kept <nav>menu</nav>text</article>" + "</div>" * deep),
+        (2, "https://b.example/", "<div><article>before" + "<div>" * deep + "in" + "</div>" * deep + "after</article></div>rest"),
+        (3, "https://c.example/1", "<body>" + "<div>" * deep + "<nav>menu</nav>own one" + "</div>" * deep),
+        (4, "https://c.example/2", "<body>" + "<div>" * (deep + 5) + "<aside>side</aside>own two" + "</div>" * deep),
+        (5, "https://c.example/3", "<body>" + "<div>" * deep + "<form>q</form>own three" + "</div>" * deep),
+    ]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    expected = ["kept text", "before in after", "own one", "own two", "own three"]
+    assert [x for _, x in collected(main_text(pages), "page_id", "text")] == expected
+    wrapper = shaped(parsed(made[2][2]))
+    again = type(wrapper).unpacked(wrapper.packed())
+    assert again.packed() == wrapper.packed() and again.shape() == wrapper.shape()
+
+
 def test_wrappers_have_optional_and_repeated_parts():
     pages = ["<dl><dt>a<dd>b<dt>c<dd>d</dl><p>x", "<h2>t</h2><dl><dt>a<dd>b</dl><p>y<p>z", "<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"]
     wrapper, *rest = [shaped(parsed(p)) for p in pages]
