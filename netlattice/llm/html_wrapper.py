@@ -13,9 +13,11 @@ Every task folds its pages into one wrapper per host; those are merged in two
 steps, by host and salt, then by host, so that no host's pages meet in a task.
 All pages of a host take part, and what is held is the wrapper, not the pages.
 
-A page is read through its host's wrapper: the wrapper's ``article`` elements
-(else ``main``, else the block that holds most of the varying text that is not
-links) are the content; elements that are menus, headers, footers, sidebars,
+Tag, role, class and id rules decide first: a page's own ``article`` elements
+(else ``main``) are its content.  Only pages with neither are read through
+their host's wrapper, in the block that holds most of the varying text that is
+not links.  Slots, optional and repeated parts do not filter text inside the
+content, so boilerplate there that no rule names stays in.  Elements that are menus, headers, footers, sidebars,
 notices, adverts, forms or comments by name, role, class or id are not.
 
 Wrappers are broadcast only if their measured size is at most
