@@ -18,7 +18,8 @@ the documents, whose hits are united per document.
 Null texts (of documents or items) have no words.  Rows repeated with the same
 id are one document in the united result only when more than one block is
 needed; then they are told apart by a row hash.  Repeated items count once per
-item id.
+item id.  Items without an id count as one item in n_items; having no
+name, they do not enter items_sha256.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def winnowed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Fingerprints of one block of items; built on the driver, at most ``BLOCK_BYTES`` of text."""
 
-    def __init__(self, items: list[tuple[str, bytes]]) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]]) -> None:
         self.items = [(i, w) for i, t in items if (w := words_of(t))]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -74,7 +75,7 @@ class Index:
         self.short = {n: dict(x) for n, x in self.short.items()}
         self.short_prints = {n: np.sort(np.array(list(x), dtype=np.uint64)) for n, x in self.short.items()}
 
-    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Runs of document words inside occurring windows (merged) and the items that occur."""
         if not words or not self.items:
             return [], set()
@@ -136,7 +137,7 @@ def scan(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
             found, names = index.spans(words)
             n_words.append(len(words))
             spans.append([{"start": lo, "end": hi} for lo, hi in found])
-            items.append(sorted(names))
+            items.append(sorted(names, key=lambda x: (x is None, x or "")))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))],
             names=["doc_id", "row", "n_words", "spans", "items"],
@@ -147,9 +148,9 @@ def joined_sha256(names: list[str]) -> str:
     return hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, bytes]]]:
     """The benchmark in blocks of at most ``BLOCK_BYTES`` (one item at least), each fetched alone."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-2 * total // BLOCK_BYTES) or 1  # twice as many as would do, for items are dealt out by hash
     for b in range(n):

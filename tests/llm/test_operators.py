@@ -315,6 +315,18 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in identify(docs.withColumn("lang", docs["lang"].substr(1, 0)).where("doc_id < 9")).collect()} <= {"", "und"}
 
 
+@pytest.mark.parametrize("block", [16 << 20, 60])
+def test_decontamination_by_items_without_id(spark, monkeypatch, block):
+    from netlattice.llm import decontaminate as module
+
+    monkeypatch.setattr(module, "BLOCK_BYTES", block)
+    long = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"a {long} b short item"), (2, "x short item y"), (3, "none of it"), (4, "named one"), (5, "named short item")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, long), (None, "short item"), ("n", "named"), (None, None)], "item_id string, text string")
+    found = collected(decontaminate(docs, benchmark), "doc_id", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert found == [(1, 17, 1, sha(""), True), (2, 2, 1, sha(""), True), (3, 0, 0, sha(""), False), (4, 1, 1, sha("n"), True), (5, 3, 2, sha("n"), True)]
+
+
 def test_quality(spark, empty):
     r = random.Random(4)
     good = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(5, 60)))
