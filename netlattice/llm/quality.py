@@ -7,7 +7,8 @@ its features of ``log p_target - log p_raw``.  Gumbel noise, scaled by
 ``TEMPERATURE`` and drawn from a hash of the id, is added, and the ``k``
 documents with the largest perturbed weight are kept: sampling without
 replacement in proportion to the weights.  ``k`` is the number of documents
-whose weight reaches the level that nearly all target documents reach.
+whose weight reaches the level that nearly all documents labelled good reach;
+all of them count for the level, not only the bounded sample.
 
 The k-th largest score is found by narrowing a histogram of all scores; only
 bin counts come to the driver.  Documents that tie with the k-th are kept too.
@@ -38,7 +39,7 @@ FIT_LABELS = 20_000
 #: log2 of the number of feature buckets.
 BUCKET_BITS = 14
 TEMPERATURE = 0.1
-#: k counts documents at or above this quantile of the target sample's weights (0 at most) less SLACK.
+#: k counts documents at or above this quantile of the weights labelled good (0 at most) less SLACK.
 TARGET_QUANTILE, SLACK = 0.005, 5.0
 #: Weight of the raw model in the smoothing of the target model, in tokens per bucket.
 SMOOTHING = 0.5
@@ -100,7 +101,7 @@ def weigh(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     ratio = model.value
     for batch in batches:
         weights = [float(ratio[features(t)].sum()) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weights, pa.float64())], names=["doc_id", "quality", "log_weight"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], names=["doc_id", "log_weight"])
 
 
 def kth_largest(scores: DataFrame, k: int, bins: int = 2048, exact_below: int = 4096) -> float:
@@ -124,6 +125,20 @@ def kth_largest(scores: DataFrame, k: int, bins: int = 2048, exact_below: int =
             return held[k - above - 1]
 
 
+def quantile(scores: DataFrame, q: float) -> float | None:
+    """The exact ``q``-quantile of ``score``, interpolated; None without rows."""
+    n = scores.count()
+    if not n:
+        return None
+    position = q * (n - 1)
+    below = int(position)
+    low = kth_largest(scores, n - below)
+    if position == below:
+        return low
+    high = kth_largest(scores, n - below - 1)
+    return low if low == high else (below + 1 - position) * low + (position - below) * high
+
+
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, log_weight, score (with the noise), kept."""
     spark = docs.sparkSession
@@ -134,11 +149,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     counts = known.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     model = spark.sparkContext.broadcast(log_ratio(counts.collect()))  # BUCKETS rows
-    weighed = saved(spark, known.mapInArrow(lambda it: weigh(it, model), "doc_id long, quality int, log_weight double"), "quality-weights")
+    weighed = saved(spark, known.mapInArrow(lambda it: weigh(it, model), "doc_id long, log_weight double"), "quality-weights")
 
     unit = (F.pmod(F.xxhash64(F.lit("gumbel"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     scored = weighed.withColumn("score", F.col("log_weight") - TEMPERATURE * F.log(-F.log(unit)))
-    level = weighed.where("quality = 1").agg(F.percentile("log_weight", TARGET_QUANTILE)).first()[0]
+    good = weighed.join(one_label.where("quality = 1").select("doc_id"), "doc_id", "left_semi").select(F.col("log_weight").alias("score"))
+    level = quantile(saved(spark, good, "quality-good"), TARGET_QUANTILE)
     k = weighed.where(F.col("log_weight") >= min(level, 0.0) - SLACK).count() if level is not None else 0
     if not k:  # no target model, or no document
         return scored.select("doc_id", "log_weight", "score", F.lit(True).alias("kept"))

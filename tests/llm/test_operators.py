@@ -344,6 +344,22 @@ def test_quality(spark, empty):
     assert quality(docs.where("false"), labels).count() == 0
 
 
+def test_quality_level_counts_all_labels(spark, monkeypatch):
+    from netlattice.llm import quality as module
+
+    monkeypatch.setattr(module, "FIT_LABELS", 100)
+    r = random.Random(5)
+    order = [x[0] for x in spark.range(400).selectExpr("id", "xxhash64(id) as h").orderBy("h", "id").collect()]
+    odd = set(order[-20:])  # labelled good, not in the sample
+    text = lambda i: " ".join(r.choice(WORDS) + ("###" if i in odd or i >= 400 else "") for _ in range(r.randint(20, 60)))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    rows = module.quality(docs, labels).collect()
+    level = np.quantile([x["log_weight"] for x in rows if x["doc_id"] < 400], module.TARGET_QUANTILE)
+    k = sum(x["log_weight"] >= min(level, 0) - module.SLACK for x in rows)
+    assert k > 420 and sum(x["kept"] for x in rows) == k
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t {k}</title><style>p>a{{}}</style><script>if (a<b) document.write("</p>")</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li>Home<li>News {k}</ul></nav><div id="cookie-notice">We use cookies {k}</div>
 {open}<h1>Caf&eacute; {k} &amp; co</h1><p>First <b>bo</b>ld <!-- no --> para {k}<br>line<p>Second&#33;  para<form>q<input></form><div class="ad">Buy {k}</div>
