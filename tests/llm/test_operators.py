@@ -193,6 +193,13 @@ def test_substring_dedup_of_repeated_ids(spark):
     assert found == [("2", 0), ("5", 0), ("5", 0), ("5", 0), ("None", 20)]
 
 
+def test_substring_dedup_of_null_texts_under_one_id(spark):
+    same = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(5, same), (None, same), (None, None), (7, same), (7, None)], "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring_dedup(docs).collect())
+    assert found == [("5", 20, 0), ("7", 0, 0), ("7", 20, 20), ("None", 0, 0), ("None", 20, 20)]
+
+
 def test_fm_index_against_scanning():
     r = random.Random(1)
     for _ in range(40):
