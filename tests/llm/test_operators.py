@@ -14,7 +14,7 @@ from netlattice.llm.decontaminate import decontaminate
 from netlattice.llm.exact_dedup import directory, exact_dedup
 from netlattice.llm.fm_index import SPAN, FmIndex
 from netlattice.llm.html_wrapper import main_text, merge, parsed, shaped
-from netlattice.llm.jaccard import family_links, fine_links, link_components, region_edges
+from netlattice.llm.jaccard import family_links, link_components
 from netlattice.llm.language import identify
 from netlattice.llm.line_dedup import line_dedup
 from netlattice.llm.packing import END_ID, SEQUENCE, TOKENIZER, ChunkIds, pack, tokenizer
@@ -247,12 +247,16 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch, block):
     assert not any(r["contaminated"] for r in decontaminate(docs, benchmark.where("item_id < 0")).collect())
 
 
-@pytest.mark.parametrize(("full", "family"), [(256, 4_000_000), (2, 150)])
-def test_jaccard_join(docs, rows, empty, monkeypatch, full, family):
+#: As in production; regions in chunks whose balls meet, and families in rounds; hot shingles told apart from others.
+JACCARD_SIZES = [{}, {"SMALL": 2, "CAP": 2, "FAMILY": 150, "FIRST_PIVOTS": 2, "HOT_SHARE": 1.0}, {"SMALL": 2, "CAP": 3, "FAMILY": 400, "HOT_SHARE": 0.002}, {"HOT_SHARE": 1.0}]
+
+
+@pytest.mark.parametrize("sizes", JACCARD_SIZES)
+def test_jaccard_join(docs, rows, empty, monkeypatch, sizes):
     from netlattice.llm import jaccard as module
 
-    monkeypatch.setattr(module, "FULL", full)  # the small ones: dissolved regions, families in blocks
-    monkeypatch.setattr(module, "FAMILY", family)
+    for name, value in sizes.items():
+        monkeypatch.setattr(module, name, value)
     assert collected(link_components(docs), "doc_id", "n_shingles", "component_id") == jaccard_expected(rows)
     assert link_components(empty).count() == 0
 
@@ -285,18 +289,30 @@ def test_family_links_are_exact():
         assert components_of(len(sets), family_links(sets, 85)) == components_of(len(sets), true)
 
 
-def test_bounds_lose_no_link():
-    from netlattice.llm.jaccard import BINS, ENTRY, bins_of, folded, n_pivots
+@pytest.mark.parametrize("chunk", [100, 7])
+def test_bounds_lose_no_link(chunk):
+    """Searching whole regions, or chunks of them whose balls then meet, leaves linked sets in one part."""
+    from netlattice.llm.jaccard import Balls, sketch_of
 
     r = random.Random(6)
     for _ in range(20):
         sets = random_sets(r)
+        sketches, sizes = [sketch_of(s) for s in sets], [len(s) for s in sets]
+        edges, balls = [], []
+        for lo in range(0, len(sets), chunk):
+            some = slice(lo, lo + chunk)
+            found = Balls(sizes[some], sizes[some], [0] * len(sizes[some]), sketches[some], 85)
+            for steps in found.parts():
+                edges += [(lo + int(found.order[x]), lo + int(found.order[y])) for x, y in steps]
+                at, *ball = found.ball(steps)
+                balls.append((lo + int(found.order[at]), *ball))
+        names, *columns = zip(*balls)
+        merged = Balls(*columns, 85)
+        edges += [(names[merged.order[x]], names[merged.order[y]]) for steps in merged.parts() for x, y in steps]
+        label = components_of(len(sets), edges)
         true = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(both := np.intersect1d(sets[a], sets[b])) >= 85 * (len(sets[a]) + len(sets[b]) - len(both))]
-        bins = [np.frombuffer(bins_of(s), np.uint8) for s in sets]
-        entries = [np.array([(p, k, len(s), folded(bins[k], BINS)) for p in s[: n_pivots(len(s), 85)]], dtype=ENTRY) for k, s in enumerate(sets)]
-        coarse = components_of(len(sets), region_edges(np.concatenate(entries), 85).tolist())
-        fine = components_of(len(sets), fine_links(np.array([len(s) for s in sets]), bins, 85))
-        assert all(coarse[a] == coarse[b] and fine[a] == fine[b] for a, b in true)
+        assert all(label[a] == label[b] for a, b in true)
+        assert len(set(label)) > 1
 
 
 def test_language(spark, empty):
