@@ -24,7 +24,9 @@ def ip_to_long(text: Column) -> Column:
 
 
 def long_to_ip(ip: Column) -> Column:
-    return F.concat_ws(".", *(F.shiftrightunsigned(ip, by).bitwiseAND(F.lit(255)).cast("string") for by in (24, 16, 8, 0)))
+    """Dotted form; null for a null address."""
+    octets = F.concat_ws(".", *(F.shiftrightunsigned(ip, by).bitwiseAND(F.lit(255)).cast("string") for by in (24, 16, 8, 0)))
+    return F.when(ip.isNotNull(), octets)  # concat_ws skips nulls
 
 
 def hosts(width: Column) -> Column:
