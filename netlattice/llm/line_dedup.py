@@ -4,28 +4,35 @@ Every line's key (ASCII white space stripped at both ends, A-Z lowered) is
 hashed to 128 bits.  The postings (hash, document, position) go to a shared
 table; they are range-partitioned by (hash, document) and sorted within
 partitions down to the position, so a frequent line spreads over as many
-partitions as its documents need.  A stream over each partition yields one
-first occurrence per hash and document, and counts and first documents are
-added up per partition before they meet.  Keys found in enough documents go
-back to their postings, salted, and each document gets a sparse bitmap of the
-lines to drop: 64-bit words by word number, words that are absent being kept
-whole.  Text is not part of any of that; it meets its bitmap at the end.
-
-Null or empty texts are one empty line.  Documents are told apart by id; rows
-repeated with one id count as one document, and each gets the bitmap of its own
-text.  A null id is one document.  The hash of 128 bits stands for the key.
+partitions as its documents need.  In the sorted stream of a partition a posting
+is a first occurrence if the one before it is of another hash or document; first
+occurrences and postings are added up per partition before they meet.  Keys
+found in enough documents go back to their postings and each document gets a
+sparse bitmap of the lines to drop: 64-bit words by word number, words that are
+absent being kept whole.  Text is not part of any of that; it meets its bitmap
+at the end.
+
+A key with more than ``HOT_SHARE`` of all postings is dealt out over as many
+salts as it has such shares; there are at most ``1 / HOT_SHARE`` such keys, which
+is what bounds their broadcast.
+
+Null or empty texts are one empty line; texts of any length are split whole.
+Documents are told apart by id; rows repeated with one id count as one document,
+and each gets the bitmap of its own text.  A null id is one document.  A key in
+exactly ``min_docs`` documents goes.  An empty table gives no rows, and other
+columns are not read.  The hash of 128 bits stands for the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved, width
 
 MIN_DOCS, MIN_CHARS = 10, 1
-#: Parts into which the postings of one hash are dealt when they meet the frequent hashes.
-SALTS = 8
+#: Share of all postings that one task may get of one key.
+HOT_SHARE = 1e-3
 _SPACE = " \t\n\x0b\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,13 +58,23 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     keys = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     postings = saved(spark, keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("2"), "key").alias("h2"), "doc_id", "row", "pos"), "line-postings")
 
-    ranged = postings.select("h1", "h2", "doc_id", "pos").repartitionByRange(width(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    first = ranged.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
-    found = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "pos")).alias("first"))
-    frequent = found.where(F.col("n_docs") >= min_docs).select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-
-    salted = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    hit = salted.join(frequent, ["h1", "h2", "salt"])
+    ranged = postings.select("h1", "h2", "doc_id", "pos").repartitionByRange(width(spark), "h1", "h2", "doc_id")
+    # the ranges serve as the window's partitioning: one sort, no further exchange
+    before = F.lag("pos").over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos"))
+    streamed = ranged.withColumn("first", before.isNull())
+    counts = [F.count_if("first").alias("n_docs"), F.count(F.lit(1)).alias("n_lines")]
+    if keep_first:
+        counts.append(F.min(F.when(F.col("first"), F.struct("doc_id", "pos"))).alias("first"))
+    found = streamed.groupBy("h1", "h2").agg(*counts)
+    share = F.lit(max(1.0, HOT_SHARE * postings.count()))
+    frequent = found.where(F.col("n_docs") >= min_docs).withColumn("salts", F.ceil(F.col("n_lines") / share).cast("int"))
+    frequent = saved(spark, frequent, "line-frequent")
+
+    hot = F.broadcast(frequent.where("salts > 1").select("h1", "h2", F.col("salts").alias("parts")))
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "pos"), F.col("parts")).cast("int"), F.lit(0))
+    salted = postings.join(hot, ["h1", "h2"], "left").withColumn("salt", salt).drop("parts")
+    copies = frequent.select("*", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    hit = salted.join(copies, ["h1", "h2", "salt"])
     if keep_first:
         hit = hit.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
     word = F.shiftright("pos", 6).alias("word")
