@@ -4,20 +4,23 @@
    normalisation become one *entry* (key = first 64 bits of SHA-256, text, the
    smallest id, the number of rows, the ids).  Entries go to a shared table.
    A group of copies of any size thus leaves at most a few entries per task.
-2. A histogram of the entries' key prefixes drives the directory: a bucket over
-   its capacity is split by one more key bit, doubling the directory whenever
-   the bucket was as deep as the directory.  The directory (at most
-   ``2 ** MAX_DEPTH`` slots) is a shared file too.
-3. Owner tasks get whole buckets, read them in key order and keep one chain per
-   key: an entry joins the chain node whose *bytes* are equal, or adds a node.
-   Only one key's chain is in memory at a time, so a bucket that cannot be split
-   further (deepest level) is just read longer.
+2. The directory doubles until no slot holds more than ``BUCKET_BYTES`` of
+   entries that another key bit could divide.  A bucket is the shortest key
+   prefix that fits; the slots under it share it.  The directory is a shared
+   file too, and its size follows the entries.
+3. Owner tasks get whole buckets, numbered in the order of keys, so that a task
+   owns a key range and no two buckets meet by chance.  They read them in key
+   order and keep one chain per key: an entry joins the chain node whose *bytes*
+   are equal, or adds a node.  Only one key's chain is in memory at a time, so a
+   bucket that no bit divides (one key) is just read longer.
 4. Decisions return to the rows through the entry number, not through the key,
    so no hot key is ever a join key.
 
 Null texts equal the empty text.  Rows repeated with the same id and text are
 members of one group and are each returned; among equal smallest ids the first
-in the order of entry numbers stays.  Null ids come last when the row that stays is chosen.
+in the order of entry numbers stays.  Null ids come last when the row that stays
+is chosen.  Texts of any length are compared whole.  An empty table gives no
+rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,19 +31,20 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import saved, width
+from .scratch import saved
 from .words import only_caches
 
-MAX_DEPTH = 16
-#: Bytes of text that an owner task should get; the directory splits buckets beyond it.
+#: Bytes of text in a bucket; the directory splits one beyond it.
 BUCKET_BYTES = 16 << 20
+#: Directory slots that are broadcast at most; owner tasks at most, beyond which a task owns several buckets.
+BROADCAST_SLOTS, MAX_TASKS = 500_000, 200_000
 #: Bytes of distinct text that a task folds before it writes its entries out.
 FOLD_BYTES = 16 << 20
 
-ENTRY = "key long, digest binary, entry long, text binary, first_id long, first_row long, first_at long, n long, ids array<long>"
+ENTRY = "key long, digest binary, entry long, text binary, size long, first_id long, first_row long, first_at long, n long, ids array<long>"
 OWNED = "entry long, keep_id long, keep_row long, group_size long"
 
 
@@ -72,6 +76,7 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([d for d, _ in nodes], pa.binary()),
             pa.array(range(task + made, task + made + len(nodes)), pa.int64()),
             pa.array([x[0] for _, x in nodes], pa.binary()),
+            pa.array([len(x[0]) + 100 for _, x in nodes], pa.int64()),
             pa.array([x[1] for _, x in nodes], pa.int64()),
             pa.array([x[2] for _, x in nodes], pa.int64()),
             pa.array([x[4] for _, x in nodes], pa.int64()),
@@ -135,29 +140,44 @@ def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(done)
 
 
-def directory(sizes: dict[int, int], capacity: int, depth: int = MAX_DEPTH) -> list[tuple[int, int]]:
-    """Slots (prefix of ``depth`` bits, bucket) of an extendible-hash directory.
+def slot_of(key: Column, depth: int) -> Column:
+    """The first ``depth`` bits of a key, as a number from 0."""
+    if not depth:
+        return F.lit(0).cast("long")
+    return F.shiftright(key, 64 - depth) + (1 << (depth - 1))
 
-    ``sizes``: bytes under each ``depth``-bit prefix.  Buckets start as one of local
-    depth 0; one over ``capacity`` is split by its next bit until ``depth`` is reached.
+
+def doubled(entries: DataFrame, capacity: int) -> int:
+    """Depth of the directory: it doubles as long as a slot holds more than ``capacity`` and another bit can divide it."""
+    depth = 0
+    while depth < 62:
+        slots = entries.groupBy(slot_of(F.col("key"), depth).alias("slot"))
+        full = slots.agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("size") > capacity)
+        # slots of one key cannot be divided; of the others, the fullest tells how often to double at least
+        most = full.where("low <> high").agg(F.max("size")).first()[0]
+        if most is None:
+            break
+        depth += max(1, (-(-most // capacity) - 1).bit_length())
+    return depth
+
+
+def directory(entries: DataFrame, depth: int, capacity: int) -> DataFrame:
+    """(slot, bucket) for the slots in use.
+
+    A bucket is the shortest prefix of keys with at most ``capacity`` bytes, or a
+    slot; all slots under it lead to it.  Buckets are numbered in the order of keys.
     """
-    totals = [dict(sizes)]
-    for _ in range(depth):  # totals[j]: by the prefix without its last j bits
-        shorter: dict[int, int] = {}
-        for prefix, n in totals[-1].items():
-            shorter[prefix >> 1] = shorter.get(prefix >> 1, 0) + n
-        totals.append(shorter)
-    slots, todo = [], [(0, 0)]
-    bucket = 0
-    while todo:
-        local, prefix = todo.pop()
-        if local < depth and totals[depth - local].get(prefix, 0) > capacity:
-            todo += [(local + 1, prefix * 2 + 1), (local + 1, prefix * 2)]
-            continue
-        low = prefix << (depth - local)
-        slots += [(slot, bucket) for slot in range(low, low + (1 << (depth - local)))]
-        bucket += 1
-    return slots
+    slots = entries.groupBy(slot_of(F.col("key"), depth).alias("slot")).agg(F.sum("size").alias("size"))
+    above = slots.select("slot", "size", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("bits"))
+    prefix = F.expr(f"shiftright(slot, {depth} - bits)").alias("prefix")
+    sizes = above.groupBy("bits", prefix).agg(F.sum("size").alias("size"))
+    fits = above.select("slot", "bits", prefix).join(sizes.where(F.col("size") <= capacity).drop("size"), ["bits", "prefix"])
+    local = fits.groupBy("slot").agg(F.min("bits").alias("bits"))
+    own = slots.select("slot").join(local, "slot", "left").select("slot", F.coalesce("bits", F.lit(depth)).alias("bits"))
+    begins = own.select("slot", F.expr(f"shiftleft(shiftright(slot, {depth} - bits), {depth} - bits)").alias("begin"))
+    # one row per bucket, which holds about half of ``capacity`` or more
+    numbered = begins.select("begin").distinct().select("begin", (F.row_number().over(Window.orderBy("begin")) - 1).alias("bucket"))
+    return begins.join(numbered, "begin").select("slot", "bucket")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,16 +186,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     entries = saved(spark, rows.mapInArrow(fold, ENTRY), "dedup-index")
 
-    prefix = F.shiftright("key", 64 - MAX_DEPTH) + (1 << (MAX_DEPTH - 1))
-    sizes = {r[0]: r[1] for r in entries.groupBy(prefix.alias("p")).agg(F.sum(F.length("text") + 100)).collect()}
-    slots = saved(spark, spark.createDataFrame(directory(sizes, BUCKET_BYTES), "slot long, bucket long").coalesce(1), "dedup-directory")
-
-    parts = max(width(spark), min(len(sizes), -(-sum(sizes.values()) // BUCKET_BYTES)))
+    depth = doubled(entries, BUCKET_BYTES)
+    slots = saved(spark, directory(entries, depth, BUCKET_BYTES), "dedup-directory")
+    n_slots, n_buckets = slots.agg(F.count(F.lit(1)), F.coalesce(F.max("bucket") + 1, F.lit(1))).first()
+    each = -(-n_buckets // MAX_TASKS)
     owned = (
-        entries.withColumn("slot", prefix)
-        .join(F.broadcast(slots), "slot")  # 2 ** MAX_DEPTH slots, whatever the input
-        .select("bucket", "key", "entry", "text", "first_id", "first_row", "n")
-        .repartition(parts, "bucket")
+        entries.withColumn("slot", slot_of(F.col("key"), depth))
+        .join(F.broadcast(slots) if n_slots <= BROADCAST_SLOTS else slots, "slot")
+        .select(F.expr(f"cast(bucket div {each} as int)").alias("task"), "key", "entry", "text", "first_id", "first_row", "n")
+        .repartitionById(-(-n_buckets // each), "task")  # a task owns a range of keys
         .sortWithinPartitions("key", "entry")
         .select("key", "entry", "text", "first_id", "first_row", "n")
         .mapInArrow(chain, OWNED)
