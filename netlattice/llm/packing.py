@@ -8,8 +8,10 @@ crosses such a multiple leaves one boundary record (piece) on either side.  No
 text or id is shuffled, and a re-run task writes the same rows.
 
 Sequences are full but for the last, so padding is below one sequence.  Null or
-empty texts are the end-of-document id alone.  Rows repeated with one id are
-packed as they come; ids may be null.
+empty texts are the end-of-document id alone; a text longer than a sequence goes
+on in the next ones.  Documents come in the order of the table's tasks, so there
+are no ties to break.  Rows repeated with one id are packed each, as they come;
+ids may be null.  An empty table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from .scratch import saved
 from .words import kept_cache, only_caches
 
 SEQUENCE = 4096
+#: Tasks whose offsets are broadcast at most; more meet their rows by a shuffle.
+BROADCAST_TASKS = 500_000
 END_ID = 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: How that tokenizer parts white-space-free text (a fixed value of its file).
@@ -158,8 +162,9 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, tokenizer_path: str = TOKENI
     # one row per task of the first pass
     totals = tokens.groupBy("task").agg(F.sum("n").alias("total"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("task", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = tokens.join(F.broadcast(base), "task").select("doc_id", (F.col("base") + F.col("start_in_task")).alias("at"), "ids")
+    base = saved(spark, totals.select("task", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")), "packing-base")
+    few = base.count() <= BROADCAST_TASKS
+    placed = tokens.join(F.broadcast(base) if few else base, "task").select("doc_id", (F.col("base") + F.col("start_in_task")).alias("at"), "ids")
     if with_ids:
         return placed
     return placed.mapInArrow(lambda it: cut(it, kind, sequence), PIECES)
