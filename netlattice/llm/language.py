@@ -9,9 +9,16 @@ penalty per language (half the log of the number of trigrams, times
 language with the largest proportion in that set is predicted; the proportion
 is the score.
 
+Sets are tried from one language on, until not even the likelihood of the best
+language for each single trigram could pay for one more.
+
 Null texts and texts without a letter are ``und`` with score 0, and so is
 everything if there is nothing to learn from.  Training rows with a null text
-or language are skipped; repeated rows count as often as they occur.
+or language are skipped; repeated rows count as often as they occur and are each
+returned.  Of languages with equal proportions the first by name is predicted;
+of equally good sets the smaller.  Texts of any length are read whole, an empty
+table gives no rows, and other columns are not read.  More than ``MOST_LABELS``
+distinct labels are an error, for the model is a broadcast.
 """
 
 from __future__ import annotations
@@ -23,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved
+
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 0.1
 ROUNDS = 8
-#: Languages that one document's set may hold.
-MOST = 4
 PENALTY = 2.0
+#: Labels that a model may tell apart; its table, which is broadcast, has BUCKETS numbers for each.
+MOST_LABELS = 1024
 #: Count tables of languages a task keeps before it hands them on.
 HELD = 256
 
@@ -85,7 +94,10 @@ class Model:
         order = np.argsort(-share, kind="stable")
         price = PENALTY * np.log(n.sum() + 1) / 2
         best, chosen = -np.inf, (0, 1.0)
-        for size in range(1, min(MOST, len(order)) + 1):
+        most = float(n @ np.log(p.max(axis=0)))  # no mixture is likelier
+        for size in range(1, len(order) + 1):
+            if most - price * size <= best:  # nor is any larger set better
+                break
             some, fit = self.mixture(p[order[:size]], n)
             if fit - price * size > best:
                 top = int(np.argmax(some))
@@ -116,6 +128,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     train = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = train.select(F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n"))
-    model = spark.sparkContext.broadcast(Model(counts.collect()))  # languages x BUCKETS
+    counts = saved(spark, counts, "language-counts")
+    if (labels := counts.select("lang").distinct().count()) > MOST_LABELS:
+        raise ValueError(f"{labels} languages; a model holds {MOST_LABELS}")
+    model = spark.sparkContext.broadcast(Model(counts.collect()))  # MOST_LABELS x BUCKETS at most
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return every.mapInArrow(lambda it: predict(it, model), "doc_id long, held_out boolean, lang_pred string, score double")
