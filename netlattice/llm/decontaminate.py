@@ -12,14 +12,17 @@ An item shorter than ``SPAN`` words is one window: documents are scanned for
 its fingerprint among all grams of that length (at most ``SPAN - 1`` lengths).
 
 The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` of
-text, so its broadcast is bounded: a larger benchmark is a few more passes over
-the documents, whose hits are united per document.
+text, one after another, so what is broadcast is bounded: a larger benchmark is
+a few more passes over the documents, whose hits are written and united per
+document.
 
 Null texts (of documents or items) have no words.  Rows repeated with the same
 id are one document in the united result only when more than one block is
 needed; then they are told apart by a row hash.  Repeated items count once per
 item id.  Items without an id count as one item in n_items; having no
-name, they do not enter items_sha256.
+name, they do not enter items_sha256.  Exactly a twentieth of the words hit
+contaminates.  Texts of any length are read whole; empty tables give no rows, or
+no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved
 from .words import HASHES, gram_hashes, only_caches, sliding_min
 
 SPAN, GRAM, WINDOW = 13, 5, 9
@@ -148,11 +152,15 @@ def joined_sha256(names: list[str]) -> str:
     return hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark in blocks of at most ``BLOCK_BYTES`` (one item at least), each fetched alone."""
+def n_blocks(benchmark: DataFrame, text_col: str) -> int:
+    """Twice as many blocks as would do, for items are dealt out by hash; one if all fit."""
+    total = benchmark.agg(F.sum(F.length(F.col(text_col).cast("binary")))).first()[0] or 0
+    return 1 if total <= BLOCK_BYTES else -(-2 * total // BLOCK_BYTES)
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The benchmark in ``n`` blocks of at most ``BLOCK_BYTES``, about (one item at least), each fetched alone; empty ones are left out."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-2 * total // BLOCK_BYTES) or 1  # twice as many as would do, for items are dealt out by hash
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else rows
         if items := [(r[0], bytes(r[1])) for r in part.toLocalIterator()]:
@@ -163,15 +171,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """One row per document: its words, the merged word spans that are hit, the items that occur."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), F.col(text_col).cast("binary").alias("text"))
-    indexes = [sc.broadcast(Index(items)) for items in blocks(benchmark, item_col, text_col)] or [sc.broadcast(Index([]))]
-    if len(indexes) == 1:
-        return rows.mapInArrow(lambda it, i=indexes[0]: scan(it, i), HITS)
+    n = n_blocks(benchmark, text_col)
+    if n == 1:
+        index = sc.broadcast(Index(next(blocks(benchmark, item_col, text_col, n), [])))
+        return rows.mapInArrow(lambda it: scan(it, index), HITS)
     rows = rows.withColumn("row", F.xxhash64("text"))
-    found = None
-    for index in indexes:
-        part = rows.mapInArrow(lambda it, i=index: scan(it, i), HITS)
-        found = part if found is None else found.unionByName(part)
-    copies = F.count(F.lit(1)) / F.lit(len(indexes))  # rows repeated with id and text
+    found, passes = None, 0
+    for items in blocks(benchmark, item_col, text_col, n):  # one index at a time is out
+        index = sc.broadcast(Index(items))
+        part = saved(docs.sparkSession, rows.mapInArrow(lambda it, i=index: scan(it, i), HITS), "decontaminate-hits")
+        index.destroy()
+        found, passes = part if found is None else found.unionByName(part), passes + 1
+    copies = F.count(F.lit(1)) / F.lit(passes)  # rows repeated with id and text
     united = found.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), copies.cast("int").alias("copies"))
     joined = F.aggregate(
         "spans",
