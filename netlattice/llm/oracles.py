@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .queries import LIST_ENTRIES
+from .url_filter import HOST
 
 #: Rows of ``documents`` with the ASCII white space of the contracts as a class.
 _SPACE = r"[\x20\x09-\x0D]"
@@ -60,7 +61,7 @@ OP9 = rf"""
 WITH list AS (SELECT * FROM (VALUES {_LISTED}) AS t(pattern, action, listed_at)),
 spans AS (SELECT pattern, action, listed_at AS since, lead(listed_at) OVER (PARTITION BY pattern ORDER BY listed_at) AS until FROM list),
 p AS (SELECT page_id, url, CAST(date '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS at,
-             regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([a-z0-9._-]+)', 1) AS host,
+             rtrim(regexp_extract(lower(url), '{HOST}', 1), '.') AS host,
              regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 m AS (SELECT p.page_id, s.pattern, s.action, row_number() OVER (PARTITION BY p.page_id ORDER BY length(s.pattern) DESC) AS rn
       FROM p JOIN spans s ON s.action <> 'remove' AND s.since <= p.at AND (s.until IS NULL OR p.at < s.until)

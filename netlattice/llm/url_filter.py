@@ -18,7 +18,10 @@ rows repeated ``SALTS`` times, so that no host's captures meet in one task.
 
 Null or malformed URLs match nothing and are kept, and so are captures without
 a time.  Of entries of one pattern and time, the one whose action sorts last
-counts.  Rows repeated in the captures are each returned.
+counts; list rows with a null pattern or time do not.  Rows repeated in the
+captures are each returned.  URLs of any length are read whole (path prefixes
+only as deep as the list goes).  Without captures there are no rows, without a
+list every capture is kept; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +29,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A host ends where the port, path, query or fragment begins, or the URL ends; nothing else may follow it.
+HOST = r"^https?://(?:[^/?#]*@)?([^/?#@:\[\]\s]+)(?::[0-9]*)?(?:[/?#]|$)"
 BROADCAST_CHARS = 8 << 20
 SALTS = 32
 
 
 def host_of(url: Column) -> Column:
-    return F.rtrim(F.regexp_extract(F.lower(url), r"^https?://(?:[^/?#@]*@)?([a-z0-9._-]+)", 1), F.lit("."))
+    """The whole host, lowered, without user, port and final dots; empty if the URL is malformed."""
+    return F.rtrim(F.regexp_extract(F.lower(url), HOST, 1), F.lit("."))
 
 
 def path_of(url: Column) -> Column:

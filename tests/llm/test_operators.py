@@ -11,7 +11,7 @@ import pytest
 
 from netlattice.llm import exact_dedup as dedup
 from netlattice.llm.decontaminate import decontaminate
-from netlattice.llm.exact_dedup import directory, exact_dedup
+from netlattice.llm.exact_dedup import exact_dedup
 from netlattice.llm.fm_index import SPAN, FmIndex
 from netlattice.llm.html_wrapper import main_text, merge, parsed, shaped
 from netlattice.llm.jaccard import family_links, link_components
@@ -105,12 +105,31 @@ def test_exact_dedup_compares_bytes(monkeypatch):
     assert sorted((e["text"], e["first_id"], e["n"]) for e in entries) == [(b"x", 2, 2), (b"y", 1, 2)]
 
 
-def test_directory_doubles_where_full():
-    slots = directory({0: 10, 1: 10, 2: 1, 3: 1}, capacity=12, depth=2)
-    assert [b for _, b in slots] == [0, 1, 2, 2] and [s for s, _ in slots] == [0, 1, 2, 3]
+def test_directory_doubles_where_full(spark):
+    key = lambda bits: int(bits.ljust(64, "0"), 2) - (1 << 63)  # noqa: E731  # in the order of unsigned numbers
+    made = [("000", 10), ("001", 10), ("0011", 1), ("01", 1), ("1", 1), ("11", 9)]
+    entries = spark.createDataFrame([(key(b), n) for b, n in made], "key long, size long")
+    assert dedup.doubled(entries.where("size < 0"), 12) == 0
+    depth = dedup.doubled(entries, 12)
+    assert depth == 3  # 000 and 001 part at the third bit
+    found = sorted(tuple(r) for r in dedup.directory(entries, depth, 12).collect())
+    assert found == [(0, 0), (1, 1), (2, 2), (4, 3), (6, 3)]
+    same = spark.createDataFrame([(5, 100), (5, 100)], "key long, size long")  # one key: no bit divides it
+    assert dedup.doubled(same, 12) == 0
 
 
-def test_line_dedup(docs, rows, empty):
+@pytest.mark.parametrize("capacity", [300, 1 << 24])
+def test_exact_dedup_in_many_buckets(docs, rows, monkeypatch, capacity):
+    monkeypatch.setattr(dedup, "BUCKET_BYTES", capacity)
+    monkeypatch.setattr(dedup, "MAX_TASKS", 7)
+    test_exact_dedup(docs, rows, docs.where("doc_id < -1"))
+
+
+@pytest.mark.parametrize("share", [1e-3, 1.0])
+def test_line_dedup(docs, rows, empty, monkeypatch, share):
+    from netlattice.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "HOT_SHARE", share)  # a line in a tenth of the postings is dealt over many salts, or none is
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
     seen = defaultdict(set)
     for i, t in rows:
@@ -439,7 +458,7 @@ def test_url_filter(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
     log = [("bad.example", "block", day(10)), ("bad.example", "remove", day(20)), ("bad.example", "block", day(30)), ("ok.bad.example", "allow", day(0)), ("A.example/x/", "block", day(5)), ("deep.example/a/b/c/d/e/F", "block", day(0)), ("bad.example", "allow", day(10)), (None, "block", day(1))]
     entries = spark.createDataFrame(log, "pattern string, action string, listed_at date")
-    urls = ["http://bad.example/", "https://www.bad.example:8080/q?x#y", "https://ok.bad.example/z", "http://a.example/x/y?z", "http://a.example/xy", "http://notbad.example/", None, "nonsense", "HTTP://u:p@BAD.example./", "http://deep.example/a/b/c/d/e/F/g", "http://deep.example/a/b/c/d/e/f"]
+    urls = ["http://bad.example/", "https://www.bad.example:8080/q?x#y", "https://ok.bad.example/z", "http://a.example/x/y?z", "http://a.example/xy", "http://notbad.example/", None, "nonsense", "HTTP://u:p@BAD.example./", "http://deep.example/a/b/c/d/e/F/g", "http://deep.example/a/b/c/d/e/f", "http://bad.example%2eelse.com/x", "https://bad.exampleü.net/x", "http://me@bad.example:80", "http://bad.example:x/", "http://bad.example/" + "p/" * 20_000]
     made = [(k * 100 + n, u, day(n), "h") for k, u in enumerate(urls) for n in (0, 9, 10, 19, 20, 29, 30, 99)]
     made += [made[0], (9999, urls[0], None, "h")]
     captures = spark.createDataFrame(made, "page_id long, url string, fetched_at date, pattern string")
@@ -449,7 +468,7 @@ def test_url_filter(spark):
         best[p, d] = max(a, best.get((p, d), a))
 
     def kept(url, at):
-        m = re.match(r"(?i)https?://(?:[^/@]*@)?([a-z0-9.-]+)(?::\d+)?([^?#]*)", url or "")
+        m = re.match(r"(?i)https?://(?:[^/@]*@)?([^/?#@:]+)(?::\d+)?(?=[/?#]|$)([^?#]*)", url or "")
         if not m or at is None:
             return True
         host, path = m[1].rstrip(".").lower(), m[2]
