@@ -386,20 +386,47 @@ def test_quality(spark, empty):
     assert quality(docs.where("false"), labels).count() == 0
 
 
-def test_quality_level_counts_all_labels(spark, monkeypatch):
+def test_quality_against_brute_force(spark, monkeypatch):
+    """Weights, noise and the draw once more, plainly; labels beyond the fitting sample count for the share."""
     from netlattice.llm import quality as module
 
     monkeypatch.setattr(module, "FIT_LABELS", 100)
     r = random.Random(5)
-    order = [x[0] for x in spark.range(400).selectExpr("id", "xxhash64(id) as h").orderBy("h", "id").collect()]
-    odd = set(order[-20:])  # labelled good, not in the sample
-    text = lambda i: " ".join(r.choice(WORDS) + ("###" if i in odd or i >= 400 else "") for _ in range(r.randint(20, 60)))
-    docs = spark.createDataFrame([(i, text(i)) for i in range(500)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
-    rows = module.quality(docs, labels).collect()
-    level = np.quantile([x["log_weight"] for x in rows if x["doc_id"] < 400], module.TARGET_QUANTILE)
-    k = sum(x["log_weight"] >= min(level, 0) - module.SLACK for x in rows)
-    assert k > 420 and sum(x["kept"] for x in rows) == k
+    text = lambda i: " ".join(r.choice(WORDS) + ("###" if i % 5 == 0 else "") for _ in range(r.choice((1, 2, 5, 40))))
+    made = [(i, text(i), "x") for i in range(400)] + [(400, None, "x"), (401, "", "x"), (402, "ka ra " * 30_000, "x"), (7, "ka ra", "x"), (None, "lo so", "x")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, score string")
+    labels = [(i, int(i % 5 > 0)) for i in range(0, 400, 2)] + [(0, 0), (2, 1), (2, 0), (None, 1), (4, None)]
+    found = module.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    lowest = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            lowest[i] = min(q, lowest.get(i, 1))
+    order = spark.createDataFrame([(i,) for i in lowest], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", "doc_id").limit(100)
+    fitted = {x["doc_id"] for x in order.collect()}
+    raw, target, reject = np.zeros((3, module.BUCKETS))
+    for i, t, _ in made:
+        n = np.bincount(module.features(t), minlength=module.BUCKETS)
+        raw += n
+        if i in fitted:
+            (target if lowest[i] else reject)[:] += n
+    p = (raw + 0.001) / (raw + 0.001).sum()
+    q, bad = ((x + p * module.BUCKETS * module.SMOOTHING) / (x.sum() + module.BUCKETS * module.SMOOTHING) for x in (target, reject))
+    noise = {x["i"]: x["u"] for x in spark.createDataFrame([(i,) for i, _, _ in made], "i long").selectExpr("i", "(pmod(xxhash64('gumbel', coalesce(cast(i as string), '')), 4503599627370496) + 0.5) / 4503599627370496D as u").collect()}
+    expected, odds = [], []
+    for i, t, _ in made:
+        odds.append(np.clip(np.log(q / bad)[module.features(t)].sum(), -40, 40))
+        w = float(np.log(q / p)[module.features(t)].sum())
+        expected.append((str(i), round(w, 6), round(w - np.log(-np.log(noise[i])), 6)))
+    assert sorted((str(x["doc_id"]), round(x["log_weight"], 6), round(x["score"], 6)) for x in found) == sorted(expected)
+    share = 0.5
+    for _ in range(500):
+        share = float(np.mean([share * np.exp(x) / (share * np.exp(x) + 1 - share) for x in odds]))
+    k = sum(x["kept"] for x in found)
+    assert abs(k - share * len(made)) < 2
+    least = sorted((x["score"] for x in found), reverse=True)[k - 1]
+    assert all(x["kept"] == (x["score"] >= least) for x in found) and 250 < k < 400
+    by_weight = sorted((x["log_weight"] for x in found), reverse=True)[k - 1]
+    assert any(x["kept"] != (x["log_weight"] >= by_weight) for x in found)  # the noise decides some
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t {k}</title><style>p>a{{}}</style><script>if (a<b) document.write("</p>")</script></head><body>
