@@ -87,7 +87,6 @@ class FmIndex:
         self.origin, _ = self.wavelet.range(symbols, np.zeros(sigma, np.int64), np.zeros(sigma, np.int64))
         self.size = len(text)
         changed = np.concatenate([[True], np.diff(first) != 0])
-        self.group_start = np.flatnonzero(changed | np.concatenate([[True], np.diff(full[order]) != 0]))
         wider = changed | np.concatenate([[True], np.diff(shorter[order]) != 0])
         starts = np.flatnonzero(wider)
         ends = np.concatenate([starts[1:], [self.size]])
@@ -108,13 +107,18 @@ class FmIndex:
                 return 0, 0
         return int(lo[0]), int(hi[0])
 
-    def least(self, value: np.ndarray) -> np.ndarray:
-        """For each suffix, the least ``value`` of a sequence in which the suffix's first ``SPAN`` symbols occur."""
-        least = np.minimum.reduceat(value[self.owner], self.group_start)
-        return np.repeat(least, np.diff(np.concatenate([self.group_start, [self.size]])))
+    def least(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """For each interval of suffixes the least ``value`` of the sequences they are in; the largest number if it is empty."""
+        out = np.full(len(lo), np.iinfo(np.int64).max)
+        some = np.flatnonzero(lo < hi)
+        if len(some):
+            at = value[np.append(self.owner, 0)]  # an interval may end behind the last suffix
+            ends = np.stack([lo[some], hi[some]], axis=1).ravel()
+            out[some] = np.minimum.reduceat(at, ends)[::2]
+        return out
 
-    def stream(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Matching statistics cut at ``SPAN``: for every window of each sequence, the first suffix of its interval, or -1.
+    def stream(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Matching statistics cut at ``SPAN``: for every window of each sequence, its interval of suffixes (lo, hi), empty if it does not occur.
 
         All sequences are read from their ends at once.  After a whole window the
         interval is widened to its first ``SPAN - 1`` symbols, so that each further
@@ -124,7 +128,7 @@ class FmIndex:
         n = np.array([len(s) for s in sequences], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(n)])
         flat = np.concatenate([*sequences, np.empty(0, np.int64)]).astype(np.int64)
-        found = np.full(len(flat), -1, dtype=np.int64)
+        first, last = np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat), dtype=np.int64)
         lo, hi, length = np.zeros(len(n), np.int64), np.full(len(n), self.size), np.zeros(len(n), np.int64)
         for back in range(1, int(n.max(initial=0)) + 1):
             live = np.flatnonzero(n >= back)
@@ -145,5 +149,6 @@ class FmIndex:
             if back < SPAN:
                 length[live[lost]] = -1
             hit = live[length[live] == SPAN]
-            found[begin[hit + 1] - back] = lo[hit]
-        return [found[begin[k] : begin[k + 1] - SPAN + 1] if n[k] >= SPAN else found[:0] for k in range(len(n))]
+            first[begin[hit + 1] - back], last[begin[hit + 1] - back] = lo[hit], hi[hit]
+        windows = [slice(begin[k], max(begin[k], begin[k + 1] - SPAN + 1)) for k in range(len(n))]
+        return [(first[w], last[w]) for w in windows]

@@ -12,20 +12,31 @@ windows:
    Fingerprints that only one document has are left out.
 3. A run of windows with one fingerprint is a *region*.  A region goes to the
    shard of its fingerprint: its words once per task, and every place it
-   occurs at.  The shard indexes the distinct regions (BWT in a wavelet matrix)
-   and streams them through backward search; the interval of a window gives
-   the smallest document it occurs in.
-4. Places are streamed against that, after the index is built: a shard's places,
-   which may be many for a common passage, are never held together.
+   occurs at.  The shard indexes the distinct regions (BWT in a wavelet matrix);
+   regions are streamed through backward search, and the least document in a
+   window's interval of suffixes is the first that has the window.
+4. Places are streamed against that, after the index is built: a shard's places
+   are never held together.
 5. Word intervals return to the documents, which are cut and hashed.
 
-Blocks of places and fingerprints travel as packed arrays, a row per task and
-shard, not as a row each.
+A passage may be in any share of the documents.  Fingerprints with more than
+``HOT_SHARE`` of all entries count as shared without being dealt, and their
+windows are regions of their own, dealt over all shards by content.  Windows
+with more than ``HOT_SHARE`` of all get shards of their own, whose places are
+salted.  There are at most ``1 / HOT_SHARE`` of either, which bounds their
+broadcasts.  Parts of the documents and shards grow in number with the text, not
+in size.
 
-Null or short texts (below ``SPAN`` words) lose nothing.  Rows repeated with one
-id are one document: they do not remove each other's words, and each gets the
-intervals of its own text (told apart by a hash).  A null id is larger than
-every other.
+Blocks of places and fingerprints travel as packed arrays, a row per task and
+shard, not as a row each.  Words are compared as bytes inside a shard; a region
+is named by 128 bits of its words.
+
+Null or short texts (below ``SPAN`` words) lose nothing; texts of any length are
+read whole.  Of documents that share a window the smallest id keeps it; a
+document's own repeats stay.  Rows repeated with one id are one document: they
+do not remove each other's words, and each gets the intervals of its own text
+(told apart by a hash).  A null id is larger than every other.  An empty table
+gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +46,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,11 +62,15 @@ WINDOW = SPAN - GRAM + 1
 BLOCK = 400_000
 #: Fingerprint entries per shard, about.
 SHARD_ENTRIES = 600_000
+#: Text in one part of the documents.
+PART_BYTES = 64 << 20
+#: Share of the fingerprint entries, or of the windows, from which one is dealt out by itself.
+HOT_SHARE = 1e-5
 NULL_ID = (1 << 63) - 1
 
 PRINT = np.dtype([("print", "<u8"), ("key", "<i8")])
-PLACE = np.dtype([("region", "<u8"), ("key", "<i8"), ("row", "<u4"), ("at", "<i4")])
-SPAN_OF = np.dtype([("key", "<i8"), ("row", "<u4"), ("start", "<i4"), ("end", "<i4")])
+PLACE = np.dtype([("region", "S16"), ("key", "<i8"), ("row", "<u8"), ("at", "<i4")])
+SPAN_OF = np.dtype([("key", "<i8"), ("row", "<u8"), ("start", "<i4"), ("end", "<i4")])
 
 
 def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +84,11 @@ def bucketed(spark, df: DataFrame, buckets: int) -> DataFrame:
     name = f"netlattice_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/{name}"
     df.repartition(buckets, "key").write.option("compression", "zstd").option("path", path).bucketBy(buckets, "key").saveAsTable(name)
-    return spark.table(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files are read until the session ends
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return written
 
 
 def packed(kind: np.dtype, entries: np.ndarray, group: np.ndarray, names: tuple[str, str]) -> pa.RecordBatch:
@@ -101,14 +121,59 @@ def spread(key: np.ndarray, parts: int) -> np.ndarray:
     return (scramble(key.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def deal_prints(shards: int) -> Callable:
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, h, n): fingerprints (0) and windows (1) common in a task's chunk, and the numbers of all (2, 3)."""
+    only_caches(HASHES)
+    held, n = ([], []), [0, 0]
+
+    def out() -> pa.RecordBatch:
+        parts = [(2, np.zeros(1, np.int64), [n[0]]), (3, np.zeros(1, np.int64), [n[1]])]
+        for kind in (0, 1):
+            found, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
+            common = counts >= max(2, HOT_SHARE * n[kind] / 4)
+            parts.append((kind, found[common].view(np.int64), counts[common]))
+        columns = [np.concatenate([np.full(len(h), kind) for kind, h, _ in parts]), np.concatenate([h for _, h, _ in parts]), np.concatenate([c for _, _, c in parts])]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["kind", "h", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = ascii_words(text)
+            if len(words) < SPAN:
+                continue
+            hashes = HASHES.of(words)
+            best, grams = fingerprints(hashes)
+            for kind, some in ((0, np.unique(grams[best])), (1, np.unique(gram_hashes(hashes, SPAN)))):
+                held[kind].append(some)
+                n[kind] += len(some)
+            if n[1] >= 4_000_000:
+                yield out()
+                held, n = ([], []), [0, 0]
+    if n[1]:
+        yield out()
+
+
+def hot(texts: DataFrame) -> tuple[np.ndarray, dict[int, int], int]:
+    """Fingerprints, and windows with their counts, that have ``HOT_SHARE`` of all; and the number of fingerprint entries."""
+    counts = saved(texts.sparkSession, texts.select("text").mapInArrow(tally, "kind long, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "substring-hot")
+    total = {r["kind"] - 2: r["n"] for r in counts.where("kind > 1").collect()}
+    found: tuple[dict, dict] = ({}, {})
+    for kind in total:
+        for r in counts.where((F.col("kind") == kind) & (F.col("n") >= HOT_SHARE * total[kind])).collect():  # 1 / HOT_SHARE at most
+            found[kind][r["h"] & 0xFFFFFFFFFFFFFFFF] = r["n"]
+    return np.array(sorted(found[0]), dtype=np.uint64), found[1], total.get(0, 0)
+
+
+def deal_prints(shards: int, hot_prints) -> Callable:
+    """Fingerprints with the documents they are in, by fingerprint; a document's first hot one by document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_caches(HASHES)
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
             entries = distinct(np.concatenate(held))
-            return packed(PRINT, entries, spread(entries["print"].view(np.int64), shards), ("shard", "prints"))
+            by = np.where(np.isin(entries["print"], hot_prints.value), entries["key"], entries["print"].view(np.int64))
+            return packed(PRINT, entries, spread(by, shards), ("shard", "prints"))
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -116,21 +181,24 @@ def deal_prints(shards: int) -> Callable:
                 if len(words) < SPAN:
                     continue
                 best, grams = fingerprints(HASHES.of(words))
-                part = np.empty(len(at := np.unique(best)), dtype=PRINT)
-                part["print"], part["key"] = grams[at], key
+                found = np.unique(grams[best])
+                is_hot = np.isin(found, hot_prints.value)
+                found = np.concatenate([found[~is_hot], found[is_hot][:1]])  # one tells that a document has some
+                part = np.empty(len(found), dtype=PRINT)
+                part["print"], part["key"] = found, key
                 held.append(part)
                 n += len(part)
                 if n >= BLOCK:
                     yield out()
                     held, n = [], 0
-        if held:
+        if n:
             yield out()
 
     return run
 
 
-def shared_prints(parts: int) -> Callable:
-    """Fingerprints of two documents or more, regrouped by document."""
+def shared_prints(parts: int, hot_prints) -> Callable:
+    """Fingerprints of two documents or more, and hot ones, regrouped by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [unpacked(PRINT, x) for batch in batches for x in batch.column(1).to_pylist()]
@@ -139,7 +207,7 @@ def shared_prints(parts: int) -> Callable:
         entries = distinct(np.concatenate(held))
         new = np.concatenate([[True], entries["print"][1:] != entries["print"][:-1]])
         size = np.diff(np.concatenate([np.flatnonzero(new), [len(entries)]]))
-        entries = entries[np.repeat(size > 1, size)]
+        entries = entries[np.repeat(size > 1, size) | np.isin(entries["print"], hot_prints.value)]
         entries = entries[np.argsort(entries["key"], kind="stable")]
         for lo in range(0, len(entries), BLOCK):
             part = entries[lo : lo + BLOCK]
@@ -167,58 +235,70 @@ def by_key(kind: np.dtype) -> Callable:
 
 
 def row_hash(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text)
+    return xxhash.xxh3_64_intdigest(text)
+
 
+def deal_regions(shards: int, hot_prints, own_shards) -> Callable:
+    """Documents with their shared fingerprints -> (shard, kind 0: regions' words and smallest document | kind 1: places).
 
-def deal_regions(shards: int) -> Callable:
-    """Documents with their shared fingerprints -> (shard, kind 0: regions' words and smallest document | kind 1: places)."""
+    ``own_shards``: hot window -> its first shard and the number of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_caches(HASHES)
-        regions: dict[int, list] = {}  # region -> [shard, smallest key, words]
+        regions: dict[tuple[int, bytes], list] = {}  # shard and name of a region -> [smallest key, words]
         places, n = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            by_shard: dict[int, list[tuple[int, int, bytes]]] = {}
-            for region, (shard, key, words) in regions.items():
+            by_shard: dict[int, list[tuple[bytes, int, bytes]]] = {}
+            for (shard, region), (key, words) in regions.items():
                 by_shard.setdefault(shard, []).append((region, key, words))
             names = ["shard", "kind", "head", "body"]
             rows = []
             for shard, found in by_shard.items():
                 found.sort(key=lambda x: x[2])
-                head = np.array([x[0] for x in found], dtype="<u8").tobytes() + np.array([x[1] for x in found], dtype="<i8").tobytes()
+                head = b"".join(x[0] for x in found) + np.array([x[1] for x in found], dtype="<i8").tobytes()
                 rows.append((shard, 0, head, b"\n".join(x[2] for x in found)))
             entries = np.array(places, dtype=[("shard", "<i8"), *((f, PLACE[f]) for f in PLACE.names)])
-            entries.sort(order=["shard", "key", "at"])
+            entries = entries[np.lexsort((entries["at"], entries["key"], entries["shard"]))]
             for part in np.split(entries, np.flatnonzero(np.diff(entries["shard"])) + 1):
                 rows.append((int(part["shard"][0]), 1, b"", b"".join(np.ascontiguousarray(part[f]).tobytes() for f in PLACE.names)))
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
+        def placed(shard: int, key: int, row: int, at: int, body: bytes) -> int:
+            region = xxhash.xxh3_128_digest(body)
+            places.append((shard, region, key, row, at))
+            seen = regions.get((shard, region))
+            if seen is None:
+                regions[shard, region] = [key, body]
+                return 1 + len(body) // 16
+            seen[0] = min(key, seen[0])
+            return 1
+
         for batch in batches:
             for key, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = ascii_words(text)
                 if len(words) < SPAN:
                     continue
-                best, grams = fingerprints(HASHES.of(words))
+                hashes = HASHES.of(words)
+                best, grams = fingerprints(hashes)
                 starts = np.flatnonzero(np.concatenate([[True], np.diff(best) != 0]))
                 ends = np.concatenate([starts[1:], [len(best)]])
                 print_of = grams[best[starts]]
-                known = np.sort(np.frombuffer(shared, PRINT)["print"])
-                hit = known[np.minimum(np.searchsorted(known, print_of), len(known) - 1)] == print_of
+                hot_one = np.isin(print_of, hot_prints.value)
+                hit = ~hot_one & np.isin(print_of, np.frombuffer(shared, PRINT)["print"])
                 row = row_hash(text)
                 shard = spread(print_of[hit].view(np.int64), shards).tolist()
                 for s, lo, hi in zip(shard, starts[hit].tolist(), ends[hit].tolist(), strict=True):
-                    body = b" ".join(words[lo : hi + SPAN - 1])
-                    region = xxhash.xxh3_64_intdigest(body)
-                    seen = regions.get(region)
-                    if seen is None:
-                        regions[region] = [s, key, body]
-                        n += len(body) // 16
-                    elif key < seen[1]:
-                        seen[1] = key
-                    places.append((s, region, key, row, lo))
-                    n += 1
+                    n += placed(s, key, row, lo, b" ".join(words[lo : hi + SPAN - 1]))
+                if hot_one.any():
+                    windows = gram_hashes(hashes, SPAN)
+                    every = np.concatenate([np.arange(lo, hi) for lo, hi in zip(starts[hot_one], ends[hot_one], strict=True)])
+                    for s, h, at in zip(spread(windows[every].view(np.int64), shards).tolist(), windows[every].tolist(), every.tolist(), strict=True):
+                        if own := own_shards.value.get(h):
+                            s = own[0] + int(spread(np.array([key]), own[1])[0])
+                        n += placed(s, key, row, at, b" ".join(words[at : at + SPAN]))
                 if n >= BLOCK:
                     yield from out()
                     regions.clear()
@@ -239,12 +319,11 @@ class Shard:
         self.names, least = names[new], keys[new]
         bodies = [bodies[order[i]] for i in new]
         n = np.array([b.count(b" ") + 1 for b in bodies])
-        # words are told apart by their hash here as everywhere; symbols are dense, 0 is left free
-        symbols, flat = np.unique(HASHES.of(b" ".join(bodies).split(b" ")), return_inverse=True)
+        # words are told apart by their bytes; symbols are dense, 0 is left free
+        flat, symbols = pd.factorize(np.array(b" ".join(bodies).split(b" "), dtype=object))
         sequences = np.split(flat + 1, np.cumsum(n)[:-1])
         index = FmIndex(sequences, len(symbols) + 1)
-        first = index.least(least)
-        self.least = [first[x] for x in index.stream(sequences)]
+        self.least = [index.least(lo, hi, least) for lo, hi in index.stream(sequences)]
         self.windows = n - SPAN + 1
         every, starts = np.concatenate(self.least), np.cumsum(self.windows) - self.windows
         self.low, self.high = np.minimum.reduceat(every, starts), np.maximum.reduceat(every, starts)
@@ -286,7 +365,7 @@ def search(parts: int) -> Callable:
                     regions.append((head, body))
                     continue
                 if index is None:
-                    heads = [(np.frombuffer(h, "<u8", len(h) // 16), np.frombuffer(h, "<i8", len(h) // 16, len(h) // 2)) for h, _ in regions]
+                    heads = [(np.frombuffer(h, "S16", len(h) // 24), np.frombuffer(h, "<i8", len(h) // 24, len(h) // 24 * 16)) for h, _ in regions]
                     index = Shard(np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads]), [x for _, b in regions for x in b.split(b"\n")])
                     regions = []
                 spans = index.spans(unpacked(PLACE, body))
@@ -328,15 +407,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    parts = width(spark)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(width(spark), chars // PART_BYTES + 1)
     texts = bucketed(spark, rows, parts)
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(parts, chars // (28 * SHARD_ENTRIES) + 1)  # a fingerprint every 28 bytes of text, about
-
-    prints = texts.select("key", "text").mapInArrow(deal_prints(shards), "shard long, prints binary").repartition(shards, "shard")
-    shared = prints.mapInArrow(shared_prints(parts), "part long, prints binary").repartition(parts, "part")
+    prints, windows, entries = hot(texts)
+    shards = max(width(spark), entries // SHARD_ENTRIES + 1)
+    hot_prints, own, n_shards = spark.sparkContext.broadcast(prints), {}, shards
+    for h, n in windows.items():
+        own[h] = (n_shards, n // SHARD_ENTRIES + 1)
+        n_shards += own[h][1]
+    own_shards = spark.sparkContext.broadcast(own)
+
+    prints = texts.select("key", "text").mapInArrow(deal_prints(shards, hot_prints), "shard long, prints binary").repartition(shards, "shard")
+    shared = prints.mapInArrow(shared_prints(parts, hot_prints), "part long, prints binary").repartition(parts, "part")
     shared = shared.mapInArrow(by_key(PRINT), "key long, entries binary")
-    regions = texts.join(shared, "key").select("key", "text", "entries").mapInArrow(deal_regions(shards), "shard long, kind int, head binary, body binary")
+    regions = texts.join(shared, "key").select("key", "text", "entries").mapInArrow(deal_regions(shards, hot_prints, own_shards), "shard long, kind int, head binary, body binary")
     regions = regions.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     spans = regions.mapInArrow(search(parts), "part long, spans binary").repartition(parts, "part")
     spans = spans.mapInArrow(by_key(SPAN_OF), "key long, entries binary")

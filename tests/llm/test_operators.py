@@ -186,7 +186,13 @@ def test_chunk_ids_equal_the_tokenizer():
         assert np.frombuffer(ids.of(text), ids.kind).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize("share", [1e-5, 0.002, 1.0])
+def test_substring_dedup(docs, rows, empty, monkeypatch, share):
+    from netlattice.llm import substring as module
+
+    monkeypatch.setattr(module, "HOT_SHARE", share)  # from nearly all fingerprints and windows hot to none
+    monkeypatch.setattr(module, "SHARD_ENTRIES", 2_000 if share < 1 else 600_000)
+    tables = docs.sparkSession.catalog.listTables()
     first = {}
     for i, t in rows:
         w = split(t)
@@ -203,6 +209,7 @@ def test_substring_dedup(docs, rows, empty):
         expected.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
     assert collected(substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept") == sorted(expected)
     assert substring_dedup(empty).count() == 0
+    assert docs.sparkSession.catalog.listTables() == tables
 
 
 def test_substring_dedup_of_repeated_ids(spark):
@@ -225,14 +232,14 @@ def test_fm_index_against_scanning():
         some = [np.array([r.randint(1, 2) for _ in range(r.randint(SPAN, 40))]) for _ in range(6)]
         index = FmIndex(some, 4)
         value = np.array([r.randint(0, 100) for _ in some])
-        least = index.least(value)
         asked = [np.array([r.randint(1, 2 + (k % 2)) for _ in range(60)]) for k in range(4)] + [np.concatenate(some[:3])] + some
-        for s, found in zip(asked, index.stream(asked), strict=True):
+        for s, (lo, hi) in zip(asked, index.stream(asked), strict=True):
+            least = index.least(lo, hi, value)
             for i in range(len(s) - SPAN + 1):
                 w = tuple(s[i : i + SPAN])
                 hit = [value[k] for k, b in enumerate(some) for j in range(len(b) - SPAN + 1) if tuple(b[j : j + SPAN]) == w]
-                assert (found[i] >= 0) == bool(hit)
-                assert not hit or least[found[i]] == min(hit)
+                assert hi[i] - lo[i] == len(hit)
+                assert not hit or least[i] == min(hit)
         lo, hi = index.interval(some[0][:5])
         assert hi - lo == sum(tuple(b[j : j + 5]) == tuple(some[0][:5]) for b in some for j in range(len(b) - 4))
 
