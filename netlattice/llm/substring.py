@@ -19,12 +19,12 @@ windows:
    are never held together.
 5. Word intervals return to the documents, which are cut and hashed.
 
-A passage may be in any share of the documents.  Fingerprints with more than
-``HOT_SHARE`` of all entries count as shared without being dealt, and their
-windows are regions of their own, dealt over all shards by content.  Windows
-with more than ``HOT_SHARE`` of all get shards of their own, whose places are
-salted.  There are at most ``1 / HOT_SHARE`` of either, which bounds their
-broadcasts.  Parts of the documents and shards grow in number with the text, not
+A passage may be in any share of the documents.  Fingerprints that alone would
+fill a shard (``SHARD_ENTRIES``, and ``HOT_SHARE`` of all entries) count as shared
+without being dealt, and their windows are regions of their own, dealt over all
+shards by content.  Windows that would fill one get shards of their own, whose
+places are salted.  There are at most ``1 / HOT_SHARE`` of either, which bounds
+their broadcasts.  Parts of the documents and shards grow in number with the text, not
 in size.
 
 Blocks of places and fingerprints travel as packed arrays, a row per task and
@@ -44,6 +44,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -121,50 +122,81 @@ def spread(key: np.ndarray, parts: int) -> np.ndarray:
     return (scramble(key.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, h, n): fingerprints (0) and windows (1) common in a task's chunk, and the numbers of all (2, 3)."""
-    only_caches(HASHES)
-    held, n = ([], []), [0, 0]
+def prints_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Fingerprint entries of a batch (key, text), many documents at a time; a print may repeat in a document."""
+    keys, lists, n = [], [], 0
+
+    def out() -> np.ndarray:
+        hashes = HASHES.of(list(chain.from_iterable(lists)))
+        sizes = np.array([len(x) for x in lists])
+        ends = np.cumsum(sizes)
+        best, grams = fingerprints(hashes)
+        inside = np.arange(len(best)) + SPAN <= np.repeat(ends, sizes)[: len(best)]  # windows of one document
+        at = np.unique(best[inside])
+        entries = np.empty(len(at), dtype=PRINT)
+        entries["print"], entries["key"] = grams[at], np.array(keys)[np.searchsorted(ends, at, side="right")]
+        return entries
+
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        words = ascii_words(text)
+        if len(words) < SPAN:
+            continue
+        keys.append(key)
+        lists.append(words)
+        n += len(words)
+        if n >= 50_000:
+            yield out()
+            keys, lists, n = [], [], 0
+    if n:
+        yield out()
 
-    def out() -> pa.RecordBatch:
-        parts = [(2, np.zeros(1, np.int64), [n[0]]), (3, np.zeros(1, np.int64), [n[1]])]
-        for kind in (0, 1):
-            found, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
-            common = counts >= max(2, HOT_SHARE * n[kind] / 4)
-            parts.append((kind, found[common].view(np.int64), counts[common]))
-        columns = [np.concatenate([np.full(len(h), kind) for kind, h, _ in parts]), np.concatenate([h for _, h, _ in parts]), np.concatenate([c for _, _, c in parts])]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["kind", "h", "n"])
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            words = ascii_words(text)
-            if len(words) < SPAN:
-                continue
+def windows_in(batch: pa.RecordBatch, hot_prints: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the windows with a hot fingerprint."""
+    for text in batch.column(1).to_pylist():
+        words = ascii_words(text)
+        if len(words) >= SPAN:
             hashes = HASHES.of(words)
             best, grams = fingerprints(hashes)
-            for kind, some in ((0, np.unique(grams[best])), (1, np.unique(gram_hashes(hashes, SPAN)))):
-                held[kind].append(some)
-                n[kind] += len(some)
-            if n[1] >= 4_000_000:
-                yield out()
-                held, n = ([], []), [0, 0]
-    if n[1]:
-        yield out()
+            yield gram_hashes(hashes, SPAN)[np.isin(grams[best], hot_prints)]
+
+
+def tallied(values: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
+    """(key, text) -> (every, h, n): values common in a task's chunk, and a row with the number of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches(HASHES)
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate(held), return_counts=True)
+            common = counts >= max(2, HOT_SHARE * n / 4)
+            found, counts = found[common].view(np.int64), counts[common]
+            return pa.RecordBatch.from_arrays([pa.array([False] * len(found) + [True]), pa.array(np.append(found, 0)), pa.array(np.append(counts, n))], names=["every", "h", "n"])
+
+        for batch in batches:
+            for some in values(batch):
+                held.append(some)
+                n += len(some)
+                if n >= 4_000_000:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    return run
 
 
-def hot(texts: DataFrame) -> tuple[np.ndarray, dict[int, int], int]:
-    """Fingerprints, and windows with their counts, that have ``HOT_SHARE`` of all; and the number of fingerprint entries."""
-    counts = saved(texts.sparkSession, texts.select("text").mapInArrow(tally, "kind long, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")), "substring-hot")
-    total = {r["kind"] - 2: r["n"] for r in counts.where("kind > 1").collect()}
-    found: tuple[dict, dict] = ({}, {})
-    for kind in total:
-        for r in counts.where((F.col("kind") == kind) & (F.col("n") >= HOT_SHARE * total[kind])).collect():  # 1 / HOT_SHARE at most
-            found[kind][r["h"] & 0xFFFFFFFFFFFFFFFF] = r["n"]
-    return np.array(sorted(found[0]), dtype=np.uint64), found[1], total.get(0, 0)
+def hot(texts: DataFrame, values: Callable) -> tuple[dict[int, int], int]:
+    """Values that would fill a shard, with their counts, and the number of all."""
+    counts = saved(texts.sparkSession, texts.select("key", "text").mapInArrow(tallied(values), "every boolean, h long, n long").groupBy("every", "h").agg(F.sum("n").alias("n")), "substring-hot")
+    total = (counts.where("every").first() or {"n": 0})["n"]
+    rows = counts.where(~F.col("every") & (F.col("n") >= max(HOT_SHARE * total, SHARD_ENTRIES))).collect()  # 1 / HOT_SHARE at most
+    return {r["h"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}, total
 
 
 def deal_prints(shards: int, hot_prints) -> Callable:
-    """Fingerprints with the documents they are in, by fingerprint; a document's first hot one by document."""
+    """Fingerprints with the documents they are in, by fingerprint; hot ones only tell that a document has some, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_caches(HASHES)
@@ -172,22 +204,17 @@ def deal_prints(shards: int, hot_prints) -> Callable:
 
         def out() -> pa.RecordBatch:
             entries = distinct(np.concatenate(held))
-            by = np.where(np.isin(entries["print"], hot_prints.value), entries["key"], entries["print"].view(np.int64))
+            is_hot = np.isin(entries["print"], hot_prints.value)
+            marks = entries[is_hot]
+            entries = np.concatenate([entries[~is_hot], marks[np.unique(marks["key"], return_index=True)[1]]])
+            is_hot = np.isin(entries["print"], hot_prints.value)
+            by = np.where(is_hot, entries["key"], entries["print"].view(np.int64))
             return packed(PRINT, entries, spread(by, shards), ("shard", "prints"))
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = ascii_words(text)
-                if len(words) < SPAN:
-                    continue
-                best, grams = fingerprints(HASHES.of(words))
-                found = np.unique(grams[best])
-                is_hot = np.isin(found, hot_prints.value)
-                found = np.concatenate([found[~is_hot], found[is_hot][:1]])  # one tells that a document has some
-                part = np.empty(len(found), dtype=PRINT)
-                part["print"], part["key"] = found, key
-                held.append(part)
-                n += len(part)
+            for some in prints_in(batch):
+                held.append(some)
+                n += len(some)
                 if n >= BLOCK:
                     yield out()
                     held, n = [], 0
@@ -241,7 +268,7 @@ def row_hash(text: bytes) -> int:
 def deal_regions(shards: int, hot_prints, own_shards) -> Callable:
     """Documents with their shared fingerprints -> (shard, kind 0: regions' words and smallest document | kind 1: places).
 
-    ``own_shards``: hot window -> its first shard and the number of them.
+    ``own_shards``: hot window -> its shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,15 +293,18 @@ def deal_regions(shards: int, hot_prints, own_shards) -> Callable:
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        def placed(shard: int, key: int, row: int, at: int, body: bytes) -> int:
-            region = xxhash.xxh3_128_digest(body)
-            places.append((shard, region, key, row, at))
-            seen = regions.get((shard, region))
-            if seen is None:
-                regions[shard, region] = [key, body]
-                return 1 + len(body) // 16
-            seen[0] = min(key, seen[0])
-            return 1
+        def placed(of: range, which: int, key: int, row: int, at: int, body: bytes) -> int:
+            """The region is known in all shards ``of``, the place in one of them; returns about how many entries that makes."""
+            region, made = xxhash.xxh3_128_digest(body), 1
+            places.append((of[which], region, key, row, at))
+            for shard in of:
+                seen = regions.get((shard, region))
+                if seen is None:
+                    regions[shard, region] = [key, body]
+                    made += len(body) // 16
+                else:
+                    seen[0] = min(key, seen[0])
+            return made
 
         for batch in batches:
             for key, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -291,14 +321,13 @@ def deal_regions(shards: int, hot_prints, own_shards) -> Callable:
                 row = row_hash(text)
                 shard = spread(print_of[hit].view(np.int64), shards).tolist()
                 for s, lo, hi in zip(shard, starts[hit].tolist(), ends[hit].tolist(), strict=True):
-                    n += placed(s, key, row, lo, b" ".join(words[lo : hi + SPAN - 1]))
+                    n += placed(range(s, s + 1), 0, key, row, lo, b" ".join(words[lo : hi + SPAN - 1]))
                 if hot_one.any():
                     windows = gram_hashes(hashes, SPAN)
                     every = np.concatenate([np.arange(lo, hi) for lo, hi in zip(starts[hot_one], ends[hot_one], strict=True)])
                     for s, h, at in zip(spread(windows[every].view(np.int64), shards).tolist(), windows[every].tolist(), every.tolist(), strict=True):
-                        if own := own_shards.value.get(h):
-                            s = own[0] + int(spread(np.array([key]), own[1])[0])
-                        n += placed(s, key, row, at, b" ".join(words[at : at + SPAN]))
+                        of = own_shards.value.get(h, range(s, s + 1))
+                        n += placed(of, int(spread(np.array([key]), len(of))[0]), key, row, at, b" ".join(words[at : at + SPAN]))
                 if n >= BLOCK:
                     yield from out()
                     regions.clear()
@@ -410,12 +439,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(width(spark), chars // PART_BYTES + 1)
     texts = bucketed(spark, rows, parts)
-    prints, windows, entries = hot(texts)
+    prints, entries = hot(texts, lambda batch: (some["print"] for some in prints_in(batch)))
+    prints = np.array(sorted(prints), dtype=np.uint64)
+    windows = hot(texts, lambda batch: windows_in(batch, prints))[0] if len(prints) else {}  # no window is in more documents than its fingerprint
     shards = max(width(spark), entries // SHARD_ENTRIES + 1)
     hot_prints, own, n_shards = spark.sparkContext.broadcast(prints), {}, shards
     for h, n in windows.items():
-        own[h] = (n_shards, n // SHARD_ENTRIES + 1)
-        n_shards += own[h][1]
+        own[h] = range(n_shards, n_shards + n // SHARD_ENTRIES + 1)
+        n_shards = own[h].stop
     own_shards = spark.sparkContext.broadcast(own)
 
     prints = texts.select("key", "text").mapInArrow(deal_prints(shards, hot_prints), "shard long, prints binary").repartition(shards, "shard")
