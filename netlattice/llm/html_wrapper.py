@@ -13,23 +13,35 @@ Every task folds its pages into one wrapper per host; those are merged in two
 steps, by host and salt, then by host, so that no host's pages meet in a task.
 All pages of a host take part, and what is held is the wrapper, not the pages.
 
-Tag, role, class and id rules decide first: a page's own ``article`` elements
-(else ``main``) are its content.  Only pages with neither are read through
-their host's wrapper, in the block that holds most of the varying text that is
-not links.  Slots, optional and repeated parts do not filter text inside the
-content, so boilerplate there that no rule names stays in.  Elements that are menus, headers, footers, sidebars,
-notices, adverts, forms or comments by name, role, class or id are not.
+What a host's wrapper says counts once ``SUPPORT`` different pages stand behind
+it (identical pages are one).  Then
+
+* the content is the block that holds most of the text that varies and is not in
+  links, or the ``article`` or ``main`` around it;
+* parts that are the same on all pages that have them carry no weight in that,
+  and inside the content they go if they hold a link (share bars, teasers, notes
+  on the site).  Constant text without links stays: it may be a heading.
+
+Where fewer pages are known, outermost ``article`` and ``main`` elements are the
+content, else the block with most text.  Elements whose tag, role or whole class
+or id name says menu, sidebar, notice, advert, form, script or comments are no
+content anywhere; page headers and footers neither, but a header inside an
+article or main is part of it.
 
 Wrappers are broadcast only if their measured size is at most
 ``BROADCAST_CHARS``; else pages are joined with them by host and salt.
 
 Null or empty html gives an empty text.  Null or odd URLs share one wrapper.
-Unclosed and stray tags are repaired; a page without tags is all text.
-Repeated rows are each returned.
+Unclosed and stray tags are repaired; a page without tags is all text.  Pages of
+any length and nesting are read whole; long child lists are aligned at keys that
+are unique in both, so that no page costs more than its length, about.  Of blocks
+with equal weight the first counts.  Repeated rows are each returned, and an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
@@ -66,10 +78,12 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 FENCES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote tr ul ol dl table".split())
 NOT_TEXT = frozenset("head script style nav header footer aside form noscript iframe svg canvas button select textarea input template dialog menu title object audio video map math".split())
-#: Words in a class or id that name what is not the article.
-NOT_TEXT_WORDS = frozenset("ad ads adv advert advertisement adverts advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments commentlist respond replies disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget pagination pager toolbar skip".split())
-#: Those that count for an ``article`` too, which is content otherwise whatever its classes say.
-NOT_ARTICLE_WORDS = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended teaser widget".split())
+#: Class or id names that say by themselves what is not the article; whole names only: "share-price" is no share bar.
+NOT_TEXT_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsored promo comment comments comment-list commentlist replies respond disqus_thread cookie-notice cookie-banner cookie-consent notice notices popup modal newsletter sidebar breadcrumb breadcrumbs nav navbar navigation menu footer masthead pagination share-buttons social-share related-posts".split())
+#: Pages that must stand behind what a wrapper says.
+SUPPORT = 4
+#: Pairs of children that are compared one by one.
+COMPARED = 250_000
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar note".split())
 WORD = re.compile(r"[a-z]+")
 
@@ -77,18 +91,23 @@ WORD = re.compile(r"[a-z]+")
 class Node:
     """Element, text slot (key "#") or group (key in parentheses) of a wrapper."""
 
-    __slots__ = ("key", "low", "many", "chars", "links", "text", "children", "into")
+    __slots__ = ("key", "low", "many", "chars", "links", "text", "pages", "children")
 
-    def __init__(self, key: str, children: list[Node] | None = None, low: int = 1, many: bool = False, chars: int = 0, links: int = 0, text: int | None = None) -> None:
+    def __init__(self, key: str, children: list[Node] | None = None, low: int = 1, many: bool = False, chars: int = 0, links: int = 0, text: int | None = None, pages: tuple[int, ...] = ()) -> None:
         self.key, self.children, self.low, self.many = key, children or [], low, many
-        self.chars, self.links, self.text = chars, links, text  # text: hash of a text that never varied
-        self.into: Node | None = None
+        self.chars, self.links, self.text = chars, links, text  # text: hash of all text inside, if it never varied
+        self.pages = pages  # the least hashes of pages that have it, SUPPORT at most
 
-    def now(self) -> Node:
-        node = self
-        while node.into is not None:
-            node = node.into
-        return node
+    def joins(self, other: Node) -> None:
+        """Counts of another node become part of this one's."""
+        self.chars, self.links = self.chars + other.chars, self.links + other.links
+        if self.text != other.text:
+            self.text = None
+        if self.pages != other.pages:
+            self.pages = tuple(sorted({*self.pages, *other.pages})[:SUPPORT])
+
+    def constant(self) -> bool:
+        return self.text is not None and len(self.pages) >= SUPPORT
 
     def every(self) -> list[Node]:
         """The subtree's nodes, parents first, children in order."""
@@ -101,17 +120,17 @@ class Node:
 
     def packed(self) -> list:
         """Flat, for trees may be deep: nodes, parents first, each with its number of children."""
-        return [[n.key, n.low, n.many, n.chars, n.links, n.text, len(n.children)] for n in self.every()]
+        return [[n.key, n.low, n.many, n.chars, n.links, n.text, n.pages, len(n.children)] for n in self.every()]
 
     @staticmethod
     def unpacked(rows: list) -> Node:
         root = Node("")
         todo = [(root, 1)]
-        for key, low, many, chars, links, text, n in rows:
+        for key, low, many, chars, links, text, pages, n in rows:
             parent, left = todo.pop()
             if left > 1:
                 todo.append((parent, left - 1))
-            node = Node(key, None, low, many, chars, links, text)
+            node = Node(key, None, low, many, chars, links, text, tuple(pages))
             parent.children.append(node)
             if n:
                 todo.append((node, n))
@@ -156,12 +175,9 @@ def merge(a: Node, b: Node) -> None:
 
 def merging(a: Node, b: Node) -> Step:
     a.low, a.many = min(a.low, b.low), a.many or b.many
-    a.chars, a.links = a.chars + b.chars, a.links + b.links
-    if a.text != b.text:
-        a.text = None
+    a.joins(b)
     if a.children or b.children:
         a.children = yield aligning(a.children, b.children)
-    b.into = a
 
 
 def fold(nodes: list[Node]) -> list[Node]:
@@ -199,28 +215,77 @@ def folding(nodes: list[Node]) -> Step:
 
 
 def matches(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
-    """A longest common subsequence of keys."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head].key == b[head].key:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail].key == b[-1 - tail].key:
-        tail += 1
-    x, y = [n.key for n in a[head : len(a) - tail]], [n.key for n in b[head : len(b) - tail]]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    pairs, i, j = [(k, k) for k in range(head)], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            pairs.append((head + i, head + j))
+    """A common subsequence of keys: a longest one, or for long lists one through the keys unique in both."""
+    x, y = [n.key for n in a], [n.key for n in b]
+    found, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, iend, j, jend = todo.pop()
+        while i < iend and j < jend and x[i] == y[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+        while i < iend and j < jend and x[iend - 1] == y[jend - 1]:
+            iend, jend = iend - 1, jend - 1
+            found.append((iend, jend))
+        if (iend - i) * (jend - j) <= COMPARED:
+            found += longest_common(x, y, i, iend, j, jend)
+            continue
+        once = [{k: at for at, k in enumerate(z[lo:hi], lo) if n[k] == 1} for z, lo, hi in ((x, i, iend), (y, j, jend)) for n in [Counter(z[lo:hi])]]
+        anchors = rising([(at, once[1][k]) for k, at in once[0].items() if k in once[1]])
+        if not anchors:
+            found += greedy(x, y, i, iend, j, jend)
+            continue
+        found += anchors
+        for (p, q), (r, t) in zip([(i - 1, j - 1), *anchors], [*anchors, (iend, jend)], strict=True):
+            todo.append((p + 1, r, q + 1, t))
+    return sorted(found)
+
+
+def longest_common(x: list[str], y: list[str], i: int, iend: int, j: int, jend: int) -> list[tuple[int, int]]:
+    best = [[0] * (jend - j + 1) for _ in range(iend - i + 1)]
+    for p in range(iend - 1, i - 1, -1):
+        for q in range(jend - 1, j - 1, -1):
+            best[p - i][q - j] = best[p - i + 1][q - j + 1] + 1 if x[p] == y[q] else max(best[p - i + 1][q - j], best[p - i][q - j + 1])
+    pairs, p, q = [], i, j
+    while p < iend and q < jend:
+        if x[p] == y[q]:
+            pairs.append((p, q))
+            p, q = p + 1, q + 1
+        elif best[p - i + 1][q - j] >= best[p - i][q - j + 1]:
+            p += 1
         else:
-            j += 1
-    return pairs + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+            q += 1
+    return pairs
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of the pairs (first parts rise) whose second parts rise too."""
+    tops: list[int] = []  # index of the pair that ends the best chain of each length
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, q) in enumerate(pairs):
+        at = bisect.bisect_left(ends, q)
+        before.append(tops[at - 1] if at else -1)
+        tops[at : at + 1], ends[at : at + 1] = [k], [q]
+    chain, k = [], tops[-1] if tops else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = before[k]
+    return chain[::-1]
+
+
+def greedy(x: list[str], y: list[str], i: int, iend: int, j: int, jend: int) -> list[tuple[int, int]]:
+    """Each key with its next place on the other side."""
+    places: dict[str, list[int]] = {}
+    for q in range(j, jend):
+        places.setdefault(y[q], []).append(q)
+    pairs = []
+    for p in range(i, iend):
+        at = places.get(x[p], [])
+        k = bisect.bisect_left(at, j)
+        if k < len(at):
+            pairs.append((p, at[k]))
+            j = at[k] + 1
+    return pairs
 
 
 def aligning(a: list[Node], b: list[Node]) -> Step:
@@ -239,38 +304,33 @@ def aligning(a: list[Node], b: list[Node]) -> Step:
 
 
 class Element:
-    """An element of one page; ``node`` is its place in the page's own wrapper."""
+    """An element of one page."""
 
-    __slots__ = ("tag", "content", "dropped", "node", "role", "named")
+    __slots__ = ("tag", "content", "dropped", "key", "named", "inside")
 
-    def __init__(self, tag: str, dropped: bool, role: str, by_name: bool = False) -> None:
-        self.tag, self.content, self.dropped, self.role = tag, [], dropped, role
-        self.named = by_name  # dropped for a word in its class or id only
-        self.node: Node | None = None
+    def __init__(self, tag: str, key: str = "", dropped: bool = False, by_name: bool = False, inside: bool = False) -> None:
+        self.tag, self.content, self.key, self.dropped = tag, [], key, dropped
+        self.named = by_name  # dropped for its class or id only
+        self.inside = inside  # an article or main, or in one
 
 
-def named(tag: str, attrs: str) -> tuple[str, bool, str, bool]:
-    """Wrapper key of an element, whether it is no content by itself, its role, and whether only a class or id says so."""
+def named(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """Wrapper key of an element, whether it is no content by itself, and whether only a class or id says so."""
     if not attrs or attrs.isspace():
-        return tag, tag in NOT_TEXT, "", False
+        return tag, tag in NOT_TEXT, False
     found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTR.findall(attrs)}
     if not found:
-        return tag, tag in NOT_TEXT, "", False
-    words = WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())
-    role = found.get("role", "").lower()
+        return tag, tag in NOT_TEXT, False
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    hard = tag in NOT_TEXT or bool(hidden) or role in NOT_TEXT_ROLES
-    if tag == "article":  # whole names only: "ad-free" is no advert
-        by_name = not hard and not NOT_ARTICLE_WORDS.isdisjoint(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
-    else:
-        by_name = not hard and tag not in ("html", "body", "main") and not NOT_TEXT_WORDS.isdisjoint(words)
-    return ".".join([tag, *sorted(set(words))]), hard or by_name, role, by_name
+    hard = tag in NOT_TEXT or bool(hidden) or found.get("role", "").lower() in NOT_TEXT_ROLES
+    by_name = not hard and tag not in ("html", "body", "main") and not NOT_TEXT_NAMES.isdisjoint(names.split())
+    return ".".join([tag, *sorted(set(WORD.findall(names)))]), hard or by_name, by_name
 
 
 def parsed(page: str) -> Element:
-    """The page's tree, each element with its node."""
-    root = Element("", False, "")
-    root.node = Node("")
+    """The page's tree."""
+    root = Element("")
     stack, keys = [root], [""]
     opened = Counter()  # names on the stack
 
@@ -307,13 +367,15 @@ def parsed(page: str) -> Element:
             if (i := next((i for i in range(low + 1, len(keys)) if keys[i] in CLOSES[tag]), 0)) > 0:
                 close(i)
         attrs = m["attrs"] if m["tag"] else m["attrs2"]
-        key, dropped, role, by_name = named(tag, attrs)
-        element = Element(tag, dropped, role, by_name)
-        if tag in ("article", "main") and not dropped:  # a frame around the content, e.g. "with-sidebar"
-            for outer in stack:
-                if outer.named and outer.tag != "article" and "comment" not in outer.node.key:
-                    outer.dropped = False
-        element.node = Node(key)
+        key, dropped, by_name = named(tag, attrs)
+        outer = stack[-1]
+        if tag == "header" and outer.inside:  # an article's own, with its title
+            dropped = by_name
+        element = Element(tag, key, dropped, by_name, outer.inside or tag in ("article", "main") and not dropped)
+        if tag in ("article", "main") and not dropped:  # a frame around the content
+            for frame in stack:
+                if frame.named and frame.tag != "article" and "comment" not in frame.key:
+                    frame.dropped = False
         stack[-1].content.append(element)
         if tag in VOID or attrs.endswith("/") and tag not in INLINE | CLOSES_P:
             continue
@@ -330,27 +392,39 @@ def parsed(page: str) -> Element:
     return root
 
 
-def shaped(element: Element, link: bool = False) -> Node:
-    """Fills and folds the element's node from its content; void and dropped elements stay leaves."""
+def shaped(element: Element, page: int = 0) -> Node:
+    """The element's wrapper: a node for each element and text, repeats folded; void and dropped elements are leaves.
+
+    ``page``: a hash that tells the page from others.
+    """
+    top = Node(element.key, pages=(page,))
     filled: list[tuple[Node, list[Node]]] = []
-    todo = [(element, link)]
+    todo = [(element, top, False)]
     while todo:
-        at, link = todo.pop()
+        at, node, link = todo.pop()
         children: list[Node] = []
         for x in at.content:
             if isinstance(x, str):
                 if x.isspace():
                     continue
                 n = len(x)
-                children.append(Node("#", chars=0 if link else n, links=n if link else 0, text=xxhash.xxh32_intdigest(x)))
+                children.append(Node("#", chars=0 if link else n, links=n if link else 0, text=xxhash.xxh32_intdigest(x), pages=(page,)))
             elif x.tag not in VOID:
-                children.append(x.node)
+                child = Node(x.key, pages=(page,))
+                children.append(child)
                 if not x.dropped:
-                    todo.append((x, link or x.tag == "a"))
-        filled.append((at.node, children))
+                    todo.append((x, child, link or x.tag == "a"))
+        filled.append((node, children))
     for node, children in reversed(filled):  # what is inside comes first
+        if children:
+            node.text = hashes_joined([(c.key, c.text) for c in children])
+            node.links = sum(c.links for c in children)
         node.children = fold(children)
-    return element.node
+    return top
+
+
+def hashes_joined(parts: list[tuple[str, int | None]]) -> int:
+    return xxhash.xxh32_intdigest(repr(parts))
 
 
 def weights(root: Node) -> dict[int, int]:
@@ -359,8 +433,8 @@ def weights(root: Node) -> dict[int, int]:
     varies = any(n.key == "#" and n.text is None and n.chars for n in nodes)
     found: dict[int, int] = {}
     for n in reversed(nodes):
-        own = n.chars if not varies or n.key == "#" and n.text is None else 0
-        found[id(n)] = own + sum(found[id(c)] for c in n.children)
+        own = n.chars if n.key == "#" and (not varies or n.text is None) else 0
+        found[id(n)] = 0 if varies and n.constant() else own + sum(found[id(c)] for c in n.children)
     return found
 
 
@@ -368,28 +442,46 @@ def tag_of(node: Node) -> str:
     return node.key.partition(".")[0]
 
 
-def densest(wrapper: Node) -> list[Node]:
-    """Path to the block that holds most of the text: into the child with the larger part as long as there is one."""
+def inner(node: Node) -> list[Node]:
+    """Children, those of groups as well."""
+    return [c for x in node.children for c in (x.children if x.key.startswith("(") else [x])]
+
+
+def densest(wrapper: Node) -> list[str]:
+    """Keys on the way to the block that holds most of the text: into the child with the larger part as long as there is one."""
     weigh = weights(wrapper)
     path, node = [], wrapper
     while True:
-        inner = [c for x in node.children for c in (x.children if x.key.startswith("(") else [x]) if c.key != "#" and tag_of(c) not in LEAF | INLINE]
-        child = max(inner, key=lambda c: weigh[id(c)], default=None)
+        blocks = [c for c in inner(node) if c.key != "#" and tag_of(c) not in LEAF | INLINE]
+        child = max(blocks, key=lambda c: weigh[id(c)], default=None)
         if child is None or weigh[id(child)] < 0.6 * weigh[id(node)] or not weigh[id(child)]:
             return path
-        path.append(child)
+        path.append(child.key)
         node = child
 
 
-def dense_root(page: Node, path: list[Node]) -> Node:
-    """The page's node that the end of the wrapper's path stands for."""
-    node = page
-    for step in path:
-        child = next((c for x in node.children for c in (x.children if x.key.startswith("(") else [x]) if c.key == step.key), None)
-        if child is None:
-            return node
-        node = child
-    return node
+def furniture(wrapper: Node) -> set[tuple[str, int]]:
+    """Outermost constant parts with links, as (keys on the way, hash of the text inside)."""
+    found, todo = set(), [(wrapper, "")]
+    while todo:
+        node, way = todo.pop()
+        for c in inner(node):
+            if c.key == "#":
+                continue
+            here = f"{way}/{c.key}"
+            if c.constant() and c.links:
+                found.add((here, c.text))
+            else:
+                todo.append((c, here))
+    return found
+
+
+def walked(root: Element, path: list[str]) -> list[Element]:
+    """The page's elements at the end of a wrapper's path; none if the page has no such way."""
+    at = [root]
+    for key in path:
+        at = [x for e in at for x in e.content if not isinstance(x, str) and not x.dropped and x.key == key]
+    return at
 
 
 def text_of(roots: list[Element]) -> str:
@@ -422,26 +514,49 @@ class Reading:
     """What a host's wrapper says about where its pages keep their content."""
 
     def __init__(self, wrapper: Node | None) -> None:
-        tags = set()
-        todo = [wrapper] if wrapper else []
-        while todo:
-            node = todo.pop()
-            tags.add(tag_of(node))
-            todo += node.children
-        self.by_tag = [t for t in ("article", "main") if t in tags]
-        self.path = densest(wrapper) if wrapper else []
+        known = wrapper is not None and len(wrapper.pages) >= SUPPORT
+        self.path = densest(wrapper) if known else []
+        self.furniture = furniture(wrapper) if known else set()
+
+    def roots(self, root: Element) -> list[Element]:
+        named = outermost(root, lambda x: x.tag in ("article", "main"))
+        block = walked(root, self.path) if self.path else []
+        if block:
+            around = [x for x in named if x in block or any(y in block for y in within(x))]
+            return around or block
+        return named or walked(root, densest(shaped(root))) or [root]
 
     def text(self, page: str | None) -> str:
         if not page:
             return ""
         root = parsed(page)
-        roots: list[Element] = []
-        for tag in self.by_tag:  # optional in the wrapper: a page may lack it
-            roots = roots or outermost(root, lambda x, tag=tag: x.tag == tag)
-        if not roots:
-            target = dense_root(shaped(root), self.path)
-            roots = outermost(root, lambda x: x.node.now() is target)
-        return text_of(roots or [root])
+        if self.furniture:
+            self.clear(root)
+        return text_of(self.roots(root))
+
+    def clear(self, root: Element) -> None:
+        """Marks the page's constant parts with links as no content."""
+        ways = {way for way, _ in self.furniture}
+        todo = [(root, "")]
+        while todo:
+            element, way = todo.pop()
+            for x in element.content:
+                if isinstance(x, str) or x.dropped or x.tag in VOID:
+                    continue
+                here = f"{way}/{x.key}"
+                if here in ways and (here, shaped(x).text) in self.furniture:
+                    x.dropped = True
+                else:
+                    todo.append((x, here))
+
+
+def within(element: Element) -> Iterator[Element]:
+    todo = [element]
+    while todo:
+        for x in todo.pop().content:
+            if not isinstance(x, str):
+                yield x
+                todo.append(x)
 
 
 def host_of(url: str | None) -> str:
@@ -452,6 +567,7 @@ def host_of(url: str | None) -> str:
 def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(url, html) -> a wrapper per host of this task's pages."""
     held: dict[str, dict[str, Node]] = {}
+    seen: set[int] = set()
     n = 0
 
     def out() -> pa.RecordBatch:
@@ -467,8 +583,13 @@ def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not page:
                 continue
-            node = shaped(parsed(page))
-            shapes = held.setdefault(host_of(url), {})
+            host = host_of(url)
+            page_hash = xxhash.xxh3_64_intdigest(page) >> 1
+            if (mark := hash((host, page_hash))) in seen:  # the same page again says nothing new
+                continue
+            seen.add(mark)
+            node = shaped(parsed(page), page_hash)
+            shapes = held.setdefault(host, {})
             shape = node.shape()
             if shape in shapes:
                 add(shapes[shape], node)
@@ -478,6 +599,7 @@ def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n >= FOLDED:
                 yield out()
                 held, n = {}, 0
+                seen.clear()
     if held:
         yield out()
 
@@ -485,9 +607,7 @@ def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def add(a: Node, b: Node) -> None:
     """Counts of a node of the same shape."""
     for x, y in zip(a.every(), b.every(), strict=True):
-        x.chars, x.links = x.chars + y.chars, x.links + y.links
-        if x.text != y.text:
-            x.text = None
+        x.joins(y)
 
 
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,7 +13,7 @@ from netlattice.llm import exact_dedup as dedup
 from netlattice.llm.decontaminate import decontaminate
 from netlattice.llm.exact_dedup import exact_dedup
 from netlattice.llm.fm_index import SPAN, FmIndex
-from netlattice.llm.html_wrapper import main_text, merge, parsed, shaped
+from netlattice.llm.html_wrapper import Reading, main_text, merge, parsed, shaped
 from netlattice.llm.jaccard import family_links, link_components
 from netlattice.llm.language import identify
 from netlattice.llm.line_dedup import line_dedup
@@ -485,6 +485,112 @@ def test_wrappers_have_optional_and_repeated_parts():
     assert any(n.key.startswith("(dt") and n.many for d in wrapper.children if d.key == "dl" for n in d.children)
 
 
+def hand_marked():
+    """(host, html, main text) of pages marked by hand: what belongs to the article, page by page."""
+    topics = ["ferns", "tides", "kilns", "moths", "looms", "gears", "reeds", "salts"]
+    pages = []
+    for k, topic in enumerate(topics):
+        long = f"A long account of {topic}, number {k}, that no other page has. " * 3
+        # furniture without telling names, inside the article
+        pages.append(("bars.example", f'<body><div class="x1"><a href=/>Home</a> <a href=/n>News</a></div><article><h1>On {topic}</h1><div class="x2">Tell others: <a href=#>here</a> <a href=#>there</a></div><p>{long}</p><h2>Sources</h2><p>Own work on {topic}.</p></article><div class="x3">All rights kept</div></body>', f"On {topic} {long} Sources Own work on {topic}."))
+        # teasers are articles, the text is not
+        pages.append(("teasers.example", f'<body><div class="lead"><h1>Of {topic}</h1><p>{long}</p><p>{topic} again, at length. {long}</p></div><div class="more"><article><a href=/1>Old news one</a></article><article><a href=/2>Old news two</a></article></div></body>', f"Of {topic} {long} {topic} again, at length. {long}"))
+        # neither article nor main; names only look like furniture
+        pages.append(("plain.example", f'<body><ul class="x4"><li><a href=/a>a</a><li><a href=/b>b</a></ul><div class="entry"><h1>{topic} today</h1><div class="share-price"><p>Price of {topic}: {k}</p></div><p>{long}</p><section id="login-history"><p>{topic} history</p></section></div><div class="foot">Printed {k}</div></body>', f"{topic} today Price of {topic}: {k} {long} {topic} history"))
+    return pages
+
+
+def test_marked_pages(spark):
+    marked = hand_marked()
+    made = [(k, f"http://{host}/{k}", text, "q") for k, (host, text, _) in enumerate(marked)]
+    pages = spark.createDataFrame(made + made[:3], "page_id long, url string, html string, text string")
+    found = main_text(pages).collect()
+    assert len(found) == len(made) + 3
+    right = kept = wanted = 0
+    for r in found:
+        have, want = r["text"].split(), marked[r["page_id"]][2].split()
+        common = sum((Counter(have) & Counter(want)).values())
+        right, kept, wanted = right + common, kept + len(have), wanted + len(want)
+    assert right / kept > 0.99 and right / wanted > 0.99  # precision and recall in words
+    alone = Reading(None)  # without wrappers both fall
+    assert any(alone.text(text) != found_text for (_, text, _), found_text in zip(marked, [r["text"] for r in sorted(found, key=lambda r: r["page_id"])], strict=False))
+    for host in ("bars.example", "teasers.example"):
+        assert all(alone.text(text) != " ".join(want.split()) for h, text, want in marked if h == host)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div class="share-price">10</div><section id="login-history">log</section><ul class="menu-items"><li>x</ul></article>', "10 log x"),
+        ("<article><header><h1>Title</h1></header><p>t</article><header>site</header>", "Title t"),
+        ("<main><h1>Head</h1><article>inner</article><p>after</main><aside>no</aside>", "Head inner after"),
+        ("x" * 3_000_000, "x" * 3_000_000),
+        ("<article>" + "<p>long " * 50_000 + "</article>", " ".join(["long"] * 50_000)),
+    ],
+)
+def test_whole_articles(page, text):
+    assert Reading(None).text(page) == text
+
+
+def accepts(wrapper, node):
+    """Whether a wrapper (children with multiplicities) can produce a page's plain tree, by trying all ways."""
+
+    def fits(parts, nodes):
+        if not parts:
+            return not nodes
+        head, rest = parts[0], parts[1:]
+        if isinstance(head, tuple):  # the same once more, if the last time took anything
+            again, left = head
+            return fits(rest, nodes) or len(nodes) < left and fits([again, *rest], nodes)
+        if head.low == 0 and fits(rest, nodes):
+            return True
+        more = [(head, len(nodes)), *rest] if head.many else rest
+        if head.key.startswith("("):
+            return fits([*head.children, *more], nodes)
+        return bool(nodes) and head.key == nodes[0].key and accepts(head, nodes[0]) and fits(more, nodes[1:])
+
+    return fits(wrapper.children, node.children)
+
+
+def plain_tree(element):
+    """The page's own tree, nothing folded."""
+    from netlattice.llm.html_wrapper import VOID, Node
+
+    children = [Node("#") if isinstance(x, str) else Node(x.key) if x.dropped else plain_tree(x) for x in element.content if not (isinstance(x, str) and x.isspace()) and (isinstance(x, str) or x.tag not in VOID)]
+    return Node(element.key, children)
+
+
+def test_wrappers_accept_their_pages():
+    r = random.Random(8)
+
+    def block(depth):
+        kind = r.choice(("p", "div", "ul", "h2", "b"))
+        inside = f"t{r.randint(0, 9)}" if depth == 0 or kind in ("p", "h2", "b") else "".join(f"<li>i{r.randint(0, 9)}</li>" for _ in range(r.randint(1, 4))) if kind == "ul" else "".join(block(depth - 1) for _ in range(r.randint(1, 3)))
+        return f"<{kind}>{inside}</{kind}>"
+
+    for _ in range(150):
+        pages = ["".join(block(2) for _ in range(r.randint(1, 5))) for _ in range(4)]
+        wrapper, *rest = [shaped(parsed(p), k) for k, p in enumerate(pages)]
+        for other in rest:
+            merge(wrapper, other)
+        for p in pages:
+            assert accepts(wrapper, plain_tree(parsed(p))), (pages, wrapper.shape())
+
+
+def test_long_child_lists_align():
+    from netlattice.llm.html_wrapper import Node, matches
+
+    r = random.Random(2)
+    for n in (30, 1500):
+        keys = [f"k{r.randrange(n * 2)}" for _ in range(n)]
+        other = [k for k in keys if r.random() < 0.9]
+        for x, y in ((keys, other), (["a", "b", "c"] * n, ["c", "a"] * n), (keys, keys[::-1])):
+            pairs = matches([Node(k) for k in x], [Node(k) for k in y])
+            assert all(x[i] == y[j] for i, j in pairs)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+        assert len(matches([Node(k) for k in keys], [Node(k) for k in other])) > 0.95 * len(other)
+
+
 def test_url_filter(spark):
     import datetime as dt
 
