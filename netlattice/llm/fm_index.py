@@ -108,13 +108,16 @@ class FmIndex:
         return int(lo[0]), int(hi[0])
 
     def least(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """For each interval of suffixes the least ``value`` of the sequences they are in; the largest number if it is empty."""
+        """For each interval of suffixes the least ``value`` of the sequences they are in; the largest number if it is empty.
+
+        The intervals are those of equally long patterns, hence equal or apart.
+        """
         out = np.full(len(lo), np.iinfo(np.int64).max)
         some = np.flatnonzero(lo < hi)
         if len(some):
-            at = value[np.append(self.owner, 0)]  # an interval may end behind the last suffix
-            ends = np.stack([lo[some], hi[some]], axis=1).ravel()
-            out[some] = np.minimum.reduceat(at, ends)[::2]
+            begin, first, which = np.unique(lo[some], return_index=True, return_inverse=True)
+            ends = np.stack([begin, hi[some][first]], axis=1).ravel()
+            out[some] = np.minimum.reduceat(value[np.append(self.owner, 0)], ends)[::2][which]  # an interval may end behind the last suffix
         return out
 
     def stream(self, sequences: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -187,12 +187,12 @@ def tallied(values: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callabl
     return run
 
 
-def hot(texts: DataFrame, values: Callable) -> tuple[dict[int, int], int]:
-    """Values that would fill a shard, with their counts, and the number of all."""
+def hot(texts: DataFrame, values: Callable) -> dict[int, int]:
+    """Values that would fill a shard, with their counts."""
     counts = saved(texts.sparkSession, texts.select("key", "text").mapInArrow(tallied(values), "every boolean, h long, n long").groupBy("every", "h").agg(F.sum("n").alias("n")), "substring-hot")
     total = (counts.where("every").first() or {"n": 0})["n"]
     rows = counts.where(~F.col("every") & (F.col("n") >= max(HOT_SHARE * total, SHARD_ENTRIES))).collect()  # 1 / HOT_SHARE at most
-    return {r["h"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}, total
+    return {r["h"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}
 
 
 def deal_prints(shards: int, hot_prints) -> Callable:
@@ -352,9 +352,10 @@ class Shard:
         flat, symbols = pd.factorize(np.array(b" ".join(bodies).split(b" "), dtype=object))
         sequences = np.split(flat + 1, np.cumsum(n)[:-1])
         index = FmIndex(sequences, len(symbols) + 1)
-        self.least = [index.least(lo, hi, least) for lo, hi in index.stream(sequences)]
         self.windows = n - SPAN + 1
-        every, starts = np.concatenate(self.least), np.cumsum(self.windows) - self.windows
+        lo, hi = (np.concatenate(x) for x in zip(*index.stream(sequences), strict=True))
+        every, starts = index.least(lo, hi, least), np.cumsum(self.windows) - self.windows
+        self.least = np.split(every, starts[1:])
         self.low, self.high = np.minimum.reduceat(every, starts), np.maximum.reduceat(every, starts)
 
     def spans(self, places: np.ndarray) -> np.ndarray:
@@ -436,13 +437,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     doc_id = F.col(id_col).cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_rows, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(width(spark), chars // PART_BYTES + 1)
     texts = bucketed(spark, rows, parts)
-    prints, entries = hot(texts, lambda batch: (some["print"] for some in prints_in(batch)))
+    # a fingerprint is in as many documents as there are, at most, and a window in as many as its fingerprint
+    prints = hot(texts, lambda batch: (some["print"] for some in prints_in(batch))) if n_rows >= SHARD_ENTRIES else {}
     prints = np.array(sorted(prints), dtype=np.uint64)
-    windows = hot(texts, lambda batch: windows_in(batch, prints))[0] if len(prints) else {}  # no window is in more documents than its fingerprint
-    shards = max(width(spark), entries // SHARD_ENTRIES + 1)
+    windows = hot(texts, lambda batch: windows_in(batch, prints)) if len(prints) else {}
+    shards = max(width(spark), chars // (28 * SHARD_ENTRIES) + 1)  # a fingerprint every 28 bytes of text, about
     hot_prints, own, n_shards = spark.sparkContext.broadcast(prints), {}, shards
     for h, n in windows.items():
         own[h] = range(n_shards, n_shards + n // SHARD_ENTRIES + 1)
