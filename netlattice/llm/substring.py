@@ -313,9 +313,10 @@ def deal_regions(shards: int, hot_prints, own_shards) -> Callable:
                     continue
                 hashes = HASHES.of(words)
                 best, grams = fingerprints(hashes)
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(best) != 0]))
+                of_window = grams[best]
+                starts = np.flatnonzero(np.concatenate([[True], of_window[1:] != of_window[:-1]]))
                 ends = np.concatenate([starts[1:], [len(best)]])
-                print_of = grams[best[starts]]
+                print_of = of_window[starts]
                 hot_one = np.isin(print_of, hot_prints.value)
                 hit = ~hot_one & np.isin(print_of, np.frombuffer(shared, PRINT)["print"])
                 row = row_hash(text)
