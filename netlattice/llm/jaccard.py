@@ -255,7 +255,7 @@ def spanning(pairs: np.ndarray) -> np.ndarray:
 
 def deal(buckets: int, hot) -> Callable:
     """(node, kept) -> entries of the shingles that are not hot, packed, a row per task's block and bucket."""
-    schema = "bucket long, tokens binary, nodes binary"
+    schema = "bucket int, tokens binary, nodes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, nodes, n = [], [], 0
@@ -490,7 +490,7 @@ def candidate_edges(nodes: DataFrame, buckets: int, percent: int) -> DataFrame:
     hot_list = spark.sparkContext.broadcast(known)  # 1 / HOT_SHARE at most
     hot_sizes = spark.sparkContext.broadcast((known, np.array([hot[t] for t in known.tolist()], dtype=np.int64)))
     kept = nodes.select("node", "kept")
-    met = saved(spark, kept.mapInArrow(deal(buckets, hot_list), "bucket long, tokens binary, nodes binary").repartition(buckets, "bucket").mapInArrow(meet(SMALL), MET), "jaccard-met")
+    met = saved(spark, kept.mapInArrow(deal(buckets, hot_list), "bucket int, tokens binary, nodes binary").repartitionById(buckets, "bucket").mapInArrow(meet(SMALL), MET), "jaccard-met")
     sketches = nodes.select("node", "n", "sketch")
 
     pairs = met.where("region < 0").select("a", "b").distinct()

@@ -98,7 +98,7 @@ def packed(kind: np.dtype, entries: np.ndarray, group: np.ndarray, names: tuple[
     parts = [g for g in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(g)]
     # field after field, so that what repeats lies together
     blobs = [b"".join(np.ascontiguousarray(entries[g][f]).tobytes() for f in kind.names) for g in parts]
-    return pa.RecordBatch.from_arrays([pa.array([int(group[g[0]]) for g in parts], pa.int64()), pa.array(blobs, pa.binary())], names=list(names))
+    return pa.RecordBatch.from_arrays([pa.array([int(group[g[0]]) for g in parts], pa.int32()), pa.array(blobs, pa.binary())], names=list(names))
 
 
 def unpacked(kind: np.dtype, blob: bytes) -> np.ndarray:
@@ -290,7 +290,7 @@ def deal_regions(shards: int, hot_prints, own_shards) -> Callable:
             entries = entries[np.lexsort((entries["at"], entries["key"], entries["shard"]))]
             for part in np.split(entries, np.flatnonzero(np.diff(entries["shard"])) + 1):
                 rows.append((int(part["shard"][0]), 1, b"", b"".join(np.ascontiguousarray(part[f]).tobytes() for f in PLACE.names)))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         def placed(of: range, which: int, key: int, row: int, at: int, body: bytes) -> int:
@@ -452,11 +452,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n_shards = own[h].stop
     own_shards = spark.sparkContext.broadcast(own)
 
-    prints = texts.select("key", "text").mapInArrow(deal_prints(shards, hot_prints), "shard long, prints binary").repartition(shards, "shard")
-    shared = prints.mapInArrow(shared_prints(parts, hot_prints), "part long, prints binary").repartition(parts, "part")
+    prints = texts.select("key", "text").mapInArrow(deal_prints(shards, hot_prints), "shard int, prints binary").repartitionById(shards, "shard")
+    shared = prints.mapInArrow(shared_prints(parts, hot_prints), "part int, prints binary").repartitionById(parts, "part")
     shared = shared.mapInArrow(by_key(PRINT), "key long, entries binary")
-    regions = texts.join(shared, "key").select("key", "text", "entries").mapInArrow(deal_regions(shards, hot_prints, own_shards), "shard long, kind int, head binary, body binary")
-    regions = regions.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    spans = regions.mapInArrow(search(parts), "part long, spans binary").repartition(parts, "part")
+    regions = texts.join(shared, "key").select("key", "text", "entries").mapInArrow(deal_regions(shards, hot_prints, own_shards), "shard int, kind int, head binary, body binary")
+    regions = regions.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "kind")
+    spans = regions.mapInArrow(search(parts), "part int, spans binary").repartitionById(parts, "part")
     spans = spans.mapInArrow(by_key(SPAN_OF), "key long, entries binary")
     return texts.join(spans, "key", "left").select("doc_id", "text", "entries").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
