@@ -97,9 +97,10 @@ def with_tag_rules(tables: NetworkTables, firewalls: DataFrame, insiders: DataFr
     return NetworkTables(tables.router, tables.interface, tables.fib, tables.acl, tables.nat, tables.setfield.unionByName(added.select(*tables.setfield.columns)))
 
 
-def firewall_bypass(spark: SparkSession, path: str, firewall: str = "fw", outside: str = "ext-router", inside: str = "192.17") -> DataFrame:
+def firewall_bypass(spark: SparkSession, path: str, firewall: str, outside: str, inside: str) -> DataFrame:
     """(src, dst, verdict): can a packet get from outside to an inside router without the firewall's tag?
 
+    ``firewall`` and ``outside`` are names, ``inside`` begins those of inside routers.
     Roles are facts, the pairs in question the solutions of a rule.
     """
     tables = read_network(spark, path)

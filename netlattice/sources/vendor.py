@@ -23,29 +23,69 @@ def filled_down(value: Column) -> Column:
     return F.last(value, ignorenulls=True).over(in_file().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def found(text: Column, pattern: str, group: int) -> Column:
-    """A group of the first match, null if it is empty or nothing matches."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+#: Route codes as `show ip route` prints them, and their short forms; others keep theirs.
+ROUTE_CODES = {"O IA": "Oi", "O E2": "O2", "C": "D"}
+#: Protocols as `show route` prints them.
+PROTOCOLS = {"OSPF": "O", "Direct": "D", "Static": "S", "Local": "DL"}
 
 
-def route_tag(code: Column) -> Column:
-    """Route codes: inter-area and external ones shortened, connected as D, several joined by '|'."""
-    short = F.replace(F.replace(F.replace(F.replace(code, F.lit("*"), F.lit(" ")), F.lit("O IA"), F.lit("Oi")), F.lit("O E2"), F.lit("O2")), F.lit("C"), F.lit("D"))
-    return F.replace(F.trim(short), F.lit(" "), F.lit("|"))
+def mapped(value: Column, names: dict[str, str]) -> Column:
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(table[value], value)
+
+
+def words(line: Column) -> Column:
+    """The line's words, without commas."""
+    return F.filter(F.split(F.translate(line, ",", " "), "\\s+"), lambda w: w != "")
+
+
+def after(tokens: Column, word: str) -> Column:
+    """The word that follows the first ``word``; null if there is none."""
+    at = F.array_position(tokens, word).cast("int")
+    return F.when(at > 0, F.get(tokens, at))
+
+
+def is_address(word: Column) -> Column:
+    """A dotted address, with a width or without."""
+    return F.coalesce(F.size(F.split(word, "[.]")) == 4, F.lit(False)) & F.coalesce(F.translate(word, "0123456789./", "") == "", F.lit(False))
 
 
 def interface_name(name: Column) -> Column:
     return F.replace(name, F.lit("Loopback"), F.lit("loopback"))
 
 
+def route_line(line: Column) -> dict[str, Column]:
+    """What a line of `show ip route` says: its code's words, address, width, and all words."""
+    tokens = words(line)
+    # the code stands before the address, or before the metric where the address is left out
+    metric = F.filter(tokens, lambda w: w.startswith("[") & w.endswith("]"))
+    address = F.get(F.filter(tokens, is_address), F.lit(0))
+    first = F.get(tokens, F.lit(0))
+    has_own = F.coalesce(F.array_position(tokens, address) < F.coalesce(F.nullif(F.array_position(tokens, F.get(metric, F.lit(0))), F.lit(0)), F.lit(1 << 30)), F.lit(False))
+    own = F.when(has_own, address)
+    before = F.array_position(tokens, F.coalesce(own, F.get(metric, F.lit(0)))).cast("int") - 1
+    code = F.when(before > 0, F.slice(tokens, 1, before))
+    return {"tokens": tokens, "first": first, "code": code, "address": F.split(own, "/")[0], "width": F.get(F.split(own, "/"), F.lit(1)), "metric": F.get(metric, F.lit(0))}
+
+
+def route_tag(code: Column) -> Column:
+    """A route's code by ``ROUTE_CODES``, whole or word by word, joined by '|'; a star marks default candidates and is no code."""
+    letters = words(F.translate(F.array_join(code, " "), "*", " "))
+    whole = F.array_join(letters, " ")
+    return F.when(whole.isin(*ROUTE_CODES), mapped(whole, ROUTE_CODES)).otherwise(F.array_join(F.transform(letters, lambda w: mapped(w, ROUTE_CODES)), "|"))
+
+
 def joined_lines(lines: DataFrame) -> DataFrame:
-    """Lines that were wrapped after the destination are put together: the next line, if it is an indented rest, is appended."""
-    following = F.lead("value").over(in_file())
-    wrapped = F.col("value").rlike(rf"^\S?.*    {IP}(/[0-9]+)? *$")
-    rest = F.lag("value").over(in_file()).rlike(rf"^\S?.*    {IP}(/[0-9]+)? *$") & F.col("value").startswith("           ")
-    marked = lines.withColumn("_rest", F.coalesce(rest, F.lit(False))).withColumn("_next", following)
-    whole = F.when(wrapped & F.col("_next").startswith("           "), F.concat(F.rtrim("value"), F.lit(" "), F.ltrim("_next"))).otherwise(F.col("value"))
-    return marked.withColumn("value", whole).where(~F.col("_rest")).drop("_rest", "_next")
+    """Lines that were wrapped after the destination are put together: the next line, if it goes on with the metric, is appended."""
+    tokens = words(F.col("value"))
+    open_ = F.col("value").substr(1, 1) != " "
+    ends = open_ & is_address(F.element_at(tokens, -1)) & ~F.array_contains(tokens, "via")
+    goes_on = F.ltrim("value").startswith("[")
+    marked = lines.select("*", F.coalesce(ends, F.lit(False)).alias("_ends"), goes_on.alias("_on"))
+    marked = marked.select("*", F.lead("_on").over(in_file()).alias("_next_on"), F.lead("value").over(in_file()).alias("_next"), F.lag("_ends").over(in_file()).alias("_prev_ends"))
+    whole = F.when(F.col("_ends") & F.col("_next_on"), F.concat(F.rtrim("value"), F.lit(" "), F.ltrim("_next"))).otherwise(F.col("value"))
+    rest = F.coalesce(F.col("_prev_ends") & F.col("_on"), F.lit(False))
+    return marked.where(~rest).withColumn("value", whole).drop("_ends", "_on", "_next_on", "_next", "_prev_ends")
 
 
 def cisco(lines: DataFrame) -> DataFrame:
@@ -55,29 +95,31 @@ def cisco(lines: DataFrame) -> DataFrame:
     the lines after them that leave them out.  Static routes without an interface
     get that of the first connected prefix that holds their gateway.
     """
-    rows = joined_lines(lines.where(~F.col("value").rlike("^ *--")))
+    rows = joined_lines(lines.where(~F.ltrim("value").startswith("--")))
     started = F.max(F.when(F.col("value").startswith("Gateway"), F.col("line"))).over(Window.partitionBy("path"))
     rows = rows.withColumn("_start", started).where(F.col("line") > F.coalesce("_start", F.lit(-1)))
-    v = F.col("value")
-    header = found(v, rf"^ +{IP}/([0-9]+) is subnetted, [0-9]+ subnets", 1)
-    via = rf"^([A-Za-z0-9* ]+)? ({IP})?(/[0-9]+)? ?\[[0-9]+/[0-9]+\] via ({IP}), [^,]+, ([A-Za-z0-9/]+)"
-    direct = rf"^([A-Za-z0-9* ]+) ({IP})(/[0-9]+)? is directly connected, ([A-Za-z0-9/]+)"
-    static = rf"^([A-Za-z0-9* ]+) ({IP})(/[0-9]+)? \[[0-9]+/[0-9]+\] via ({IP})\s*$"
-    kind = F.when(v.rlike(via), "via").when(v.rlike(direct), "direct").when(v.rlike(static), "static")
-    pick = lambda i: F.when(kind == "via", found(v, via, i)).when(kind == "direct", found(v, direct, i)).otherwise(found(v, static, i))
-    width = F.coalesce(header, F.when(kind.isNotNull(), F.replace(pick(3), F.lit("/"), F.lit(""))))
-    code = F.when(kind.isNotNull(), F.nullif(F.trim(pick(1)), F.lit("")))
-    own_tag = F.when(kind.isNotNull() & code.isNotNull(), route_tag(pick(1)))
+    said = route_line(F.col("value"))
+    rows = rows.select("path", "line", *(c.alias(f"_{n}") for n, c in said.items()))
+    tokens, own, code = F.col("_tokens"), F.col("_address"), F.col("_code")
+    rest = F.size(tokens) - F.array_position(tokens, "via") - 1  # words after the gateway: age and interface, or none
+    direct = F.array_contains(tokens, "directly") & F.array_contains(tokens, "connected") & own.isNotNull() & code.isNotNull()
+    via = F.col("_metric").isNotNull() & F.array_contains(tokens, "via") & is_address(after(tokens, "via"))
+    kind = F.when(direct, "direct").when(via & (rest >= 2), "via").when(via & (rest == 0) & own.isNotNull() & code.isNotNull(), "static")
+    header = F.when(is_address(F.col("_first")) & (F.get(tokens, F.lit(1)) == "is") & (F.get(tokens, F.lit(2)) == "subnetted"), F.get(F.split("_first", "/"), F.lit(1)))
+    rows = rows.select("*", kind.alias("kind"), header.alias("_header"))
+    routed = F.col("kind").isNotNull()
+    own_tag = F.when(routed & code.isNotNull(), route_tag(code))
+    is_via = F.col("kind") == "via"
     parsed = rows.select(
         "path",
         "line",
-        kind.alias("kind"),
-        filled_down(F.when(kind == "via", pick(2))).alias("via_ip"),
-        F.when(kind != "via", pick(2)).alias("own_ip"),
-        filled_down(width).alias("width"),
-        F.when(kind == "via", filled_down(F.when(kind == "via", own_tag))).otherwise(own_tag).alias("tag"),
-        F.when(kind == "direct", "DIRECT").otherwise(pick(4)).alias("gateway"),
-        interface_name(F.when(kind == "via", found(v, via, 5)).when(kind == "direct", found(v, direct, 4))).alias("interface"),
+        "kind",
+        filled_down(F.when(is_via, own)).alias("via_ip"),
+        F.when(~is_via, own).alias("own_ip"),
+        filled_down(F.coalesce("_header", F.when(routed, F.col("_width")))).alias("width"),
+        F.when(is_via, filled_down(F.when(is_via, own_tag))).otherwise(own_tag).alias("tag"),
+        F.when(F.col("kind") == "direct", "DIRECT").otherwise(after(tokens, "via")).alias("gateway"),
+        interface_name(F.when(F.col("kind") != "static", F.element_at(tokens, -1))).alias("interface"),
     ).where("kind is not null")
     out = parsed.select("path", "line", F.concat(F.coalesce("own_ip", "via_ip"), F.lit("/"), F.col("width")).alias("dest"), "gateway", "interface", F.coalesce("tag", F.lit("")).alias("tag"))
     return with_interfaces(out)
@@ -118,19 +160,26 @@ def foundry(lines: DataFrame) -> DataFrame:
 
 
 def junos(lines: DataFrame) -> DataFrame:
-    """(path, line, dest, gateway, interface, tag) of a `show route` dump: the first table only, IPv4 without multicast."""
-    other = F.min(F.when(F.col("value").rlike(r"^inet\.1:|^inet6"), F.col("line"))).over(Window.partitionBy("path"))
-    rows = lines.withColumn("_end", other).where(F.col("_end").isNull() | (F.col("line") < F.col("_end")))
-    rows = rows.where(~F.col("value").rlike(r"^224\.") & F.col("value").rlike(r"^[0-9]| to | via|Reject"))
-    v = F.col("value")
-    dest = filled_down(found(v, r"^([0-9]\S*)", 1))
-    proto = filled_down(found(v, r"\[([A-Za-z]+)/[0-9]+\]", 1))
-    tag = F.when(proto == "OSPF", "O").when(proto == "Direct", "D").when(proto == "Static", "S").when(proto == "Local", "DL").otherwise(proto)
-    to, via = found(v, rf" to ({IP})", 1), found(v, r" via (\S+)\s*$", 1)
-    local = found(v, r"Local via (\S+)\s*$", 1)
-    interface = F.when(v.contains("Reject"), "drop").when(local.isNotNull(), F.concat(F.lit("loopback-"), local)).otherwise(F.regexp_replace(via, "^lo", "loopback"))
-    gateway = F.when(to.isNotNull() & local.isNull() & ~v.contains("Reject"), to).otherwise(F.lit("DIRECT"))
-    parsed = rows.select("path", "line", dest.alias("dest"), gateway.alias("gateway"), interface.alias("interface"), tag.alias("tag"))
+    """(path, line, dest, gateway, interface, tag) of a `show route` dump: the first table only, IPv4 without multicast.
+
+    An entry's first line has the destination and the protocol in brackets; next
+    hops follow, each with its words for gateway and interface.
+    """
+    tokens = words(F.col("value"))
+    table = F.when(F.array_contains(tokens, "destinations"), F.get(tokens, F.lit(0)))  # "inet.0: 5 destinations"
+    rows = lines.select("path", "line", tokens.alias("t"), filled_down(table).alias("table"))
+    rows = rows.where(F.coalesce(F.col("table"), F.lit("inet.0:")) == "inet.0:")
+    t, first = F.col("t"), F.get("t", F.lit(0))
+    entry = is_address(first)
+    bracket = F.get(F.filter(t, lambda w: F.instr(w, "[") > 0), F.lit(0))
+    rows = rows.select("path", "line", "t", filled_down(F.when(entry, first)).alias("dest"), filled_down(F.when(entry, F.substring_index(F.substring_index(bracket, "[", -1), "/", 1))).alias("proto"))
+    rows = rows.where(~F.col("dest").startswith("224."))
+    to, via = after(t, "to"), after(t, "via")
+    reject, local = F.array_contains(t, "Reject"), F.get(t, F.lit(0)) == "Local"
+    named = F.when(via.startswith("lo"), F.concat(F.lit("loopback"), F.substring(via, 3, 100))).otherwise(via)
+    interface = F.when(reject, "drop").when(local, F.concat(F.lit("loopback-"), via)).otherwise(named)
+    gateway = F.when(to.isNotNull() & ~local & ~reject, to).otherwise(F.lit("DIRECT"))
+    parsed = rows.select("path", "line", "dest", gateway.alias("gateway"), interface.alias("interface"), mapped(F.col("proto"), PROTOCOLS).alias("tag"))
     return parsed.where("dest is not null and interface is not null")
 
 
