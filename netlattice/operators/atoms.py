@@ -20,18 +20,23 @@ def endpoints(*ranges: DataFrame) -> DataFrame:
     return ends.distinct()
 
 
-def atoms(*ranges: DataFrame) -> DataFrame:
-    """(lo, hi): the intervals between neighbouring endpoints.
+def followed(x: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(x, next): each distinct value with the next larger one, null for the largest.
 
-    Neighbours are found inside stretches of the field, which are windows of
-    their own; only the first endpoint of each stretch (at most ALL / STRETCH
-    rows) passes through one task.
+    Neighbours are found inside stretches of the values, which are windows of
+    their own; only the first value of each stretch (at most ALL / STRETCH rows)
+    passes through one task.
     """
-    x = endpoints(*ranges).withColumn("stretch", F.floor(F.col("x") / STRETCH).cast("long"))
+    cut = x.select("x", F.floor(F.col("x") / stretch).cast("long").alias("stretch"))
     inner = F.lead("x").over(Window.partitionBy("stretch").orderBy("x"))
-    firsts = x.groupBy("stretch").agg(F.min("x").alias("first"))
-    following = firsts.select("stretch", F.lead("first").over(Window.orderBy("stretch")).alias("next"))
-    return x.withColumn("hi", inner).join(following, "stretch").select(F.col("x").alias("lo"), F.coalesce("hi", "next").alias("hi")).where("hi is not null")
+    firsts = cut.groupBy("stretch").agg(F.min("x").alias("first"))
+    following = firsts.select("stretch", F.lead("first").over(Window.orderBy("stretch")).alias("beyond"))
+    return cut.withColumn("next", inner).join(following, "stretch").select("x", F.coalesce("next", "beyond").alias("next"))
+
+
+def atoms(*ranges: DataFrame) -> DataFrame:
+    """(lo, hi): the intervals between neighbouring endpoints."""
+    return followed(endpoints(*ranges)).where("next is not null").select(F.col("x").alias("lo"), F.col("next").alias("hi"))
 
 
 def coalesced(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlattice.functions.ip import network
+from netlattice.operators.atoms import cidrs
 
 
 def under_prefixes(points: DataFrame, prefixes: DataFrame, at: str = "lo", on: list[str] | None = None) -> DataFrame:
@@ -63,3 +64,14 @@ def classes(fwd: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         hops = hops.withColumn("marks", F.lit(None).cast("array<string>"))
     reps = hops.groupBy("hops", "marks").agg(F.min("cls").alias("rep"), F.collect_list("cls").alias("members"))
     return reps.select(F.explode("members").alias("cls"), "rep")
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, at: str, keep: list[str]) -> DataFrame:
+    """``points`` joined with the ranges [lo, hi) that hold ``at``, and the columns ``keep`` of the ranges.
+
+    A range is taken apart into prefixes, which do not overlap, so the join is one
+    of equality and each range meets a point once.
+    """
+    pieces = ranges.where("lo < hi").select(*keep, F.inline(cidrs(F.col("lo"), F.col("hi"))))
+    found = under_prefixes(points, pieces, at=at)
+    return found.select(*points.columns, *(F.col(f"p_{c}").alias(c) for c in keep))

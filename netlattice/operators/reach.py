@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlattice.operators.lpm import under_prefixes
 from netlattice.sources.scratch import saved
 
 
@@ -109,22 +110,24 @@ def structural(edges: DataFrame, bound: int | None = None) -> DataFrame:
 def trace(fib: DataFrame, starts: DataFrame, max_hops: int = 30) -> DataFrame:
     """(start, address, hop, node, lo, width): the concrete way of an address, at each node by its longest prefix.
 
-    ``fib``: node, lo, width, nh; ``starts``: start, address.  Ties go to the smallest
-    next hop.  Row ``hop`` names the node reached and the prefix that led there.
+    ``fib``: node, lo, width, nh; ``starts``: start, address, and ``asked`` if the way
+    is that of a whole prefix: then only prefixes at most so wide count.  Ties go to
+    the smallest next hop.  Row ``hop`` names the node reached and the prefix that led there.
     """
-    from netlattice.operators.lpm import under_prefixes
-
     spark = fib.sparkSession
     width = F.max("p_width").alias("width")
     hop_to = F.min_by(F.struct("p_lo", "p_nh"), F.struct(-F.col("p_width"), F.col("p_nh"))).alias("best")
-    state = starts.select("start", "address", F.col("start").alias("node"))
-    out = state.select("start", "address", F.lit(0).alias("hop"), "node", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("int").alias("width"))
+    keys = ["start", "address", *(["asked"] if "asked" in starts.columns else [])]
+    state = starts.select(*keys, F.col("start").alias("node"))
+    out = state.select(*keys, F.lit(0).alias("hop"), "node", F.lit(None).cast("long").alias("lo"), F.lit(None).cast("int").alias("width"))
     for hop in range(1, max_hops + 1):
         matched = under_prefixes(state, fib.select("node", "lo", "width", "nh"), at="address", on=["node"])
-        moved = matched.groupBy("start", "address").agg(width, hop_to)
-        rows = saved(spark, moved.select("start", "address", F.lit(hop).alias("hop"), F.col("best.p_nh").alias("node"), F.col("best.p_lo").alias("lo"), "width"), "trace")
+        if "asked" in keys:
+            matched = matched.where("p_width <= asked")
+        moved = matched.groupBy(*keys).agg(width, hop_to)
+        rows = saved(spark, moved.select(*keys, F.lit(hop).alias("hop"), F.col("best.p_nh").alias("node"), F.col("best.p_lo").alias("lo"), "width"), "trace")
         if rows.isEmpty():
             break
         out = out.unionByName(rows)
-        state = rows.select("start", "address", "node")
+        state = rows.select(*keys, "node")
     return out

@@ -7,10 +7,6 @@ supplier and customer nations; 100 stands for delivered, 101 for dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -20,14 +16,14 @@ PFX = """SELECT pk, width, host, raw, raw - raw % host AS lo FROM (
   SELECT CAST(p_partkey AS BIGINT) AS pk, CAST(8 + p_size % 17 AS INT) AS width,
          CAST(pow(2, 24 - p_size % 17) AS BIGINT) AS host,
          (CAST(p_partkey AS BIGINT) * 2654435761) % 4294967296 AS raw
-  FROM {part} WHERE p_partkey % 8 = 0) t"""
+  FROM {part}) t"""
 
 ROUTES = f"""SELECT node, lo, width, lo + host AS hi, nh FROM (
   SELECT CAST(s.s_nationkey AS BIGINT) AS node, p.lo, p.width, p.host, CAST(c.c_nationkey AS BIGINT) AS nh
   FROM {{lineitem}} l JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey
   JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey JOIN {{customer}} c ON o.o_custkey = c.c_custkey
   JOIN ({PFX}) p ON l.l_partkey = p.pk
-  WHERE s.s_nationkey <> c.c_nationkey AND l.l_linenumber <= 2
+  WHERE s.s_nationkey <> c.c_nationkey
   UNION ALL SELECT pk % 25, lo, width, host, CAST({DELIVERED} AS BIGINT) FROM ({PFX}) p
   UNION ALL SELECT pk % 23, lo, width, host, CAST({DROPPED} AS BIGINT) FROM ({PFX}) p WHERE pk % 5 = 0
   UNION ALL SELECT CAST(n.n_nationkey AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS INT), CAST(4294967296 AS BIGINT),
@@ -45,30 +41,7 @@ ATOMS = "SELECT lo, hi FROM (SELECT x AS lo, lead(x) OVER (ORDER BY x) AS hi FRO
 FWD = "SELECT DISTINCT cls, src, dst FROM (SELECT a.lo AS cls, f.node AS src, f.nh AS dst, rank() OVER (PARTITION BY f.node, a.lo ORDER BY f.width DESC) AS rk FROM atoms a JOIN fib f ON a.lo >= f.lo AND a.lo < f.hi) t WHERE rk = 1"
 
 
-#: Filters of PFX and ROUTES, which leave an eighth of the parts and two lines per order.
-CUTS = (" WHERE p_partkey % 8 = 0", " AND l.l_linenumber <= 2")
-_UNCUT: ContextVar[bool] = ContextVar("uncut", default=False)
-
-
-def whole(text: str) -> str:
-    """The same SQL over every part and line."""
-    for cut in CUTS:
-        text = text.replace(cut, "")
-    return text
-
-
-@contextmanager
-def whole_tables() -> Iterator[None]:
-    """Inside, the network is derived from every part and line."""
-    token = _UNCUT.set(True)
-    try:
-        yield
-    finally:
-        _UNCUT.reset(token)
-
-
 def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    text = whole(text) if _UNCUT.get() else text
     return spark.sql(text.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))
 
 

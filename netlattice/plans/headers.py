@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlattice.operators.lpm import longest, under_prefixes
-from netlattice.operators.policy import FIELDS, WIDTHS, acl_permits, header_classes, nat_pairs, permitted, setfield_holds
+from netlattice.operators.policy import FIELDS, WIDTHS, acl_permits, header_classes, nat_pairs, permitted, setfield_holds, setfield_pairs
 from netlattice.operators.reach import structural, transformed_reach
 from netlattice.operators.rules import Goal, Rules
 from netlattice.sources.network_xml import NetworkTables, read_network
@@ -55,14 +55,14 @@ class HeaderNetwork:
         same = leaving.join(changing, KEYS, "left_anti").select(*KEYS, F.col("cls").alias("cls_in"), F.col("cls").alias("cls_out"))
         natted = nat_pairs(self.classes, t.nat, KEYS, f)
         without_nat = changing.join(t.nat.select(*KEYS).distinct(), KEYS, "left_anti")
-        # set-field rules alone: any packet before, any sendable packet after, as far as the rules allow
         outs = leaving.join(changing, KEYS, "left_semi").select(*KEYS, F.col("cls").alias("cls_out"))
-        free = outs.join(without_nat, KEYS, "left_semi").crossJoin(F.broadcast(self.classes.select(F.col("cls").alias("cls_in"))))
-        changed = natted.join(outs, [*KEYS, "cls_out"]).select(*KEYS, "cls_in", "cls_out").unionByName(free.select(*KEYS, "cls_in", "cls_out"))
         ins = self.classes.select(F.col("cls").alias("cls_in"), *(F.col(x).alias(f"in_{x}") for x in f))
         after = self.classes.select(F.col("cls").alias("cls_out"), *(F.col(x).alias(f"out_{x}") for x in f))
-        held = setfield_holds(changed.join(ins, "cls_in").join(after, "cls_out"), t.setfield, KEYS, f)
-        both = same.unionByName(held.select(*KEYS, "cls_in", "cls_out"))
+        changed = natted.join(outs, [*KEYS, "cls_out"]).select(*KEYS, "cls_in", "cls_out")
+        held = setfield_holds(changed.join(ins, "cls_in").join(after, "cls_out"), t.setfield, KEYS, f).select(*KEYS, "cls_in", "cls_out")
+        # set-field rules alone: any packet before, any sendable packet after, as far as the rules allow
+        alone = setfield_pairs(self.classes, t.setfield.join(without_nat, KEYS, "left_semi"), KEYS, f)
+        both = same.unionByName(held).unionByName(alone.join(outs, [*KEYS, "cls_out"], "left_semi").select(*KEYS, "cls_in", "cls_out"))
         hop = t.interface.select(*KEYS, F.col("nexthop").alias("dst"))
         return saved(self.spark, both.join(hop, KEYS).select("cls_in", F.col("router").alias("src"), "dst", "cls_out").distinct(), "header-fwd")
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlattice.functions.ip import hosts, ip_to_long, network
-from netlattice.operators.atoms import atoms
+from netlattice.operators.atoms import atoms, followed
 from netlattice.operators.graph import MERGED, NAT, RESOLVED, nat_edges, sinks_merged, spliced
-from netlattice.operators.lpm import forwarding
+from netlattice.operators.lpm import classes, forwarding, in_ranges
 from netlattice.operators.policy import csv_nat_relation
 from netlattice.operators.reach import loops, reach, structural, trace, transformed_reach
 from netlattice.sources.scratch import saved
@@ -21,11 +21,20 @@ LOOP_HOPS = 20  # bound of loop checks with packets that change
 
 
 def not_listed(classes: DataFrame, whitelist: DataFrame | None) -> DataFrame:
-    """(cls) outside the whitelist's ranges (lo, hi); atoms never straddle their ends.  The list is a configuration."""
+    """(cls) outside the whitelist's ranges (lo, hi); atoms never straddle their ends."""
     if whitelist is None:
         return classes
-    small = F.broadcast(whitelist.select(F.col("lo").alias("w_lo"), F.col("hi").alias("w_hi")))
-    return classes.join(small, (classes["cls"] >= F.col("w_lo")) & (classes["cls"] < F.col("w_hi")), "left_anti")
+    return classes.join(in_ranges(classes, whitelist.select("lo", "hi"), "cls", []).distinct(), "cls", "left_anti")
+
+
+def judged(fwd: DataFrame, whitelist: DataFrame | None) -> DataFrame:
+    """Forwarding of one class, the smallest, for all that are forwarded alike everywhere; listed ones are left out.
+
+    What holds for a class holds for its like, and the smallest is what a verdict names.
+    """
+    asked = fwd.join(not_listed(fwd.select("cls").distinct(), whitelist), "cls", "left_semi") if whitelist is not None else fwd
+    reps = classes(asked).select(F.col("rep").alias("cls")).distinct()
+    return saved(fwd.sparkSession, asked.join(reps, "cls", "left_semi"), "judged")
 
 
 def verdicts(subjects: DataFrame, bad: DataFrame, check: str) -> DataFrame:
@@ -39,8 +48,7 @@ def verdicts(subjects: DataFrame, bad: DataFrame, check: str) -> DataFrame:
 def loop_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, whitelist: DataFrame | None = None, bound: int | None = None) -> DataFrame:
     """Whether a packet can come back to a subject.  Subjects without any cycle in the graph get no verdict."""
     cyclic = structural(edges, bound).where("src = dst").select(F.col("src").alias("subject"))
-    classes = not_listed(fwd.select("cls").distinct(), whitelist)
-    found = loops(fwd.join(classes, "cls", "left_semi"), bound).select(F.col("origin").alias("subject"), "cls")
+    found = loops(judged(fwd, whitelist), bound).select(F.col("origin").alias("subject"), "cls")
     return verdicts(subjects.join(cyclic, "subject", "left_semi"), found.join(subjects, "subject", "left_semi"), "loop")
 
 
@@ -54,18 +62,28 @@ def loss_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, target,
     if not disconnected:
         near = structural(edges).where(F.col("dst") == target).select(F.col("src").alias("subject"))
         subjects = subjects.join(near, "subject", "left_semi")
-    classes = not_listed(fwd.select("cls").distinct(), whitelist)
-    delivered = reach(fwd, goal).select(F.col("node").alias("subject"), "cls")
-    lost = subjects.crossJoin(classes).join(delivered, ["subject", "cls"], "left_anti")
-    return verdicts(subjects, lost, "loss")
+    asked = judged(fwd, whitelist)
+    delivered = saved(spark, reach(asked, goal).select(F.col("node").alias("subject"), "cls").join(subjects, "subject", "left_semi"), "delivered")
+    # the smallest class that is missing is the first of all, or follows one that is delivered
+    order = saved(spark, followed(asked.select(F.col("cls").alias("x")).distinct()), "class-order")
+    after = delivered.join(order, order["x"] == delivered["cls"]).where("next is not null").select("subject", F.col("next").alias("cls"))
+    first = subjects.join(order.agg(F.min("x").alias("cls")).where("cls is not null"))
+    return verdicts(subjects, after.unionByName(first).join(delivered, ["subject", "cls"], "left_anti"), "loss")
+
+
+def transformed_loop_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, bound: int) -> DataFrame:
+    """Whether a subject is met again, by whatever a packet (fwd: cls_in, src, dst, cls_out) has become within ``bound`` edges."""
+    found = transformed_reach(fwd, subjects.select(F.col("subject").alias("dst")), bound)
+    cyclic = structural(edges, bound).where("src = dst").select(F.col("src").alias("subject"))
+    bad = found.where("node = dst").select(F.col("dst").alias("subject"), "cls")
+    return verdicts(subjects.join(cyclic, "subject", "left_semi"), bad, "transformed loop")
 
 
 def consistency_verdicts(fwd: DataFrame, pairs: DataFrame, target, whitelist: DataFrame | None = None) -> DataFrame:
     """Whether some packet reaches ``target`` from one node of a pair (a, b, subject) only."""
     spark = fwd.sparkSession
     goal = spark.range(1).select(F.lit(target).cast(fwd.schema["dst"].dataType).alias("dst"))
-    classes = not_listed(fwd.select("cls").distinct(), whitelist)
-    delivered = saved(spark, reach(fwd, goal).select("node", "cls").join(classes, "cls", "left_semi"), "delivered")
+    delivered = saved(spark, reach(judged(fwd, whitelist), goal).select("node", "cls"), "delivered")
 
     def side(name: str) -> DataFrame:
         return pairs.join(delivered, pairs[name] == delivered["node"]).select("subject", "cls", F.lit(name).alias("side"))
@@ -154,10 +172,7 @@ class Network:
     def transformed_loops(self, max_hops: int = LOOP_HOPS) -> DataFrame:
         """As ``loops`` with packets that NAT changes: a router is met again, by whatever packet."""
         subjects = self.routers.select(F.col("vid").alias("subject"))
-        found = transformed_reach(self.transformed, subjects.select(F.col("subject").alias("dst")), max_hops + 1)
-        cyclic = structural(self.graph[1], max_hops + 1).where("src = dst").select(F.col("src").alias("subject"))
-        bad = found.where("node = dst").select(F.col("dst").alias("subject"), "cls")
-        return self.named(verdicts(subjects.join(cyclic, "subject", "left_semi"), bad, "transformed loop"))
+        return self.named(transformed_loop_verdicts(self.transformed, self.graph[1], subjects, max_hops + 1))
 
     def packet_loss(self, disconnected: bool = False) -> DataFrame:
         subjects = self.routers.select(F.col("vid").alias("subject"))
@@ -172,10 +187,11 @@ class Network:
         return consistency_verdicts(self.single, known.select("a", "b", F.concat_ws(" ", "name1", "name2").alias("subject")), MERGED, self.whitelist)
 
     def trace(self, start: str, prefix: str, max_hops: int = 30) -> DataFrame:
-        """(hop, node, lo, width) of an address (a prefix's network) from a router on, over the tables as read."""
+        """(hop, node, lo, width) of a prefix from a router on, over the tables as read; a route must hold all of it."""
         fib = self.edges_read.select(F.col("src").alias("node"), "lo", "width", F.col("dst").alias("nh"))
-        at = self.vertices_read.where(F.col("name") == start).select(F.col("vid").alias("start"), ip_to_long(F.lit(prefix.split("/")[0])).alias("address"))
-        return trace(fib, at, max_hops)
+        address, _, width = prefix.partition("/")
+        asked = [ip_to_long(F.lit(address)).alias("address"), F.lit(int(width or 32)).alias("asked")]
+        return trace(fib, self.vertices_read.where(F.col("name") == start).select(F.col("vid").alias("start"), *asked), max_hops)
 
     def uses_nat(self) -> bool:
         return not self.graph[1].where(F.col("src") == NAT).isEmpty()

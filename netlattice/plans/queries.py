@@ -19,7 +19,7 @@ from netlattice.operators.reach import loops, reach, trace, transformed_reach
 from netlattice.operators.rules import Cut, Differ, Goal, Is, Rules
 from netlattice.plans import derived
 from netlattice.plans.derived import DELIVERED, PFX, duck, duck_with, spark_sql
-from netlattice.plans.network import LOOP_HOPS, consistency_verdicts, loop_verdicts, loss_verdicts
+from netlattice.plans.network import LOOP_HOPS, consistency_verdicts, loop_verdicts, loss_verdicts, transformed_loop_verdicts
 from netlattice.sources import sinks, vendor
 from netlattice.sources.scratch import saved
 
@@ -326,54 +326,60 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.verdict_counts(packet_loss(spark, sf_dir))
 
 
-#: Twenty NAT rules between classes: a packet of the first range may leave in the second.
-_NAT = f"SELECT pk, pk % 25 AS node, lo AS in_lo, lo + host AS in_hi FROM ({PFX}) p WHERE pk % 200 = 0"
+#: A NAT rule for every prefix: a packet from just below its range may leave as the range's first address.
+_NAT = f"SELECT pk, pk % 25 AS node, lo AS in_lo, lo + host AS in_hi FROM ({PFX}) p"
 _CHANGED = f"""changed AS (SELECT f.cls AS cls_in, f.src, f.dst, f.cls AS cls_out FROM fwd f
   UNION SELECT n.cls, f.src, f.dst, f.cls FROM (SELECT r.node, a.lo AS cls, r.out_cls FROM (SELECT *, in_lo AS out_cls FROM ({duck(_NAT)}) x) r JOIN atoms a ON a.lo < r.in_lo AND a.lo >= r.in_lo - 16777216) n
   JOIN fwd f ON f.src = n.node AND f.cls = n.out_cls),
 tw AS (SELECT cls_in AS cls, cls_out AS arrival, src AS node, dst AS target, 1 AS hop FROM changed WHERE dst < 100
-  UNION SELECT c.cls_in, t.arrival, c.src, t.target, t.hop + 1 FROM changed c JOIN tw t ON c.dst = t.node AND c.cls_out = t.cls WHERE t.hop < 4)"""
+  UNION SELECT c.cls_in, t.arrival, c.src, t.target, t.hop + 1 FROM changed c JOIN tw t ON c.dst = t.node AND c.cls_out = t.cls WHERE t.hop < {LOOP_HOPS + 1})"""
 
 
 @query(_with_recursive("SELECT DISTINCT target AS origin, cls FROM tw WHERE node = target", _CHANGED))
 def loops_with_nat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At some routers packets from just below a range may be sent on as the range's first address."""
-    return _nat_loops(spark, sf_dir, _NAT, 4)
+    found = transformed_reach(_changed(spark, sf_dir)[1], _routers(spark, sf_dir).select(F.col("subject").alias("dst")), LOOP_HOPS + 1)
+    return found.where("node = dst").select(F.col("dst").alias("origin"), "cls").distinct()
 
 
-def _nat_loops(spark: SparkSession, sf_dir: str, nat: str, bound: int) -> DataFrame:
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Forwarding of packets that stay as they are, and (cls_in, src, dst, cls_out) of those that may change."""
     table = saved(spark, derived.fib(spark, sf_dir), "derived-fib")
     pieces = saved(spark, atoms(table), "derived-atoms")
     fwd = saved(spark, forwarding(table, pieces), "derived-fwd")
     block = F.col("in_lo").bitwiseAND(~0xFFFFFF)
-    rules = spark_sql(spark, sf_dir, nat).withColumn("block", F.explode(F.array(block, block - 16777216)))  # where 2 ** 24 addresses below may lie
+    rules = spark_sql(spark, sf_dir, _NAT).withColumn("block", F.explode(F.array(block, block - 16777216)))  # where 2 ** 24 addresses below may lie
     near = pieces.withColumn("block", F.col("lo").bitwiseAND(~0xFFFFFF)).join(rules, "block")
     before = near.where((F.col("lo") < F.col("in_lo")) & (F.col("lo") >= F.col("in_lo") - 16777216)).select(F.col("lo").alias("cls_in"), F.col("node").alias("src"), F.col("in_lo").alias("cls"))
     same = fwd.select(F.col("cls").alias("cls_in"), "src", "dst", F.col("cls").alias("cls_out"))
     changed = before.join(fwd, ["src", "cls"]).select("cls_in", "src", "dst", F.col("cls").alias("cls_out"))
-    both = saved(spark, same.unionByName(changed).distinct(), "derived-changed")
-    found = transformed_reach(both, _routers(spark, sf_dir).select(F.col("subject").alias("dst")), bound)
-    return found.where("node = dst").select(F.col("dst").alias("origin"), "cls").distinct()
+    return fwd, saved(spark, same.unionByName(changed).distinct(), "derived-changed")
+
+
+_WAYS_BACK = "back AS (SELECT src, dst, 1 AS hop FROM (SELECT DISTINCT src, dst FROM fwd) g UNION SELECT b.src, f.dst, b.hop + 1 FROM back b JOIN (SELECT DISTINCT src, dst FROM fwd) f ON b.dst = f.src WHERE b.hop < 21)"
+
+
+@query(_with_recursive(_verdict_sql("transformed loop", "SELECT DISTINCT src AS subject FROM back WHERE src = dst AND src IN (SELECT n_nationkey FROM nation)", "SELECT target AS subject, cls FROM tw WHERE node = target"), f"{_CHANGED}, {_WAYS_BACK}"))
+def transformed_loop_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of ``loops_with_nat`` for the routers on a cycle of the graph."""
+    fwd, both = _changed(spark, sf_dir)
+    return transformed_loop_verdicts(both, _edges(fwd), _routers(spark, sf_dir), LOOP_HOPS + 1)
 
 
 #: Nations 7 and 11 are firewalls; a class carries a tag bit, which they set.
 _TAGGED = """tagged AS (SELECT cls * 2 + t AS cls_in, src, dst, cls * 2 + CASE WHEN src IN (7, 11) THEN 1 ELSE t END AS cls_out FROM fwd, (SELECT 0 AS t UNION ALL SELECT 1) b),
 tw AS (SELECT cls_in AS cls, cls_out AS arrival, src AS node, dst AS target, 1 AS hop FROM tagged WHERE dst < 5
-  UNION SELECT c.cls_in, t.arrival, c.src, t.target, t.hop + 1 FROM tagged c JOIN tw t ON c.dst = t.node AND c.cls_out = t.cls WHERE t.hop < 5)"""
+  UNION SELECT c.cls_in, t.arrival, c.src, t.target, t.hop + 1 FROM tagged c JOIN tw t ON c.dst = t.node AND c.cls_out = t.cls WHERE t.hop < (SELECT count(*) FROM nation))"""
 
 
 @query(_with_recursive("SELECT node AS src, target AS dst, count(DISTINCT cls // 2) AS classes FROM tw WHERE node >= 15 AND node < 100 AND arrival % 2 = 0 GROUP BY node, target", _TAGGED))
 def firewall_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets that get from nations 15.. to nations 0..4 within five hops and arrive without the firewalls' tag."""
-    return _bypass(spark, sf_dir, 5)
-
-
-def _bypass(spark: SparkSession, sf_dir: str, bound: int) -> DataFrame:
+    """Packets that get from nations 15.. to nations 0..4 and arrive without the firewalls' tag; as many hops as routers."""
     tags = spark.createDataFrame([(0,), (1,)], "t int")
     both = _fwd(spark, sf_dir).crossJoin(F.broadcast(tags))
     after = F.when(F.col("src").isin(7, 11), 1).otherwise(F.col("t"))
     tagged = saved(spark, both.select((F.col("cls") * 2 + F.col("t")).alias("cls_in"), "src", "dst", (F.col("cls") * 2 + after).alias("cls_out")), "derived-tagged")
-    found = transformed_reach(tagged, spark.range(5).toDF("dst"), bound).where("node >= 15 and node < 100 and arrival % 2 = 0")
+    found = transformed_reach(tagged, spark.range(5).toDF("dst"), _routers(spark, sf_dir).count()).where("node >= 15 and node < 100 and arrival % 2 = 0")
     return found.groupBy(F.col("node").alias("src"), "dst").agg(F.count_distinct(F.expr("cls div 2")).alias("classes"))
 
 
@@ -384,12 +390,21 @@ def prefix_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.prefix_tree_lines(nearest_parents(derived.prefixes(spark, sf_dir)))
 
 
-@query("SELECT * FROM (" + duck_with(f"""SELECT start, address, hop, node, lo, width FROM t""", recursive=True, t=f"""SELECT CAST(pk % 25 AS BIGINT) AS start, raw AS address, 0 AS hop, CAST(pk % 25 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS INT) AS width FROM ({duck(PFX)}) s WHERE pk % 16 = 0
-UNION ALL SELECT start, address, hop + 1, nh, flo, fwidth FROM (SELECT t.start, t.address, t.hop, f.nh, f.lo AS flo, f.width AS fwidth, row_number() OVER (PARTITION BY t.start, t.address ORDER BY f.width DESC, f.nh) AS rn FROM t JOIN fib f ON f.node = t.node AND t.address >= f.lo AND t.address < f.hi WHERE t.hop < 6) x WHERE rn = 1""") + ") y")
+@query("SELECT * FROM (" + duck_with(f"""SELECT start, address, hop, node, lo, width FROM t""", recursive=True, t=f"""SELECT CAST(pk % 25 AS BIGINT) AS start, raw AS address, 0 AS hop, CAST(pk % 25 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS INT) AS width FROM ({duck(PFX)}) s
+UNION ALL SELECT start, address, hop + 1, nh, flo, fwidth FROM (SELECT t.start, t.address, t.hop, f.nh, f.lo AS flo, f.width AS fwidth, row_number() OVER (PARTITION BY t.start, t.address ORDER BY f.width DESC, f.nh) AS rn FROM t JOIN fib f ON f.node = t.node AND t.address >= f.lo AND t.address < f.hi WHERE t.hop < 30) x WHERE rn = 1""") + ") y")
 def traceroute(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = saved(spark, derived.fib(spark, sf_dir), "derived-fib")
-    starts = derived.prefixes(spark, sf_dir).where("pk % 16 = 0").select((F.col("pk") % 25).alias("start"), F.col("raw").alias("address"))
-    return trace(table, starts, max_hops=6)
+    starts = derived.prefixes(spark, sf_dir).select((F.col("pk") % 25).alias("start"), F.col("raw").alias("address"))
+    return trace(table, starts)
+
+
+@query("SELECT * FROM (" + duck_with("""SELECT start, address, asked, hop, node, lo, width FROM t""", recursive=True, t=f"""SELECT CAST(pk % 25 AS BIGINT) AS start, lo AS address, width AS asked, 0 AS hop, CAST(pk % 25 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS INT) AS width FROM (SELECT pk, lo, width FROM ({duck(PFX)}) s0) s
+UNION ALL SELECT start, address, asked, hop + 1, nh, flo, fwidth FROM (SELECT t.start, t.address, t.asked, t.hop, f.nh, f.lo AS flo, f.width AS fwidth, row_number() OVER (PARTITION BY t.start, t.address, t.asked ORDER BY f.width DESC, f.nh) AS rn FROM t JOIN fib f ON f.node = t.node AND t.address >= f.lo AND t.address < f.hi AND f.width <= t.asked WHERE t.hop < 30) x WHERE rn = 1""") + ") y")
+def traceroute_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways of whole prefixes: a route counts only if it holds all of the asked prefix."""
+    table = saved(spark, derived.fib(spark, sf_dir), "derived-fib")
+    starts = derived.prefixes(spark, sf_dir).select((F.col("pk") % 25).alias("start"), F.col("lo").alias("address"), F.col("width").alias("asked"))
+    return trace(table, starts.distinct())
 
 
 # policies
@@ -434,16 +449,16 @@ def nat_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.nat_pairs(made, spark_sql(spark, sf_dir, _NAT_RULES), ["router", "if_id"], _FIELDS).select("router", "cls_in", "cls_out")
 
 
-@query(f"SELECT r.router, a.cls AS cls_in, b.cls AS cls_out FROM (SELECT 1 AS router UNION ALL SELECT 2) r, ({_DUCK_CLASSES}) a, ({_DUCK_CLASSES}) b WHERE a.dst_ip % 64 = 0 AND b.dst_ip % 64 = 0 AND CASE r.router WHEN 1 THEN a.dst_ip = b.dst_ip AND b.dst_port = 1 ELSE a.dst_port = b.dst_port AND b.dst_ip < 2147483648 END AND a.dst_ip % 4096 = 0 AND b.dst_ip % 4096 = 0")
+_SET_RULES = [(1, 0, 0, "identical", 0, 0), (1, 0, 2, "set", 1, 2), (2, 0, 2, "identical", 0, 0), (2, 0, 0, "set", 0, 1 << 31)]
+
+
+@query(f"""SELECT CAST(1 AS INT) AS router, a.cls AS cls_in, b.cls AS cls_out FROM ({_DUCK_CLASSES}) a JOIN ({_DUCK_CLASSES}) b ON a.dst_ip = b.dst_ip WHERE b.dst_port = 1
+UNION ALL SELECT 2, a.cls, b.cls FROM ({_DUCK_CLASSES}) a JOIN ({_DUCK_CLASSES}) b ON a.dst_port = b.dst_port WHERE b.dst_ip < 2147483648""")
 def setfield_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Router 1 sets the port and keeps the address; router 2 keeps the port and sets the address' first bit to 0."""
     made, _ = _policy(spark, sf_dir)
-    some = made.where("dst_ip % 4096 = 0")
-    ins = some.select(F.col("cls").alias("cls_in"), *(F.col(f).alias(f"in_{f}") for f in _FIELDS))
-    outs = some.select(F.col("cls").alias("cls_out"), *(F.col(f).alias(f"out_{f}") for f in _FIELDS))
-    pairs = spark.createDataFrame([(1, 0), (2, 0)], "router int, if_id int").crossJoin(ins).crossJoin(outs)
-    rules = spark.createDataFrame([(1, 0, 0, "identical", 0, 0), (1, 0, 2, "set", 1, 2), (2, 0, 2, "identical", 0, 0), (2, 0, 0, "set", 0, 1 << 31)], "router int, if_id int, field int, op string, lo long, hi long")
-    return policy.setfield_holds(pairs, rules, ["router", "if_id"], _FIELDS).select("router", "cls_in", "cls_out")
+    rules = spark.createDataFrame(_SET_RULES, "router int, if_id int, field int, op string, lo long, hi long")
+    return policy.setfield_pairs(made, rules, ["router", "if_id"], _FIELDS).select("router", "cls_in", "cls_out")
 
 
 _CSV_NAT = f"SELECT CAST(pk % 30 AS {{text}}) AS src_router, lo AS src_ip, width AS src_width, (lo + 16777216) % 4278190080 AS dst_ip, width AS dst_width FROM ({PFX}) p WHERE pk % 16 = 0"
@@ -618,64 +633,3 @@ def rule_is(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cut keeps the first solution before it; the limit is its meaning."""
     return _facts(spark, sf_dir).query([Goal("ships", "A", "B"), Cut(), Goal("ships", "B", "C")])
-
-
-# the whole tables
-
-_SET_RULES = [(1, 0, 0, "identical", 0, 0), (1, 0, 2, "set", 1, 2), (2, 0, 2, "identical", 0, 0), (2, 0, 0, "set", 0, 1 << 31)]
-_ALL_CLASSES = derived.whole(_DUCK_CLASSES)
-
-
-@query(f"""SELECT CAST(1 AS INT) AS router, a.cls AS cls_in, b.cls AS cls_out FROM ({_ALL_CLASSES}) a JOIN ({_ALL_CLASSES}) b ON a.dst_ip = b.dst_ip WHERE b.dst_port = 1
-UNION ALL SELECT 2, a.cls, b.cls FROM ({_ALL_CLASSES}) a JOIN ({_ALL_CLASSES}) b ON a.dst_port = b.dst_port WHERE b.dst_ip < 2147483648""")
-def setfield_relation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``setfield_relation``, of all classes."""
-    with derived.whole_tables():
-        made, _ = _policy(spark, sf_dir)
-    rules = spark.createDataFrame(_SET_RULES, "router int, if_id int, field int, op string, lo long, hi long")
-    return policy.setfield_pairs(made, rules, ["router", "if_id"], _FIELDS).select("router", "cls_in", "cls_out")
-
-
-def _whole(f: Query) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with derived.whole_tables():
-            return f(spark, sf_dir)
-
-    run.__name__ = f"{f.__name__}_whole"
-    return run
-
-
-_ALL_NAT = _NAT.replace(" WHERE pk % 200 = 0", "")
-_LONG_LOOPS = _CHANGED.replace(duck(_NAT), duck(_ALL_NAT)).replace("t.hop < 4", f"t.hop < {LOOP_HOPS + 1}")
-_LONG_WAYS = _TAGGED.replace("t.hop < 5", "t.hop < (SELECT count(*) FROM nation)")
-_LONG_TRACES = ORACLES["traceroute"].replace(" WHERE pk % 16 = 0", "").replace("t.hop < 6", "t.hop < 30")
-
-
-@query(derived.whole(_with_recursive("SELECT DISTINCT target AS origin, cls FROM tw WHERE node = target", _LONG_LOOPS)))
-def loops_with_nat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``loops_with_nat``, with a rule for every prefix and the bound of transformed loops."""
-    with derived.whole_tables():
-        return _nat_loops(spark, sf_dir, _ALL_NAT, LOOP_HOPS + 1)
-
-
-@query(derived.whole(_with_recursive("SELECT node AS src, target AS dst, count(DISTINCT cls // 2) AS classes FROM tw WHERE node >= 15 AND node < 100 AND arrival % 2 = 0 GROUP BY node, target", _LONG_WAYS)))
-def firewall_bypass_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``firewall_bypass``, within as many hops as there are routers."""
-    with derived.whole_tables():
-        return _bypass(spark, sf_dir, _routers(spark, sf_dir).count())
-
-
-@query(derived.whole(_LONG_TRACES))
-def traceroute_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``traceroute``, from every prefix's router, with the operator's own bound."""
-    with derived.whole_tables():
-        table = saved(spark, derived.fib(spark, sf_dir), "derived-fib")
-        starts = derived.prefixes(spark, sf_dir).select((F.col("pk") % 25).alias("start"), F.col("raw").alias("address"))
-        return trace(table, starts)
-
-
-# the queries above read an eighth of the parts and two lines per order; these read all
-_OWN_CUTS = ("traceroute", "loops_with_nat", "firewall_bypass", "setfield_relation")
-for _name, _sql in list(ORACLES.items()):
-    if derived.whole(_sql) != _sql and _name not in _OWN_CUTS:
-        query(derived.whole(_sql))(_whole(QUERIES[_name]))

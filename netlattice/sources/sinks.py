@@ -22,10 +22,10 @@ def prefix_tree_lines(parents: DataFrame) -> DataFrame:
 
 
 def write_graph(lines: DataFrame, path: str) -> None:
-    """Statements between the braces, one partition being enough for a drawing."""
+    """Statements between the braces; the files of the folder, in the order of their names, are the drawing."""
     whole = lines.sparkSession.createDataFrame([("0", "digraph G {"), ("2", "}")], "at string, line string")
     body = lines.select(F.lit("1").alias("at"), "line").unionByName(whole)
-    body.orderBy("at", "line").coalesce(1).select("line").write.text(path)
+    body.orderBy("at", "line").select("line").write.text(path)
 
 
 def trace_lines(trace: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The queries named ..._whole read every part and line; their rows are compared with SQL in test_queries.py."""
+"""The queries read every part and line; their rows are compared with SQL in test_queries.py."""
 
 import os
 
@@ -11,34 +11,24 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 
-def test_every_cut_query_has_a_whole_one():
-    cut = {n for n, q in queries.ORACLES.items() if any(c in q for c in derived.CUTS)}
-    assert {"lpm", "loop_check", "prefix_parse"} <= cut
-    assert {f"{n}_whole" for n in cut - set(queries._OWN_CUTS)} <= set(queries.ORACLES) - cut
-
-
 def test_all_parts_are_prefixes(spark):
     parts = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
-    assert queries.QUERIES["prefix_parse_whole"](spark, SF_DIR).count() == parts
-    assert queries.QUERIES["prefix_parse"](spark, SF_DIR).count() < parts
+    assert queries.QUERIES["prefix_parse"](spark, SF_DIR).count() == parts
 
 
 def test_all_lines_are_routes(spark):
     t = {n: spark.read.parquet(f"{SF_DIR}/{n}.parquet") for n in ("lineitem", "supplier", "orders", "customer")}
     joined = t["lineitem"].join(t["supplier"], t["lineitem"].l_suppkey == t["supplier"].s_suppkey).join(t["orders"], t["lineitem"].l_orderkey == t["orders"].o_orderkey).join(t["customer"], t["orders"].o_custkey == t["customer"].c_custkey).where("s_nationkey <> c_nationkey")
     wanted = joined.selectExpr("cast(s_nationkey as bigint) as node", "l_partkey as pk", "cast(c_nationkey as bigint) as nh").distinct()
-    with derived.whole_tables():
-        found = derived.ecmp(spark, SF_DIR).join(derived.prefixes(spark, SF_DIR), ["lo", "width"]).select("node", "pk", "nh")
+    found = derived.ecmp(spark, SF_DIR).join(derived.prefixes(spark, SF_DIR), ["lo", "width"]).select("node", "pk", "nh")
     assert wanted.subtract(found).isEmpty()
 
 
 def test_setfield_relation_has_all_classes(spark):
-    found = queries.QUERIES["setfield_relation_whole"](spark, SF_DIR)
+    found = queries.QUERIES["setfield_relation"](spark, SF_DIR)
     parts = spark.read.parquet(f"{SF_DIR}/part.parquet").count()
     assert found.where("router = 1").select("cls_in").distinct().count() == 5 * parts  # the port is set, the address kept
     assert found.where("router = 1").count() == 5 * parts
-    held = queries.QUERIES["setfield_relation"](spark, SF_DIR)
-    assert held.subtract(found).isEmpty()
 
 
 def test_setfield_pairs_without_identical_fields(spark):
@@ -50,13 +40,6 @@ def test_setfield_pairs_without_identical_fields(spark):
     assert sorted((r.router, r.cls_in, r.cls_out) for r in found.collect()) == [(1, i, o) for i in "abc" for o in "bc"] + [(2, x, x) for x in "abc"]
 
 
-def test_long_walks_are_found(spark):
-    """What the plain queries' bounds miss at this size."""
-    for name in ("traceroute", "loops_with_nat", "firewall_bypass"):
-        plain, every = (queries.QUERIES[n](spark, SF_DIR) for n in (name, f"{name}_whole"))
-        assert every.count() > plain.count(), name
-
-
 def test_traces_start_at_every_prefix(spark):
-    found = queries.QUERIES["traceroute_whole"](spark, SF_DIR).where("hop = 0")
+    found = queries.QUERIES["traceroute"](spark, SF_DIR).where("hop = 0")
     assert found.count() == spark.read.parquet(f"{SF_DIR}/part.parquet").count()
