@@ -380,7 +380,7 @@ def search(parts: int) -> Callable:
     """Rows ordered by shard and kind: builds a shard's index from its regions, then streams its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_caches(HASHES)
+        only_caches()  # the index needs the room
         shard, regions, index = None, [], None
         found, n = [], 0
 
@@ -414,6 +414,7 @@ def search(parts: int) -> Callable:
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, entries) -> doc_id, n_words, n_removed, kept."""
+    only_caches()
     for batch in batches:
         rows = []
         for text, entries in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
