@@ -72,6 +72,8 @@ LOW48 = np.uint64((1 << 48) - 1)
 class FlaggedHashes(WordHashes):
     """Word hashes whose lowest bit tells a frequent word."""
 
+    most = 250_000
+
     def __init__(self, top: frozenset[int]) -> None:
         self.top = top
 
@@ -172,13 +174,14 @@ def top_words(docs: DataFrame) -> frozenset[int]:
     """Hashes (lowest bit clear) of the words that make up TOP_SHARE of all words at least."""
 
     hashes = WordHashes()
+    hashes.most = FlaggedHashes.most
 
     def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text in batch.column(0).to_pylist():
             if found := lower_words(text):
                 yield hashes.of(found) & ~np.uint64(1)
 
-    return frozenset(heavy(docs.select("text"), TOP_SHARE, words, 2_000_000, "jaccard-words"))
+    return frozenset(heavy(docs.select("text"), TOP_SHARE, words, 1_000_000, "jaccard-words"))
 
 
 def hot_shingles(nodes: DataFrame) -> dict[int, int]:
@@ -186,7 +189,7 @@ def hot_shingles(nodes: DataFrame) -> dict[int, int]:
         for blob in batch.column(0).to_pylist():
             yield unpacked48(blob)
 
-    return heavy(nodes.select("kept"), HOT_SHARE, kept, 4_000_000, "jaccard-hot")
+    return heavy(nodes.select("kept"), HOT_SHARE, kept, 2_000_000, "jaccard-hot")
 
 
 def sketched(top, size: int, percent: int) -> Callable:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import saved
-from .words import CACHE_WORDS, MIX_A, MIX_B, kept_cache, only_caches
+from .words import MIX_A, MIX_B, kept_cache, only_caches
 
 #: Labels used at most, those with the smallest hash of their id; also the bound of the broadcast.
 FIT_LABELS = 20_000
@@ -50,6 +50,8 @@ ODDS_END, ODDS_STEP = 40.0, 0.005
 #: Weight of the raw model in the smoothing of the target model, in tokens per bucket.
 SMOOTHING = 0.5
 
+#: Tokens whose hashes one Python worker remembers.
+CACHE_TOKENS = 250_000
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 1 << BUCKET_BITS
 SHIFT = np.uint64(64 - BUCKET_BITS)
@@ -68,7 +70,7 @@ def features(text: str | None) -> np.ndarray:
     """Buckets of the tokens and token pairs; a token after itself is a feature of its own (bucket 0)."""
     if not text:
         return np.empty(0, dtype=np.int64)
-    if len(_TOKENS) > CACHE_WORDS:
+    if len(_TOKENS) > CACHE_TOKENS:
         _TOKENS.clear()
     tokens = TOKEN.findall(text)
     h = np.fromiter(map(_TOKENS.__getitem__, tokens), dtype=np.uint64, count=len(tokens))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Multipliers of the rolling combinations; odd, so no bits are lost.
@@ -24,10 +25,13 @@ def only_caches(*mine: dict) -> None:
     for cache in _CACHES:
         if not any(cache is m for m in mine):
             cache.clear()
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
-    """word bytes -> xxh64, filled on demand and emptied when it has grown to ``CACHE_WORDS``."""
+    """word bytes -> xxh64, filled on demand and emptied when it has grown to ``most``."""
+
+    most = CACHE_WORDS
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
@@ -35,7 +39,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
