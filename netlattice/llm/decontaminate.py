@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import saved
-from .words import HASHES, gram_hashes, only_caches, sliding_min
+from .words import HASHES, gram_hashes, only_caches, sliced, sliding_min
 
 SPAN, GRAM, WINDOW = 13, 5, 9
 assert GRAM + WINDOW - 1 <= SPAN
@@ -134,7 +134,7 @@ def scan(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     only_caches(HASHES)
     index = index.value
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in sliced(batches):
         n_words, spans, items = [], [], []
         for text in batch.column(2).to_pylist():
             words = words_of(text)

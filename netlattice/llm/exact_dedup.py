@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved
-from .words import only_caches
+from .words import only_caches, sliced
 
 #: Bytes of text in a bucket; the directory splits one beyond it.
 BUCKET_BYTES = 16 << 20
@@ -85,7 +85,7 @@ def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in ENTRY.split(", ")])
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             body = normalised(text)
             chain = held.setdefault(hashlib.sha256(body).digest(), [])

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import saved, width
-from .words import WordHashes, ascii_words, gram_hashes, only_caches, scramble
+from .words import WordHashes, ascii_words, gram_hashes, only_caches, scramble, sliced
 
 SHINGLE = 4
 #: Two documents link when PERCENT or more of 100 parts of the union are shared.
@@ -150,7 +150,7 @@ def tallied(share: float, values: Callable[[pa.RecordBatch], Iterator[np.ndarray
             common = counts >= max(2, share * n / 4)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([found[common].view(np.int64), [0]])), pa.array(np.concatenate([counts[common], [n]]).astype(np.int64)), pa.array([False] * int(common.sum()) + [True])], names=["h", "n", "total"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for some in values(batch):
                 held.append(some)
                 n += len(some)
@@ -196,7 +196,7 @@ def sketched(top, size: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_caches()
         hashes = FlaggedHashes(top.value)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(lower_words(text), hashes, size)

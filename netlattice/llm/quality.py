@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import saved
-from .words import MIX_A, MIX_B, kept_cache, only_caches
+from .words import MIX_A, MIX_B, kept_cache, only_caches, sliced
 
 #: Labels used at most, those with the smallest hash of their id; also the bound of the broadcast.
 FIT_LABELS = 20_000
@@ -83,7 +83,7 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of this task's documents: all of them, those labelled good, those labelled bad."""
     only_caches(_TOKENS)
     raw, target, reject = (np.zeros(BUCKETS, dtype=np.int64) for _ in range(3))
-    for batch in batches:
+    for batch in sliced(batches):
         for text, quality in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             found = np.bincount(features(text), minlength=BUCKETS)
             raw += found
@@ -111,7 +111,7 @@ def log_ratios(counts: list) -> np.ndarray:
 def weigh(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     only_caches(_TOKENS)
     ratios = model.value
-    for batch in batches:
+    for batch in sliced(batches):
         sums = np.array([ratios[:, features(t)].sum(axis=1) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["doc_id", "log_weight", "log_odds"])
 
