@@ -633,3 +633,58 @@ def rule_is(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cut keeps the first solution before it; the limit is its meaning."""
     return _facts(spark, sf_dir).query([Goal("ships", "A", "B"), Cut(), Goal("ships", "B", "C")])
+
+
+# what the checks and readers above leave out
+
+
+@query(f'SELECT "check", subject, verdict, witness FROM ({ORACLES["loop_check"]}) a UNION ALL SELECT "check", subject, verdict, witness FROM ({ORACLES["packet_loss"]}) b')
+def counterexample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address that shows a loop or a loss, or null where there is none."""
+    both = loop_check(spark, sf_dir).unionByName(packet_loss(spark, sf_dir))
+    return both.select("check", "subject", "verdict", "witness")
+
+
+#: Dumps with entries, their next hops, multicast entries and rejects, a file per nation.
+_TABLES = """SELECT CAST(o_custkey % 25 AS {text}) AS path, CAST(o_orderkey AS INT) AS line, CASE o_orderkey % 8
+  WHEN 0 THEN concat('10.', CAST(o_orderkey % 200 AS {text}), '.0.0/16       *[OSPF/10] 1d, metric 2')
+  WHEN 1 THEN concat('                    > to 10.0.0.', CAST(o_orderkey % 9 AS {text}), ' via ge-0/0/', CAST(o_orderkey % 4 AS {text}), '.0')
+  WHEN 2 THEN concat('10.', CAST(o_orderkey % 200 AS {text}), '.1.1/32       *[Direct/0] 2w')
+  WHEN 3 THEN concat('                    > via lo0.', CAST(o_orderkey % 3 AS {text}))
+  WHEN 4 THEN '224.0.0.5/32       *[OSPF/10] 1w'
+  WHEN 5 THEN concat('                      Local via ge-0/0/', CAST(o_orderkey % 4 AS {text}), '.0')
+  WHEN 6 THEN concat('10.', CAST(o_orderkey % 200 AS {text}), '.2.0/24       *[Static/5] 1w')
+  ELSE '                      Reject' END AS value FROM {{orders}}"""
+_DUCK_TABLES = duck(_TABLES.format(text="VARCHAR"))
+
+
+@query(f"""WITH t AS (SELECT path, line, value, line % 8 AS k FROM ({_DUCK_TABLES}) d),
+f AS (SELECT *, last_value(CASE WHEN k % 2 = 0 THEN split_part(value, ' ', 1) END IGNORE NULLS) OVER o AS dest,
+  last_value(CASE k WHEN 0 THEN 'O' WHEN 2 THEN 'D' WHEN 4 THEN 'O' WHEN 6 THEN 'S' END IGNORE NULLS) OVER o AS tag
+  FROM t WINDOW o AS (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT path, line, dest, CASE k WHEN 1 THEN '10.0.0.' || line % 9 ELSE 'DIRECT' END AS gateway,
+  CASE k WHEN 1 THEN 'ge-0/0/' || line % 4 || '.0' WHEN 3 THEN 'loopback0.' || line % 3 WHEN 5 THEN 'loopback-ge-0/0/' || line % 4 || '.0' ELSE 'drop' END AS interface, tag
+FROM f WHERE k % 2 = 1 AND NOT starts_with(dest, '224.')""")
+def route_table_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vendor.junos(spark_sql(spark, sf_dir, _TABLES.format(text="STRING")))
+
+
+_LOCAL = "SELECT CAST(o_custkey % 25 AS {text}) AS path, CAST(o_orderkey AS INT) AS line, concat('Destination: 10.9.0.0, Local: 10.0.', CAST(o_orderkey % 5 AS {text}), '.', CAST(o_orderkey % 7 AS {text}), ', Broadcast: 10.9.255.255') AS value FROM {{orders}}"
+
+
+@query(f"SELECT path, string_agg(ip, ',' ORDER BY ip) AS ips FROM (SELECT DISTINCT path, '10.0.' || line % 5 || '.' || line % 7 AS ip FROM ({duck(_LOCAL.format(text='VARCHAR'))}) d) x GROUP BY path")
+def interface_aliases_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vendor.interface_addresses(spark_sql(spark, sf_dir, _LOCAL.format(text="STRING")), local_only=True)
+
+
+#: Seven hosts by resolver, each with the addresses of one third octet; their names are those of nations.
+_HOSTS = "SELECT DISTINCT CAST(n_nationkey AS INT) AS row, CAST(n_nationkey AS STRING) AS name FROM {nation} WHERE n_nationkey < 7"
+_RESOLVED = _SPLICED.replace("WHEN 'gateway' THEN gateway || '/32'", "WHEN 'gateway' THEN '10.0.' || split_part(gateway, '.', 3) || '.0/32'").replace("'name:' || n_nationkey", "CASE WHEN n_nationkey < 7 THEN '10.0.' || n_nationkey || '.0/32' ELSE 'name:' || n_nationkey END")
+
+
+@query(f"WITH {_RESOLVED} SELECT DISTINCT src, dst FROM edge")
+def splice_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges where a resolver names the addresses that are one host, and hosts that have no own address."""
+    ips = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.lit(10 << 24) + F.col("row").cast("long") * 256 + i)
+    resolver = spark_sql(spark, sf_dir, _HOSTS).select("row", "name", ips.alias("ips"))
+    return graph.spliced(_rows(spark, sf_dir), spark_sql(spark, sf_dir, _NODES), resolver)[1].select("src", "dst").distinct()
