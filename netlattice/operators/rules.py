@@ -8,17 +8,21 @@
 Arguments that begin with a letter are variables, ``_`` is anonymous, and quoted
 strings or numbers are constants.  Shared variables are equalities, so goals
 become equi-joins; a goal that shares none is a product, as the rule says.
-Solutions are sets.
+Solutions are sets.  A predicate may call itself once in a rule; its rows are then
+derived round by round from those that were new, until none is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netlattice.operators.reach import fixpoint
+
 
 class Goal:
     def __init__(self, name: str, *args: str | int) -> None:
@@ -78,6 +82,7 @@ class Rules:
         self.facts: dict[str, list[tuple[DataFrame, list[str]]]] = {}
         self.rules: dict[str, list[tuple[list[str], list]]] = {}
         self.foreign: dict[str, Callable[..., DataFrame]] = {}
+        self.rounds: dict[str, DataFrame] = {}  # of a predicate that is being derived, the rows of the last round
 
     def fact(self, name: str, df: DataFrame, columns: list[str]) -> None:
         """Rows of ``df`` are facts of ``name``, arguments in the order of ``columns``."""
@@ -92,10 +97,31 @@ class Rules:
 
     def relation(self, goal: Goal, depth: int) -> DataFrame:
         """All facts and derived rows of a predicate, with columns c0, c1, ..."""
+        if goal.name in self.rounds:
+            return self.rounds[goal.name]
+        calls_itself = [(h, g) for h, g in self.rules.get(goal.name, []) if any(isinstance(x, Goal) and x.name == goal.name for x in g)]
+        plain = self.once(goal, depth, [r for r in self.rules.get(goal.name, []) if r not in calls_itself])
+        if not calls_itself:
+            return plain
+        if any(sum(isinstance(x, Goal) and x.name == goal.name for x in g) > 1 for _, g in calls_itself):
+            raise ValueError(f"{goal.name} calls itself twice in a rule; derive it from a predicate of single steps")
+
+        def step(new: DataFrame) -> DataFrame:
+            self.rounds[goal.name] = new.drop("hop")
+            try:
+                derived = [self.query(g, depth + 1).select(*(value_of(x).alias(f"c{i}") for i, x in enumerate(h))) for h, g in calls_itself]
+            finally:
+                del self.rounds[goal.name]
+            return reduce(DataFrame.unionByName, derived)
+
+        return fixpoint(plain, step, plain.columns).drop("hop")
+
+    def once(self, goal: Goal, depth: int, rules: list) -> DataFrame:
+        """Facts and the rows of the given rules."""
         parts = []
         for df, columns in self.facts.get(goal.name, []):
             parts.append(df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))))
-        for head, goals in self.rules.get(goal.name, []):
+        for head, goals in rules:
             solved = self.query(goals, depth + 1)
             parts.append(solved.select(*(value_of(h).alias(f"c{i}") for i, h in enumerate(head))))
         if goal.name in self.foreign:
@@ -111,7 +137,7 @@ class Rules:
     def query(self, goals: list, depth: int = 0) -> DataFrame:
         """Distinct solutions: one column per variable."""
         if depth > 50:
-            raise RecursionError("rules that call themselves need a fixpoint, see operators.reach")
+            raise RecursionError("predicates that call each other in a circle; let one call itself")
         state: DataFrame | None = None
         for goal in goals:
             if isinstance(goal, Goal):

@@ -688,3 +688,12 @@ def splice_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     ips = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.lit(10 << 24) + F.col("row").cast("long") * 256 + i)
     resolver = spark_sql(spark, sf_dir, _HOSTS).select("row", "name", ips.alias("ips"))
     return graph.spliced(_rows(spark, sf_dir), spark_sql(spark, sf_dir, _NODES), resolver)[1].select("src", "dst").distinct()
+
+
+@query(f"WITH RECURSIVE way AS (SELECT a, b FROM ({_SHIPS}) x UNION SELECT w.a, y.b FROM way w JOIN ({_SHIPS}) y ON w.b = y.a) SELECT a AS \"A\", b AS \"B\" FROM way")
+def rule_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where goods may get to, over any number of shipments."""
+    rules = _facts(spark, sf_dir)
+    rules.rule("way", ["A", "B"], [Goal("ships", "A", "B")])
+    rules.rule("way", ["A", "C"], [Goal("way", "A", "B"), Goal("ships", "B", "C")])
+    return rules.query([Goal("way", "A", "B")])
