@@ -85,7 +85,6 @@ class ChunkIds(dict):
     """
 
     def __init__(self, path: str) -> None:
-        self.older: dict[str, bytes] = {}
         self.tokenizer = tokenizer(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pieces = PieceIds(self.tokenizer.model, self.kind)
@@ -94,14 +93,7 @@ class ChunkIds(dict):
         lowers = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.split = regex.compile(SPLIT).findall if lowers and split == [SPLIT] else None
 
-    def clear(self) -> None:
-        super().clear()
-        self.older = {}
-
     def __missing__(self, chunk: str) -> bytes:
-        if (known := self.older.get(chunk)) is not None:
-            self[chunk] = known
-            return known
         if not self.split or "<|" in chunk or not SIMPLE(chunk):
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
         else:
@@ -116,12 +108,9 @@ class ChunkIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        if len(self) > CACHE_CHUNKS // 2:  # what is asked again moves over; the rest goes the next time
-            older = dict(self)
-            self.clear()
-            self.older = older
-        if len(self.pieces) > CACHE_CHUNKS:
-            self.pieces.clear()
+        for cache in (self, self.pieces):
+            if len(cache) > CACHE_CHUNKS:
+                cache.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
