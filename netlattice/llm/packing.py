@@ -41,7 +41,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: How that tokenizer parts white-space-free text (a fixed value of its file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: White-space-free chunks whose ids one Python worker remembers.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 400_000
 
 TOKENS = "doc_id long, task int, start_in_task long, ids binary, n long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
