@@ -41,10 +41,8 @@ gives no rows, and other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -55,12 +53,14 @@ from pyspark.sql import functions as F
 
 from .fm_index import SPAN, FmIndex
 from .scratch import saved, scratch_root, width
-from .words import HASHES, ascii_words, gram_hashes, only_caches, scramble, sliding_min
+from .words import MIX_A, ascii_words, gram_hashes, only_caches, scramble, sliding_min, word_hashes
 
 GRAM = 5
 WINDOW = SPAN - GRAM + 1
 #: Packed entries that a task holds before it hands them on.
 BLOCK = 400_000
+#: Text whose windows are made at once, or one text if it is longer.
+TOGETHER = 256 << 10
 #: Fingerprint entries per shard, about.
 SHARD_ENTRIES = 600_000
 #: Text in one part of the documents.
@@ -122,50 +122,57 @@ def spread(key: np.ndarray, parts: int) -> np.ndarray:
     return (scramble(key.astype(np.int64).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
+def together(batch: pa.RecordBatch) -> Iterator[list[list]]:
+    """The columns of a batch in parts of about ``TOGETHER`` bytes of text (second column), without null texts."""
+    held, n = [], 0
+    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if row[1] is None:
+            continue
+        held.append(row)
+        n += len(row[1])
+        if n >= TOGETHER:
+            yield [list(c) for c in zip(*held, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [list(c) for c in zip(*held, strict=True)]
+
+
+class Windows:
+    """All windows of some texts: the word each begins with, its text's number and the word its minimal gram begins with."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.flat = b" ".join(texts)
+        self.starts, self.ends, self.hashes = word_hashes(self.flat)
+        offsets = np.cumsum([0] + [len(x) + 1 for x in texts])
+        self.first = np.searchsorted(self.starts, offsets)  # word that a text begins with
+        owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        best, self.grams = fingerprints(self.hashes)
+        self.at = np.flatnonzero(owner[: len(best)] == owner[SPAN - 1 :][: len(best)])
+        self.text, self.best = owner[self.at], best[self.at]
+
+
 def prints_in(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """Fingerprint entries of a batch (key, text), many documents at a time; a print may repeat in a document."""
-    keys, lists, n = [], [], 0
-
-    def out() -> np.ndarray:
-        hashes = HASHES.of(list(chain.from_iterable(lists)))
-        sizes = np.array([len(x) for x in lists])
-        ends = np.cumsum(sizes)
-        best, grams = fingerprints(hashes)
-        inside = np.arange(len(best)) + SPAN <= np.repeat(ends, sizes)[: len(best)]  # windows of one document
-        at = np.unique(best[inside])
-        entries = np.empty(len(at), dtype=PRINT)
-        entries["print"], entries["key"] = grams[at], np.array(keys)[np.searchsorted(ends, at, side="right")]
-        return entries
-
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        words = ascii_words(text)
-        if len(words) < SPAN:
-            continue
-        keys.append(key)
-        lists.append(words)
-        n += len(words)
-        if n >= 50_000:
-            yield out()
-            keys, lists, n = [], [], 0
-    if n:
-        yield out()
+    for keys, texts in together(batch):
+        windows = Windows(texts)
+        new = np.flatnonzero(np.diff(windows.best, prepend=-1))
+        entries = np.empty(len(new), dtype=PRINT)
+        entries["print"], entries["key"] = windows.grams[windows.best[new]], np.array(keys, dtype=np.int64)[windows.text[new]]
+        yield entries
 
 
 def windows_in(batch: pa.RecordBatch, hot_prints: np.ndarray) -> Iterator[np.ndarray]:
     """Hashes of the windows with a hot fingerprint."""
-    for text in batch.column(1).to_pylist():
-        words = ascii_words(text)
-        if len(words) >= SPAN:
-            hashes = HASHES.of(words)
-            best, grams = fingerprints(hashes)
-            yield gram_hashes(hashes, SPAN)[np.isin(grams[best], hot_prints)]
+    for _, texts in together(batch):
+        windows = Windows(texts)
+        yield gram_hashes(windows.hashes, SPAN)[windows.at[np.isin(windows.grams[windows.best], hot_prints)]]
 
 
 def tallied(values: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> Callable:
     """(key, text) -> (every, h, n): values common in a task's chunk, and a row with the number of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_caches(HASHES)
+        only_caches()
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
@@ -199,7 +206,7 @@ def deal_prints(shards: int, hot_prints) -> Callable:
     """Fingerprints with the documents they are in, by fingerprint; hot ones only tell that a document has some, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_caches(HASHES)
+        only_caches()
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
@@ -261,6 +268,11 @@ def by_key(kind: np.dtype) -> Callable:
     return run
 
 
+def in_text(prints: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A hash of a fingerprint and the number of its text."""
+    return scramble(prints + text.astype(np.uint64) * MIX_A)
+
+
 def row_hash(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
@@ -272,7 +284,7 @@ def deal_regions(shards: int, hot_prints, own_shards) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_caches(HASHES)
+        only_caches()
         regions: dict[tuple[int, bytes], list] = {}  # shard and name of a region -> [smallest key, words]
         places, n = [], 0
 
@@ -307,28 +319,31 @@ def deal_regions(shards: int, hot_prints, own_shards) -> Callable:
             return made
 
         for batch in batches:
-            for key, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = ascii_words(text)
-                if len(words) < SPAN:
-                    continue
-                hashes = HASHES.of(words)
-                best, grams = fingerprints(hashes)
-                of_window = grams[best]
-                starts = np.flatnonzero(np.concatenate([[True], of_window[1:] != of_window[:-1]]))
-                ends = np.concatenate([starts[1:], [len(best)]])
-                print_of = of_window[starts]
+            for keys, texts, shared in together(batch):
+                rows = [row_hash(x) for x in texts]
+                found = Windows([b" ".join(ascii_words(x)) for x in texts])  # so that words lie one byte apart
+                of_window = found.grams[found.best]
+                starts = np.flatnonzero(np.concatenate([[True], (np.diff(of_window) != 0) | (np.diff(found.text) != 0)])[: len(of_window)])
+                ends = np.append(starts[1:], len(of_window))
+                print_of, text_of, at, size = of_window[starts], found.text[starts], found.at[starts], ends - starts
                 hot_one = np.isin(print_of, hot_prints.value)
-                hit = ~hot_one & np.isin(print_of, np.frombuffer(shared, PRINT)["print"])
-                row = row_hash(text)
-                shard = spread(print_of[hit].view(np.int64), shards).tolist()
-                for s, lo, hi in zip(shard, starts[hit].tolist(), ends[hit].tolist(), strict=True):
-                    n += placed(range(s, s + 1), 0, key, row, lo, b" ".join(words[lo : hi + SPAN - 1]))
+                # a pair taken for another makes a region that nothing else has
+                known = [np.frombuffer(x, PRINT)["print"] for x in shared]
+                pairs = in_text(np.concatenate(known), np.repeat(np.arange(len(known)), [len(x) for x in known]))
+                hit = ~hot_one & np.isin(in_text(print_of, text_of), pairs)
+                begin, end, local = found.starts[at], found.ends[at + size + SPAN - 2], at - found.first[text_of]
+                shard = spread(print_of.view(np.int64), shards)
+                for s, i, p, lo, hi in zip(*(x[hit].tolist() for x in (shard, text_of, local, begin, end)), strict=True):
+                    n += placed(range(s, s + 1), 0, keys[i], rows[i], p, found.flat[lo:hi])
                 if hot_one.any():
-                    windows = gram_hashes(hashes, SPAN)
-                    every = np.concatenate([np.arange(lo, hi) for lo, hi in zip(starts[hot_one], ends[hot_one], strict=True)])
-                    for s, h, at in zip(spread(windows[every].view(np.int64), shards).tolist(), windows[every].tolist(), every.tolist(), strict=True):
+                    every = np.flatnonzero(np.repeat(hot_one, size))
+                    at, text_of = found.at[every], found.text[every]
+                    hashes = gram_hashes(found.hashes, SPAN)[at]
+                    begin, end, local = found.starts[at], found.ends[at + SPAN - 1], at - found.first[text_of]
+                    shard = spread(hashes.view(np.int64), shards)
+                    for s, h, i, p, lo, hi in zip(*(x.tolist() for x in (shard, hashes, text_of, local, begin, end)), strict=True):
                         of = own_shards.value.get(h, range(s, s + 1))
-                        n += placed(of, int(spread(np.array([key]), len(of))[0]), key, row, at, b" ".join(words[at : at + SPAN]))
+                        n += placed(of, int(spread(np.array([keys[i]]), len(of))[0]), keys[i], rows[i], p, found.flat[lo:hi])
                 if n >= BLOCK:
                     yield from out()
                     regions.clear()

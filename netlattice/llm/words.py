@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,9 @@ MIX_B = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Words remembered by one Python worker before its cache starts afresh.
 CACHE_WORDS = 600_000
 _CACHES: list[dict] = []
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Text that is hashed at once, up to the next white space.
+HASH_BYTES = 1 << 17
 
 
 def kept_cache(cache: dict) -> dict:
@@ -95,3 +100,34 @@ def sliding_min(values: np.ndarray, window: int) -> np.ndarray:
         best = np.where(values[right] <= values[left], right, left)
         span += step
     return best[:n]
+
+
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``MIX_A`` and of its inverse, modulo 2 ** 64."""
+    both = (np.full(n, x, dtype=np.uint64) for x in (int(MIX_A), pow(int(MIX_A), -1, 1 << 64)))
+    return tuple(np.multiply.accumulate(np.where(np.arange(n) == 0, np.uint64(1), x)) for x in both)
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of ``ascii_words`` begin and end in the text, and a 64-bit hash of each.
+
+    The hashes are differences of a running polynomial over the bytes, so that
+    no word becomes a Python object.  Equal words have equal hashes; hashes that
+    are equal do not prove equal words.
+    """
+    parts, lo = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))], 0
+    while lo < len(text):
+        end = SPACE.search(text, lo + HASH_BYTES)
+        hi = end.start() if end else len(text)
+        raw = np.frombuffer(text, np.uint8, hi - lo, lo)
+        space = (raw == 32) | (raw - np.uint8(9) < 5)
+        edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        ahead, back = powers(max(2 * HASH_BYTES, 1 << (hi - lo).bit_length()))
+        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum(raw * ahead[: hi - lo], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * MIX_B
+        parts.append((starts + lo, ends + lo, scramble(found)))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))

@@ -623,3 +623,21 @@ def test_url_filter(spark):
     assert collected(url_filter(captures, entries, broadcast_chars=0), "page_id", "kept") == expected
     assert url_filter(captures.where("false"), entries).count() == 0
     assert all(r["kept"] for r in url_filter(captures, entries.where("false")).collect())
+
+
+def test_word_hashes_follow_the_words(monkeypatch):
+    import random
+
+    from netlattice.llm import words
+
+    draw = random.Random(5)
+    for size in (8, 1 << 17):
+        monkeypatch.setattr(words, "HASH_BYTES", size)
+        seen = {}
+        for text in [b"", b" ", b"x", b"\t\n x", bytes(range(256)) * 3, b"long" * 200_000 + b" x"] + [bytes(draw.choices(b"ab\x00\xc3\xa9 \n\t\x0b\x1c\x1f", k=draw.randrange(300))) for _ in range(300)]:
+            starts, ends, hashes = words.word_hashes(text)
+            found = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            assert found == words.ascii_words(text)
+            for word, h in zip(found, hashes.tolist(), strict=True):
+                assert seen.setdefault(word, h) == h
+        assert len(set(seen.values())) == len(seen)
