@@ -81,4 +81,65 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(x.m, d.doc_id) AS comp
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id) x ON x.doc_id = d.doc_id
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op6_substring_dedup": OP6, "op7_decontamination": OP7, "op9_url_filter": OP9, "op10_jaccard_join": OP10}
+OP11 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, k, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(k, r)),
+m AS (SELECT *, len(regexp_extract_all(role || chr(0) || text, '<\\*(s>|/s>|\|endoftext\|>)|\[\\*/?INST\]')) AS escapes FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(17 + length(role) + length(text) + escapes) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
+OP12 = r"""
+WITH own AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x : ascii(x)::BIGINT)),
+                 lambda s, b : list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda m, z : CASE WHEN m % 2 = 1 THEN xor(m >> 1, 3988292384) ELSE m >> 1 END)), 4294967295) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM own) x),
+size AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id),
+rebuilt AS (SELECT c.conv_id, o.pos, role, text FROM c JOIN own o ON o.conv_id = c.base AND o.pos <= h
+            UNION ALL SELECT c.conv_id, least(h, coalesce(s.n, 0)) + o.pos - h, role, text
+            FROM c JOIN own o ON o.conv_id = c.conv_id AND o.pos > h LEFT JOIN size s ON s.conv_id = c.base),
+seq AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY pos) AS s, list(strlen(text) ORDER BY pos) AS b FROM rebuilt GROUP BY conv_id),
+m AS (SELECT c.conv_id, d, coalesce(array_to_string(s[1:d], ''), '') AS k, CASE WHEN d = 0 THEN 0 ELSE b[d] END AS bytes, d = coalesce(len(s), 0) AS ended
+      FROM c LEFT JOIN seq ON seq.conv_id = c.conv_id, unnest(generate_series(0, coalesce(len(s), 0))) AS u(d)),
+node AS MATERIALIZED (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n, min(bytes) AS bytes,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends FROM m GROUP BY d, k),
+kids AS (SELECT left(k, CAST(64 * (d - 1) AS BIGINT)) AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+below AS (SELECT left(node.k, CAST(64 * u.d AS BIGINT)) AS k, count(*) FILTER (WHERE kids.n IS NULL) AS leaves, sum((node.n - 1) * node.bytes) AS saved
+          FROM node LEFT JOIN kids ON kids.k = node.k, unnest(generate_series(0, node.d)) AS u(d) GROUP BY 1)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       below.leaves AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+FROM node LEFT JOIN node up ON up.d = node.d - 1 AND up.k = left(node.k, CAST(64 * (node.d - 1) AS BIGINT))
+LEFT JOIN kids ON kids.k = node.k JOIN below ON below.k = node.k
+"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, term, count(*) AS n FROM d, unnest(w) AS u(term) GROUP BY r, lang, source, term),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM t GROUP BY lang, term HAVING count(*) >= 3),
+c AS MATERIALIZED (SELECT t.lang, t.source, t.term, sum(t.n) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+gn AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+gp AS MATERIALIZED (SELECT g.lang, g.source, k.term, c.n AS held,
+              1 + CAST(1000000000 * (coalesce(c.n, 0) + 1) AS HUGEINT) // CAST(coalesce(gn.n, 0) + l.v AS HUGEINT) AS p,
+              1 + CAST(1000000000 * (k.n + 1) AS HUGEINT) // CAST(l.n + l.v AS HUGEINT) AS q
+       FROM g JOIN l ON l.lang = g.lang JOIN k ON k.lang = g.lang LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+       LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+       FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(pv.value, 0) AS value
+          FROM g JOIN g o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN pv ON pv.lang = g.lang AND pv.source = g.source AND pv.item = o.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM gp WHERE held > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op3_line_dedup": OP3, "op4_exact_dedup": OP4, "op6_substring_dedup": OP6, "op7_decontamination": OP7, "op9_url_filter": OP9, "op10_jaccard_join": OP10, "op11_chat_formatting": OP11, "op12_conversation_trie": OP12, "op13_source_divergence": OP13}

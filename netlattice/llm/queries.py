@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .chat import conversation_digests, format_conversations
+from .conversation_trie import prefix_trie
 from .decontaminate import decontaminate
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .html_wrapper import main_text
 from .jaccard import link_components
@@ -85,4 +88,41 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op6_substring_dedup, op7_decontamination, op8_language, op9_url_filter, op10_jaccard_join)}
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one conversation more, whose texts are made of the template's own control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(format_conversations(rows.unionByName(more)))
+
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """(conv_id, position, role, text): every conversation c, begun with the first crc32(c) % 9 turns of c - c % 5 in place of as many of its own.
+
+    Every conversation has a row with a null position too, so that one left without turns is still there.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = conversations.where("conv_id IS NOT NULL").select("conv_id", "turn", text("role"), text("text"))
+    in_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    rows = rows.withColumn("pos", F.row_number().over(in_turn))
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    convs = conversations.where("conv_id IS NOT NULL").select("conv_id").distinct().withColumns({"base": base, "h": taken})
+    lent = rows.where("pos <= 8").select(F.col("conv_id").alias("base"), "pos", "role", "text")  # no more than 8 are ever taken
+    begins = convs.join(lent, "base").where("pos <= h").select("conv_id", F.col("pos").alias("position"), "role", "text")
+    given = begins.groupBy("conv_id").agg(F.max("position").alias("given"))
+    rest = rows.where(F.col("pos") > taken).join(given, "conv_id", "left")
+    rest = rest.select("conv_id", (F.coalesce("given", F.lit(0)) + F.col("pos") - taken).alias("position"), "role", "text")
+    nothing = F.lit(None).cast("string")
+    return begins.unionByName(rest).unionByName(convs.select("conv_id", F.lit(None).cast("long").alias("position"), nothing.alias("role"), nothing.alias("text")))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_packing, op3_line_dedup, op4_exact_dedup, op5_quality, op6_substring_dedup, op7_decontamination, op8_language, op9_url_filter, op10_jaccard_join, op11_chat_formatting, op12_conversation_trie, op13_source_divergence)}
