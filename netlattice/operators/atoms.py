@@ -20,18 +20,28 @@ def endpoints(*ranges: DataFrame) -> DataFrame:
     return ends.distinct()
 
 
-def followed(x: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """(x, next): each distinct value with the next larger one, null for the largest.
+def followed(x: DataFrame, stretch: int = STRETCH, keys: list[str] | None = None) -> DataFrame:
+    """(keys, x, next): each distinct value of a key with the next larger one, null for the largest.
 
     Neighbours are found inside stretches of the values, which are windows of
-    their own; only the first value of each stretch (at most ALL / STRETCH rows)
-    passes through one task.
+    their own; only the first value of each stretch (at most ALL / STRETCH rows a
+    key) passes through one task.
     """
+    keys = keys or []
+    cut = x.select(*keys, "x", F.floor(F.col("x") / stretch).cast("long").alias("stretch"))
+    inner = F.lead("x").over(Window.partitionBy(*keys, "stretch").orderBy("x"))
+    firsts = cut.groupBy(*keys, "stretch").agg(F.min("x").alias("first"))
+    following = firsts.select(*keys, "stretch", F.lead("first").over(Window.partitionBy(*keys).orderBy("stretch")).alias("beyond"))
+    return cut.withColumn("next", inner).join(following, [*keys, "stretch"]).select(*keys, "x", F.coalesce("next", "beyond").alias("next"))
+
+
+def numbered(x: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(x, number): distinct values with their place in the order, from 0; counted by stretches as in ``followed``."""
     cut = x.select("x", F.floor(F.col("x") / stretch).cast("long").alias("stretch"))
-    inner = F.lead("x").over(Window.partitionBy("stretch").orderBy("x"))
-    firsts = cut.groupBy("stretch").agg(F.min("x").alias("first"))
-    following = firsts.select("stretch", F.lead("first").over(Window.orderBy("stretch")).alias("beyond"))
-    return cut.withColumn("next", inner).join(following, "stretch").select("x", F.coalesce("next", "beyond").alias("next"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).select("stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("stretch").orderBy("x")) - 1
+    return cut.withColumn("place", place).join(base, "stretch").select("x", (F.col("base") + F.col("place")).alias("number"))
 
 
 def atoms(*ranges: DataFrame) -> DataFrame:
@@ -39,12 +49,23 @@ def atoms(*ranges: DataFrame) -> DataFrame:
     return followed(endpoints(*ranges)).where("next is not null").select(F.col("x").alias("lo"), F.col("next").alias("hi"))
 
 
-def coalesced(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lo, hi): overlapping or adjacent ranges of one key become one."""
-    w = Window.partitionBy(*keys).orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+def coalesced(df: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
+    """(keys, lo, hi): overlapping or adjacent ranges of one key become one.
+
+    Islands are found inside stretches of ``lo``, so that a hot key spreads over
+    tasks.  How far the stretches before reach, and how many islands they begin,
+    are windows over one row for each key and stretch.
+    """
+    rows = df.select(*keys, "lo", "hi", F.floor(F.col("lo") / stretch).cast("long").alias("stretch"))
+    at = Window.partitionBy(*keys, "stretch").orderBy("lo", "hi")
+    earlier = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reached = rows.groupBy(*keys, "stretch").agg(F.max("hi").alias("far")).select(*keys, "stretch", F.max("far").over(earlier).alias("before"))
+    reach = F.greatest(F.max("hi").over(at.rowsBetween(Window.unboundedPreceding, -1)), "before")
     new = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
-    islands = df.withColumn("new", new).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = rows.join(reached, [*keys, "stretch"]).withColumn("new", new)
+    begun = begun.withColumn("inner", F.sum("new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = begun.groupBy(*keys, "stretch").agg(F.sum("new").alias("n")).select(*keys, "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    islands = begun.join(counts, [*keys, "stretch"]).withColumn("island", F.col("base") + F.col("inner"))
     return islands.groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
 
 

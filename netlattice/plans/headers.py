@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlattice.operators.lpm import longest, under_prefixes
-from netlattice.operators.policy import FIELDS, WIDTHS, acl_permits, header_classes, nat_pairs, permitted, setfield_holds, setfield_pairs
-from netlattice.operators.reach import structural, transformed_reach
+from netlattice.operators.atoms import atoms
+from netlattice.operators.boxes import Changes, reaching, sendable
+from netlattice.operators.policy import FIELDS, WIDTHS
+from netlattice.operators.reach import structural
 from netlattice.operators.rules import Goal, Rules
 from netlattice.sources.network_xml import NetworkTables, read_network
 from netlattice.sources.scratch import saved
@@ -18,7 +19,7 @@ KEYS = ["router", "if_id"]
 
 
 class HeaderNetwork:
-    """A network whose packets have several fields and may change on the way."""
+    """A network whose packets have several fields and may change on the way; sets of packets are boxes."""
 
     def __init__(self, spark: SparkSession, tables: NetworkTables, fields: list[str] = FIELDS, widths: list[int] = WIDTHS) -> None:
         self.spark, self.tables, self.fields, self.widths = spark, tables, fields, widths
@@ -27,53 +28,37 @@ class HeaderNetwork:
     def read(cls, spark: SparkSession, path: str, fields: list[str] = FIELDS, widths: list[int] = WIDTHS) -> HeaderNetwork:
         return cls(spark, read_network(spark, path), fields, widths)
 
-    @cached_property
-    def classes(self) -> DataFrame:
+    def ranges(self) -> DataFrame:
+        """(field, lo, hi) of every constant."""
         t = self.tables
         dst = F.lit(0).alias("field")
-        ranges = t.fib.select(dst, "lo", "hi").unionByName(t.acl.where("field is not null").select("field", "lo", "hi"))
-        ranges = ranges.unionByName(t.nat.select(dst, F.col("in_lo").alias("lo"), F.col("in_hi").alias("hi"))).unionByName(t.nat.select(dst, F.col("out_lo").alias("lo"), F.col("out_hi").alias("hi")))
-        ranges = ranges.unionByName(t.setfield.where("op = 'set'").select("field", "lo", "hi"))
-        return saved(self.spark, header_classes(ranges, self.fields, self.widths), "classes")
+        found = t.fib.select(dst, "lo", "hi").unionByName(t.acl.where("field is not null").select("field", "lo", "hi"))
+        found = found.unionByName(t.nat.select(dst, F.col("in_lo").alias("lo"), F.col("in_hi").alias("hi"))).unionByName(t.nat.select(dst, F.col("out_lo").alias("lo"), F.col("out_hi").alias("hi")))
+        return found.unionByName(t.setfield.where("op = 'set'").select("field", "lo", "hi"))
+
+    @cached_property
+    def atoms(self) -> DataFrame:
+        """(lo, hi) of the routed field."""
+        return saved(self.spark, atoms(self.ranges().where("field = 0 AND lo < hi")), "header-atoms")
 
     @cached_property
-    def sendable(self) -> DataFrame:
-        """(router, if_id, cls): the packets that leave by an interface: routed there, and let through."""
-        dst = self.fields[0]
-        addresses = self.classes.select(F.col(dst).alias("lo")).distinct()
-        fib = self.tables.fib.select("router", "if_id", "lo", "width")
-        routed = longest(under_prefixes(addresses, fib), ["p_router", "lo"]).select(F.col("p_router").alias("router"), F.col("p_if_id").alias("if_id"), F.col("lo").alias(dst)).distinct()
-        pairs = routed.join(self.classes.select("cls", dst), dst).select(*KEYS, "cls")
-        return permitted(pairs, acl_permits(self.classes, self.tables.acl, KEYS, self.fields), KEYS)
+    def links(self) -> DataFrame:
+        """(router, if_id, nexthop, box): what leaves by an interface: routed there, and let through (after any change)."""
+        t = self.tables
+        sent = sendable(t.fib.select(*KEYS, "lo", "width"), t.acl, self.atoms, self.widths)
+        return saved(self.spark, sent.join(t.interface, KEYS), "header-links")
 
     @cached_property
-    def fwd(self) -> DataFrame:
-        """(cls_in, src, dst, cls_out): the packet that arrives is routed and filtered (policies see it after the change)."""
-        t, f = self.tables, self.fields
-        changing = t.nat.select(*KEYS).unionByName(t.setfield.select(*KEYS)).distinct()
-        leaving = saved(self.spark, self.sendable, "sendable")
-        same = leaving.join(changing, KEYS, "left_anti").select(*KEYS, F.col("cls").alias("cls_in"), F.col("cls").alias("cls_out"))
-        natted = nat_pairs(self.classes, t.nat, KEYS, f)
-        without_nat = changing.join(t.nat.select(*KEYS).distinct(), KEYS, "left_anti")
-        outs = leaving.join(changing, KEYS, "left_semi").select(*KEYS, F.col("cls").alias("cls_out"))
-        ins = self.classes.select(F.col("cls").alias("cls_in"), *(F.col(x).alias(f"in_{x}") for x in f))
-        after = self.classes.select(F.col("cls").alias("cls_out"), *(F.col(x).alias(f"out_{x}") for x in f))
-        changed = natted.join(outs, [*KEYS, "cls_out"]).select(*KEYS, "cls_in", "cls_out")
-        held = setfield_holds(changed.join(ins, "cls_in").join(after, "cls_out"), t.setfield, KEYS, f).select(*KEYS, "cls_in", "cls_out")
-        # set-field rules alone: any packet before, any sendable packet after, as far as the rules allow
-        alone = setfield_pairs(self.classes, t.setfield.join(without_nat, KEYS, "left_semi"), KEYS, f)
-        both = same.unionByName(held).unionByName(alone.join(outs, [*KEYS, "cls_out"], "left_semi").select(*KEYS, "cls_in", "cls_out"))
-        hop = t.interface.select(*KEYS, F.col("nexthop").alias("dst"))
-        return saved(self.spark, both.join(hop, KEYS).select("cls_in", F.col("router").alias("src"), "dst", "cls_out").distinct(), "header-fwd")
+    def changes(self) -> Changes:
+        return Changes(self.atoms, self.tables.nat, self.tables.setfield, self.widths)
 
     @cached_property
     def size(self) -> int:
         return self.tables.router.count()
 
-    @cached_property
-    def reached(self) -> DataFrame:
-        targets = self.tables.router.select(F.col("router").alias("dst"))
-        return saved(self.spark, transformed_reach(self.fwd, targets, self.size), "header-reach")
+    def reached(self, arriving: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+        """(dst, node, box, hop): as many edges as there are routers; ``arriving`` restricts packets where they arrive."""
+        return reaching(self.links, self.changes, self.tables.router.select(F.col("router").alias("dst")), self.size, arriving)
 
     @cached_property
     def connected(self) -> DataFrame:
@@ -81,11 +66,19 @@ class HeaderNetwork:
         edges = self.tables.interface.select(F.col("router").alias("src"), F.col("nexthop").alias("dst"))
         return structural(edges, self.size).where("src <> dst").select("src", "dst")
 
-    def all_pairs(self) -> DataFrame:
+    def all_pairs(self, arriving: dict[int, tuple[int, int]] | None = None) -> DataFrame:
         """(src, dst, verdict) of every ordered pair with a way in the graph: sat if some packet gets there."""
-        found = self.reached.select(F.col("node").alias("src"), "dst").distinct().withColumn("hit", F.lit(True))
+        found = self.reached(arriving).select(F.col("node").alias("src"), "dst").distinct().withColumn("hit", F.lit(True))
         return self.connected.join(found, ["src", "dst"], "left").select("src", "dst", F.when(F.col("hit"), "sat").otherwise("unsat").alias("verdict"))
 
+    def sizes(self) -> tuple[int, int]:
+        """How many boxes the links have, and how many the product of all fields' atoms would give them."""
+        product = self.atoms.count()
+        for i, bits in enumerate(self.widths[1:], 1):
+            ends = self.ranges().where((F.col("field") == i) & (F.col("lo") < F.col("hi"))).select(F.explode(F.array("lo", "hi")).alias("x"))
+            product *= ends.where(f"x > 0 AND x < {1 << bits}").distinct().count() + 1
+        return self.links.count(), product * self.tables.interface.count()
+
 
 def with_tag_rules(tables: NetworkTables, firewalls: DataFrame, insiders: DataFrame, tag: int) -> NetworkTables:
     """Set-field rules on the firewalls' (router) interfaces to insiders (router): tag 1, fields before it unchanged."""
@@ -103,18 +96,16 @@ def firewall_bypass(spark: SparkSession, path: str, firewall: str, outside: str,
     ``firewall`` and ``outside`` are names, ``inside`` begins those of inside routers.
     Roles are facts, the pairs in question the solutions of a rule.
     """
-    tables = read_network(spark, path)
-    named = tables.router
+    return bypass(read_network(spark, path), F.when(F.col("name") == firewall, "firewall").when(F.col("name") == outside, "outside").when(F.col("name").startswith(inside), "inside"))
+
+
+def bypass(tables: NetworkTables, role: Column, fields: list[str] = FIELDS, widths: list[int] = WIDTHS) -> DataFrame:
+    """As ``firewall_bypass`` with roles of routers given as an expression of their columns; the last field is the tag."""
     rules = Rules()
-    role = F.when(F.col("name") == firewall, "firewall").when(F.col("name") == outside, "outside").when(F.col("name").startswith(inside), "inside")
-    rules.fact("router", named.select("router", role.alias("role")), ["router", "role"])
+    rules.fact("router", tables.router.select("router", role.alias("role")), ["router", "role"])
     rules.rule("asked", ["From", "To"], [Goal("router", "From", "'outside'"), Goal("router", "To", "'inside'")])
     firewalls = rules.query([Goal("router", "router", "'firewall'")])
     insiders = rules.query([Goal("router", "router", "'inside'")])
-    fields, widths = ["dst_ip", "tag"], [32, 1]
-    net = HeaderNetwork(spark, with_tag_rules(tables, firewalls, insiders, 1), fields, widths)
-    asked = rules.query([Goal("asked", "src", "dst")])
-    untagged = net.classes.where("tag = 0").select(F.col("cls").alias("arrival"))
-    bad = net.reached.join(untagged, "arrival", "left_semi").select(F.col("node").alias("src"), "dst").distinct().withColumn("hit", F.lit(True))
-    found = asked.join(net.connected, ["src", "dst"], "left_semi").join(bad, ["src", "dst"], "left")
-    return found.select("src", "dst", F.when(F.col("hit"), "sat").otherwise("unsat").alias("verdict"))
+    tag = len(fields) - 1
+    net = HeaderNetwork(tables.router.sparkSession, with_tag_rules(tables, firewalls, insiders, tag), fields, widths)
+    return net.all_pairs({tag: (0, 1)}).join(rules.query([Goal("asked", "src", "dst")]), ["src", "dst"], "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netlattice.functions.ip import hosts, ip_to_long, network
 from netlattice.operators.atoms import atoms, followed
 from netlattice.operators.graph import MERGED, NAT, RESOLVED, nat_edges, sinks_merged, spliced
-from netlattice.operators.lpm import classes, forwarding, in_ranges
+from netlattice.operators.lpm import forwarding, in_ranges, representatives
 from netlattice.operators.policy import csv_nat_relation
 from netlattice.operators.reach import loops, reach, structural, trace, transformed_reach
 from netlattice.sources.scratch import saved
@@ -33,7 +33,7 @@ def judged(fwd: DataFrame, whitelist: DataFrame | None) -> DataFrame:
     What holds for a class holds for its like, and the smallest is what a verdict names.
     """
     asked = fwd.join(not_listed(fwd.select("cls").distinct(), whitelist), "cls", "left_semi") if whitelist is not None else fwd
-    reps = classes(asked).select(F.col("rep").alias("cls")).distinct()
+    reps = representatives(asked).select(F.col("rep").alias("cls"))
     return saved(fwd.sparkSession, asked.join(reps, "cls", "left_semi"), "judged")
 
 
@@ -52,10 +52,11 @@ def loop_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, whiteli
     return verdicts(subjects.join(cyclic, "subject", "left_semi"), found.join(subjects, "subject", "left_semi"), "loop")
 
 
-def loss_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, target, whitelist: DataFrame | None = None, disconnected: bool = False) -> DataFrame:
+def loss_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, target, whitelist: DataFrame | None = None, disconnected: bool = False, universe: DataFrame | None = None) -> DataFrame:
     """Whether a packet from a subject can miss ``target``.
 
     Subjects without a way to it in the graph get no verdict, unless ``disconnected`` asks for them.
+    ``universe`` (lo): all atoms, where some may be routed by nobody; such packets are lost everywhere.
     """
     spark = fwd.sparkSession
     goal = spark.range(1).select(F.lit(target).cast(fwd.schema["dst"].dataType).alias("dst"))
@@ -68,7 +69,11 @@ def loss_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, target,
     order = saved(spark, followed(asked.select(F.col("cls").alias("x")).distinct()), "class-order")
     after = delivered.join(order, order["x"] == delivered["cls"]).where("next is not null").select("subject", F.col("next").alias("cls"))
     first = subjects.join(order.agg(F.min("x").alias("cls")).where("cls is not null"))
-    return verdicts(subjects, after.unionByName(first).join(delivered, ["subject", "cls"], "left_anti"), "loss")
+    bad = after.unionByName(first).join(delivered, ["subject", "cls"], "left_anti")
+    if universe is not None:
+        unrouted = universe.select(F.col("lo").alias("cls")).join(fwd.select("cls").distinct(), "cls", "left_anti")
+        bad = bad.unionByName(subjects.join(not_listed(unrouted, whitelist).agg(F.min("cls").alias("cls")).where("cls is not null")))
+    return verdicts(subjects, bad, "loss")
 
 
 def transformed_loop_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, bound: int) -> DataFrame:
@@ -176,7 +181,7 @@ class Network:
 
     def packet_loss(self, disconnected: bool = False) -> DataFrame:
         subjects = self.routers.select(F.col("vid").alias("subject"))
-        return self.named(loss_verdicts(self.single, self.graph[1], subjects, MERGED, self.whitelist, disconnected))
+        return self.named(loss_verdicts(self.single, self.graph[1], subjects, MERGED, self.whitelist, disconnected, self.atoms))
 
     def consistency(self, pairs: DataFrame | None = None) -> DataFrame:
         """For pairs (name1, name2), by default those of the manifest; pairs with an unknown name get no verdict."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from netlattice.functions import ip, predicates
 from netlattice.operators import aliasing, graph, policy
 from netlattice.operators.atoms import atoms, cidrs, coalesced
-from netlattice.operators.lpm import classes, forwarding, nearest_parents, under_prefixes
+from netlattice.operators.lpm import classes, forwarding, nearest_parents, pieces, under_prefixes
 from netlattice.operators.reach import loops, reach, trace, transformed_reach
 from netlattice.operators.rules import Cut, Differ, Goal, Is, Rules
 from netlattice.plans import derived
@@ -159,10 +159,8 @@ _ISLANDS = """SELECT src, dst, min(lo) AS lo, max(hi) AS hi FROM (
 
 @query(duck_with(_ISLANDS))
 def edge_predicate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = saved(spark, derived.fib(spark, sf_dir), "derived-fib")
-    pieces = saved(spark, atoms(table), "derived-atoms")
-    held = forwarding(table, pieces).join(pieces.withColumnRenamed("lo", "cls"), "cls").select("src", "dst", F.col("cls").alias("lo"), "hi")
-    return coalesced(held, ["src", "dst"])
+    held = pieces(saved(spark, derived.fib(spark, sf_dir), "derived-fib"))
+    return coalesced(held.select(F.col("node").alias("src"), F.explode("nhs").alias("dst"), "lo", "hi"), ["src", "dst"])
 
 
 @query(f"""WITH p AS (SELECT width, lo, lo + host AS hi FROM ({duck(PFX)}) x),
@@ -345,11 +343,11 @@ def loops_with_nat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Forwarding of packets that stay as they are, and (cls_in, src, dst, cls_out) of those that may change."""
     table = saved(spark, derived.fib(spark, sf_dir), "derived-fib")
-    pieces = saved(spark, atoms(table), "derived-atoms")
-    fwd = saved(spark, forwarding(table, pieces), "derived-fwd")
+    ranges = saved(spark, atoms(table), "derived-atoms")
+    fwd = saved(spark, forwarding(table, ranges), "derived-fwd")
     block = F.col("in_lo").bitwiseAND(~0xFFFFFF)
     rules = spark_sql(spark, sf_dir, _NAT).withColumn("block", F.explode(F.array(block, block - 16777216)))  # where 2 ** 24 addresses below may lie
-    near = pieces.withColumn("block", F.col("lo").bitwiseAND(~0xFFFFFF)).join(rules, "block")
+    near = ranges.withColumn("block", F.col("lo").bitwiseAND(~0xFFFFFF)).join(rules, "block")
     before = near.where((F.col("lo") < F.col("in_lo")) & (F.col("lo") >= F.col("in_lo") - 16777216)).select(F.col("lo").alias("cls_in"), F.col("node").alias("src"), F.col("in_lo").alias("cls"))
     same = fwd.select(F.col("cls").alias("cls_in"), "src", "dst", F.col("cls").alias("cls_out"))
     changed = before.join(fwd, ["src", "cls"]).select("cls_in", "src", "dst", F.col("cls").alias("cls_out"))
