@@ -33,6 +33,76 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: lis
     return known
 
 
+Constraint = Callable[[DataFrame, int], DataFrame]
+
+
+def walks(fwd: DataFrame, targets: DataFrame, bound: int, constraint: Constraint | None = None, change: bool = False) -> DataFrame:
+    """(dst, cls, node, hop): nodes with a walk of exactly ``hop`` edges to a target, for every hop up to ``bound``.
+
+    Longer walks are not forgotten where shorter ones exist.  Without a constraint
+    the bound is reached by doubling: what is known up to h edges, prolonged by the
+    walks of exactly h edges, is known up to 2 h, so the rounds are its logarithm.
+    ``constraint``: (edges, hop) -> the edges that may be the walk's ``hop``-th,
+    counted from the target; then every hop is a round.  ``change``: ``fwd`` has
+    cls_in, src, dst, cls_out, and packets change on the way.
+    """
+    spark = fwd.sparkSession
+    into, out = ("cls_in", "cls_out") if change else ("cls", "cls")
+    state = ["dst", "cls", "node"]
+
+    def allowed(hop: int) -> DataFrame:
+        return constraint(fwd, hop) if constraint else fwd
+
+    def before(rows: DataFrame, edges: DataFrame) -> DataFrame:
+        steps = edges.select(F.col("dst").alias("node"), F.col(out).alias("cls"), F.col("src").alias("_src"), F.col(into).alias("_cls"))
+        return rows.join(steps, ["node", "cls"]).select("dst", F.col("_cls").alias("cls"), F.col("_src").alias("node"), "hop")
+
+    first = allowed(1).join(targets, "dst").select("dst", F.col(into).alias("cls"), F.col("src").alias("node")).distinct()
+    known = saved(spark, first.withColumn("hop", F.lit(1)), "walks")
+    if constraint:
+        last = known
+        for hop in range(2, bound + 1):
+            last = saved(spark, before(last, allowed(hop)).select(*state).distinct().withColumn("hop", F.lit(hop)), "walks")
+            if last.isEmpty():
+                break
+            known = known.unionByName(last)
+        return known
+    power = saved(spark, fwd.select(*dict.fromkeys([into, "src", "dst", out])).distinct(), "walk-power")
+    length = 1
+    while length < bound:
+        longer = before(known, power).withColumn("hop", F.col("hop") + length).where(F.col("hop") <= bound).distinct()
+        known = known.unionByName(saved(spark, longer, "walks"))
+        length *= 2
+        if length < bound:
+            second = power.select(F.col("src").alias("_mid"), F.col(into).alias("_cls"), F.col("dst").alias("_dst"), F.col(out).alias("_out"))
+            joined = power.join(second, (F.col("dst") == F.col("_mid")) & (F.col(out) == F.col("_cls")))
+            power = saved(spark, joined.select(F.col(into), "src", F.col("_dst").alias("dst"), *([F.col("_out").alias(out)] if change else [])).distinct(), "walk-power")
+    return known
+
+
+def constrained_loops(fwd: DataFrame, subjects: DataFrame, bound: int, constraint: Constraint) -> DataFrame:
+    """(origin, cls, hop): subjects that a packet comes back to over edges that the constraint allows at each step."""
+    found = walks(fwd, subjects.select(F.col("subject").alias("dst")), bound, constraint).where("node = dst")
+    return found.groupBy(F.col("dst").alias("origin"), "cls").agg(F.min("hop").alias("hop"))
+
+
+def fixed_hops(fwd: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
+    """(dst, hop, fixed, cls_in, src): whether the packet is the same before and after the ``hop``-th last edge on every walk to ``dst``.
+
+    ``fwd``: cls_in, src, dst, cls_out.  An edge that changes a class counts if what it
+    makes can still get to the target in the edges that are left.  ``cls_in`` and
+    ``src`` name the smallest change (null where all is fixed).
+    """
+    known = walks(fwd, targets, max(1, depth - 1), change=True)
+    # a packet that has arrived has no edges left
+    arrived = fwd.join(targets, "dst").select("dst", F.col("cls_out").alias("cls"), F.col("dst").alias("node"), F.lit(0).alias("hop")).distinct()
+    after = known.unionByName(arrived).where(F.col("hop") < depth).select(F.col("dst").alias("goal"), F.col("node").alias("dst"), F.col("cls").alias("cls_out"), "hop")
+    last = fwd.join(after, ["dst", "cls_out"])
+    change = F.when(F.col("cls_in") != F.col("cls_out"), F.struct("cls_in", "src"))
+    found = last.groupBy(F.col("goal").alias("dst"), (F.col("hop") + 1).alias("hop")).agg(F.min(change).alias("change"))
+    return found.select("dst", "hop", F.col("change").isNull().alias("fixed"), "change.cls_in", "change.src")
+
+
 def reach(fwd: DataFrame, targets: DataFrame, bound: int | None = None) -> DataFrame:
     """(dst, cls, node, hop): nodes with a walk of ``hop`` >= 1 edges to a target, shortest first; one packet all the way.
 

@@ -6,8 +6,6 @@ log lines are built by the same SQL on both sides, then handled by the engine.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,24 +18,10 @@ from netlattice.operators.rules import Cut, Differ, Goal, Is, Rules
 from netlattice.plans import derived
 from netlattice.plans.derived import DELIVERED, PFX, duck, duck_with, spark_sql
 from netlattice.plans.network import LOOP_HOPS, consistency_verdicts, loop_verdicts, loss_verdicts, transformed_loop_verdicts
+from netlattice.plans.registry import ORACLES, QUERIES, query
 from netlattice.sources import sinks, vendor
 from netlattice.sources.scratch import saved
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def _dotted(x: str) -> str:
     """SQL of a dotted address, in DuckDB."""
     return f"concat_ws('.', CAST(({x}) // 16777216 % 256 AS VARCHAR), CAST(({x}) // 65536 % 256 AS VARCHAR), CAST(({x}) // 256 % 256 AS VARCHAR), CAST(({x}) % 256 AS VARCHAR))"
@@ -373,14 +357,18 @@ tw AS (SELECT cls_in AS cls, cls_out AS arrival, src AS node, dst AS target, 1 A
 @query(_with_recursive("SELECT node AS src, target AS dst, count(DISTINCT cls // 2) AS classes FROM tw WHERE node >= 15 AND node < 100 AND arrival % 2 = 0 GROUP BY node, target", _TAGGED))
 def firewall_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets that get from nations 15.. to nations 0..4 and arrive without the firewalls' tag; as many hops as routers."""
-    tags = spark.createDataFrame([(0,), (1,)], "t int")
-    both = _fwd(spark, sf_dir).crossJoin(F.broadcast(tags))
-    after = F.when(F.col("src").isin(7, 11), 1).otherwise(F.col("t"))
-    tagged = saved(spark, both.select((F.col("cls") * 2 + F.col("t")).alias("cls_in"), "src", "dst", (F.col("cls") * 2 + after).alias("cls_out")), "derived-tagged")
+    tagged = _tagged(spark, sf_dir)
     found = transformed_reach(tagged, spark.range(5).toDF("dst"), _routers(spark, sf_dir).count()).where("node >= 15 and node < 100 and arrival % 2 = 0")
     return found.groupBy(F.col("node").alias("src"), "dst").agg(F.count_distinct(F.expr("cls div 2")).alias("classes"))
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cls_in, src, dst, cls_out) with a tag bit in the class, which firewalls set."""
+    after = F.when(F.col("src").isin(7, 11), 1).otherwise(F.col("t"))
+    both = _fwd(spark, sf_dir).withColumn("t", F.explode(F.array(F.lit(0), F.lit(1))))
+    return saved(spark, both.select((F.col("cls") * 2 + F.col("t")).alias("cls_in"), "src", "dst", (F.col("cls") * 2 + after).alias("cls_out")), "derived-tagged")
+
+
 @query(f"""WITH p AS (SELECT DISTINCT lo, width, host FROM ({duck(PFX)}) x),
 q AS (SELECT a.lo, a.width, arg_max(b.lo, b.width) AS plo, max(b.width) AS pw FROM p a JOIN p b ON b.width < a.width AND a.lo >= b.lo AND a.lo < b.lo + b.host GROUP BY a.lo, a.width)
 SELECT '"' || {_dotted('plo')} || '/' || pw || '" -> "' || {_dotted('lo')} || '/' || width || '";' AS line FROM q""")

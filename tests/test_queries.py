@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from netlattice.plans import queries
+from netlattice.plans import catalog as queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
