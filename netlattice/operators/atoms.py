@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlattice.functions.ip import ALL, long
+from netlattice.sources.scratch import saved
 
 #: Addresses per bucket when neighbours are looked up; 2**16 buckets cover the field.
 STRETCH = 1 << 16
@@ -63,7 +64,7 @@ def coalesced(df: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFra
     reach = F.greatest(F.max("hi").over(at.rowsBetween(Window.unboundedPreceding, -1)), "before")
     new = F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0)
     begun = rows.join(reached, [*keys, "stretch"]).withColumn("new", new)
-    begun = begun.withColumn("inner", F.sum("new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = saved(df.sparkSession, begun.withColumn("inner", F.sum("new").over(at.rowsBetween(Window.unboundedPreceding, 0))), "islands")
     counts = begun.groupBy(*keys, "stretch").agg(F.sum("new").alias("n")).select(*keys, "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     islands = begun.join(counts, [*keys, "stretch"]).withColumn("island", F.col("base") + F.col("inner"))
     return islands.groupBy(*keys, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")

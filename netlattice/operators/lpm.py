@@ -43,9 +43,13 @@ def pieces(fib: DataFrame) -> DataFrame:
     which are around everything, are looked up by node alone.
     """
     routes = fib.groupBy("node", "lo", "width").agg(F.collect_set("nh").alias("nhs"))
-    routes = routes.withColumn("hi", F.col("lo") + hosts(F.col("width")))
+    routes = saved(fib.sparkSession, routes.withColumn("hi", F.col("lo") + hosts(F.col("width"))), "routes")
     narrow = routes.where("width > 0")
-    around = under_prefixes(narrow.select("node", "lo", "width"), narrow, on=["node"]).where("p_width < width")
+    outer = narrow.select("node", F.col("width").alias("p_width"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), F.col("nhs").alias("p_nhs"))
+    widths = F.broadcast(narrow.select(F.col("width").alias("p_width")).distinct())
+    keyed = narrow.select("node", "lo", "width").join(widths, F.col("p_width") < F.col("width")).withColumn("p_lo", network(F.col("lo"), F.col("p_width")))
+    # a key is one prefix of one node, so the hash table of a partition is as small as its share of the routes
+    around = keyed.join(outer.hint("shuffle_hash"), ["node", "p_width", "p_lo"])
     around = around.groupBy("node", "lo", "width").agg(F.max_by(F.struct("p_hi", "p_nhs"), "p_width").alias("outer"))
     defaults = routes.where("width = 0").select("node", F.col("nhs").alias("default"))
     ends = narrow.join(around, ["node", "lo", "width"], "left").join(defaults, "node", "left")
@@ -53,7 +57,7 @@ def pieces(fib: DataFrame) -> DataFrame:
     ends = ends.where(F.col("outer").isNull() | (F.col("outer.p_hi") > F.col("hi")))
     ends = ends.select("node", F.col("hi").alias("x"), F.lit(-1).alias("width"), F.coalesce("outer.p_nhs", "default").alias("nhs"))
     events = routes.select("node", F.col("lo").alias("x"), "width", "nhs").unionByName(ends.where(F.col("x") < ALL))
-    held = events.groupBy("node", "x").agg(F.max_by(F.struct("nhs"), "width")["nhs"].alias("nhs"))
+    held = saved(fib.sparkSession, events.groupBy("node", "x").agg(F.max_by(F.struct("nhs"), "width")["nhs"].alias("nhs")), "held")
     cut = held.join(followed(held.select("node", "x"), keys=["node"]), ["node", "x"])
     return cut.where("nhs is not null").select("node", F.col("x").alias("lo"), F.coalesce("next", long(ALL)).alias("hi"), "nhs")
 
