@@ -8,8 +8,10 @@ over where there is structure for them.
 
 1. *Nodes.*  Equal sets are one node, so copies never meet.  A node keeps its
    first ``n - ceil(t n) + 1`` shingles in one global order (few frequent words
-   first): two sets within the radius share one of these, as the distances
-   1 - 1/|x| to one-shingle pivots and the triangle inequality have it.  It also
+   first, shingles measured as frequent last): two sets within the radius share
+   one of these, as the distances 1 - 1/|x| to one-shingle pivots and the triangle
+   inequality have it.  So a passage that many documents share makes no region
+   unless it is most of them.  A node also
    keeps a parity sketch; Hamming distances of sketches never exceed the
    symmetric difference of the sets, itself a metric.
 2. *Regions.*  The nodes with one such shingle are a region.  Regions of up to
@@ -53,6 +55,8 @@ SHINGLE = 4
 #: Two documents link when PERCENT or more of 100 parts of the union are shared.
 PERCENT = 85
 TOP_SHARE = 5e-5
+#: Shingles with this share of all, 1 / COMMON_SHARE at most, come last in the global order.
+COMMON_SHARE = 5e-6
 #: Shingles with this share of all kept ones, hence at most 1 / HOT_SHARE, are regions that never meet in one task whole.
 HOT_SHARE = 1e-5
 #: Nodes of a region whose pairs are listed; nodes of a region, or balls, that one task compares.
@@ -70,12 +74,12 @@ LOW48 = np.uint64((1 << 48) - 1)
 
 
 class FlaggedHashes(WordHashes):
-    """Word hashes whose lowest bit tells a frequent word."""
+    """Word hashes whose lowest bit tells a frequent word; ``common``: the frequent shingles, sorted."""
 
     most = 250_000
 
-    def __init__(self, top: frozenset[int]) -> None:
-        self.top = top
+    def __init__(self, frequent: tuple[frozenset[int], np.ndarray]) -> None:
+        self.top, self.common = frequent
 
     def __missing__(self, word: bytes) -> int:
         h = WordHashes().__missing__(word) & ~1
@@ -88,17 +92,25 @@ def lower_words(text: bytes | None) -> list[bytes]:
     return ascii_words(text.lower()) if text else []
 
 
-def shingles(words: list[bytes], hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles in global order: 3 bits of frequent words, 61 bits of hash."""
+def grams_of(h: np.ndarray, size: int) -> np.ndarray:
+    """61-bit hashes of the runs of ``size`` words (one of all words if there are fewer), from hashes of words."""
+    return gram_hashes(h & ~np.uint64(1), min(size, len(h))) >> np.uint64(3)
+
+
+def shingles(words: list[bytes], hashes: FlaggedHashes, size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles in global order: 3 bits that say how frequent, 61 bits of hash."""
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = hashes.of(words)
     k = min(size, len(words))
-    grams = gram_hashes(h, k)
+    grams = grams_of(h, size)
     frequent = (h & np.uint64(1)).astype(np.uint64)
     total = np.cumsum(np.concatenate([[np.uint64(0)], frequent]), dtype=np.uint64)
-    rank = np.minimum(total[k:] - total[:-k], np.uint64(7))
-    return np.unique((rank << np.uint64(61)) | (grams >> np.uint64(3)))
+    rank = np.minimum(total[k:] - total[:-k], np.uint64(6))
+    if len(hashes.common):
+        at = np.minimum(np.searchsorted(hashes.common, grams), len(hashes.common) - 1)
+        rank[hashes.common[at] == grams] = 7
+    return np.unique((rank << np.uint64(61)) | grams)
 
 
 def n_kept(n: int, percent: int) -> int:
@@ -138,58 +150,70 @@ def unpacked48(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, "<u4", n).astype(np.uint64) | (np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32))
 
 
-def tallied(share: float, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], chunk: int) -> Callable:
-    """Batches -> (h, n, total): counts of the values common in a task's chunk, and a row with the number of all."""
+def tallied(shares: list[float], values: Callable[[pa.RecordBatch], Iterator[tuple]], chunk: int) -> Callable:
+    """Batches -> (kind, h, n, total): counts of the values common in a task's chunk, and a row with the number of all; ``values`` gives an array of each kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_caches()
-        held, n = [], 0
+        held: list[list[np.ndarray]] = [[] for _ in shares]
+        n = [0] * len(shares)
 
-        def out() -> pa.RecordBatch:
-            found, counts = np.unique(np.concatenate(held), return_counts=True)
-            common = counts >= max(2, share * n / 4)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([found[common].view(np.int64), [0]])), pa.array(np.concatenate([counts[common], [n]]).astype(np.int64)), pa.array([False] * int(common.sum()) + [True])], names=["h", "n", "total"])
+        def out(kind: int) -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate(held[kind]), return_counts=True)
+            common = counts >= max(2, shares[kind] * n[kind] / 4)
+            many = int(common.sum())
+            columns = [pa.array([kind] * (many + 1), pa.int32()), pa.array(np.concatenate([found[common].view(np.int64), [0]])), pa.array(np.concatenate([counts[common], [n[kind]]]).astype(np.int64)), pa.array([False] * many + [True])]
+            held[kind], n[kind] = [], 0
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "h", "n", "total"])
 
         for batch in sliced(batches):
-            for some in values(batch):
-                held.append(some)
-                n += len(some)
-                if n >= chunk:
-                    yield out()
-                    held, n = [], 0
-        if n:
-            yield out()
+            for arrays in values(batch):
+                for kind, some in enumerate(arrays):
+                    held[kind].append(some)
+                    n[kind] += len(some)
+                    if n[kind] >= chunk:
+                        yield out(kind)
+        for kind in range(len(shares)):
+            if n[kind]:
+                yield out(kind)
 
     return run
 
 
-def heavy(rows: DataFrame, share: float, values: Callable, chunk: int, name: str) -> dict[int, int]:
-    """Values with at least ``share`` of all (so 1 / share at most) and their counts, as tasks saw them."""
-    counts = saved(rows.sparkSession, rows.mapInArrow(tallied(share, values, chunk), "h long, n long, total boolean").groupBy("total", "h").agg(F.sum("n").alias("n")), name)
-    total = (counts.where("total").first() or {"n": 0})["n"]
-    return {r["h"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in counts.where(~F.col("total") & (F.col("n") >= F.lit(share * total))).collect()}
+def heavy(rows: DataFrame, shares: list[float], values: Callable, chunk: int, name: str) -> list[dict[int, int]]:
+    """For each kind the values with at least its share of all (so 1 / share at most) and their counts, as tasks saw them."""
+    counts = rows.mapInArrow(tallied(shares, values, chunk), "kind int, h long, n long, total boolean").groupBy("kind", "total", "h").agg(F.sum("n").alias("n"))
+    counts = saved(rows.sparkSession, counts, name)
+    totals = {r["kind"]: r["n"] for r in counts.where("total").collect()}
+    found: list[dict[int, int]] = []
+    for kind, share in enumerate(shares):
+        some = counts.where(~F.col("total") & (F.col("kind") == kind) & (F.col("n") >= F.lit(share * totals.get(kind, 0))))
+        found.append({r["h"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in some.select("h", "n").collect()})
+    return found
 
 
-def top_words(docs: DataFrame) -> frozenset[int]:
-    """Hashes (lowest bit clear) of the words that make up TOP_SHARE of all words at least."""
+def frequent(docs: DataFrame, size: int) -> tuple[frozenset[int], np.ndarray]:
+    """Hashes (lowest bit clear) of the words with TOP_SHARE of all words at least, and the shingles with COMMON_SHARE of all, sorted."""
 
     hashes = WordHashes()
     hashes.most = FlaggedHashes.most
 
-    def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    def values(batch: pa.RecordBatch) -> Iterator[tuple]:
         for text in batch.column(0).to_pylist():
             if found := lower_words(text):
-                yield hashes.of(found) & ~np.uint64(1)
+                h = hashes.of(found)
+                yield h & ~np.uint64(1), grams_of(h, size)
 
-    return frozenset(heavy(docs.select("text"), TOP_SHARE, words, 1_000_000, "jaccard-words"))
+    words, grams = heavy(docs.select("text"), [TOP_SHARE, COMMON_SHARE], values, 1_000_000, "jaccard-frequent")
+    return frozenset(words), np.array(sorted(grams), dtype=np.uint64)
 
 
 def hot_shingles(nodes: DataFrame) -> dict[int, int]:
     def kept(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for blob in batch.column(0).to_pylist():
-            yield unpacked48(blob)
+            yield (unpacked48(blob),)
 
-    return heavy(nodes.select("kept"), HOT_SHARE, kept, 2_000_000, "jaccard-hot")
+    return heavy(nodes.select("kept"), [HOT_SHARE], kept, 2_000_000, "jaccard-hot")[0]
 
 
 def sketched(top, size: int, percent: int) -> Callable:
@@ -692,7 +716,7 @@ def link_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    top = spark.sparkContext.broadcast(top_words(docs))
+    top = spark.sparkContext.broadcast(frequent(docs, size))  # bounded by the shares
     sketches = saved(spark, docs.mapInArrow(sketched(top, size, percent), "doc_id long, n int, k1 long, k2 long, sketch binary, kept binary"), "jaccard-sketches")
     entries = sketches.agg(F.sum(F.length("kept") / 6)).first()[0] or 0
     buckets = max(width(spark), int(entries // BLOCK) + 1)
