@@ -547,7 +547,7 @@ def regexp_extract_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT path, line, last_value(CASE WHEN line % 10 = 0 THEN line END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM ({_DUCK_DUMP}) d")
 def fill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.when(F.col("value").contains("is subnetted"), F.col("line"))
-    return _dump(spark, sf_dir).select("path", "line", vendor.filled_down(header).alias("header"))
+    return vendor.fill_down(_dump(spark, sf_dir), {"header": header}).select("path", "line", "header")
 
 
 _WRAPPED = """SELECT CAST(o_custkey % 25 AS {text}) AS path, CAST(o_orderkey AS INT) AS line, CASE o_orderkey % 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netlattice.functions.ip import hosts, ip_to_long, network, prefix_ip, prefix_width
@@ -44,10 +44,18 @@ def read_manifest(spark: SparkSession, path: str) -> Manifest:
 
 
 def lines_of(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(path, line, value) of the lines of whole files, numbered from 0, without comments (``%``) and empty lines."""
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("path"), "value")
-    rows = text.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return rows.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    """(path, line, value) of the lines of files, numbered from 0, without comments (``%``) and empty lines.
+
+    Files may be of any size: Spark reads them in splits, lines are numbered inside
+    their split, and the splits before a split say where its numbers begin.
+    """
+    text = spark.read.option("lineSep", "\n").text(paths)
+    rows = text.select(F.col("_metadata.file_name").alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    numbered = rows.withColumn("place", place).join(base, ["file", "block"])
+    return numbered.select("path", (F.col("base") + F.col("place")).cast("int").alias("line"), "value").where(~F.col("value").startswith("%") & (F.trim("value") != ""))
 
 
 def prefixes_of(df: DataFrame, text: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Vendor routing-table dumps to canonical rows (dest, gateway, interface, tag).
 
-All functions take (path, line, value): numbered lines of whole files.  State
-that a line inherits from earlier ones is a window over its file.
+All functions take (path, line, value): numbered lines of whole files.  A file may
+be of any size: what a line inherits from earlier ones, or needs of its neighbours,
+is found inside stretches of ``STRETCH`` lines, and handed from stretch to stretch
+by one row each.
 """
 
 from __future__ import annotations
@@ -10,17 +12,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlattice.functions.ip import ip_to_long, netmask_to_width, prefix_ip, prefix_width
+from netlattice.sources.scratch import saved
 
 IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 
 
-def in_file() -> Window:
-    return Window.partitionBy("path").orderBy("line")
+#: Lines of a file that are one window.
+STRETCH = 1 << 16
 
 
-def filled_down(value: Column) -> Column:
-    """The value of this line, or the last one above it in the file."""
-    return F.last(value, ignorenulls=True).over(in_file().rowsBetween(Window.unboundedPreceding, 0))
+def stretched(lines: DataFrame, stretch: int) -> DataFrame:
+    return lines.withColumn("_stretch", F.floor(F.col("line") / stretch).cast("int"))
+
+
+def in_stretch() -> Window:
+    return Window.partitionBy("path", "_stretch").orderBy("line")
+
+
+def fill_down(lines: DataFrame, values: dict[str, Column], stretch: int | None = None) -> DataFrame:
+    """Adds each value, or where it is null the last one above it in the file."""
+    rows = stretched(lines.select("*", *(v.alias(n) for n, v in values.items())), stretch or STRETCH)
+    last = rows.groupBy("path", "_stretch").agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("line"))).alias(f"_last_{n}") for n in values))
+    above = Window.partitionBy("path").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("path", "_stretch", *(F.last(f"_last_{n}", ignorenulls=True).over(above).alias(f"_carried_{n}") for n in values))
+    here = in_stretch().rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumns({n: F.last(n, ignorenulls=True).over(here) for n in values}).join(carried, ["path", "_stretch"])
+    return own.withColumns({n: F.coalesce(n, f"_carried_{n}") for n in values}).drop("_stretch", *(f"_carried_{n}" for n in values))
+
+
+def beside(lines: DataFrame, before: dict[str, str], after_: dict[str, str], stretch: int | None = None) -> DataFrame:
+    """Adds columns of the line before and the line after: {column: its name here}."""
+    rows = stretched(lines, stretch or STRETCH)
+    first = [F.min_by(c, "line").alias(f"_first_{c}") for c in after_]
+    last = [F.max_by(c, "line").alias(f"_last_{c}") for c in before]
+    ends, by_stretch = rows.groupBy("path", "_stretch").agg(*first, *last), Window.partitionBy("path").orderBy("_stretch")
+    ends = ends.select("path", "_stretch", *(F.lead(f"_first_{c}").over(by_stretch).alias(f"_beyond_{n}") for c, n in after_.items()), *(F.lag(f"_last_{c}").over(by_stretch).alias(f"_beyond_{n}") for c, n in before.items()))
+    inner = {n: F.lag(c).over(in_stretch()) for c, n in before.items()} | {n: F.lead(c).over(in_stretch()) for c, n in after_.items()}
+    edge = {n: F.lag("line").over(in_stretch()).isNull() for n in before.values()} | {n: F.lead("line").over(in_stretch()).isNull() for n in after_.values()}
+    found = rows.withColumns(inner | {f"_edge_{n}": e for n, e in edge.items()}).join(ends, ["path", "_stretch"])
+    return found.withColumns({n: F.when(F.col(f"_edge_{n}"), F.col(f"_beyond_{n}")).otherwise(F.col(n)) for n in inner}).drop("_stretch", *(f"{x}_{n}" for n in inner for x in ("_edge", "_beyond")))
 
 
 #: Route codes as `show ip route` prints them, and their short forms; others keep theirs.
@@ -54,9 +84,8 @@ def interface_name(name: Column) -> Column:
     return F.replace(name, F.lit("Loopback"), F.lit("loopback"))
 
 
-def route_line(line: Column) -> dict[str, Column]:
-    """What a line of `show ip route` says: its code's words, address, width, and all words."""
-    tokens = words(line)
+def route_line(tokens: Column) -> dict[str, Column]:
+    """What the words of a line of `show ip route` say: its code's words, address and width."""
     # the code stands before the address, or before the metric where the address is left out
     metric = F.filter(tokens, lambda w: w.startswith("[") & w.endswith("]"))
     address = F.get(F.filter(tokens, is_address), F.lit(0))
@@ -65,7 +94,7 @@ def route_line(line: Column) -> dict[str, Column]:
     own = F.when(has_own, address)
     before = F.array_position(tokens, F.coalesce(own, F.get(metric, F.lit(0)))).cast("int") - 1
     code = F.when(before > 0, F.slice(tokens, 1, before))
-    return {"tokens": tokens, "first": first, "code": code, "address": F.split(own, "/")[0], "width": F.get(F.split(own, "/"), F.lit(1)), "metric": F.get(metric, F.lit(0))}
+    return {"first": first, "code": code, "address": F.split(own, "/")[0], "width": F.get(F.split(own, "/"), F.lit(1)), "metric": F.get(metric, F.lit(0))}
 
 
 def route_tag(code: Column) -> Column:
@@ -82,7 +111,7 @@ def joined_lines(lines: DataFrame) -> DataFrame:
     ends = open_ & is_address(F.element_at(tokens, -1)) & ~F.array_contains(tokens, "via")
     goes_on = F.ltrim("value").startswith("[")
     marked = lines.select("*", F.coalesce(ends, F.lit(False)).alias("_ends"), goes_on.alias("_on"))
-    marked = marked.select("*", F.lead("_on").over(in_file()).alias("_next_on"), F.lead("value").over(in_file()).alias("_next"), F.lag("_ends").over(in_file()).alias("_prev_ends"))
+    marked = beside(saved(lines.sparkSession, marked, "marked-lines"), {"_ends": "_prev_ends"}, {"_on": "_next_on", "value": "_next"})
     whole = F.when(F.col("_ends") & F.col("_next_on"), F.concat(F.rtrim("value"), F.lit(" "), F.ltrim("_next"))).otherwise(F.col("value"))
     rest = F.coalesce(F.col("_prev_ends") & F.col("_on"), F.lit(False))
     return marked.where(~rest).withColumn("value", whole).drop("_ends", "_on", "_next_on", "_next", "_prev_ends")
@@ -96,10 +125,12 @@ def cisco(lines: DataFrame) -> DataFrame:
     get that of the first connected prefix that holds their gateway.
     """
     rows = joined_lines(lines.where(~F.ltrim("value").startswith("--")))
-    started = F.max(F.when(F.col("value").startswith("Gateway"), F.col("line"))).over(Window.partitionBy("path"))
-    rows = rows.withColumn("_start", started).where(F.col("line") > F.coalesce("_start", F.lit(-1)))
-    said = route_line(F.col("value"))
-    rows = rows.select("path", "line", *(c.alias(f"_{n}") for n, c in said.items()))
+    started = lines.where(F.col("value").startswith("Gateway")).groupBy("path").agg(F.max("line").alias("_start"))
+    rows = rows.join(started, "path", "left").where(F.col("line") > F.coalesce("_start", F.lit(-1)))
+    # words once for each line, all else from them
+    said = route_line(F.col("_tokens"))
+    rows = rows.select("path", "line", words(F.col("value")).alias("_tokens"))
+    rows = rows.select("path", "line", "_tokens", *(c.alias(f"_{n}") for n, c in said.items()))
     tokens, own, code = F.col("_tokens"), F.col("_address"), F.col("_code")
     rest = F.size(tokens) - F.array_position(tokens, "via") - 1  # words after the gateway: age and interface, or none
     direct = F.array_contains(tokens, "directly") & F.array_contains(tokens, "connected") & own.isNotNull() & code.isNotNull()
@@ -114,13 +145,16 @@ def cisco(lines: DataFrame) -> DataFrame:
         "path",
         "line",
         "kind",
-        filled_down(F.when(is_via, own)).alias("via_ip"),
+        F.when(is_via, own).alias("_via_ip"),
         F.when(~is_via, own).alias("own_ip"),
-        filled_down(F.coalesce("_header", F.when(routed, F.col("_width")))).alias("width"),
-        F.when(is_via, filled_down(F.when(is_via, own_tag))).otherwise(own_tag).alias("tag"),
+        F.coalesce("_header", F.when(routed, F.col("_width"))).alias("_width"),
+        own_tag.alias("own_tag"),
         F.when(F.col("kind") == "direct", "DIRECT").otherwise(after(tokens, "via")).alias("gateway"),
         interface_name(F.when(F.col("kind") != "static", F.element_at(tokens, -1))).alias("interface"),
-    ).where("kind is not null")
+    ).where("kind is not null OR _width is not null")
+    parsed = saved(lines.sparkSession, parsed, "parsed-lines")
+    parsed = fill_down(parsed, {"via_ip": F.col("_via_ip"), "width": F.col("_width"), "via_tag": F.when(is_via, F.col("own_tag"))}).where("kind is not null")
+    parsed = parsed.withColumn("tag", F.when(is_via, F.col("via_tag")).otherwise(F.col("own_tag")))
     out = parsed.select("path", "line", F.concat(F.coalesce("own_ip", "via_ip"), F.lit("/"), F.col("width")).alias("dest"), "gateway", "interface", F.coalesce("tag", F.lit("")).alias("tag"))
     return with_interfaces(out)
 
@@ -142,9 +176,8 @@ def fixed(value: Column, start: int, length: int) -> Column:
 
 def foundry(lines: DataFrame) -> DataFrame:
     """(path, line, dest, gateway, interface, tag) of fixed-width dumps; the layout is told by a word anywhere in the file."""
-    per_file = Window.partitionBy("path")
-    rows = lines.withColumn("_new", F.bool_or(F.col("value").contains("Uptime")).over(per_file)).withColumn("_mask", F.bool_or(F.col("value").contains("NetMask")).over(per_file))
-    rows = rows.where(F.col("value").rlike(IP))
+    layout = lines.groupBy("path").agg(F.bool_or(F.col("value").contains("Uptime")).alias("_new"), F.bool_or(F.col("value").contains("NetMask")).alias("_mask"))
+    rows = lines.where(F.col("value").rlike(IP)).join(layout, "path")
     v = F.col("value")
     # columns: start and length in the old and the new layout
     old = [(8, 19), (28, 16), (44, 11), (62, 5)]
@@ -166,14 +199,14 @@ def junos(lines: DataFrame) -> DataFrame:
     hops follow, each with its words for gateway and interface.
     """
     tokens = words(F.col("value"))
-    table = F.when(F.array_contains(tokens, "destinations"), F.get(tokens, F.lit(0)))  # "inet.0: 5 destinations"
-    rows = lines.select("path", "line", tokens.alias("t"), filled_down(table).alias("table"))
-    rows = rows.where(F.coalesce(F.col("table"), F.lit("inet.0:")) == "inet.0:")
+    table = F.when(F.array_contains("t", "destinations"), F.get("t", F.lit(0)))  # "inet.0: 5 destinations"
     t, first = F.col("t"), F.get("t", F.lit(0))
     entry = is_address(first)
     bracket = F.get(F.filter(t, lambda w: F.instr(w, "[") > 0), F.lit(0))
-    rows = rows.select("path", "line", "t", filled_down(F.when(entry, first)).alias("dest"), filled_down(F.when(entry, F.substring_index(F.substring_index(bracket, "[", -1), "/", 1))).alias("proto"))
-    rows = rows.where(~F.col("dest").startswith("224."))
+    rows = saved(lines.sparkSession, lines.select("path", "line", tokens.alias("t")), "tokens")
+    proto = F.substring_index(F.substring_index(bracket, "[", -1), "/", 1)
+    rows = fill_down(rows, {"table": table, "dest": F.when(entry, first), "proto": F.when(entry, proto)})
+    rows = rows.where((F.coalesce(F.col("table"), F.lit("inet.0:")) == "inet.0:") & ~F.col("dest").startswith("224."))
     to, via = after(t, "to"), after(t, "via")
     reject, local = F.array_contains(t, "Reject"), F.get(t, F.lit(0)) == "Local"
     named = F.when(via.startswith("lo"), F.concat(F.lit("loopback"), F.substring(via, 3, 100))).otherwise(via)

@@ -82,3 +82,36 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in nat] == [("r1", 10 << 24, 8, 0xC0000200, 24)]
     assert sorted((r["name"], len(r["ips"])) for r in tables.read_resolver(spark, f"file://{tmp_path}/resolver").collect()) == [("r1", 1), ("r2", 2)]
     assert [tuple(r) for r in tables.read_whitelist(spark, f"file://{tmp_path}/white").collect()] == [(10 << 24, 11 << 24)]
+
+
+def test_a_file_in_many_splits(spark, tmp_path):
+    """Lines are numbered through, whatever splits the file is read in."""
+    text = [f"10.{k % 200}.0.0/16,10.0.0.{k % 9},e{k % 3},O" if k % 7 else "% no route" for k in range(3000)]
+    (tmp_path / "large.csv").write_text("\r\n".join(text) + "\n")
+    (tmp_path / "other.csv").write_text("a\n\nb")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        found = tables.lines_of(spark, [f"file://{tmp_path}/large.csv", f"file://{tmp_path}/other.csv"])
+        assert spark.read.text(f"file://{tmp_path}/large.csv").rdd.getNumPartitions() > 8
+        rows_ = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows_ == sorted([("large.csv", k, x) for k, x in enumerate(text) if not x.startswith("%")] + [("other.csv", 0, "a"), ("other.csv", 2, "b")])
+
+
+def test_state_goes_over_the_borders_of_stretches(spark):
+    from pyspark.sql import functions as F
+
+    values = [(p, k, None if (k * 7 + len(p)) % 5 else f"{p}{k}") for p in ("a", "bb") for k in range(0, 60, 2)]
+    df = spark.createDataFrame(values, "path string, line int, value string")
+    expected, last = {}, {}
+    for p, k, v in values:
+        last[p] = v or last.get(p)
+        expected[p, k] = last[p]
+    for stretch in (1, 4, 7, 1000):
+        found = vendor.fill_down(df, {"filled": F.col("value")}, stretch).collect()
+        assert {(r["path"], r["line"]): r["filled"] for r in found} == expected
+        sides = vendor.beside(df, {"line": "prev"}, {"value": "next"}, stretch).collect()
+        by = {(p, k): v for p, k, v in values}
+        assert {(r["path"], r["line"]): (r["prev"], r["next"]) for r in sides} == {(p, k): (k - 2 if k else None, by.get((p, k + 2))) for p, k in by}
