@@ -421,9 +421,8 @@ def acl_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT r.router, count(*) AS classes FROM (SELECT DISTINCT router FROM ({_DUCK_ACL}) a) r, ({_DUCK_CLASSES}) c LEFT JOIN (SELECT router, cls, arg_min(action, seq) AS action FROM ({_HELD}) h GROUP BY router, cls) m ON m.router = r.router AND m.cls = c.cls WHERE coalesce(m.action, 'accept') = 'accept' GROUP BY r.router")
 def acl_default_permit(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, rules = _policy(spark, sf_dir)
-    pairs = rules.select("router", "if_id").distinct().crossJoin(made.select("cls"))
-    passed = policy.permitted(pairs, policy.acl_permits(made, rules, ["router", "if_id"], _FIELDS), ["router", "if_id"])
-    return passed.groupBy("router").agg(F.count(F.lit(1)).alias("classes"))
+    counts = policy.permitted_counts(made, policy.acl_permits(made, rules, ["router", "if_id"], _FIELDS), rules, ["router", "if_id"])
+    return counts.groupBy("router").agg(F.sum("classes").alias("classes")).where("classes > 0")
 
 
 _NAT_RULES = f"SELECT CAST(pk % 25 AS INT) AS router, 0 AS if_id, lo AS in_lo, lo + host AS in_hi, (lo + 16777216) % 4278190080 AS out_lo, (lo + 16777216) % 4278190080 + host AS out_hi FROM ({PFX}) p WHERE pk % 40 = 0"

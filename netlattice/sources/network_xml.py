@@ -44,6 +44,12 @@ def _conditions(f: Column) -> tuple[Column, Column, Column]:
     return number, F.coalesce(value, plo), F.coalesce(value + 1, phi)
 
 
+def read_expected(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """(sat, unsat) that a network document says its check should give; null if it says nothing."""
+    found = spark.read.format("xml").schema("_sat int, _unsat int").option("rowTag", "result").load(path).first()
+    return (found["_sat"], found["_unsat"]) if found else None
+
+
 def read_network(spark: SparkSession, path: str) -> NetworkTables:
     raw = spark.read.format("xml").schema(SCHEMA).option("rowTag", "router").load(path)
     router = raw.select(F.col("_id").alias("router"), F.col("_name").alias("name"))

@@ -42,6 +42,13 @@ def verdict_counts(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(F.count_if(F.col("verdict") == "sat").alias("sat"), F.count_if(F.col("verdict") == "unsat").alias("unsat"))
 
 
+def against(verdicts: DataFrame, expected: tuple[int, int] | None) -> DataFrame:
+    """(sat, unsat, expected_sat, expected_unsat, passed); ``passed`` is null where nothing is expected."""
+    sat, unsat = expected or (None, None)
+    found = verdict_counts(verdicts).withColumns({"expected_sat": F.lit(sat).cast("long"), "expected_unsat": F.lit(unsat).cast("long")})
+    return found.withColumn("passed", (F.col("sat") == F.col("expected_sat")) & (F.col("unsat") == F.col("expected_unsat")))
+
+
 def with_witness(verdicts: DataFrame, lo: str = "witness_lo") -> DataFrame:
     """Adds the counterexample's address in dotted form."""
     return verdicts.withColumn("witness", long_to_ip(F.col(lo)))

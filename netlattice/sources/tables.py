@@ -80,6 +80,14 @@ def read_fib(spark: SparkSession, nodes: list[tuple[str, str]]) -> DataFrame:
     return parsed_fib(lines_of(spark, sorted({p for _, p in nodes})).join(F.broadcast(names), "path"))
 
 
+def read_fib_list(spark: SparkSession, path: str) -> DataFrame:
+    """Routing tables of the routers in a list of 'router,file'; files lie beside the list."""
+    folder = path.rpartition("/")[0]
+    f = F.split(F.trim("value"), ",")
+    listed = lines_of(spark, path).select(f[0].alias("node"), f[1].alias("file")).collect()  # one row a router
+    return read_fib(spark, [(r["node"], f"{folder}/{r['file'].strip()}") for r in listed])
+
+
 def read_nat(spark: SparkSession, path: str) -> DataFrame:
     """(src_router, src_ip, src_width, dst_ip, dst_width) from 'router,inner prefix,outer prefix'."""
     f = F.split(F.trim("value"), ",")

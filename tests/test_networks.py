@@ -1,11 +1,14 @@
 """Checks of whole networks against brute force over packets, and a few designed by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from brute import Filtered, Routed, dotted
 from netlattice.plans.headers import HeaderNetwork, firewall_bypass
 from netlattice.plans.network import Network
-from netlattice.sources.sinks import verdict_counts
+from netlattice.sources.network_xml import read_expected
+from netlattice.sources.sinks import against, trace_lines, verdict_counts
+from netlattice.sources.tables import read_fib_list
 
 
 def counts(found):
@@ -69,13 +72,18 @@ def test_trace_and_nat_on_a_ring(tmp_path, spark):
         rows = [f"{address}/32,DIRECT,loopback 9,D", f"100.64.0.0/12,{nxt},cw,O", f"100.64.{k}.0/24,DIRECT,lan,D"]
         (tmp_path / name).write_text("\n".join(rows) + "\n")
     (tmp_path / "nat").write_text("ring1,100.64.9.0/24,100.70.0.0/16\n")
+    (tmp_path / "list").write_text("% router,file\nring0,ring0\nring2,ring2\n")
     nodes = "".join(f'<node name="{n}" file="{n}"/>' for n in own)
-    (tmp_path / "manifest.xml").write_text(f'<manifest><data><nat file="nat"/>{nodes}</data></manifest>')
+    (tmp_path / "manifest.xml").write_text(f'<manifest><data><nat file="nat"/>{nodes}</data><test><result sat="4" unsat="0"/></test></manifest>')
     net = Network.read(spark, f"file://{tmp_path}/manifest.xml")
     rows = net.trace("ring0", "100.64.3.128/25").orderBy("hop").collect()
     assert [r["node"] for r in rows] == [f"{own[f'ring{k}']}/32" for k in range(4)] + ["100.64.3.0/24"]
+    lines = [r["line"] for r in trace_lines(net.trace("ring0", "100.64.3.128/25").withColumns({"start": F.lit(0), "address": F.lit(0)})).orderBy("hop").collect()]
+    assert lines == [f"{own[f'ring{k}']}/32\t{'100.64.0.0/12' if k < 3 else '100.64.3.0/24'}" for k in range(4)] + ["100.64.3.0/24"]
+    listed = read_fib_list(spark, f"file://{tmp_path}/list")
+    assert sorted(r["node"] for r in listed.collect()) == ["ring0"] * 3 + ["ring2"] * 3
     # 100.64.9.0/24 belongs to nobody and goes round; translated packets of ring1 join it
-    assert counts(net.loops()) == (4, 0)
+    assert against(net.loops(), net.manifest.expected).first()["passed"]
     assert net.uses_nat() and counts(net.transformed_loops()) == (4, 0)
 
 
@@ -108,7 +116,8 @@ def bypass_network(back: str) -> str:
     ],
 )
 def test_firewall_bypass(tmp_path, spark, back, expected):
-    (tmp_path / "net.xml").write_text(f"<test><network>{bypass_network(back)}</network></test>")
+    (tmp_path / "net.xml").write_text(f'<test><network>{bypass_network(back)}</network><result sat="{expected[0]}" unsat="{expected[1]}"/></test>')
+    assert read_expected(spark, f"file://{tmp_path}/net.xml") == expected
     found = firewall_bypass(spark, f"file://{tmp_path}/net.xml", firewall="gate", outside="wan", inside="lab-")
     assert counts(found) == expected
     assert [r["dst"] for r in found.where("verdict = 'sat'").collect()] == ([11] if back else [])
