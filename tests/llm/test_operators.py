@@ -435,6 +435,35 @@ def test_quality_against_brute_force(spark, monkeypatch):
     assert any(x["kept"] != (x["log_weight"] >= by_weight) for x in found)  # the noise decides some
 
 
+def test_quality_of_documents_it_was_not_fitted_on(spark):
+    """Bad documents go whether or not their label was seen: half of the labels are held out."""
+    r = random.Random(12)
+    good = lambda: " ".join(r.choice(WORDS) for _ in range(r.randint(20, 60)))
+    bad = lambda: " ".join(r.choice(WORDS) + r.choice(("###", "!!!", "$$$")) for _ in range(r.randint(20, 60)))
+    made = [(i, bad() if i % 10 == 0 else good()) for i in range(1500)]
+    seen = [(i, int(i % 10 > 0)) for i in range(1500) if zlib.crc32(str(i).encode()) % 2]
+    kept = {x["doc_id"] for x in quality(spark.createDataFrame(made, "doc_id long, text string"), spark.createDataFrame(seen, "doc_id long, quality int")).where("kept").collect()}
+    unseen = {i for i, _ in made} - {i for i, _ in seen}
+    assert np.mean([i in kept for i in unseen if i % 10]) > 0.97
+    assert np.mean([i in kept for i in unseen if i % 10 == 0]) < 0.1
+
+
+def test_exact_bounds(spark):
+    """Ten documents are enough for a line, 85 parts of 100 for a link, a twentieth of the words for contamination."""
+    lines = [(i, "shared\nown" + str(i)) for i in range(10)] + [(10 + i, "nine\nown x" + str(i)) for i in range(9)]
+    found = {x["doc_id"]: x["n_dropped"] for x in line_dedup(spark.createDataFrame(lines, "doc_id long, text string")).collect()}
+    assert all(found[i] == 1 for i in range(10)) and all(found[i] == 0 for i in range(10, 19))
+    words = [f"w{k}" for k in range(200)]
+    # 85 of 100 shingles in common, and 84 of 100: the first set has them all
+    sets = [(1, words[:103]), (2, words[:88]), (11, [f"v{w}" for w in words[:103]]), (12, [f"v{w}" for w in words[:87]])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in sets] * 2, "doc_id long, text string")
+    assert collected(link_components(docs), "doc_id", "component_id") == sorted([(1, 1), (2, 1), (11, 11), (12, 12)] * 2)
+    item = " ".join(f"b{k}" for k in range(13))
+    texts = [(i, " ".join([item, *(f"x{k}" for k in range(n))])) for i, n in ((1, 247), (2, 248))]
+    found = decontaminate(spark.createDataFrame(texts * 2, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert collected(found, "doc_id", "n_words", "n_hit", "contaminated") == [(1, 260, 13, True)] * 2 + [(2, 261, 13, False)] * 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t {k}</title><style>p>a{{}}</style><script>if (a<b) document.write("</p>")</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li>Home<li>News {k}</ul></nav><div id="cookie-notice">We use cookies {k}</div>
 {open}<h1>Caf&eacute; {k} &amp; co</h1><p>First <b>bo</b>ld <!-- no --> para {k}<br>line<p>Second&#33;  para<form>q<input></form><div class="ad">Buy {k}</div>

@@ -73,6 +73,33 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, sf_dir).count() >= len(clean)
 
 
+def test_awkward_rows(spark, folder, tmp_path):
+    """Repeated rows and ids, null ids, names that operators use, and a very long text go through all stages."""
+    import corpus_pipeline
+
+    sf_dir, text, _ = folder
+    long = " ".join(f"ka{k % 977} lo{k % 1009}" for k in range(60_000))
+    rows = [(i, t, "x", "y", "z", 1.0) for i, t in text.items() if i < 150]
+    rows += [rows[3], rows[3], (5, "another text with the id five", "x", "y", "z", 1.0), (None, "a text without an id", "x", "y", "z", 1.0), (None, None, "x", "y", "z", 1.0), (900, long, "x", "y", "z", 1.0), (901, long, "x", "y", "z", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, kept string, key string, score double")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"file://{tmp_path}/{t}.parquet")
+    where, columns = f"file://{tmp_path}", docs.columns
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.saved(spark, stage(spark, docs, where), "test")
+        assert docs.columns == columns, name
+        left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        assert (None, "a text without an id") in left and (900, long) in left, name
+        if name != "quality classifier":
+            assert left.count((3, text[3])) == 1 and (901, long) not in left
+            assert (5, "another text with the id five") in left and len(left) == len(set(left))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, where).where("doc_id = 900").collect()
+    assert sum(r["length"] for r in pieces) == pieces[0]["doc_tokens"] > 60_000
+    assert corpus_pipeline.run(spark, where).where("doc_id IS NULL").count() >= 1
+
+
 def test_empty_documents(spark, folder, tmp_path):
     import corpus_pipeline
 
