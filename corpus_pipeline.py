@@ -3,9 +3,15 @@
 Quality rejects, exact copies, near copies (one document of each group stays)
 and contaminated documents go; what is left is packed into sequences.  Every
 stage takes (spark, docs, sf_dir) and all but the last return the columns of
-their ``docs``.  Rows are told apart by ``doc_id``; where ids repeat, a stage's
-decision on an id holds for all its rows, but for exact copies, of which one
-row stays even if they share an id.
+their ``docs``, whatever these are called.  Rows are told apart by ``doc_id``;
+where ids repeat, a stage's decision on an id holds for all its rows, but for
+exact copies, of which one row stays even if they share an id (and of rows that
+are the same in all columns, one).  A null id is an id like any other, larger than
+all.  A null text counts as empty: it says nothing for or against quality, is an
+exact copy of other empty texts, links with nothing, and packs as one end mark.
+Texts of any length are read whole.  Ties go to the smallest id (exact and near
+copies); scores that tie with the last one kept are kept.  An empty table of
+documents, labels or benchmark items gives no rows, keeps all, or finds nothing.
 """
 
 from __future__ import annotations
