@@ -12,7 +12,7 @@ from netlattice.operators.atoms import atoms, followed
 from netlattice.operators.graph import MERGED, NAT, RESOLVED, nat_edges, sinks_merged, spliced
 from netlattice.operators.lpm import forwarding, in_ranges, representatives
 from netlattice.operators.policy import csv_nat_relation
-from netlattice.operators.reach import loops, reach, structural, trace, transformed_reach
+from netlattice.operators.reach import Constraint, constrained_loops, loops, reach, structural, trace, transformed_reach, walks
 from netlattice.sources.scratch import saved
 from netlattice.sources.sinks import with_witness
 from netlattice.sources.tables import Manifest, read_fib, read_manifest, read_nat, read_pairs, read_resolver
@@ -37,6 +37,22 @@ def judged(fwd: DataFrame, whitelist: DataFrame | None) -> DataFrame:
     return saved(fwd.sparkSession, asked.join(reps, "cls", "left_semi"), "judged")
 
 
+def asked_for(fwd: DataFrame, whitelist: DataFrame | None, constraint: Constraint | None) -> DataFrame:
+    """What a check looks at: one class for all that are alike, or, where a constraint may tell them apart, every class."""
+    if constraint is None:
+        return judged(fwd, whitelist)
+    asked = not_listed(fwd.select("cls").distinct(), whitelist)
+    return saved(fwd.sparkSession, fwd.join(asked, "cls", "left_semi"), "asked")
+
+
+def delivered_to(asked: DataFrame, goal: DataFrame, constraint: Constraint | None, bound: int | None) -> DataFrame:
+    """(node, cls) with a walk to the goal, over the edges that the constraint allows at each step."""
+    if constraint is None:
+        return reach(asked, goal, bound).select("node", "cls")
+    most = bound or asked.select("src").distinct().count()
+    return walks(asked, goal, most, constraint).select("node", "cls").distinct()
+
+
 def verdicts(subjects: DataFrame, bad: DataFrame, check: str) -> DataFrame:
     """(check, subject, verdict, witness_lo, witness): sat with the smallest violating class, or unsat."""
     worst = bad.groupBy("subject").agg(F.min("cls").alias("witness_lo"))
@@ -45,14 +61,22 @@ def verdicts(subjects: DataFrame, bad: DataFrame, check: str) -> DataFrame:
     return with_witness(found.select(F.lit(check).alias("check"), "subject", verdict.alias("verdict"), "witness_lo"))
 
 
-def loop_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, whitelist: DataFrame | None = None, bound: int | None = None) -> DataFrame:
-    """Whether a packet can come back to a subject.  Subjects without any cycle in the graph get no verdict."""
+def loop_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, whitelist: DataFrame | None = None, bound: int | None = None, constraint: Constraint | None = None) -> DataFrame:
+    """Whether a packet can come back to a subject.  Subjects without any cycle in the graph get no verdict.
+
+    ``constraint``: (edges, hop) -> the edges that may be a walk's ``hop``-th, counted from its end.
+    """
     cyclic = structural(edges, bound).where("src = dst").select(F.col("src").alias("subject"))
-    found = loops(judged(fwd, whitelist), bound).select(F.col("origin").alias("subject"), "cls")
+    asked = asked_for(fwd, whitelist, constraint)
+    if constraint is None:
+        found = loops(asked, bound)
+    else:
+        found = constrained_loops(asked, subjects, bound or asked.select("src").distinct().count(), constraint)
+    found = found.select(F.col("origin").alias("subject"), "cls")
     return verdicts(subjects.join(cyclic, "subject", "left_semi"), found.join(subjects, "subject", "left_semi"), "loop")
 
 
-def loss_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, target, whitelist: DataFrame | None = None, disconnected: bool = False, universe: DataFrame | None = None) -> DataFrame:
+def loss_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, target, whitelist: DataFrame | None = None, disconnected: bool = False, universe: DataFrame | None = None, constraint: Constraint | None = None, bound: int | None = None) -> DataFrame:
     """Whether a packet from a subject can miss ``target``.
 
     Subjects without a way to it in the graph get no verdict, unless ``disconnected`` asks for them.
@@ -63,8 +87,9 @@ def loss_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, target,
     if not disconnected:
         near = structural(edges).where(F.col("dst") == target).select(F.col("src").alias("subject"))
         subjects = subjects.join(near, "subject", "left_semi")
-    asked = judged(fwd, whitelist)
-    delivered = saved(spark, reach(asked, goal).select(F.col("node").alias("subject"), "cls").join(subjects, "subject", "left_semi"), "delivered")
+    asked = asked_for(fwd, whitelist, constraint)
+    delivered = delivered_to(asked, goal, constraint, bound).select(F.col("node").alias("subject"), "cls")
+    delivered = saved(spark, delivered.join(subjects, "subject", "left_semi"), "delivered")
     # the smallest class that is missing is the first of all, or follows one that is delivered
     order = saved(spark, followed(asked.select(F.col("cls").alias("x")).distinct()), "class-order")
     after = delivered.join(order, order["x"] == delivered["cls"]).where("next is not null").select("subject", F.col("next").alias("cls"))
@@ -84,11 +109,11 @@ def transformed_loop_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFr
     return verdicts(subjects.join(cyclic, "subject", "left_semi"), bad, "transformed loop")
 
 
-def consistency_verdicts(fwd: DataFrame, pairs: DataFrame, target, whitelist: DataFrame | None = None) -> DataFrame:
+def consistency_verdicts(fwd: DataFrame, pairs: DataFrame, target, whitelist: DataFrame | None = None, constraint: Constraint | None = None, bound: int | None = None) -> DataFrame:
     """Whether some packet reaches ``target`` from one node of a pair (a, b, subject) only."""
     spark = fwd.sparkSession
     goal = spark.range(1).select(F.lit(target).cast(fwd.schema["dst"].dataType).alias("dst"))
-    delivered = saved(spark, reach(judged(fwd, whitelist), goal).select("node", "cls"), "delivered")
+    delivered = saved(spark, delivered_to(asked_for(fwd, whitelist, constraint), goal, constraint, bound), "delivered")
 
     def side(name: str) -> DataFrame:
         return pairs.join(delivered, pairs[name] == delivered["node"]).select("subject", "cls", F.lit(name).alias("side"))
@@ -164,10 +189,10 @@ class Network:
         names = self.routers.select(F.col("vid").alias("subject"), "name")
         return found.join(names, "subject").select("check", F.col("name").alias("subject"), "verdict", "witness_lo", "witness")
 
-    def loops(self, max_hops: int | None = None) -> DataFrame:
+    def loops(self, max_hops: int | None = None, constraint: Constraint | None = None) -> DataFrame:
         subjects = self.routers.select(F.col("vid").alias("subject"))
         bound = None if max_hops is None else min(max_hops, self.graph[0].count()) + 1
-        return self.named(loop_verdicts(self.single, self.graph[1], subjects, self.whitelist, bound))
+        return self.named(loop_verdicts(self.single, self.graph[1], subjects, self.whitelist, bound, constraint))
 
     @property
     def single(self) -> DataFrame:
@@ -179,17 +204,17 @@ class Network:
         subjects = self.routers.select(F.col("vid").alias("subject"))
         return self.named(transformed_loop_verdicts(self.transformed, self.graph[1], subjects, max_hops + 1))
 
-    def packet_loss(self, disconnected: bool = False) -> DataFrame:
+    def packet_loss(self, disconnected: bool = False, constraint: Constraint | None = None) -> DataFrame:
         subjects = self.routers.select(F.col("vid").alias("subject"))
-        return self.named(loss_verdicts(self.single, self.graph[1], subjects, MERGED, self.whitelist, disconnected, self.atoms))
+        return self.named(loss_verdicts(self.single, self.graph[1], subjects, MERGED, self.whitelist, disconnected, self.atoms, constraint))
 
-    def consistency(self, pairs: DataFrame | None = None) -> DataFrame:
+    def consistency(self, pairs: DataFrame | None = None, constraint: Constraint | None = None) -> DataFrame:
         """For pairs (name1, name2), by default those of the manifest; pairs with an unknown name get no verdict."""
         if pairs is None:
             pairs = read_pairs(self.spark, self.manifest.pairs)
         by_name = self.graph[0].where("name is not null").select("name", "vid")
         known = pairs.join(by_name.toDF("name1", "a"), "name1").join(by_name.toDF("name2", "b"), "name2")
-        return consistency_verdicts(self.single, known.select("a", "b", F.concat_ws(" ", "name1", "name2").alias("subject")), MERGED, self.whitelist)
+        return consistency_verdicts(self.single, known.select("a", "b", F.concat_ws(" ", "name1", "name2").alias("subject")), MERGED, self.whitelist, constraint)
 
     def trace(self, start: str, prefix: str, max_hops: int = 30) -> DataFrame:
         """(hop, node, lo, width) of a prefix from a router on, over the tables as read; a route must hold all of it."""

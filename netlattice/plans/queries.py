@@ -95,6 +95,15 @@ def predicate_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.prefixes(spark, sf_dir).select("pk", either.alias("either"), predicates.exclusive(a, b).alias("one"), predicates.implies(a, b).alias("implied"))
 
 
+@query(f"SELECT pk, pk % 2 <> 0 AS negated, lo <> raw AS unequal, true AS yes, false AS no, lo = raw AND width = width AS same, raw - raw % host = raw AS hit FROM ({duck(PFX)}) p")
+def predicate_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negation, inequality, constants, identity of packets, and prefixes with host bits, which match nothing."""
+    p = derived.prefixes(spark, sf_dir).withColumns({"in_ip": F.col("lo"), "out_ip": F.col("raw"), "in_width": F.col("width"), "out_width": F.col("width")})
+    hit = ip.matches(F.col("raw"), F.col("width"), F.col("raw"))
+    columns = {"negated": predicates.negated(F.col("pk") % 2 == 0), "unequal": predicates.unequal(F.col("lo"), F.col("raw")), "yes": predicates.true(), "no": predicates.false(), "same": predicates.same_packet(["ip", "width"]), "hit": hit}
+    return p.select("pk", *(c.alias(n) for n, c in columns.items()))
+
+
 # routing rows to a graph
 
 _ROWS = f"""SELECT CAST(pk % 25 AS VARCHAR) AS node, CAST(pk AS INT) AS line, lo, width, lo + host AS hi,

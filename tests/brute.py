@@ -96,6 +96,22 @@ class Routed:
         judged = [n for n in self.names if (n, "merged") in closure(self.edges())]
         return {n: next((x for x in self.asked() if (n, "merged") not in self.ways(x)), None) for n in judged}
 
+    def backward(self, x, target, bound, allowed):
+        """Routers with a walk to the target whose every edge is allowed at its step, counted from the end."""
+        steps = [(n, to) for n in self.names for to in self.hops(n, x)]
+        at, seen = {target}, set()
+        for hop in range(1, bound + 1):
+            at = {a for a, b in steps if b in at and allowed(a, hop)}
+            seen |= at
+        return seen
+
+    def constrained(self, allowed):
+        """(loops, losses) as ``loops`` and ``losses`` with edges that must be allowed."""
+        n = len(self.names)
+        cyclic, sinks = [r for r in self.names if (r, r) in closure(self.edges())], [r for r in self.names if (r, "merged") in closure(self.edges())]
+        found = {r: next((x for x in self.asked() if r in self.backward(x, r, n, allowed)), None) for r in cyclic}
+        return found, {r: next((x for x in self.asked() if r not in self.backward(x, "merged", n, allowed)), None) for r in sinks}
+
     def inconsistent(self):
         found = {}
         for a in self.names:

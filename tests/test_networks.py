@@ -41,6 +41,19 @@ def test_checks_agree_with_brute_force(case):
     assert worst(net.consistency()) == told(plain.inconsistent())
 
 
+def test_edge_constraints_agree_with_brute_force(spark, tmp_path):
+    """At every second step from the end, half of the routers may not send."""
+    plain = Routed(58)  # all that nobody routes is listed
+    listed = spark.createDataFrame(plain.listed, "lo long, hi long")
+    net = Network.read(spark, plain.write(tmp_path), listed)
+    barred = {n for k, n in enumerate(plain.names) if k % 2}
+    vids = [r["vid"] for r in net.routers.collect() if r["name"] in barred]
+    may = lambda edges, hop: edges if hop % 2 else edges.where(~F.col("src").isin(vids))
+    loops, losses = plain.constrained(lambda a, hop: hop % 2 or a not in barred)
+    assert worst(net.loops(constraint=may)) == told(loops)
+    assert worst(net.packet_loss(constraint=may)) == told(losses)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_all_pairs_agree_with_brute_force(spark, tmp_path, seed):
     plain = Filtered(seed)
