@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def true() -> Column:
     return F.lit(True)
 
