@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from netlattice.functions.ip import long
 from netlattice.operators.lpm import forwarding, in_ranges
-from netlattice.sources.scratch import saved
+from netlattice.sources.scratch import freed, saved
 
 #: In place of an atom: every value of the routed field.
 ANY = -1
@@ -186,6 +186,7 @@ def reaching(links: DataFrame, changes: Changes, targets: DataFrame, bound: int,
         return new.join(old, there & (F.col("atom") == F.col("k_atom")), "left_anti").join(old.where(F.col("k_atom") == ANY), there, "left_anti")
 
     known = frontier = saved(spark, undone(first).withColumn("hop", F.lit(1)), "boxes")
+    parts = [known]
     for hop in range(2, bound + 1):
         here = frontier.select(F.col("dst"), F.col("node").alias("nexthop"), F.col("atom").alias("f_atom"), *(F.col(e).alias(f"f_{e}") for e in ends))
         met = links.join(here.where(F.col("f_atom") != ANY).withColumnRenamed("f_atom", "atom"), ["nexthop", "atom"])
@@ -197,6 +198,9 @@ def reaching(links: DataFrame, changes: Changes, targets: DataFrame, bound: int,
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        parts.append(frontier)
         if hop % 8 == 0:
             known = saved(spark, known, "boxes-known")
+            freed(*parts[:-1])
+            parts = [known]
     return known

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlattice.operators.lpm import under_prefixes
-from netlattice.sources.scratch import saved
+from netlattice.sources.scratch import freed, saved
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], bound: int | None = None, hop: int = 0) -> DataFrame:
@@ -19,7 +19,7 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: lis
     """
     spark = start.sparkSession
     known = frontier = saved(spark, start.select(*keys).distinct().withColumn("hop", F.lit(hop)), "frontier")
-    rounds = 0
+    rounds, parts = 0, [known]  # parts: the tables that ``known`` reads
     while bound is None or hop < bound:
         hop += 1
         rounds += 1
@@ -28,8 +28,11 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: lis
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        parts.append(frontier)
         if rounds % 8 == 0:
             known = saved(spark, known, "known")
+            freed(*parts[:-1])  # the last is still the frontier
+            parts = [known]
     return known
 
 
@@ -143,8 +146,9 @@ def cyclic_core(fwd: DataFrame) -> DataFrame:
     while n:
         leaving = edges.select("cls", F.col("src").alias("dst")).distinct()
         entering = edges.select("cls", F.col("dst").alias("src")).distinct()
-        edges = saved(spark, edges.join(leaving, ["cls", "dst"], "left_semi").join(entering, ["cls", "src"], "left_semi"), "core")
-        now = edges.count()
+        left = saved(spark, edges.join(leaving, ["cls", "dst"], "left_semi").join(entering, ["cls", "src"], "left_semi"), "core")
+        freed(edges)
+        edges, now = left, left.count()
         if now == n:
             break
         n = now
