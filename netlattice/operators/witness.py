@@ -23,7 +23,7 @@ def toward(fwd: DataFrame, known: DataFrame, starts: DataFrame) -> DataFrame:
     target, the smallest); ``starts``: subject, dst (the target), node, cls.
     """
     spark = fwd.sparkSession
-    left = known.groupBy("dst", "cls", "node").agg(F.min("hop").alias("left"))
+    left = saved(spark, known.groupBy("dst", "cls", "node").agg(F.min("hop").alias("left")), "witness-left")
     now = saved(spark, starts.join(left, ["dst", "cls", "node"]).select("subject", "dst", "node", "cls", "left"), "witness")
     out, hop = now.select("subject", F.lit(0).alias("hop"), "node", "cls"), 0
     steps = fwd.select(F.col("src").alias("node"), F.col("cls_in").alias("cls"), F.col("dst").alias("to"), F.col("cls_out").alias("as"))
@@ -48,6 +48,7 @@ def round_trips(fwd: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
     starts only, keeping the smallest number of edges of each state.
     """
     spark = fwd.sparkSession
+    fwd = saved(spark, fwd.join(starts.select("cls").distinct(), "cls", "left_semi"), "trip-edges")
     steps = fwd.select("cls", F.col("src").alias("node"), F.col("dst").alias("to"))
     now = saved(spark, starts.select("subject", "cls", F.col("subject").alias("node"), F.lit(0).alias("hop")).distinct(), "trip")
     known, hop = now, 0
@@ -76,7 +77,8 @@ def wanderings(fwd: DataFrame, starts: DataFrame, bound: int) -> DataFrame:
     where a packet ends, or the first that it visits twice.
     """
     spark = fwd.sparkSession
-    steps = fwd.groupBy("cls", F.col("src").alias("node")).agg(F.min("dst").alias("to"))
+    fwd = fwd.join(starts.select("cls").distinct(), "cls", "left_semi")
+    steps = saved(spark, fwd.groupBy("cls", F.col("src").alias("node")).agg(F.min("dst").alias("to")), "wandering-edges")
     now = saved(spark, starts.select("subject", "cls", F.col("subject").alias("node"), F.array("subject").alias("seen")).distinct(), "wandering")
     out, hop = now.select("subject", F.lit(0).alias("hop"), "node", "cls"), 0
     while hop < bound and not now.isEmpty():
