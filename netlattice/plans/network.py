@@ -104,8 +104,12 @@ def loss_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, target,
 def transformed_loop_verdicts(fwd: DataFrame, edges: DataFrame, subjects: DataFrame, bound: int) -> DataFrame:
     """Whether a subject is met again, by whatever a packet (fwd: cls_in, src, dst, cls_out) has become within ``bound`` edges."""
     found = transformed_reach(fwd, subjects.select(F.col("subject").alias("dst")), bound)
+    return again_verdicts(found.where("node = dst").select(F.col("dst").alias("subject"), "cls"), edges, subjects, bound)
+
+
+def again_verdicts(bad: DataFrame, edges: DataFrame, subjects: DataFrame, bound: int) -> DataFrame:
+    """Verdicts of loops with packets that change: ``bad`` (subject, cls) come back; subjects without a cycle in the graph get none."""
     cyclic = structural(edges, bound).where("src = dst").select(F.col("src").alias("subject"))
-    bad = found.where("node = dst").select(F.col("dst").alias("subject"), "cls")
     return verdicts(subjects.join(cyclic, "subject", "left_semi"), bad, "transformed loop")
 
 
