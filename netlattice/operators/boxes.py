@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from netlattice.sources.scratch import freed, saved
 
 #: In place of an atom: every value of the routed field.
 ANY = -1
+#: Rows whose boxes are made at once.
+ROWS = 1 << 13
 KEYS = ["router", "if_id"]
 
 Box = tuple[tuple[int, int], ...]
@@ -58,61 +61,75 @@ def let_through(rules: tuple[tuple[str, Box], ...], full: Box) -> list[Box]:
 
 
 def permitted_boxes(batches: Iterator[pa.RecordBatch], widths: list[int]) -> Iterator[pa.RecordBatch]:
-    """Rows with ordered rules (action, lo1, hi1, ..) -> rows with the boxes that they let through."""
+    """Rows (router, if_id, atom, rules) -> rows with the boxes that the rules let through.
+
+    ``rules`` is a text, so that a batch is worked on once for each of its different lists.
+    """
     full = whole(widths)
 
     @lru_cache(maxsize=10_000)
-    def boxes(rules: tuple) -> list[Box]:
-        return let_through(tuple((action, tuple(zip(ends[::2], ends[1::2], strict=True))) for action, ends in rules), full)
+    def boxes(text: str) -> np.ndarray:
+        rules = sorted((int(seq), action, tuple(map(int, ends))) for seq, action, *ends in (r.split(",") for r in text.split(";") if r))
+        found = let_through(tuple((action, tuple(zip(ends[::2], ends[1::2], strict=True))) for _, action, ends in rules), full)
+        return np.array([[x for ends in box for x in ends] for box in found], np.int64).reshape(-1, 2 * len(full))
 
     names = ["router", "if_id", "atom", *sides(widths)]
     for batch in batches:
-        rows = []
-        for router, if_id, atom, rules in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for box in boxes(tuple((r["action"], tuple(r[s] for s in sides(widths))) for r in rules or ())):
-                rows.append((router, if_id, atom, *(x for ends in box for x in ends)))
-            if len(rows) > 50_000:
-                yield packed(rows, names)
-                rows = []
-        yield packed(rows, names)
-
-
-def packed(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.int64()) for k, c in enumerate(columns)], names=names)
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            coded = part.column(3).dictionary_encode()
+            lists = [boxes(text) for text in coded.dictionary.to_pylist()]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            begins = np.cumsum(sizes) - sizes
+            kind = coded.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(part.num_rows), sizes[kind])  # each row once for every box of its list
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes[kind]) - sizes[kind], sizes[kind]) + begins[kind][row]
+            ends = np.concatenate(lists)[place]
+            kept = [part.column(k).take(pa.array(row)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(ends[:, k]) for k in range(ends.shape[1]))], names=names)
 
 
 def rule_boxes(acl: DataFrame, widths: list[int]) -> DataFrame:
-    """(router, if_id, seq, action, lo0, hi0, lo1, ..): a rule's conditions as one range per field, the whole field where it has none."""
+    """(router, if_id, seq, action, lo0, hi0, lo1, ..): a rule's conditions as one range per field, the whole field where it has none.
+
+    Of an interface's rules with the same box only the first is left, and none whose box is empty.
+    """
     ends = []
     for i, w in enumerate(widths):
         here = F.col("field") == i
         ends += [F.coalesce(F.max(F.when(here, F.col("lo"))), long(0)).alias(f"lo{i}"), F.coalesce(F.min(F.when(here, F.col("hi"))), long(1 << w)).alias(f"hi{i}")]
-    return acl.groupBy(*KEYS, "seq", "action").agg(*ends)
+    boxes = acl.groupBy(*KEYS, "seq", "action").agg(*ends).where(" AND ".join(f"lo{i} < hi{i}" for i in range(len(widths))))
+    names = [f"{end}{i}" for i in range(len(widths)) for end in ("lo", "hi")]
+    first = boxes.groupBy(*KEYS, *names).agg(F.min(F.struct("seq", "action")).alias("rule"))
+    return first.select(*KEYS, "rule.seq", "rule.action", *names)
 
 
-def sendable(fib: DataFrame, acl: DataFrame, atoms: DataFrame, widths: list[int]) -> DataFrame:
+def sendable(fib: DataFrame, acl: DataFrame, atoms: DataFrame, widths: list[int], share: int = 1) -> DataFrame:
     """(router, if_id, box): what leaves by an interface, routed by longest match and let through by its access list.
 
     ``fib``: router, if_id, lo, width; ``acl``: router, if_id, seq, action, field, lo, hi;
     ``atoms``: lo, hi of the routed field.  Rules meet atoms by prefixes of their range
-    in the routed field, those without one by the interface.
+    in the routed field; those without one are a list of the interface, no row for each atom.
+    ``share``: only one in so many atoms.
     """
     routed = forwarding(fib.select(F.col("router").alias("node"), "lo", "width", F.col("if_id").alias("nh")), atoms)
-    routed = routed.select(F.col("src").alias("router"), F.col("dst").alias("if_id"), F.col("cls").alias("atom"))
-    rules = rule_boxes(acl, widths).where(" AND ".join(f"lo{i} < hi{i}" for i in range(len(widths))))
-    kept = [*KEYS, "seq", "action", *sides(widths)]
+    routed = routed.select(F.col("src").alias("router"), F.col("dst").alias("if_id"), F.col("cls").alias("atom")).where(in_share("atom", share))
+    rules = rule_boxes(acl, widths).withColumn("rule", F.concat_ws(",", "seq", "action", *sides(widths)))
     every = (F.col("lo0") == 0) & (F.col("hi0") == 1 << widths[0])
     narrow = rules.where(~every).withColumnsRenamed({"lo0": "lo", "hi0": "hi"})
-    narrow = in_ranges(atoms.select(F.col("lo").alias("atom")), narrow, "atom", kept)
-    held = routed.join(narrow, [*KEYS, "atom"]).unionByName(routed.join(rules.where(every).select(*kept), KEYS))
-    # the rules of one interface that hold for one atom, in order
-    lists = held.groupBy(*KEYS, "atom").agg(F.array_sort(F.collect_list(F.struct("seq", "action", *sides(widths)))).alias("rules"))
+    narrow = in_ranges(atoms.select(F.col("lo").alias("atom")).where(in_share("atom", share)), narrow, "atom", [*KEYS, "rule"])
+    listed = lambda rows, keys, name: rows.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("rule")), ";").alias(name))
     schema = "router int, if_id int, atom long, " + ", ".join(f"{s} long" for s in sides(widths))
-    rows = routed.join(lists, [*KEYS, "atom"], "left").select(*(F.col(k).cast("int").alias(k) for k in KEYS), "atom", "rules")
+    rows = routed.join(listed(narrow, [*KEYS, "atom"], "some"), [*KEYS, "atom"], "left").join(listed(rules.where(every), KEYS, "always"), KEYS, "left")
+    rows = rows.select(*(F.col(k).cast("int").alias(k) for k in KEYS), "atom", F.concat_ws(";", "some", "always").alias("rules"))
     return rows.mapInArrow(lambda it: permitted_boxes(it, widths), schema)
 
 
+def in_share(atom: str, share: int) -> Column:
+    """Whether an atom is among the one in ``share`` that are looked at."""
+    return F.lit(True) if share == 1 else F.pmod(F.xxhash64(atom), F.lit(share)) == 0
+
+
 class Changes:
     """What interfaces do to headers, applied backward to boxes that have left by them."""
 
@@ -159,12 +176,14 @@ class Changes:
         return stay.unionByName(free).unionByName(held).unionByName(moved).distinct()
 
 
-def reaching(links: DataFrame, changes: Changes, targets: DataFrame, bound: int, arriving: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+def reaching(links: DataFrame, changes: Changes, targets: DataFrame, bound: int, arriving: dict[int, tuple[int, int]] | None = None, asked: DataFrame | None = None) -> DataFrame:
     """(dst, node, box, hop): packets at ``node`` that get to ``dst`` within ``bound`` edges, one row per box with its first hop.
 
     ``links``: router, if_id, nexthop, box (what leaves); ``targets``: dst;
     ``arriving``: ranges of fields that a packet must have where it arrives.  Goes
-    backward; a box that lies in a known one is no news.
+    backward; a box that lies in a known one is no news.  ``asked`` (src, dst): all that
+    is wanted is whether there is a packet for these pairs, so a target is done once
+    every ``src`` asked for has one.
     """
     spark, w = links.sparkSession, changes.widths
     ends = sides(w)
@@ -187,14 +206,21 @@ def reaching(links: DataFrame, changes: Changes, targets: DataFrame, bound: int,
 
     known = frontier = saved(spark, undone(first).withColumn("hop", F.lit(1)), "boxes")
     parts = [known]
+    news = frontier
     for hop in range(2, bound + 1):
-        here = frontier.select(F.col("dst"), F.col("node").alias("nexthop"), F.col("atom").alias("f_atom"), *(F.col(e).alias(f"f_{e}") for e in ends))
+        if asked is not None:
+            found = frontier.select(F.col("node").alias("src"), "dst").distinct()
+            asked = saved(spark, asked.join(found, ["src", "dst"], "left_anti"), "asked-pairs")
+            if asked.isEmpty():
+                break
+            news = frontier.join(asked.select("dst").distinct(), "dst", "left_semi")
+        here = news.select(F.col("dst"), F.col("node").alias("nexthop"), F.col("atom").alias("f_atom"), *(F.col(e).alias(f"f_{e}") for e in ends))
         met = links.join(here.where(F.col("f_atom") != ANY).withColumnRenamed("f_atom", "atom"), ["nexthop", "atom"])
         met = met.unionByName(links.join(here.where(F.col("f_atom") == ANY).drop("f_atom"), "nexthop"))
         cut = met.select("dst", *KEYS, "atom", *(F.greatest(f"lo{i}", f"f_lo{i}").alias(f"lo{i}") if e == "lo" else F.least(f"hi{i}", f"f_hi{i}").alias(f"hi{i}") for i in range(1, len(w)) for e in ("lo", "hi")))
         cut = cut.where(" AND ".join(f"lo{i} < hi{i}" for i in range(1, len(w))) or "true")
         new = unknown(undone(cut), known).withColumn("hop", F.lit(hop))
-        frontier = saved(spark, new, "boxes")
+        news = frontier = saved(spark, new, "boxes")
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlattice.operators.atoms import atoms
-from netlattice.operators.boxes import Changes, reaching, sendable
+from netlattice.operators.boxes import Changes, in_share, reaching, sendable
 from netlattice.operators.policy import FIELDS, WIDTHS
 from netlattice.operators.reach import structural
 from netlattice.operators.rules import Goal, Rules
@@ -16,6 +16,8 @@ from netlattice.sources.network_xml import NetworkTables, read_network
 from netlattice.sources.scratch import saved
 
 KEYS = ["router", "if_id"]
+#: Atoms among which packets are looked for first.
+FIRST = 1 << 11
 
 
 class HeaderNetwork:
@@ -43,14 +45,16 @@ class HeaderNetwork:
 
     @cached_property
     def links(self) -> DataFrame:
+        return self.leaving()
+
+    def leaving(self, share: int = 1) -> DataFrame:
         """(router, if_id, nexthop, box): what leaves by an interface: routed there, and let through (after any change)."""
         t = self.tables
-        sent = sendable(t.fib.select(*KEYS, "lo", "width"), t.acl, self.atoms, self.widths)
+        sent = sendable(t.fib.select(*KEYS, "lo", "width"), t.acl, self.atoms, self.widths, share)
         return saved(self.spark, sent.join(t.interface, KEYS), "header-links")
 
-    @cached_property
-    def changes(self) -> Changes:
-        return Changes(self.atoms, self.tables.nat, self.tables.setfield, self.widths)
+    def changes(self, share: int = 1) -> Changes:
+        return Changes(self.atoms.where(in_share("lo", share)), self.tables.nat, self.tables.setfield, self.widths)
 
     @cached_property
     def size(self) -> int:
@@ -58,7 +62,7 @@ class HeaderNetwork:
 
     def reached(self, arriving: dict[int, tuple[int, int]] | None = None) -> DataFrame:
         """(dst, node, box, hop): as many edges as there are routers; ``arriving`` restricts packets where they arrive."""
-        return reaching(self.links, self.changes, self.tables.router.select(F.col("router").alias("dst")), self.size, arriving)
+        return reaching(self.links, self.changes(), self.tables.router.select(F.col("router").alias("dst")), self.size, arriving)
 
     @cached_property
     def connected(self) -> DataFrame:
@@ -66,10 +70,22 @@ class HeaderNetwork:
         edges = self.tables.interface.select(F.col("router").alias("src"), F.col("nexthop").alias("dst"))
         return structural(edges, self.size).where("src <> dst").select("src", "dst")
 
-    def all_pairs(self, arriving: dict[int, tuple[int, int]] | None = None) -> DataFrame:
-        """(src, dst, verdict) of every ordered pair with a way in the graph: sat if some packet gets there."""
-        found = self.reached(arriving).select(F.col("node").alias("src"), "dst").distinct().withColumn("hit", F.lit(True))
-        return self.connected.join(found, ["src", "dst"], "left").select("src", "dst", F.when(F.col("hit"), "sat").otherwise("unsat").alias("verdict"))
+    def all_pairs(self, arriving: dict[int, tuple[int, int]] | None = None, asked: DataFrame | None = None) -> DataFrame:
+        """(src, dst, verdict) of every ordered pair with a way in the graph (and ``asked`` for): sat if some packet gets there.
+
+        One packet is enough for a pair.  So packets of a share of the atoms are looked at
+        first, and for pairs that none of these joins those of all atoms.
+        """
+        pairs = self.connected if asked is None else self.connected.join(asked, ["src", "dst"], "left_semi")
+        pairs = unmet = saved(self.spark, pairs, "header-pairs")
+        for share in dict.fromkeys([-(-self.atoms.count() // FIRST), 1]):
+            links = self.links if share == 1 else self.leaving(share)
+            boxes = reaching(links, self.changes(share), unmet.select("dst").distinct(), self.size, arriving, unmet)
+            found = boxes.select(F.col("node").alias("src"), "dst").distinct()
+            unmet = saved(self.spark, unmet.join(found, ["src", "dst"], "left_anti"), "header-pairs")
+            if unmet.isEmpty():
+                break
+        return pairs.join(unmet.withColumn("hit", F.lit(False)), ["src", "dst"], "left").select("src", "dst", F.when(F.col("hit").isNull(), "sat").otherwise("unsat").alias("verdict"))
 
     def sizes(self) -> tuple[int, int]:
         """How many boxes the links have, and how many the product of all fields' atoms would give them."""
@@ -108,4 +124,4 @@ def bypass(tables: NetworkTables, role: Column, fields: list[str] = FIELDS, widt
     insiders = rules.query([Goal("router", "router", "'inside'")])
     tag = len(fields) - 1
     net = HeaderNetwork(tables.router.sparkSession, with_tag_rules(tables, firewalls, insiders, tag), fields, widths)
-    return net.all_pairs({tag: (0, 1)}).join(rules.query([Goal("asked", "src", "dst")]), ["src", "dst"], "left_semi")
+    return net.all_pairs({tag: (0, 1)}, rules.query([Goal("asked", "src", "dst")]))

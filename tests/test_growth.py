@@ -24,3 +24,45 @@ def test_ranges_are_cut_without_steps(spark):
     assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
     for r in found.collect():
         assert [tuple(x) for x in r.c] == greedy(r.lo, r.hi)
+
+
+def test_rules_with_one_box_are_one_row(spark):
+    from netlattice.operators.boxes import rule_boxes
+
+    acl = [(1, 2, s, "deny" if s % 2 else "accept", 2, s % 3, s % 3 + 1) for s in range(60)] + [(1, 2, 99, "deny", 1, 7, 7)]
+    found = rule_boxes(spark.createDataFrame(acl, "router int, if_id int, seq int, action string, field int, lo long, hi long"), [32, 32, 16]).collect()
+    assert sorted((r.seq, r.action, r.lo2, r.hi2) for r in found) == [(0, "accept", 0, 1), (1, "deny", 1, 2), (2, "accept", 2, 3)]
+
+
+def _ring(spark, n=4):
+    """Routers in a ring: each owns a prefix and sends all others on; the last owns none and gets no packet."""
+    from netlattice.sources.network_xml import NetworkTables
+
+    fib = [(r, (r + 1) % n, 0, 0, 1 << 32) for r in range(n - 1)] + [(r, r, r << 28, 4, (r + 1) << 28) for r in range(n)]
+    deny = [(n - 2, n - 1, 1, "deny", 0, 0, 1 << 32)]
+    frame = spark.createDataFrame
+    return NetworkTables(
+        frame([(r, f"r{r}") for r in range(n)], "router int, name string"), frame([(r, i, i) for r, i, *_ in fib], "router int, if_id int, nexthop int").distinct(),
+        frame(fib, "router int, if_id int, lo long, width int, hi long"), frame(deny, "router int, if_id int, seq int, action string, field int, lo long, hi long"),
+        frame([], "router int, if_id int, in_lo long, in_hi long, out_lo long, out_hi long"), frame([], "router int, if_id int, field int, op string, lo long, hi long"),
+    )
+
+
+def test_pairs_by_a_share_of_the_atoms(spark, monkeypatch):
+    from netlattice.plans import headers
+
+    tables = _ring(spark)
+    whole = {tuple(r) for r in headers.HeaderNetwork(spark, tables).all_pairs().collect()}
+    assert whole == {(a, b, "sat" if a < b < 3 else "unsat") for a in range(3) for b in range(4) if a < b}
+    monkeypatch.setattr(headers, "FIRST", 2)  # a few atoms first, all of them for what is open then
+    assert {tuple(r) for r in headers.HeaderNetwork(spark, tables).all_pairs().collect()} == whole
+
+
+def test_a_target_is_done_once_its_pairs_are(spark):
+    from netlattice.operators.boxes import reaching
+    from netlattice.plans.headers import HeaderNetwork
+
+    net = HeaderNetwork(spark, _ring(spark))
+    targets, asked = spark.createDataFrame([(2,)], "dst int"), spark.createDataFrame([(1, 2)], "src int, dst int")
+    found = reaching(net.links, net.changes(), targets, 4, asked=asked)
+    assert {(r.node, r.hop) for r in found.select("node", "hop").distinct().collect() if r.node != 2} == {(1, 1)}
