@@ -19,7 +19,7 @@ Lists are arrays of strings.  ``Cons("H", "T")`` is a list by its first element
 the rest, ``Nil()`` the empty list.  In a goal they take a list apart, in a head they
 build one.  ``lists`` makes the lists of a table and all their ends known as
 ``cell(list, head, tail)`` and ``list(list)``, so that rules which walk down a list
-are equi-joins on lists.
+are equi-joins on lists; ``element(value, list)`` and ``parts(front, rest, list)`` need no walk.
 
 A cut keeps the first solution so far, as a resolver that tries clauses in the order
 of their declaration and facts in the order of their rows would find it; ``fact``
@@ -157,11 +157,17 @@ class Rules:
         #: Clauses of a predicate as they were declared: (table, columns, order column) or (head, goals).
         self.clauses: dict[str, list[tuple]] = {}
         self.foreign: dict[str, Callable[..., DataFrame]] = {}
+        self.once: set[str] = set()  # facts that have no equal rows
         self.derived: dict[str, DataFrame] = {}  # what is known of predicates that are being derived
         self.new: tuple[str, int, DataFrame] | None = None  # a predicate, the place of one of its goals in a rule, and its new rows
 
-    def fact(self, name: str, df: DataFrame, columns: list[str], order: str | None = None) -> None:
-        """Rows of ``df`` are facts of ``name``, arguments in the order of ``columns``; ``order``: the column that numbers them."""
+    def fact(self, name: str, df: DataFrame, columns: list[str], order: str | None = None, once: bool = False) -> None:
+        """Rows of ``df`` are facts of ``name``, arguments in the order of ``columns``; ``order``: the column that numbers them.
+
+        ``once``: no two rows are the same, and none needs to be told from the others.
+        """
+        if once:
+            self.once.add(name)
         self.clauses.setdefault(name, []).append((df, columns, order))
 
     def rule(self, name: str, head: list, goals: list) -> None:
@@ -172,11 +178,21 @@ class Rules:
         self.foreign[name] = function
 
     def lists(self, df: DataFrame, column: str) -> None:
-        """The lists of a column and all their ends become ``cell(list, head, tail)`` and ``list(list)``."""
-        whole = df.select(F.col(column).cast(LIST).alias("l")).where("l IS NOT NULL")
-        ends = saved(df.sparkSession, whole.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("l") + 1), lambda k: F.slice("l", k, F.size("l")))).alias("l")).distinct(), "lists")
+        """The lists of a column and all their ends become ``cell(list, head, tail)`` and ``list(list)``.
+
+        What rules find by a round for each element is a row of the list at once: what it
+        holds, ``element(value, list)``, and how it parts in two, ``parts(front, rest, list)``.
+        """
+        whole = df.select(F.col(column).cast(LIST).alias("l")).where("l IS NOT NULL").distinct()
+        places = whole.select("l", F.explode(F.sequence(F.lit(1), F.size("l") + 1)).alias("k"))  # one end at a time
+        ends = saved(df.sparkSession, places.select(F.slice("l", F.col("k"), F.size("l")).alias("l")).distinct(), "lists")
         self.fact("list", ends, ["l"])
         self.fact("cell", ends.where("size(l) > 0").select("l", F.col("l")[0].alias("h"), F.slice("l", F.lit(2), F.size("l")).alias("t")), ["l", "h", "t"])
+        held = ends.select(F.explode(F.array_distinct("l")).alias("x"), "l")
+        self.fact("element", held, ["x", "l"], once=True)
+        spread = ends.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few lists have many parts
+        cut = spread.select("l", F.explode(F.sequence(F.lit(0), F.size("l"))).alias("k"))
+        self.fact("parts", cut.select(F.slice("l", F.lit(1), F.col("k")).alias("a"), F.slice("l", F.col("k") + 1, F.size("l")).alias("b"), "l"), ["a", "b", "l"], once=True)
 
     # -- which predicates belong together
 
@@ -362,10 +378,16 @@ class Rules:
             elif isinstance(goal, Cut):
                 state = state.orderBy(ORDER).limit(1)
         if not ordered:
-            return state.distinct()
+            return state if len(goals) == 1 and self.plain(goals[0]) and len(state.columns) == len(goals[0].args) else state.distinct()
         names = [c for c in state.columns if c != ORDER]
         return state.groupBy(*names).agg(F.min(ORDER).alias(ORDER)) if names else state.groupBy().agg(F.min(ORDER).alias(ORDER)).where(F.col(ORDER).isNotNull())
 
+    def plain(self, goal: object) -> bool:
+        """Whether a goal's solutions are the rows of a table that has no equal ones."""
+        if not isinstance(goal, Goal) or goal.name not in self.once or len(self.clauses[goal.name]) > 1 or goal.name in self.foreign:
+            return False
+        return all(map(is_variable, goal.args)) and len(set(goal.args)) == len(goal.args)
+
     def met(self, state: DataFrame | None, df: DataFrame, goal: Goal, ordered: bool) -> DataFrame:
         """The rows of a predicate that are like the goal's terms, joined with the solutions so far."""
         bound: dict[str, Column] = {}
@@ -380,7 +402,7 @@ class Rules:
                     bound[name] = value
         names = [v.alias(n) for n, v in bound.items()]
         df = df.select(*names, F.col(ORDER).alias("_more")).groupBy(*bound).agg(F.min("_more").alias("_more")) if ordered and bound else df.select(*names, *([F.col(ORDER).alias("_more")] if ordered else []))
-        if not ordered:
+        if not ordered and not self.plain(goal):
             df = df.distinct()
         if state is None:
             return df.withColumnRenamed("_more", ORDER)

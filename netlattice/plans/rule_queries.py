@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlattice.operators.rules import Cons, Cut, Goal, Nil, Rules
+from netlattice.operators.rules import Cut, Goal, Rules
 from netlattice.plans import queries as base
 from netlattice.plans.derived import spark_sql
 from netlattice.plans.registry import query
@@ -55,20 +55,16 @@ _ENDS = "SELECT DISTINCT l[k:] AS l FROM (SELECT list(CAST(s_suppkey % 9 AS VARC
 def _lists(spark: SparkSession, sf_dir: str) -> Rules:
     rules = Rules()
     rules.lists(spark_sql(spark, sf_dir, _LISTS), "l")
-    rules.rule("append", [Nil(), "L", "L"], [Goal("list", "L")])
-    rules.rule("append", [Cons("H", "A"), "B", "L"], [Goal("cell", "L", "H", "T"), Goal("append", "A", "B", "T")])
-    rules.rule("member", ["X", "L"], [Goal("cell", "L", "X", "_")])
-    rules.rule("member", ["X", "L"], [Goal("cell", "L", "_", "T"), Goal("member", "X", "T")])
     return rules
 
 
 @query(f"SELECT DISTINCT array_to_string(l[:k], ',') AS \"A\", array_to_string(l[k + 1:], ',') AS \"B\", array_to_string(l, ',') AS \"L\" FROM ({_ENDS}) e, unnest(generate_series(0, len(l))) AS u(k)")
 def rule_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ways to part the nations' lists, and their ends, in two."""
-    found = _lists(spark, sf_dir).query([Goal("append", "A", "B", "L")])
+    found = _lists(spark, sf_dir).query([Goal("parts", "A", "B", "L")])
     return found.select(*(F.array_join(c, ",").alias(c) for c in ("A", "B", "L")))
 
 
 @query(f"SELECT DISTINCT x AS \"X\", array_to_string(l, ',') AS \"L\" FROM ({_ENDS}) e, unnest(l) AS u(x)")
 def rule_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(spark, sf_dir).query([Goal("member", "X", "L")]).select("X", F.array_join("L", ",").alias("L"))
+    return _lists(spark, sf_dir).query([Goal("element", "X", "L")]).select("X", F.array_join("L", ",").alias("L"))
