@@ -66,3 +66,58 @@ def test_a_target_is_done_once_its_pairs_are(spark):
     targets, asked = spark.createDataFrame([(2,)], "dst int"), spark.createDataFrame([(1, 2)], "src int, dst int")
     found = reaching(net.links, net.changes(), targets, 4, asked=asked)
     assert {(r.node, r.hop) for r in found.select("node", "hop").distinct().collect() if r.node != 2} == {(1, 1)}
+
+
+def test_lists_are_taken_apart_without_rounds(spark):
+    from netlattice.operators.rules import Goal, Rules
+
+    rules = Rules()
+    data = [["b", "a", "b"], ["b"], [], ["b"], None]
+    rules.lists(spark.createDataFrame([(x,) for x in data], "l array<string>"), "l")
+    ends = [["b", "a", "b"], ["a", "b"], ["b"], []]
+    parts = rules.query([Goal("parts", "A", "B", "L")])
+    assert sorted(tuple(map(tuple, r)) for r in parts.collect()) == sorted((tuple(x[:k]), tuple(x[k:]), tuple(x)) for x in ends for k in range(len(x) + 1))
+    assert sorted((r.X, tuple(r.L)) for r in rules.query([Goal("element", "X", "L")]).collect()) == sorted({(v, tuple(x)) for x in ends for v in x})
+    assert "Aggregate" not in parts._jdf.queryExecution().optimizedPlan().toString()  # no rows are brought together
+
+
+def test_constrained_walks_make_no_join(spark):
+    from netlattice.operators import reach
+
+    fwd = spark.createDataFrame([(c, i, (i + d) % 7) for c in range(3) for i in range(7) for d in (1, 1 + c)], "cls long, src long, dst long").distinct()
+    only = lambda df, hop: df if hop % 2 else df.where("src % 2 = 0")
+    edges = {tuple(r) for r in fwd.collect()}
+    level, expected = {(d, c, d) for c, _, d in edges}, {}
+    for hop in range(1, 6):
+        level = {(dst, c, s) for dst, c, n in level for e, s, d in edges if (e, d) == (c, n) and (hop % 2 or s % 2 == 0)}
+        for dst, c, n in level:
+            if dst == n:
+                expected.setdefault((dst, c), hop)
+    found = reach.constrained_loops(fwd, spark.range(7).toDF("subject"), 5, only)
+    assert {(r.origin, r.cls): r.hop for r in found.collect()} == expected and found.count() == len(expected)
+    walked = reach.walks(fwd, spark.range(1).toDF("dst"), 5, only)
+    assert walked._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1  # the targets
+
+
+def test_pairs_of_a_large_key_are_dealt(spark, monkeypatch):
+    from netlattice.operators import pairs
+
+    monkeypatch.setattr(pairs, "SIDE", 3)
+    left = spark.createDataFrame([(0, i) for i in range(20)] + [(1, 5), (2, 6)], "k int, a int")
+    right = spark.createDataFrame([(0, i) for i in range(10)] + [(1, 7), (3, 8)], "k int, b int")
+    found = pairs.paired(left, right, ["k"])
+    assert sorted((r.k, r.a, r.b) for r in found.collect()) == sorted([(0, a, b) for a in range(20) for b in range(10)] + [(1, 5, 7)])
+    per_task = [len(p) for p in found.select("a").rdd.glom().collect()]
+    assert max(per_task) < 100  # one key has 200 of 201 pairs
+
+
+def test_nat_pairs_are_not_brought_together(spark):
+    from netlattice.operators import policy
+
+    made = spark.createDataFrame([(f"{d}/{q}", d, q) for d in range(0, 64, 4) for q in (0, 1)], "cls string, dst_ip long, dst_port long")
+    nat = [(1, 0, 0, 32, 16, 48), (1, 0, 0, 16, 32, 64), (1, 0, 0, 16, 32, 64), (1, 0, 8, 12, 48, 64), (2, 0, 4, 8, 0, 4), (2, 0, 4, 8, 9, 9)]
+    found = policy.nat_pairs(made, spark.createDataFrame(nat, "router int, if_id int, in_lo long, in_hi long, out_lo long, out_hi long"), ["router", "if_id"], ["dst_ip", "dst_port"])
+    cls = [(r.cls, r.dst_ip) for r in made.collect()]
+    expected = sorted({(r, i, a, b) for r, i, lo, hi, out, end in nat for a, x in cls if lo <= x < hi for b, y in cls if out <= y < end})
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    assert not found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Aggregate")
