@@ -56,6 +56,8 @@ def interface_filled(routes: DataFrame, known: DataFrame) -> DataFrame:
     counts, then the first of those that contain.  Unmatched routes keep a null.
     """
     first = known.groupBy("lo", "width").agg(F.min_by("interface", "line").alias("interface"), F.min("line").alias("line"))
+    # few files may hold many routes: what a task has to order for its ids is a share of them all
+    routes = routes.repartition(int(routes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     hit = under_prefixes(routes, first, at="gateway").groupBy("id").agg(F.min_by("p_interface", "p_line").alias("interface"))
     return routes.join(hit, "id", "left")
 

@@ -166,6 +166,7 @@ def with_interfaces(routes: DataFrame) -> DataFrame:
     from netlattice.operators.lpm import under_prefixes
 
     first = known.groupBy("path", "lo", "width").agg(F.min_by("interface", "line").alias("interface"), F.min("line").alias("line"))
+    missing = missing.repartition(int(missing.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # a task orders its share
     hit = under_prefixes(missing, first, at="gateway", on=["path"]).groupBy("id").agg(F.min_by("p_interface", "p_line").alias("filled"))
     return routes.join(hit.select("id.path", "id.line", "filled"), ["path", "line"], "left").select("path", "line", "dest", "gateway", F.coalesce("interface", "filled").alias("interface"), "tag")
 
