@@ -121,3 +121,70 @@ def test_nat_pairs_are_not_brought_together(spark):
     expected = sorted({(r, i, a, b) for r, i, lo, hi, out, end in nat for a, x in cls if lo <= x < hi for b, y in cls if out <= y < end})
     assert sorted(tuple(r) for r in found.collect()) == expected
     assert not found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Aggregate")
+
+
+def _walk(fib, start, address, asked, max_hops):
+    """Hops of one address, by looking at every route."""
+    out, at = [], start
+    for hop in range(1, max_hops + 1):
+        held = [(-w, nh is None, nh or 0, lo) for node, lo, w, nh in fib if node == at and w <= asked and address >> (32 - w) << (32 - w) == lo]
+        if at is None or not held:
+            break
+        w, none, nh, lo = min(held)
+        at = None if none else nh
+        out.append((start, address, asked, hop, at, lo, -w))
+    return out
+
+
+def test_traces_take_no_job_a_hop(spark):
+    from netlattice.operators.reach import trace
+
+    fib = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 0, 0)], "node long, lo long, width int, nh long")  # round and round
+    starts = spark.createDataFrame([(0, 5), (0, 5), (1, 1 << 31), (7, 5)], "start long, address long")
+    jobs = {}
+    for hops in (2, 30):
+        spark.sparkContext.setJobGroup(f"trace-{hops}", "")
+        found = trace(fib, starts, hops).collect()
+        jobs[hops] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trace-{hops}"))
+        assert len(found) == 4 + 2 * hops and max(r.hop for r in found) == hops
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs[2] == jobs[30]
+
+
+def test_traces_over_many_stretches(spark, monkeypatch):
+    from netlattice.operators import ways
+    from netlattice.operators.reach import trace
+
+    dice = random.Random(3)
+    some = [dice.randrange(1 << 32) for _ in range(12)]  # addresses that many routes hold, so that lengths nest
+    fib = [(n, dice.choice(some) >> (32 - w) << (32 - w), w, dice.randrange(7)) for n in range(6) for w in (0, 0, 1, 8, 8, 9, 23, 24, 24, 31, 32, 32) for _ in range(3) if n or w]
+    fib += [(2, some[0] | 1, 8, 3), (3, some[1] >> 8 << 8, 24, None), (None, 0, 0, 1), (6, some[2], 32, None)]
+    starts = [(dice.choice([0, 1, 2, 3, 4, 5, 6, 9]), a, w) for a in [*some, 0, (1 << 32) - 1, *(dice.randrange(1 << 32) for _ in range(40))] for w in (0, 8, 24, 32)]
+    starts += [*starts[:3], (None, 5, 32), (1, None, 32), (1, 5, None)]
+    monkeypatch.setattr(ways, "ROWS", 16)
+    monkeypatch.setattr(ways, "STRETCHES", 9)
+    table = spark.createDataFrame(fib, "node long, lo long, width int, nh long")
+    asked = spark.createDataFrame(starts, "start long, address long, asked int")
+    found = [tuple(r) for r in trace(table, asked, 6).collect()]
+    wanted = [row for s in {s for s in starts if None not in s} for row in _walk(fib, *s, 6)]
+    key = lambda row: [(x is None, x or 0) for x in row]
+    assert sorted([r for r in found if r[3]], key=key) == sorted(wanted, key=key) and len(wanted) > 300
+    assert sorted([r[:3] for r in found if not r[3]], key=key) == sorted(starts, key=key)
+    plain = [tuple(r) for r in trace(table, asked.drop("asked").distinct(), 6).where("hop > 0").collect()]
+    assert sorted(plain, key=key) == sorted((r[:2] + r[3:] for s in {s[:2] for s in starts if None not in s[:2]} for r in _walk(fib, *s, 32, 6)), key=key)
+    names = spark.createDataFrame([(f"r{n}", lo, w, None if nh is None else f"r{nh}") for n, lo, w, nh in fib if n is not None], "node string, lo long, width int, nh string")
+    texts = trace(names, asked.where("start is not null").selectExpr("concat('r', start) start", "address", "asked"), 6).where("hop > 0").collect()
+    assert sorted([(int(r[0][1:]), *r[1:4], r[4] and int(r[4][1:]), *r[5:]) for r in texts], key=key) == sorted(wanted, key=key)
+
+
+def test_wide_routes_are_dealt_bit_by_bit(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from netlattice.operators import ways
+
+    monkeypatch.setattr(ways, "DEALT", 7)
+    rows = pa.RecordBatch.from_pydict({"asks": [False, True, False, False], "node": [1, 2, 3, 4], "lo": [0, 30, 32, 8], "width": [0, 32, 27, 32], "nh": [5, None, 5, 5]})
+    found = list(ways.dealt(iter([rows, rows.slice(0, 0)]), np.array([8, 16, 40, 1 << 20])))
+    assert all(b.num_rows <= 7 for b in found)
+    assert [(r["family"], r["node"]) for b in found for r in b.to_pylist()] == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (2, 2), (2, 3), (3, 3), (1, 4)]
