@@ -111,6 +111,23 @@ def test_pairs_of_a_large_key_are_dealt(spark, monkeypatch):
     assert max(per_task) < 100  # one key has 200 of 201 pairs
 
 
+def test_pairs_meet_as_pieces(spark):
+    from netlattice.operators.pairs import SIDE, paired
+
+    left = spark.range(40).selectExpr("cast(id % 2 as int) k", "if(id < 3, null, id) a")
+    right = spark.range(5000).selectExpr("cast(id % 2 as int) k", "if(id < 5, null, id) b")
+    found = paired(left, right, ["k"])
+    assert found.columns == ["k", "a", "b"] and found.count() == 40 * 2500 and found.where("b is null").count() == 20 * 5 and found.where("a is null").count() == 3 * 2500
+    two = paired(left, right.selectExpr("k", "b", "b % 3 c"), ["k"])
+    assert two.columns == ["k", "a", "b", "c"] and two.exceptAll(left.join(right.selectExpr("k", "b", "b % 3 c"), "k")).isEmpty()
+    step = found._jdf.queryExecution().optimizedPlan()
+    while step.nodeName() != "Join":
+        assert step.nodeName() in ("Project", "Generate")  # pairs are made above the join
+        step = step.children().head()
+    met = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, step).count()
+    assert met < 40 * 2500 / SIDE * 4
+
+
 def test_nat_pairs_are_not_brought_together(spark):
     from netlattice.operators import policy
 
