@@ -42,6 +42,10 @@ from pyspark.sql import types as T
 from netlattice.sources.scratch import saved
 
 LIST = "array<string>"
+#: Parts of a list that become rows at once.
+RUN = 256
+#: Ends of a list that one task makes.
+STRETCH = 64
 #: Column that carries the order of solutions.
 ORDER = "_order"
 
@@ -152,6 +156,47 @@ def order_text(c: Column, kind: T.DataType) -> Column:
     return F.concat(c.cast("string"), F.lit("\x01"))
 
 
+def joined_parts(lists: DataFrame) -> DataFrame:
+    """(a, b, l): how the lists ``l`` and all their ends part in two, as texts with commas between elements; each once.
+
+    A list becomes a text once.  Its ends, and the parts of these, are pieces of that
+    text, so a part costs a copy of its bytes and no step for its elements.  Nulls are
+    left out, as in ``array_join``.
+    """
+    spark = lists.sparkSession
+    whole = lists.where("l IS NOT NULL").select(F.array_compact("l").alias("l")).distinct()
+    # bytes of the first k elements with their commas, for every k
+    upto = F.transform(F.sequence(F.lit(0), F.size("l")), lambda k: F.octet_length(F.array_join(F.slice("l", F.lit(1), k), ",")))
+    whole = whole.select(F.array_join("l", ",").cast("binary").alias("t"), upto.alias("upto"), F.size("l").alias("n"))
+    whole = whole.select("*", F.octet_length("t").alias("bytes"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few lists have many ends: a task makes those of some stretches of the lists
+    begun = whole.withColumn("first", F.explode(F.sequence(F.lit(0), "n", F.lit(STRETCH)))).repartition(parts)
+    ends = begun.withColumn("i", F.explode(F.sequence("first", F.least("n", F.col("first") + STRETCH - 1))))
+
+    def begins(k: Column) -> Column:  # where what follows the first k elements does
+        return F.when(k == 0, 0).when(k < F.col("n"), F.get("upto", k) + 1).otherwise(F.col("bytes"))
+
+    def cut(j: Column) -> Column:  # bytes in front and where the rest begins, as one number
+        front = F.when(j == F.col("i"), 0).otherwise(F.get("upto", j) - begins(F.col("i")))
+        return F.call_function("shiftleft", front.cast("long"), F.lit(32)) + (begins(j) - begins(F.col("i")))
+
+    ends = ends.select(piece_of("t", begins(F.col("i"))).alias("l"), F.transform(F.sequence("i", "n"), cut).alias("cuts"))
+    # lists of other elements may have the same text
+    once = ends.groupBy("l").agg(F.array_distinct(F.flatten(F.collect_set("cuts"))).alias("cuts"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("cuts"), F.lit(RUN)), lambda k: F.slice("cuts", k, F.lit(RUN)))
+    spread = once.select("l", F.explode(runs).alias("cuts")).repartition(parts)
+    # as what a function makes of an array, rows come one by one; else all of a run are copied first, texts too
+    both = lambda c: F.struct(F.call_function("shiftright", c, F.lit(32)).cast("int").alias("front"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("rest"))
+    at = spread.select("l", F.inline(F.transform("cuts", both)))
+    return at.select(F.substring("l", F.lit(1), F.col("front")).cast("string").alias("a"), piece_of("l", F.col("rest")).cast("string").alias("b"), F.col("l").cast("string").alias("l"))
+
+
+def piece_of(binary: str, start: Column) -> Column:
+    """What follows the first ``start`` bytes."""
+    return F.substring(binary, start + 1, F.octet_length(binary))
+
+
 class Rules:
     def __init__(self) -> None:
         #: Clauses of a predicate as they were declared: (table, columns, order column) or (head, goals).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlattice.operators.rules import Cut, Goal, Rules
+from netlattice.operators.rules import Cut, Goal, Rules, joined_parts
 from netlattice.plans import queries as base
 from netlattice.plans.derived import spark_sql
 from netlattice.plans.registry import query
@@ -61,8 +61,9 @@ def _lists(spark: SparkSession, sf_dir: str) -> Rules:
 @query(f"SELECT DISTINCT array_to_string(l[:k], ',') AS \"A\", array_to_string(l[k + 1:], ',') AS \"B\", array_to_string(l, ',') AS \"L\" FROM ({_ENDS}) e, unnest(generate_series(0, len(l))) AS u(k)")
 def rule_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ways to part the nations' lists, and their ends, in two."""
-    found = _lists(spark, sf_dir).query([Goal("parts", "A", "B", "L")])
-    return found.select(*(F.array_join(c, ",").alias(c) for c in ("A", "B", "L")))
+    rules = Rules()
+    rules.fact("joined", joined_parts(spark_sql(spark, sf_dir, _LISTS).select("l")), ["a", "b", "l"], once=True)
+    return rules.query([Goal("joined", "A", "B", "L")])
 
 
 @query(f"SELECT DISTINCT x AS \"X\", array_to_string(l, ',') AS \"L\" FROM ({_ENDS}) e, unnest(l) AS u(x)")

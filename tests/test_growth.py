@@ -81,6 +81,22 @@ def test_lists_are_taken_apart_without_rounds(spark):
     assert "Aggregate" not in parts._jdf.queryExecution().optimizedPlan().toString()  # no rows are brought together
 
 
+def test_parts_as_texts(spark):
+    from netlattice.operators import rules
+
+    data = [["b", "a", "b"], ["ü,é", "", "c"], ["ü", "é", "", "c"], ["", ""], [None, "a", None], [None], [], None, [str(i % 9) for i in range(600)]]
+    lists = spark.createDataFrame([(x,) for x in data], "l array<string>")
+    ends = [[e for e in x if e is not None][k:] for x in data if x is not None for k in range(len(x) + 1)]
+    wanted = {(",".join(x[:k]), ",".join(x[k:]), ",".join(x)) for x in ends for k in range(len(x) + 1)}
+    found = rules.joined_parts(lists)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(wanted)
+    made = rules.Rules()
+    made.fact("joined", rules.joined_parts(lists), ["a", "b", "l"], once=True)
+    solved = made.query([rules.Goal("joined", "A", "B", "L")])
+    top = solved._jdf.queryExecution().optimizedPlan().toString().split("Generate inline")[0]
+    assert solved.columns == ["A", "B", "L"] and "array_join" not in top and "Aggregate" not in top  # a part is cut from its text
+
+
 def test_constrained_walks_make_no_join(spark):
     from netlattice.operators import reach
 
